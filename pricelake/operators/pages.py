@@ -32,7 +32,8 @@ def extract_fields(pages: DataFrame, keep: list[str] | None = None) -> DataFrame
                 out[c] = batch[c].to_numpy()
             yield out[[*carried, *_NAMES]]
 
-    return pages.select(*carried, "html").mapInPandas(run, f"{head}, {_FIELDS}")
+    source = pages.select(*carried, *([] if "html" in carried else ["html"]))
+    return source.mapInPandas(run, f"{head}, {_FIELDS}")
 
 
 def page_rows(raw: DataFrame) -> DataFrame:

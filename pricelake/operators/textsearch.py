@@ -41,44 +41,46 @@ def distinct_terms() -> Column:
 
 
 def inverted_index(vectors: DataFrame, doc_id: str) -> DataFrame:
-    """(term, doc_id, positions); grouping runs inside the row, so no term is gathered anywhere."""
-    terms = distinct_terms()
-    return vectors.select(doc_id, "tokens", F.explode(terms).alias("term")).select(
-        "term",
-        doc_id,
-        F.filter(
-            F.transform("tokens", lambda t, i: F.when(t == F.col("term"), i + 1)), lambda p: p.isNotNull()
-        ).alias("positions"),
+    """(term, doc_id, position), one row per occurrence; narrow, so no term is gathered anywhere."""
+    return vectors.select(doc_id, F.posexplode("tokens").alias("place", "term")).filter(F.col("term") != "").select(
+        "term", doc_id, (F.col("place") + 1).alias("position")
     )
 
 
+def postings(vectors: DataFrame, doc_id: str) -> DataFrame:
+    """(term, doc_id), each pair once; repeats are removed inside the row."""
+    return vectors.select(F.explode(distinct_terms()).alias("term"), doc_id)
+
+
 def term_counts(vectors: DataFrame) -> DataFrame:
-    return vectors.select(F.explode(distinct_terms()).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("docs")
-    )
+    return postings(vectors, vectors.columns[0]).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
 
 
 def all_term_candidates(queries: DataFrame, vectors: DataFrame, doc_id: str) -> DataFrame:
     """Documents holding every term of a query: (query_id, terms, doc_id, tokens).
 
     A match must hold the query's rarest term, so only the postings of that term are joined; frequent
-    terms are checked inside the row and never multiply rows.
+    terms are checked inside the document row and never multiply rows.
     """
     asked = queries.filter(F.size("terms") > 0).select("query_id", F.array_distinct("terms").alias("terms"))
-    wanted = asked.select(F.explode("terms").alias("term")).distinct()
-    postings = vectors.select(doc_id, "tokens", F.explode(distinct_terms()).alias("term"))
+    by_term = asked.select("query_id", "terms", F.explode("terms").alias("term"))
+    pairs = postings(vectors, doc_id)
     counts = (
-        postings.select("term").join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
+        pairs.join(by_term.select("term").distinct(), "term", "left_semi")
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("docs"))
     )
     rarest = (
-        asked.select("query_id", "terms", F.explode("terms").alias("term"))
-        .join(counts, "term")
-        .groupBy("query_id")
-        .agg(F.min_by("term", F.struct("docs", "term")).alias("term"), F.count(F.lit(1)).alias("known"), F.first("terms").alias("terms"))
+        by_term.join(counts, "term")
+        .groupBy("query_id", "terms")
+        .agg(F.min_by("term", F.struct("docs", "term")).alias("term"), F.count(F.lit(1)).alias("known"))
         .filter(F.col("known") == F.size("terms"))
+        .select("query_id", "terms", "term")
     )
+    holders = pairs.join(rarest, "term").select("query_id", "terms", doc_id)
     return (
-        postings.join(rarest.select("query_id", "terms", "term"), "term")
+        vectors.select(doc_id, "tokens")
+        .join(holders, doc_id)
         .filter(F.size(F.array_except("terms", "tokens")) == 0)
         .select("query_id", "terms", doc_id, "tokens")
     )
