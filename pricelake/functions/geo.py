@@ -70,22 +70,23 @@ def has_country_path(url: Column, country: Column, city: Column | None = None) -
 
 
 def is_foreign(url: Column) -> Column:
-    low = F.lower(url)
-    return urls.any_of([low.endswith(t) | low.contains(t + "/") for t in rules.FOREIGN_TLDS])
+    return F.lower(url).rlike("(?:" + "|".join(_quoted(rules.FOREIGN_TLDS)) + ")(?:/|$)")
 
 
 def is_home_url(url: Column) -> Column:
     """Uruguay test used by page typing."""
-    low = F.lower(url)
-    where = urls.netloc(low)
-    rest = F.concat(urls.path(low), F.lit("?"), urls.query(low))
-    return (
-        urls.any_of([where.endswith(t) for t in rules.HOME_TLDS])
-        | where.contains("uruguay")
-        | rest.rlike("uruguay|/uy/|montevideo")
+
+    def test(s: Column) -> Column:
+        return s["where"].rlike("(?:" + "|".join(_quoted(rules.HOME_TLDS)) + ")$|uruguay") | s["rest"].rlike(
+            "uruguay|/uy/|montevideo"
+        )
+
+    parts = lambda low: F.struct(
+        urls.netloc(low).alias("where"), F.concat(urls.path(low), F.lit("?"), urls.query(low)).alias("rest")
     )
+    return let(let(F.lower(url), parts), test)
 
 
 def location_signal(url: Column, title: Column, snippet: Column) -> Column:
-    hay = F.lower(F.concat_ws(" ", F.coalesce(url, F.lit("")), F.coalesce(title, F.lit("")), F.coalesce(snippet, F.lit(""))))
-    return F.when(urls.contains_any(hay, rules.LOCATION_WORDS), 1.0).otherwise(0.0)
+    parts = [F.coalesce(c, F.lit("")) for c in (url, title, snippet)]
+    return F.when(F.lower(F.concat_ws(" ", *parts)).rlike("|".join(rules.LOCATION_WORDS)), 1.0).otherwise(0.0)

@@ -46,10 +46,12 @@ def coerce_price(value: Column) -> Column:
 
 
 def detect_currency(text: Column) -> Column:
-    usd = [F.upper(text).contains(m) for m in rules.USD_MARKERS]
-    uyu = [F.upper(text).contains(m) for m in rules.UYU_MARKERS]
-    either = lambda tests: reduce(lambda a, b: a | b, tests)
-    return F.when(either(usd), "USD").when(either(uyu), "UYU").when(text.contains("$"), "UYU")
+    def test(up: Column) -> Column:
+        usd = reduce(lambda a, b: a | b, [up.contains(m) for m in rules.USD_MARKERS])
+        uyu = reduce(lambda a, b: a | b, [up.contains(m) for m in [*rules.UYU_MARKERS, "$"]])
+        return F.when(usd, "USD").when(uyu, "UYU")
+
+    return let(F.upper(text), test)
 
 
 def normalize_currency(code: Column) -> Column:

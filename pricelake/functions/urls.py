@@ -125,79 +125,92 @@ def normalize(url: Column, drop_query: bool = False, keep_tracking: bool = False
 
 
 def same_domain(base: Column, link: Column) -> Column:
-    return (netloc(link) != "") & (netloc(link) == netloc(base))
+    return let(netloc(link), lambda n: (n != "") & (n == netloc(base)))
 
 
 def drop_repeated_segments(url: Column) -> Column:
     """Keep the first of every path segment; a URL without a repeat is returned as it is."""
-    the_path = path(url)
-    segments = F.filter(F.split(the_path, "/"), lambda s: s != "")
-    once = F.array_distinct(segments)
-    params = F.regexp_extract(raw_path(url), r";[^/]*$", 0)
-    rebuilt = F.concat(
-        F.when(scheme(url) != "", F.concat(scheme(url), F.lit(":"))).otherwise(""),
-        F.when(netloc(url) != "", F.concat(F.lit("//"), netloc(url))).otherwise(""),
-        F.lit("/"),
-        F.array_join(once, "/"),
-        F.when(the_path.endswith("/"), "/").otherwise(""),
-        params,
-        F.when(query(url) != "", F.concat(F.lit("?"), query(url))).otherwise(""),
-        F.when(fragment(url) != "", F.concat(F.lit("#"), fragment(url))).otherwise(""),
-    )
-    return F.when(F.size(once) < F.size(segments), rebuilt).otherwise(url)
+
+    def rebuilt(u: Column, segments: Column) -> Column:
+        return F.concat(
+            F.when(scheme(u) != "", F.concat(scheme(u), F.lit(":"))).otherwise(""),
+            F.when(netloc(u) != "", F.concat(F.lit("//"), netloc(u))).otherwise(""),
+            F.lit("/"),
+            F.array_join(F.array_distinct(segments), "/"),
+            F.when(path(u).endswith("/"), "/").otherwise(""),
+            F.regexp_extract(raw_path(u), r";[^/]*$", 0),
+            F.when(query(u) != "", F.concat(F.lit("?"), query(u))).otherwise(""),
+            F.when(fragment(u) != "", F.concat(F.lit("#"), fragment(u))).otherwise(""),
+        )
+
+    def fix(u: Column) -> Column:
+        segments = F.filter(F.split(path(u), "/"), lambda s: s != "")
+        return let(
+            segments, lambda seg: F.when(F.size(F.array_distinct(seg)) < F.size(seg), rebuilt(u, seg)).otherwise(u)
+        )
+
+    return let(url, fix)
 
 
 # -- classification --------------------------------------------------------------------------
+# Each test binds its URL once: a filter on a computed URL is pushed below the computing step, and
+# the expression would otherwise be repeated for every use.
 def usable_terms(terms: Column) -> Column:
     return F.filter(F.transform(terms, lambda t: F.lower(t)), lambda t: F.length(t) > 2)
 
 
 def is_product_url(url: Column, terms: Column | None = None) -> Column:
-    low = F.lower(url)
-    parts = F.split(low, "/", -1)
-    deep = F.filter(
-        F.slice(parts, 4, 1000000), lambda s: (F.length(s) > 2) & ~s.rlike(r"(?U)^\d+$")
-    )
-    yes = (
-        contains_any(low, rules.PRODUCT_STRONG_TOKENS)
-        | low.rlike(r"/p/*$")
-        | low.rlike(r"(?U)/\d{6,}")
-    )
-    if terms is not None:
-        named = F.exists(usable_terms(terms), lambda t: F.contains(low, t)) & (F.size(parts) >= 4)
-        yes = yes | F.coalesce(named, F.lit(False))
-    yes = yes | ((F.size(parts) >= 5) & (F.size(deep) >= 2))
-    no = contains_any(low, rules.PRODUCT_EXCLUDE_TOKENS) | contains_any(low, rules.PRODUCT_PAGING_TOKENS)
-    return ~no & yes
+    def test(low: Column) -> Column:
+        parts = F.split(low, "/", -1)
+        deep = F.filter(
+            F.slice(parts, 4, 1000000), lambda s: (F.length(s) > 2) & ~s.rlike(r"(?U)^\d+$")
+        )
+        yes = contains_any(low, rules.PRODUCT_STRONG_TOKENS) | low.rlike(r"/p/*$|(?U)/\d{6,}")
+        if terms is not None:
+            named = F.exists(usable_terms(terms), lambda t: F.contains(low, t)) & (F.size(parts) >= 4)
+            yes = yes | F.coalesce(named, F.lit(False))
+        yes = yes | ((F.size(parts) >= 5) & (F.size(deep) >= 2))
+        no = contains_any(low, rules.PRODUCT_EXCLUDE_TOKENS + rules.PRODUCT_PAGING_TOKENS)
+        return ~no & yes
+
+    return let(F.lower(url), test)
 
 
 def matches_query(url: Column, terms: Column) -> Column:
     """Any term in the URL, or a term that starts with a path part of four or more characters."""
-    low = F.lower(url)
 
-    def test(wanted: Column) -> Column:
+    def test(s: Column) -> Column:
+        low, wanted = s["low"], s["wanted"]
+        parts = F.filter(F.split(low, "/"), lambda p: F.length(p) >= 4)
         named = F.exists(wanted, lambda t: F.contains(low, t))
-        parts = F.filter(F.split(low, "/"), lambda s: F.length(s) >= 4)
-        return (F.size(wanted) == 0) | named | F.exists(parts, lambda s: F.exists(wanted, lambda t: F.startswith(t, s)))
+        begun = F.exists(parts, lambda p: F.exists(wanted, lambda t: F.startswith(t, p)))
+        return (F.size(wanted) == 0) | named | begun
 
-    return F.coalesce(let(usable_terms(terms), test), F.lit(True))
+    both = F.struct(F.lower(url).alias("low"), usable_terms(terms).alias("wanted"))
+    return F.coalesce(let(both, test), F.lit(True))
 
 
 def is_marketplace_listing(url: Column) -> Column:
-    low = F.lower(url)
-    where, at = netloc(low), path(low)
-    main = where.isin(rules.MARKETPLACE_MAIN_HOSTS)
-    return where.startswith(rules.MARKETPLACE_LISTING_HOST) | (
-        main & (at.startswith("/listado") | at.contains("/listado/") | at.contains("/c/"))
-    )
+    def test(s: Column) -> Column:
+        where, at = s["where"], s["at"]
+        inside = at.startswith("/listado") | at.contains("/listado/") | at.contains("/c/")
+        return where.startswith(rules.MARKETPLACE_LISTING_HOST) | (where.isin(rules.MARKETPLACE_MAIN_HOSTS) & inside)
+
+    return let(_place(url), test)
 
 
 def is_marketplace_product(url: Column) -> Column:
-    low = F.lower(url)
-    where, at = netloc(low), path(low)
-    return (where.endswith(rules.MARKETPLACE_DOMAIN) & at.contains("/p/") & at.contains("mlu")) | (
-        where.startswith(rules.MARKETPLACE_PRODUCT_HOST) & at.startswith("/mlu-")
-    )
+    def test(s: Column) -> Column:
+        where, at = s["where"], s["at"]
+        return (where.endswith(rules.MARKETPLACE_DOMAIN) & at.contains("/p/") & at.contains("mlu")) | (
+            where.startswith(rules.MARKETPLACE_PRODUCT_HOST) & at.startswith("/mlu-")
+        )
+
+    return let(_place(url), test)
+
+
+def _place(url: Column) -> Column:
+    return let(F.lower(url), lambda low: F.struct(netloc(low).alias("where"), path(low).alias("at")))
 
 
 def is_single_product(url: Column) -> Column:
@@ -261,35 +274,37 @@ def _resolve_path(full: Column) -> Column:
 
 
 def resolve(base: Column, ref: Column) -> Column:
-    """Reference resolution against the page URL."""
-    ref_scheme, base_scheme = scheme(ref), scheme(base)
-    root = F.concat(base_scheme, F.lit("://"), netloc(base))
-    tail = F.concat(
-        F.regexp_extract(raw_path(ref), r";[^/]*$", 0),
-        F.when(query(ref) != "", F.concat(F.lit("?"), query(ref))).otherwise(""),
-        F.when(fragment(ref) != "", F.concat(F.lit("#"), fragment(ref))).otherwise(""),
-    )
-    at = path(ref)
-    folder = F.regexp_replace(path(base), r"[^/]*$", "")
-    merged = F.regexp_replace(
-        F.concat(F.when(folder == "", "/").otherwise(folder), at), r"(?<=/)/+(?=[^/])", ""
-    )
-    return (
-        F.when((ref_scheme != "") & (ref_scheme != base_scheme), ref)
-        .when(netloc(ref) != "", F.concat(base_scheme, F.lit("://"), netloc(ref), at, tail))
-        .when(at.startswith("/"), F.concat(root, _resolve_path(at), tail))
-        .when((at == "") & ref.startswith("?"), F.concat(root, path(base), tail))
-        .when(
-            at == "",
-            F.concat(
-                root,
-                raw_path(base),
-                F.when(query(base) != "", F.concat(F.lit("?"), query(base))).otherwise(""),
-                tail,
-            ),
+    """Reference resolution against the page URL. Site-absolute links without dots take a short way."""
+
+    def full(s: Column) -> Column:
+        base, ref = s["base"], s["ref"]
+        root = F.concat(scheme(base), F.lit("://"), netloc(base))
+        tail = F.concat(
+            F.regexp_extract(raw_path(ref), r";[^/]*$", 0),
+            F.when(query(ref) != "", F.concat(F.lit("?"), query(ref))).otherwise(""),
+            F.when(fragment(ref) != "", F.concat(F.lit("#"), fragment(ref))).otherwise(""),
         )
-        .otherwise(F.concat(root, _resolve_path(merged), tail))
-    )
+        at = path(ref)
+        folder = F.regexp_replace(path(base), r"[^/]*$", "")
+        merged = F.regexp_replace(
+            F.concat(F.when(folder == "", "/").otherwise(folder), at), r"(?<=/)/+(?=[^/])", ""
+        )
+        own_query = F.when(query(base) != "", F.concat(F.lit("?"), query(base))).otherwise("")
+        return (
+            F.when((scheme(ref) != "") & (scheme(ref) != scheme(base)), ref)
+            .when(netloc(ref) != "", F.concat(scheme(base), F.lit("://"), netloc(ref), at, tail))
+            .when(at.startswith("/"), F.concat(root, _resolve_path(at), tail))
+            .when((at == "") & ref.startswith("?"), F.concat(root, path(base), tail))
+            .when(at == "", F.concat(root, raw_path(base), own_query, tail))
+            .otherwise(F.concat(root, _resolve_path(merged), tail))
+        )
+
+    def quick(s: Column) -> Column:
+        root = F.regexp_extract(s["base"], r"^[a-z][a-z0-9+.\-]*://[^/?#]+", 0)
+        plain = s["ref"].rlike(r"(?s)^/(?!/)(?:(?!/\.)[^?#])*(?:\?[^#]+)?(?:#.+)?$")
+        return F.when(plain & (root != ""), F.concat(root, s["ref"])).otherwise(full(s))
+
+    return let(F.struct(base.alias("base"), ref.alias("ref")), quick)
 
 
 def link_matches(html: Column) -> Column:

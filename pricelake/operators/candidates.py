@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pricelake.functions import rules, urls
+from pricelake.functions.expr import let
 from pricelake.operators.urltable import keep_first
 
 
@@ -29,11 +30,15 @@ def is_blocked_domain(url: Column, domains: list[str] | None = None) -> Column:
 
     Host suffixes are compared with the list, so the test is a set lookup and not one test per entry.
     """
-    labels = F.split(F.lower(urls.netloc(url)), r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-    )
-    return F.arrays_overlap(suffixes, F.array(*[F.lit(d) for d in (domains or rules.BLOCKED_DOMAINS)]))
+    listed = F.array(*[F.lit(d) for d in (domains or rules.BLOCKED_DOMAINS)])
+
+    def test(labels: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(labels))
+        return F.arrays_overlap(
+            F.transform(places, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")), listed
+        )
+
+    return let(F.split(F.lower(urls.netloc(url)), r"\."), test)
 
 
 def is_excluded(url: Column) -> Column:
