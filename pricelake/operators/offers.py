@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelake.functions import names
@@ -153,34 +153,55 @@ def _fold(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"query_id": [first["query_id"]], "leader": [first["leader"]], "winner": [held["pos"]]})
 
 
+_SMALL_CLUSTER = 1000
+
+
+def _small_winner() -> Column:
+    """Ordered fold inside one row, for clusters of at most ``_SMALL_CLUSTER`` offers."""
+    row = F.struct("pos", "price", "currency", "confidence")
+    start = F.lit(None).cast("struct<pos: bigint, price: double, currency: string, confidence: double>")
+
+    def step(held: Column, new: Column) -> Column:
+        cheaper = (new["currency"] == held["currency"]) & (new["price"] < held["price"])
+        surer = (new["currency"] != held["currency"]) & (new["confidence"] > held["confidence"])
+        return F.when(held.isNull() | cheaper | surer, new).otherwise(held)
+
+    return F.aggregate(F.array_sort(F.collect_list(row)), start, step)["pos"]
+
+
 def cluster_winners(members: DataFrame) -> DataFrame:
     """Winning offer per cluster: (query_id, leader, winner).
 
     In order: same currency, the cheaper one; other currency, the more confident one. A cluster in one
-    currency is a plain minimum (combines before the shuffle). A mixed one is folded in runs of bounded
-    length first, so no cluster is gathered whole.
+    currency is a plain minimum (combines before the shuffle). A small mixed one is folded in its row;
+    a large mixed one is cut into runs of bounded length first, so no cluster is gathered whole.
     """
-    kinds = members.groupBy("query_id", "leader").agg(
-        F.count_distinct(F.coalesce("currency", F.lit(""))).alias("n"),
+    rows = members.withColumn("currency", F.coalesce("currency", F.lit(""))).withColumn(
+        "confidence", F.coalesce("confidence", F.lit(0.0))
+    )
+    kinds = rows.groupBy("query_id", "leader").agg(
+        (F.min("currency") == F.max("currency")).alias("plain"),
+        F.count(F.lit(1)).alias("n"),
         F.min_by("pos", F.struct("price", "pos")).alias("winner"),
     )
-    plain = kinds.filter("n = 1").select("query_id", "leader", "winner")
-    mixed = members.join(kinds.filter("n > 1").select("query_id", "leader"), ["query_id", "leader"], "left_semi")
+    plain = kinds.filter("plain").select("query_id", "leader", "winner")
+    pick = lambda test: rows.join(kinds.filter(test).select("query_id", "leader"), ["query_id", "leader"], "left_semi")
+    small = pick(f"NOT plain AND n <= {_SMALL_CLUSTER}").groupBy("query_id", "leader").agg(_small_winner().alias("winner"))
     qid = members.schema["query_id"].dataType.simpleString()
     row = (
         f"query_id {qid}, leader bigint, chunk bigint, pos bigint, price double, currency string, confidence double, "
         "end_pos bigint, end_price double, end_currency string, end_confidence double"
     )
     runs = (
-        mixed.select(
-            "query_id", "leader", F.floor(F.col("pos") / _FOLD_CHUNK).alias("chunk"), "pos", "price",
-            F.coalesce("currency", F.lit("")).alias("currency"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+        pick(f"NOT plain AND n > {_SMALL_CLUSTER}")
+        .select(
+            "query_id", "leader", F.floor(F.col("pos") / _FOLD_CHUNK).alias("chunk"), "pos", "price", "currency", "confidence"
         )
         .groupBy("query_id", "leader", "chunk")
         .applyInPandas(_steps, row)
     )
-    folded = runs.groupBy("query_id", "leader").applyInPandas(_fold, f"query_id {qid}, leader bigint, winner bigint")
-    return plain.unionByName(folded)
+    large = runs.groupBy("query_id", "leader").applyInPandas(_fold, f"query_id {qid}, leader bigint, winner bigint")
+    return plain.unionByName(small).unionByName(large)
 
 
 def dedupe_names(offers: DataFrame, threshold: float = 0.85) -> DataFrame:

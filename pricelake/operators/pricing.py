@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelake.functions import prices
@@ -14,6 +14,14 @@ def product_pages(candidates: DataFrame) -> DataFrame:
     return candidates.filter(F.col("page_type") == "PRODUCT")
 
 
+def _from(source: str, value: Column) -> Column:
+    """Tag a price with its source; null stays null."""
+    return let(
+        value,
+        lambda v: F.when(v.isNotNull(), F.struct(F.lit(source).alias("source"), v.alias("price_extraction"))),
+    )
+
+
 def extract_prices(
     candidates: DataFrame,
     content: DataFrame,
@@ -60,13 +68,7 @@ def extract_prices(
         ("text", prices.direct_price(F.col("__text"), compat, whole_text)),
         ("response", answer),
     ]
-    tagged = [
-        let(
-            value,
-            lambda v, name=name: F.when(v.isNotNull(), F.struct(F.lit(name).alias("source"), v.alias("price_extraction"))),
-        )
-        for name, value in steps
-    ]
+    tagged = [_from(name, value) for name, value in steps]
     last = F.struct(
         F.lit("unresolved").alias("source"), prices.failure(F.lit("No price found in content")).alias("price_extraction")
     )

@@ -2,54 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelake.functions import jsonfix, rules
+from pricelake.functions.expr import let
+
+
+# whole text is one JSON value; a parser alone would stop after the first value
+_WHOLE = r'(?s)^\s*(?:\{.*\}|\[.*\]|"(?:[^"\\]++|\\.)*+")\s*$'
+
+
+def _attempt(method: str, text: Column) -> Column:
+    """struct(method, recovered) when the text is JSON, else null."""
+    return let(
+        text,
+        lambda t: F.when(
+            t.rlike(_WHOLE) & F.try_parse_json(t).isNotNull(),
+            F.struct(F.lit(method).alias("method"), t.alias("recovered")),
+        ),
+    )
 
 
 def recover_json(responses: DataFrame, text: str = "raw_text") -> DataFrame:
-    """Add ``recovered`` (JSON text) and the ``method`` that produced it.
+    """Add ``recovered`` (JSON text) and the ``method`` that produced it, in one narrow pass.
 
-    Each step runs only on rows the cheaper ones left unparsed: the balanced scan needs Python, so rows
-    that already parse never reach it.
+    The balanced scan needs Python; it is handed null for rows the native steps already solved.
     """
-    raw = F.col(text)
-    parses = lambda c: F.when(F.try_parse_json(c).isNotNull() & c.rlike(r"^\s*[\[{\"]"), c)
-    fenced = jsonfix.strip_fence(raw)
-    native = responses.withColumn(
-        "__try",
+    raw, fenced = F.col(text), F.col("__fenced")
+    native = responses.withColumn("__fenced", jsonfix.strip_fence(raw)).withColumn(
+        "__native",
         F.coalesce(
-            *[
-                F.when(parses(c).isNotNull(), F.struct(F.lit(name).alias("method"), c.alias("recovered")))
-                for name, c in [
-                    ("direct", jsonfix.strip(raw)),
-                    ("fence", fenced),
-                    ("comments", jsonfix.drop_trailing_commas(jsonfix.drop_comments(fenced))),
-                ]
-            ]
+            _attempt("direct", jsonfix.strip(raw)),
+            _attempt("fence", fenced),
+            _attempt("comments", jsonfix.drop_trailing_commas(jsonfix.drop_comments(fenced))),
         ),
     )
-    done = native.filter(F.col("__try").isNotNull()).select(*responses.columns, "__try.method", "__try.recovered")
-    left = native.filter(F.col("__try").isNull()).drop("__try").withColumn("__block", jsonfix.first_balanced(fenced))
-    block = F.col("__block")
-    commas = jsonfix.drop_trailing_commas(jsonfix.drop_comments(block))
-    closed = jsonfix.close_truncated(jsonfix.drop_comments(fenced))
-    steps = [("balanced", block), ("balanced_comments", commas), ("closed", closed)]
-    rest = left.withColumn(
-        "__try",
-        F.coalesce(
-            *[
-                F.when(parses(c).isNotNull(), F.struct(F.lit(name).alias("method"), c.alias("recovered")))
-                for name, c in steps
-            ]
-        ),
-    ).select(
+    block = native.withColumn("__block", jsonfix.first_balanced(F.when(F.col("__native").isNull(), fenced)))
+    best = F.coalesce(
+        F.col("__native"),
+        _attempt("balanced", F.col("__block")),
+        _attempt("balanced_comments", jsonfix.drop_trailing_commas(jsonfix.drop_comments(F.col("__block")))),
+        _attempt("closed", jsonfix.close_truncated(jsonfix.drop_comments(fenced))),
+    )
+    return block.withColumn("__best", best).select(
         *responses.columns,
-        F.coalesce("__try.method", F.lit("error_parsing_json")).alias("method"),
-        F.col("__try.recovered").alias("recovered"),
+        F.coalesce("__best.method", F.lit("error_parsing_json")).alias("method"),
+        F.col("__best.recovered").alias("recovered"),
     )
-    return done.unionByName(rest)
 
 
 def response_queries(responses: DataFrame, text: str = "raw_text") -> DataFrame:
