@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricelake.sources.tables import read_table
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -21,11 +23,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # stored times carry no zone; reading them as UTC instants keeps filters on the Parquet scan
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
+    """Texts and pages cost much per row and are spread over the cores unless told otherwise."""
+    heavy = name in ("documents", "pages", "conversations") if spread is None else spread
+    return read_table(spark, f"{sf_dir}/{name}.parquet", heavy)
 
 
 def stamp(col: str | Column, name: str | None = None) -> Column:

@@ -144,7 +144,7 @@ def serp_hits(spark, sf):
     SELECT -1 - p_partkey, 0, '9' || p_partkey, 'https://www.9' || p_partkey || '.uy/' || p_partkey, 'Product search result from 9' || p_partkey || '.uy' FROM part""")
 def serp_text_hits(spark, sf):
     """Plain result text: a title line above a URL, and a URL alone."""
-    part = table(spark, sf, "part")
+    part = table(spark, sf, "part", spread=True)
     key = F.col("p_partkey").cast("string")
     link = F.concat(F.lit("https://www.tienda"), key, F.lit(".com.uy/p/"), key)
     titled = part.select(
@@ -227,7 +227,7 @@ def engine_choice(spark, sf):
 @query("result_budget", """WITH h AS (SELECT l_suppkey AS query_id, 'https://shop.example.com/p/' || l_partkey AS url, min(l_orderkey * 8 + l_linenumber) AS pos FROM lineitem GROUP BY ALL)
     SELECT query_id, url, pos, row_number() OVER (PARTITION BY query_id ORDER BY pos, url) AS rank FROM h QUALIFY rank <= 40""")
 def result_budget(spark, sf):
-    hits = table(spark, sf, "lineitem").select(
+    hits = table(spark, sf, "lineitem", spread=True).select(
         F.col("l_suppkey").alias("query_id"),
         F.concat(F.lit("https://shop.example.com/p/"), F.col("l_partkey").cast("string")).alias("url"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"),
@@ -298,7 +298,7 @@ def pattern_exclude(spark, sf):
 def host_cap(spark, sf):
     """Seven hosts hold every offer page of a shop."""
     key = F.col("l_partkey")
-    hits = table(spark, sf, "lineitem").select(
+    hits = table(spark, sf, "lineitem", spread=True).select(
         F.col("l_suppkey").alias("query_id"),
         F.concat(
             F.lit("https://www.shop"), (key % 7).cast("string"), F.lit(".example.com/p/"), key.cast("string"),
@@ -323,7 +323,7 @@ def filter_funnel(spark, sf):
     SELECT query_id, query, 'UY' AS country, has_place, unnest(range(CASE WHEN has_place THEN 1 ELSE 4 END)) AS pos,
       unnest(CASE WHEN has_place THEN [query] ELSE [query || ' Uruguay', 'comprar ' || query || ' Uruguay', query || ' Montevideo', query || ' tienda Uruguay'] END) AS enhanced FROM t""")
 def enhanced_queries(spark, sf):
-    asked = table(spark, sf, "part").select(
+    asked = table(spark, sf, "part", spread=True).select(
         F.col("p_partkey").alias("query_id"),
         F.concat("p_name", F.when(F.col("p_size") > 25, " montevideo").otherwise("")).alias("query"),
         F.lit("UY").alias("country"),
@@ -487,8 +487,8 @@ def category_tables(spark, sf):
         key.alias("pos"), F.array(F.lit("producto"), F.lit("red")).alias("terms"), "s_suppkey", host.alias("host"),
     )
     sold = (
-        table(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"))
-        .join(table(spark, sf, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+        table(spark, sf, "lineitem", spread=True).groupBy("l_suppkey", "l_partkey").agg(F.min(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"))
+        .join(table(spark, sf, "part", spread=True).select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     )
     slug = F.replace("p_name", F.lit(" "), F.lit("-"))
     edges = sold.join(suppliers.select("s_suppkey", F.col("url").alias("src"), "host"), F.col("l_suppkey") == F.col("s_suppkey")).select(

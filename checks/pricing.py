@@ -29,7 +29,7 @@ def price_texts(spark, sf):
         F.concat(F.lit("1.234."), tail),
         F.lit("consultar"),
     )
-    return table(spark, sf, "part").select("p_partkey", "p_retailprice", F.posexplode(kinds).alias("kind", "t"))
+    return table(spark, sf, "part", spread=True).select("p_partkey", "p_retailprice", F.posexplode(kinds).alias("kind", "t"))
 
 
 _BARE = "regexp_replace(t, '[$€a-zA-Z\\s]', '', 'g')"
@@ -48,7 +48,7 @@ def price_parse(spark, sf):
 def price_round_trip(spark, sf):
     us = F.format_number("p_retailprice", 2)
     uy = F.concat(F.lit("U$S "), F.translate(us, ",.", ".,"))
-    return table(spark, sf, "part").select(
+    return table(spark, sf, "part", spread=True).select(
         "p_partkey",
         prices.parse_price(uy).alias("compat"),
         prices.parse_price(uy, compat=False).alias("plain"),
@@ -70,7 +70,7 @@ def price_direct(spark, sf):
         F.concat(F.lit("Precio: UYU "), (F.col("p_partkey") % 900).cast("string")),
         F.lit("sin precio U$45"),
     )
-    rows = table(spark, sf, "part").select("p_partkey", F.posexplode(kinds).alias("kind", "x"))
+    rows = table(spark, sf, "part", spread=True).select("p_partkey", F.posexplode(kinds).alias("kind", "x"))
     return rows.withColumn("r", prices.direct_price(F.col("x"))).select(
         "p_partkey", "kind", "r.price", "r.currency", "r.confidence"
     )
@@ -96,19 +96,19 @@ _CODES = ["pesos", "US$", "eur", "clp", " u$s ", "", "Dolares", "$"]
 @query("currency_normalize", "SELECT o_orderkey, (['UYU', 'USD', 'EUR', 'CLP', 'USD', NULL, 'USD', 'UYU'])[1 + o_orderkey % 8] AS currency FROM orders")
 def currency_normalize(spark, sf):
     code = F.element_at(F.array(*[F.lit(c) for c in _CODES]), (F.col("o_orderkey") % 8 + 1).cast("int"))
-    return table(spark, sf, "orders").select("o_orderkey", prices.normalize_currency(code).alias("currency"))
+    return table(spark, sf, "orders", spread=True).select("o_orderkey", prices.normalize_currency(code).alias("currency"))
 
 
 @query("currency_correct", "SELECT o_orderkey, (['USD', 'UYU', 'EUR'])[1 + o_orderkey % 3] AS currency FROM orders")
 def currency_correct(spark, sf):
     shown = F.element_at(F.array(F.lit("U$S 10"), F.lit("UY$ 10"), F.lit("10")), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    return table(spark, sf, "orders").select("o_orderkey", prices.correct_currency(F.lit("EUR"), shown).alias("currency"))
+    return table(spark, sf, "orders", spread=True).select("o_orderkey", prices.correct_currency(F.lit("EUR"), shown).alias("currency"))
 
 
 @query("price_coerce", "SELECT o_orderkey, round(o_totalprice, 2) AS from_number, round(o_totalprice, 2) AS from_text, NULL::DOUBLE AS from_word FROM orders")
 def price_coerce(spark, sf):
     shown = F.concat(F.lit("$ "), F.translate(F.format_number("o_totalprice", 2), ",.", ".,"))
-    return table(spark, sf, "orders").select(
+    return table(spark, sf, "orders", spread=True).select(
         "o_orderkey",
         F.round(prices.coerce_price(F.col("o_totalprice").cast("string")), 2).alias("from_number"),
         F.round(prices.coerce_price(shown), 2).alias("from_text"),
@@ -136,7 +136,7 @@ def answer_rows(spark, sf):
         F.lit('{"found": true, "price": 5000000}'),
         F.lit('{"found": tru'),
     )
-    return table(spark, sf, "orders").select("o_orderkey", F.posexplode(kinds).alias("kind", "raw_text"))
+    return table(spark, sf, "orders", spread=True).select("o_orderkey", F.posexplode(kinds).alias("kind", "raw_text"))
 
 
 @query("price_validate", """SELECT o_orderkey, kind, CASE WHEN kind IN (0, 4) THEN round(o_totalprice, 2) END AS price, kind IN (0, 4) AS success,
@@ -165,7 +165,7 @@ def price_catalogue(spark, sf):
         F.lit('{"products": [{"product_name": "item 0", "price": '), F.format_string("%.2f", F.col("o_totalprice")),
         F.lit('}, {"product_name": "item 1", "price": 1.25, "currency": "UYU", "original_text": "U$S 1.250"}]}'),
     )
-    rows = table(spark, sf, "orders").select("o_orderkey", raw.alias("raw_text"), (F.col("o_custkey") % 2 == 0).alias("single"))
+    rows = table(spark, sf, "orders", spread=True).select("o_orderkey", raw.alias("raw_text"), (F.col("o_custkey") % 2 == 0).alias("single"))
     return pricing.catalogue_offers(rows, "single").select(
         "o_orderkey", "single", "product_pos", "product_name", F.round("price_extraction.price", 2).alias("price"), "price_extraction.currency"
     )
@@ -187,7 +187,7 @@ def structured_rows(spark, sf):
         F.array(wrap('{"lowPrice": "0", "price": ', price, "}")),
         F.array(F.lit('{"@type": "BreadcrumbList"}'), F.lit("{bad"), wrap('{"price": "gratis"}'), wrap('{"price": ', price, "}")),
     )
-    return table(spark, sf, "part").select("p_partkey", F.posexplode(kinds).alias("kind", "docs"))
+    return table(spark, sf, "part", spread=True).select("p_partkey", F.posexplode(kinds).alias("kind", "docs"))
 
 
 @query("price_structured", f"""WITH {_LD} SELECT p_partkey, kind, CASE WHEN kind NOT IN (4, 5) THEN price END AS price,
@@ -205,7 +205,7 @@ def price_meta(spark, sf):
 
 def cascade_inputs(spark, sf):
     """One candidate per part; its content decides the price source."""
-    part = table(spark, sf, "part").withColumn("url", F.concat(F.lit("https://shop.example.com.uy/p/"), F.col("p_partkey").cast("string")))
+    part = table(spark, sf, "part", spread=True).withColumn("url", F.concat(F.lit("https://shop.example.com.uy/p/"), F.col("p_partkey").cast("string")))
     price = F.format_string("%.2f", F.col("p_retailprice"))
     kind = F.col("p_partkey") % 8
     candidates = part.select(
@@ -254,8 +254,8 @@ def shop_offers(spark, sf):
     ok = F.col("l_returnflag") != "R"
     good = prices.result(price, F.when(F.col("l_linestatus") == "O", "USD").otherwise("UYU"), F.lit("x"), F.round(1 - F.col("l_discount"), 2))
     return (
-        table(spark, sf, "lineitem")
-        .join(table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+        table(spark, sf, "lineitem", spread=True)
+        .join(table(spark, sf, "part", spread=True).select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
         .select(
             F.col("l_suppkey").alias("query_id"),
             F.concat(F.lit("https://shop.example.com/p/"), F.col("l_partkey").cast("string")).alias("url"),
@@ -280,7 +280,7 @@ def offers_first_per_url(spark, sf):
     IF length(t) > 2 AND t NOT IN ('nuevo', 'oferta', 'original', 'promo', 'promocion', 'envio', 'gratis', 'pack', 'combo')], ' ') AS name FROM part""")
 def offer_names(spark, sf):
     shown = F.concat(F.lit("NUEVO "), F.col("p_name"), F.lit(" (Pack) promoción "), F.col("p_type"))
-    return table(spark, sf, "part").select("p_partkey", text.product_name_key(shown).alias("name"))
+    return table(spark, sf, "part", spread=True).select("p_partkey", text.product_name_key(shown).alias("name"))
 
 
 @query("offers_dedupe")
@@ -327,7 +327,7 @@ def raw_answers(spark, sf):
         F.concat(F.lit('queries = "comprar '), name, F.lit('"')),
         F.lit("nada"),
     )
-    return table(spark, sf, "part").select(F.posexplode(kinds).alias("kind", "raw_text"), "p_partkey").select(
+    return table(spark, sf, "part", spread=True).select(F.posexplode(kinds).alias("kind", "raw_text"), "p_partkey").select(
         (F.col("p_partkey") * 8 + F.col("kind")).alias("id"), "kind",
         F.when(F.col("kind") == 5, F.regexp_extract("raw_text", r'(?s)^\{"s":(".*")\}$', 1)).otherwise(F.col("raw_text")).alias("raw_text"),
     )
@@ -357,13 +357,13 @@ def answers_fields(spark, sf):
         F.lit("sin respuesta"),
         F.concat(F.lit('"page_type": "PRODUCT", "identified_product_name": "'), name, F.lit('", "reasoning": "cort')),
     )
-    rows = table(spark, sf, "part").select("p_partkey", F.posexplode(kinds).alias("kind", "raw_text"))
+    rows = table(spark, sf, "part", spread=True).select("p_partkey", F.posexplode(kinds).alias("kind", "raw_text"))
     return responses.response_fields(rows).select("p_partkey", "kind", "page_type", "identified_product_name")
 
 
 @query("answers_indices", """SELECT l_orderkey AS id, l_linenumber AS index FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 3 = 0 OR l_linenumber IN (1, 3)""")
 def answers_indices(spark, sf):
-    items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("index"))
+    items = table(spark, sf, "lineitem", spread=True).select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("index"))
     raw = F.element_at(F.array(F.lit("???"), F.lit('{"product_url_indices": [1, 3, 99]}'), F.lit("[1, 3]")), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    answers = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), raw.alias("raw_text"))
+    answers = table(spark, sf, "orders", spread=True).select(F.col("o_orderkey").alias("id"), raw.alias("raw_text"))
     return responses.chosen_indices(answers, items)

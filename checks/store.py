@@ -205,7 +205,7 @@ def page_anchors(spark, sf):
 
 def rich_pages(spark, sf):
     """One shop page per part, with the tags the stored pages lack."""
-    part = table(spark, sf, "part")
+    part = table(spark, sf, "part", spread=True)
     name, price, key = F.col("p_name"), F.format_string("%.2f", F.col("p_retailprice")), F.col("p_partkey").cast("string")
     meta = F.concat(
         F.lit('<meta name="description" content="'), name, F.lit('"><meta property="product:price:amount" content="'), price,

@@ -201,7 +201,7 @@ def crawl_reach(spark, sf):
     """Shops link their parts and parts link their shops; seeds are the shops of one country."""
     shop = lambda c: F.concat(F.lit("https://shop.example.com/s/"), F.col(c).cast("string"))
     part = F.concat(F.lit("https://shop.example.com/p/"), F.col("l_partkey").cast("string"))
-    sold = table(spark, sf, "lineitem").select(shop("l_suppkey").alias("s"), part.alias("p")).distinct()
+    sold = table(spark, sf, "lineitem").select(shop("l_suppkey").alias("s"), part.alias("p"))
     edges = sold.select(F.col("s").alias("src"), F.col("p").alias("dst"), F.xxhash64("p").alias("pos")).unionByName(
         sold.select(F.col("p").alias("src"), F.col("s").alias("dst"), F.xxhash64("s").alias("pos"))
     )

@@ -132,15 +132,14 @@ def drop_repeated_segments(url: Column) -> Column:
     """Keep the first of every path segment; a URL without a repeat is returned as it is."""
 
     def rebuilt(u: Column, segments: Column) -> Column:
+        at = F.regexp_extract(u, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?", 0)
+        rest = F.regexp_extract(u, r"(?s)^[^?#]*?((?:/?;[^/?#]*|/)?(?:\?[^#]*)?(?:#.*)?)$", 1)
         return F.concat(
-            F.when(scheme(u) != "", F.concat(scheme(u), F.lit(":"))).otherwise(""),
-            F.when(netloc(u) != "", F.concat(F.lit("//"), netloc(u))).otherwise(""),
+            F.lower(F.regexp_extract(at, r"^[^:/]*:", 0)),
+            F.regexp_extract(at, r"//.*$", 0),
             F.lit("/"),
             F.array_join(F.array_distinct(segments), "/"),
-            F.when(path(u).endswith("/"), "/").otherwise(""),
-            F.regexp_extract(raw_path(u), r";[^/]*$", 0),
-            F.when(query(u) != "", F.concat(F.lit("?"), query(u))).otherwise(""),
-            F.when(fragment(u) != "", F.concat(F.lit("#"), fragment(u))).otherwise(""),
+            F.regexp_replace(rest, r"\?(?=#|$)|#$", ""),
         )
 
     def fix(u: Column) -> Column:

@@ -209,15 +209,20 @@ def dedupe_names(offers: DataFrame, threshold: float = 0.85) -> DataFrame:
 
     Equal names always share a leader, so only distinct names are compared.
     """
-    keyed = offers.withColumn("name", product_name_key(F.col("product_name"))).withColumn("pos", F.col("pos").cast("bigint"))
+    # offers end a long job and are read several times below, so they are written once
+    keyed = cut_lineage(
+        offers.withColumn("name", product_name_key(F.col("product_name"))).withColumn("pos", F.col("pos").cast("bigint"))
+    )
     named = keyed.filter(F.col("name") != "")
     distinct = cut_lineage(named.groupBy("query_id", "name").agg(F.min("pos").alias("pos")))
     leaders = name_leaders(distinct, threshold).join(distinct, ["query_id", "pos"]).select("query_id", "name", "leader")
-    members = named.join(leaders, ["query_id", "name"]).select(
-        "query_id", "leader", "pos",
-        F.col("price_extraction.price").alias("price"),
-        F.col("price_extraction.currency").alias("currency"),
-        F.col("price_extraction.confidence").alias("confidence"),
+    members = cut_lineage(
+        named.join(leaders, ["query_id", "name"]).select(
+            "query_id", "leader", "pos",
+            F.col("price_extraction.price").alias("price"),
+            F.col("price_extraction.currency").alias("currency"),
+            F.col("price_extraction.confidence").alias("confidence"),
+        )
     )
     winners = cluster_winners(members)
     kept = winners.select("query_id", F.col("winner").alias("pos"), "leader").unionByName(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pricelake.functions import geo, rules, urls
+from pricelake.functions.expr import let
 from pricelake.operators.urltable import keep_first
 
 
@@ -54,24 +55,29 @@ def expandable_links(categories: DataFrame, edges: DataFrame) -> DataFrame:
     ``categories(query_id, url, pos, terms)``, ``edges(src, dst, pos)``. Row filters come before both
     dedupes where they cannot change the result.
     """
-    pages = categories.select("query_id", F.col("url").alias("src"), F.col("pos").alias("src_pos"), "terms")
-    market = urls.netloc(F.col("src")).contains(rules.MARKETPLACE_DOMAIN)
-    here = F.when(
-        market, F.lower(urls.netloc(F.col("dst"))).isin(rules.MARKETPLACE_LINK_HOSTS)
-    ).otherwise(urls.same_domain(F.col("src"), F.col("dst")))
-    links = (
-        pages.join(edges, "src")
-        .filter(here)
-        .withColumn("link", urls.drop_repeated_segments(F.col("dst")))
-        .withColumn("src_host", urls.netloc(F.col("src")))
-    )
-    product = F.when(urls.is_marketplace_listing(F.col("src")), urls.is_marketplace_product(F.col("link"))).otherwise(
-        urls.is_product_url(F.col("link"), F.col("terms"))
+    # everything about the category page is settled before the join
+    pages = categories.select(
+        "query_id", F.col("url").alias("src"), F.col("pos").alias("src_pos"), "terms",
+        urls.netloc(F.col("url")).alias("src_host"), urls.is_marketplace_listing(F.col("url")).alias("listing"),
+    ).withColumn("market", F.col("src_host").contains(rules.MARKETPLACE_DOMAIN))
+    here = lambda n: F.when(F.col("market"), F.lower(n).isin(rules.MARKETPLACE_LINK_HOSTS)).otherwise(
+        (n != "") & (n == F.col("src_host"))
     )
-    kept = links.filter(product & urls.matches_query(F.col("link"), F.col("terms")))
-    return keep_first(
-        kept.select("query_id", "src_host", "src", "src_pos", "pos", "link"), ["query_id", "src", "link"], "pos"
+
+    def wanted(link: Column) -> Column:
+        product = F.when(F.col("listing"), urls.is_marketplace_product(link)).otherwise(
+            urls.is_product_url(link, F.col("terms"))
+        )
+        keep = product & urls.matches_query(link, F.col("terms"))
+        return F.when(keep, F.array(link)).otherwise(F.array().cast("array<string>"))
+
+    local = pages.join(edges, "src").filter(let(urls.netloc(F.col("dst")), here))
+    # exploding none or one link filters and computes it in one go
+    kept = local.select(
+        "query_id", "src_host", "src", "src_pos", "pos",
+        F.explode(let(urls.drop_repeated_segments(F.col("dst")), wanted)).alias("link"),
     )
+    return keep_first(kept, ["query_id", "src", "link"], "pos")
 
 
 def expand_categories(

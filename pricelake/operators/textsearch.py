@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pricelake.functions.text import positioned_tokens
+from pricelake.session import small_side
 
 
 def page_text() -> Column:
@@ -70,14 +71,14 @@ def all_term_candidates(queries: DataFrame, vectors: DataFrame, doc_id: str) ->
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("docs"))
     )
-    rarest = (
+    rarest = small_side(
         by_term.join(counts, "term")
         .groupBy("query_id", "terms")
         .agg(F.min_by("term", F.struct("docs", "term")).alias("term"), F.count(F.lit(1)).alias("known"))
         .filter(F.col("known") == F.size("terms"))
         .select("query_id", "terms", "term")
     )
-    holders = pairs.join(rarest, "term").select("query_id", "terms", doc_id)
+    holders = small_side(pairs.join(rarest, "term").select("query_id", "terms", doc_id))
     return (
         vectors.select(doc_id, "tokens")
         .join(holders, doc_id)
@@ -87,7 +88,9 @@ def all_term_candidates(queries: DataFrame, vectors: DataFrame, doc_id: str) ->
 
 
 def term_frequency_rank() -> Column:
-    return F.size(F.filter("tokens", lambda t: F.array_contains(F.col("terms"), t))).cast("double")
+    """Occurrences of the query terms; each term costs one pass over the row's tokens."""
+    hits = lambda t: F.size("tokens") - F.size(F.array_remove("tokens", t))
+    return F.aggregate("terms", F.lit(0), lambda total, t: total + hits(t)).cast("double")
 
 
 @F.pandas_udf(T.DoubleType())

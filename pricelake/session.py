@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Spark 4 reads the checkpoint folder from this key; a cluster sets it to shared storage.
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -55,3 +56,12 @@ def collect_bounded(df: DataFrame, limit: int) -> list | None:
     """
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
+
+
+def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Side of a join, pinned and counted: broadcast while it has at most ``max_rows`` narrow rows.
+
+    A larger side is returned as it is, and the join shuffles.
+    """
+    pinned = cut_lineage(df)
+    return F.broadcast(pinned) if pinned.count() <= max_rows else pinned
