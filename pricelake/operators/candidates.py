@@ -87,17 +87,19 @@ def host_cap(candidates: DataFrame, cap: int = 10, url: str = "url", pos: str =
 def filter_funnel(candidates: DataFrame, cap: int = 10) -> DataFrame:
     """Rows kept after each stage and total reduction in percent."""
     tagged = tag_filters(candidates)
-    first = tagged.agg(
+    early = tagged.agg(
         F.count(F.lit(1)).alias("initial"),
         F.count_if(~F.col("blocked_domain")).alias("after_blocklist"),
         F.count_if(~F.col("blocked_domain") & ~F.col("excluded")).alias("after_patterns"),
+        F.lit(0).cast("bigint").alias("final"),
     )
-    final = host_cap(pattern_filter(candidates), cap).agg(F.count(F.lit(1)).alias("final"))
-    # both sides are one-row totals
-    return first.withColumn("__k", F.lit(1)).join(final.withColumn("__k", F.lit(1)), "__k").drop("__k").withColumn(
-        "reduction_pct",
-        F.when(F.col("initial") > 0, F.round((F.col("initial") - F.col("final")) / F.col("initial") * 100, 2)).otherwise(0.0),
+    zero = F.lit(0).cast("bigint")
+    late = host_cap(pattern_filter(candidates), cap).agg(
+        zero.alias("initial"), zero.alias("after_blocklist"), zero.alias("after_patterns"), F.count(F.lit(1)).alias("final")
     )
+    total = early.unionByName(late).agg(*[F.sum(c).alias(c) for c in early.columns])
+    cut = F.round((F.col("initial") - F.col("final")) / F.col("initial") * 100, 2)
+    return total.withColumn("reduction_pct", F.when(F.col("initial") > 0, cut).otherwise(0.0))
 
 
 def enhance_queries(queries: DataFrame) -> DataFrame:

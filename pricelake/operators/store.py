@@ -107,18 +107,20 @@ def clear_table(pages: DataFrame, location: str) -> None:
     pages.limit(0).write.mode("overwrite").parquet(location)
 
 
-def expired(pages: DataFrame, as_of: datetime | Column, days: int = 30, ts: str = "crawled_at") -> Column:
+def _cutoff(as_of: datetime | Column, days: int) -> Column:
     moment = as_of if isinstance(as_of, Column) else F.lit(as_of)
-    return F.col(ts) < moment - F.expr(f"INTERVAL {int(days)} DAYS")
+    return moment - F.expr(f"INTERVAL {int(days)} DAYS")
 
 
 def retain_pages(pages: DataFrame, as_of: datetime | Column, days: int = 30, ts: str = "crawled_at") -> DataFrame:
-    """Rows that survive; with a table partitioned by crawl date only border folders are rewritten."""
-    return pages.filter(~F.coalesce(expired(pages, as_of, days, ts), F.lit(False)))
+    """Rows that survive. A plain comparison, so it reaches the scan; with a table partitioned by crawl
+    date only border folders are rewritten.
+    """
+    return pages.filter((F.col(ts) >= _cutoff(as_of, days)) | F.col(ts).isNull())
 
 
 def retention_counts(pages: DataFrame, as_of: datetime | Column, days: int = 30, ts: str = "crawled_at") -> DataFrame:
-    gone = F.coalesce(expired(pages, as_of, days, ts), F.lit(False))
+    gone = F.coalesce(F.col(ts) < _cutoff(as_of, days), F.lit(False))
     return pages.agg(F.count_if(gone).alias("deleted"), F.count_if(~gone).alias("kept"))
 
 

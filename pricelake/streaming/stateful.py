@@ -30,7 +30,7 @@ class _Alert(StatefulProcessor):
         self.handle = handle
         self.run = handle.getValueState("run", "start timestamp, last timestamp, firing boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("eval_ts")
         held = self.run.get() if self.run.exists() else None
         start, last, firing = (pd.Timestamp(held[0]), pd.Timestamp(held[1]), held[2]) if held else (None, None, False)
@@ -63,7 +63,7 @@ class _Alert(StatefulProcessor):
         if out:
             yield pd.DataFrame(out, columns=["alert", "series", "state", "at"])
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """No evaluation came within one step: the run is over."""
         if self.run.exists():
             _, last, firing = self.run.get()
@@ -107,7 +107,7 @@ class _Breaker(StatefulProcessor):
         self.handle = handle
         self.opened = handle.getValueState("opened", "since timestamp")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("ts")
         since = pd.Timestamp(self.opened.get()[0]) if self.opened.exists() else None
         out = []
@@ -132,7 +132,7 @@ class _Breaker(StatefulProcessor):
         if out:
             yield pd.DataFrame(out, columns=["engine", "state", "at"])
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.opened.exists():
             (since,) = self.opened.get()
             self.opened.clear()
