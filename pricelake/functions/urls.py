@@ -109,7 +109,7 @@ def is_web_url(url: Column) -> Column:
 
 def normalize(url: Column, drop_query: bool = False, keep_tracking: bool = False) -> Column:
     """Key for duplicate detection: lower case, no ``www.``, no trailing slash, no fragment."""
-    low = F.lower(F.regexp_replace(url, r"(?U)^\s+|\s+$", ""))
+    low = F.lower(F.btrim(url, F.lit(" \t\r\n\f\v\u00a0")))
     base = F.regexp_replace(low, r"(?s)[?#].*$", "")
     base = F.regexp_replace(base, r"^(?:([a-z][a-z0-9+.\-]*):)?(?://(?:www\.)?)?", "$1://")
     base = F.regexp_replace(base, r"/*(?:;[^/]*)?$", "")

@@ -37,6 +37,8 @@ def _kernel(query_ids: list, matrix: np.ndarray, k: int, max_distance: float | N
                 held = best.get(j)
                 if held is not None and len(held) == k:
                     ok &= d <= held[-1][0]
+                if np.count_nonzero(ok) > k:
+                    ok &= d <= np.partition(d[ok], k - 1)[k - 1]
                 pairs = list(zip(d[ok].tolist(), ids[ok].tolist()))
                 if pairs:
                     best[j] = sorted((held or []) + pairs)[:k]

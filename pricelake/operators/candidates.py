@@ -76,8 +76,9 @@ def host_cap(candidates: DataFrame, cap: int = 10, url: str = "url", pos: str =
     Both steps cut inside each task before their shuffle: the first is an aggregation, the second a
     top-n per key, so a host that holds a third of all rows sends ``tasks * cap`` rows at most.
     """
+    # the key is scheme://host/path with the canonical host as its third part
     keyed = candidates.withColumn("dedupe_key", urls.normalize(F.col(url), drop_query=True)).withColumn(
-        "host", urls.host(F.col(url))
+        "host", F.split_part("dedupe_key", F.lit("/"), F.lit(3))
     )
     first = keep_first(keyed, ["query_id", "host", "dedupe_key"], F.struct(pos, url))
     order = Window.partitionBy("query_id", "host").orderBy(pos, url)

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from pricelake.functions import html as html_helper
 from pricelake.functions import rules, text, urls
+from pricelake.functions.expr import let
 from pricelake.operators.urltable import keep_first
 
 _HITS = "array<struct<stage: int, title: string, url: string, description: string>>"
@@ -59,18 +60,27 @@ def parse_result_pages(serp_pages: DataFrame) -> DataFrame:
     parsed = serp_pages.select("query_id", "engine", "html").mapInPandas(
         run, f"query_id {kind}, engine string, hits {_HITS}, text string"
     )
-    clean = F.transform("hits", lambda h: h.withField("url", urls.sanitize(h["url"])))
-    usable = parsed.withColumn("hits", F.filter(clean, lambda h: h["url"].isNotNull()))
-    # the first stage that yields anything wins
-    best = F.array_min(F.transform("hits", lambda h: h["stage"]))
-    chosen = usable.withColumn("best", best).withColumn(
-        "hits", F.slice(F.filter("hits", lambda h: h["stage"] == F.col("best")), 1, 20)
+    clean = F.filter(
+        F.transform("hits", lambda h: h.withField("url", urls.sanitize(h["url"]))), lambda h: h["url"].isNotNull()
     )
-    blocks = chosen.filter(F.size("hits") > 0).select("query_id", "engine", F.posexplode("hits").alias("pos", "h"))
-    fallback = text_hits(chosen.filter((F.size("hits") == 0) & F.col("text").isNotNull()), "text")
-    columns = ["query_id", "engine", "pos", "title", "url", "description"]
-    return blocks.select("query_id", "engine", "pos", "h.title", "h.url", "h.description").unionByName(
-        fallback.select(*columns)
+    found = parsed.withColumn("found", let(clean, _best_stage))
+    hits = F.when(F.size("found") > 0, F.col("found")).when(F.col("text").isNotNull(), _text_hits(F.col("text")))
+    return _hit_rows(found, hits, ["query_id", "engine"])
+
+
+def _best_stage(hits: Column) -> Column:
+    """Hits of the first stage that yields anything, at most 20."""
+    first = F.array_min(F.transform(hits, lambda h: h["stage"]))
+    plain = lambda h: F.struct(h["title"].alias("title"), h["url"].alias("url"), h["description"].alias("description"))
+    return F.transform(F.slice(F.filter(hits, lambda h: h["stage"] == first), 1, 20), plain)
+
+
+def _hit_rows(pages: DataFrame, hits: Column, carried: list[str]) -> DataFrame:
+    # outer, so that no filter on the hits is inferred below and evaluates them twice
+    return (
+        pages.select(*carried, F.posexplode_outer(hits).alias("pos", "h"))
+        .filter(F.col("h").isNotNull())
+        .select(*carried, "pos", "h.title", "h.url", "h.description")
     )
 
 
@@ -104,19 +114,34 @@ def _first_per_url(hits: Column) -> Column:
 
 def text_hits(pages: DataFrame, column: str) -> DataFrame:
     """Title and URL pairs from plain text (at most 15), else bare URLs titled by domain (at most 10)."""
-    body = F.col(column)
+    carried = [c for c in ("query_id", "engine") if c in pages.columns]
+    return _hit_rows(pages, _text_hits(F.col(column)), carried)
+
+
+def _text_hits(text: Column) -> Column:
+    lines = F.filter(F.split(text, "\n"), lambda l: ~l.rlike(r"(?U)^\s*$"))
+    return let(let(lines, _near_urls), lambda body: let(_titled_hits(body), lambda t: F.when(F.size(t) > 0, t).otherwise(_bare_hits(body))))
+
+
+def _near_urls(lines: Column) -> Column:
+    """Lines with a URL or right before one. The others cannot match, and would cost time squared in
+    their length.
+    """
+    before = lambda i: F.coalesce(F.get(lines, i + 1).rlike(r"(?U)^\s*https?://"), F.lit(False))
+    return F.array_join(F.filter(lines, lambda l, i: l.contains("http") | before(i)), "\n")
+
+
+def _titled_hits(body: Column) -> Column:
     pairs = []
     for pattern in _TEXT_PATTERNS:
-        a = F.regexp_extract_all(body, F.lit(pattern), 1)
-        b = F.regexp_extract_all(body, F.lit(pattern), 2)
-        pairs.append(
-            F.transform(
-                F.arrays_zip(a.alias("a"), b.alias("b")),
-                lambda p: F.when(
-                    p["b"].contains("http"), F.struct(p["a"].alias("title"), p["b"].alias("url"))
-                ).otherwise(F.struct(p["b"].alias("title"), p["a"].alias("url"))),
-            )
+        zipped = F.zip_with(
+            F.regexp_extract_all(body, F.lit(pattern), 1),
+            F.regexp_extract_all(body, F.lit(pattern), 2),
+            lambda a, b: F.when(b.contains("http"), F.struct(a.alias("title"), b.alias("url"))).otherwise(
+                F.struct(b.alias("title"), a.alias("url"))
+            ),
         )
+        pairs.append(zipped)
     named = F.filter(F.concat(*pairs), lambda h: h["url"].startswith("http"))
     cleaned = F.transform(
         named,
@@ -128,31 +153,23 @@ def text_hits(pages: DataFrame, column: str) -> DataFrame:
         cleaned,
         lambda h: h["url"].isNotNull() & (F.length(h["title"]) >= 3) & ~F.lower(h["title"]).rlike(_SKIP_TITLES),
     )
-    titled = F.transform(
-        F.slice(_first_per_url(kept), 1, 15),
-        lambda h: F.struct(
-            F.left(h["title"], F.lit(100)).alias("title"), h["url"].alias("url"), F.lit(None).cast("string").alias("description")
-        ),
-    )
-    bare = F.transform(
-        F.slice(F.array_distinct(F.regexp_extract_all(body, F.lit(_BARE_URL), 1)), 1, 10),
-        lambda u: urls.sanitize(_drop_tracking(u)),
-    )
+    none = F.lit(None).cast("string")
+    shaped = lambda h: F.struct(F.left(h["title"], F.lit(100)).alias("title"), h["url"].alias("url"), none.alias("description"))
+    return let(kept, lambda k: F.transform(F.slice(_first_per_url(k), 1, 15), shaped))
+
+
+def _bare_hits(body: Column) -> Column:
+    found = F.slice(F.array_distinct(F.regexp_extract_all(body, F.lit(_BARE_URL), 1)), 1, 10)
+    clean = F.filter(F.transform(found, lambda u: urls.sanitize(_drop_tracking(u))), lambda u: u.isNotNull())
     domain = lambda u: F.replace(urls.netloc(u), F.lit("www."), F.lit(""))
-    plain = F.transform(
-        F.array_distinct(F.filter(bare, lambda u: u.isNotNull())),
+    return F.transform(
+        F.array_distinct(clean),
         lambda u: F.struct(
             F.initcap(F.substring_index(domain(u), ".", 1)).alias("title"),
             u.alias("url"),
             F.concat(F.lit("Product search result from "), domain(u)).alias("description"),
         ),
     )
-    rows = pages.withColumn("__titled", titled)
-    hits = F.when(F.size("__titled") > 0, F.col("__titled")).otherwise(plain)
-    carried = [c for c in ("query_id", "engine") if c in pages.columns]
-    return rows.select(*carried, F.posexplode(hits).alias("pos", "h")).select(
-        *carried, "pos", "h.title", "h.url", "h.description"
-    )
 
 
 def flag_blocked(pages: DataFrame, html: str = "html") -> DataFrame:

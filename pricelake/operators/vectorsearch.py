@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,14 +48,10 @@ def semantic_search(
 
 
 def label_centroids(table: DataFrame, label: str, vec_col: str) -> DataFrame:
-    """Mean vector per label as query rows; sums combine before the shuffle."""
-    return (
-        table.select(label, F.posexplode(vec_col).alias("i", "x"))
-        .groupBy(label, "i")
-        .agg(F.avg(F.col("x").cast("double")).alias("m"))
-        .groupBy(label)
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("vector"))
-        .select(F.col(label).cast("string").alias("query_id"), "vector")
+    """Mean vector per label as query rows; whole vectors are summed before the shuffle."""
+    vectors = table.select(label, array_to_vector(F.transform(vec_col, lambda x: x.cast("double"))).alias("v"))
+    return vectors.groupBy(label).agg(Summarizer.mean(F.col("v")).alias("m")).select(
+        F.col(label).cast("string").alias("query_id"), vector_to_array("m").alias("vector")
     )
 
 

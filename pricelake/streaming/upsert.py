@@ -1,52 +1,62 @@
-"""Continuous page upsert."""
+"""Continuous page upsert: cheap appends per micro-batch, merged on read, folded by a batch job."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from pricelake.operators.store import upsert_pages
 
 
+def create_table(pages: DataFrame, table: str) -> None:
+    pages.write.mode("errorifexists").parquet(f"{table}/base/upto=none")
+
 
-def start_upsert(
-    stream: DataFrame, table: str, checkpoint: str, fetched_at: str = "fetched_at", **trigger
-) -> StreamingQuery:
-    """Merge every micro-batch into a page table of versions ``<table>/v=<batch>``.
+def start_upsert(stream: DataFrame, table: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Land every micro-batch of page versions under ``<table>/changes/batch=<id>``.
 
-    Each batch writes a new version from the one before it, so a repeated batch overwrites its own
-    output and the merge stays exact. Readers take the newest finished version.
+    A repeated batch overwrites its own folder, so the table stays exact; the cost of a batch does not
+    depend on the size of the table.
     """
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        base = current(batch.sparkSession, table, before=batch_id)
-        if base is None:
-            raise ValueError("create the table first with create_table")
-        upsert_pages(base, batch, fetched_at).write.mode("overwrite").parquet(f"{table}/v={batch_id:012d}")
+    def land(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/changes/batch={batch_id:012d}")
 
-    writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def create_table(pages: DataFrame, table: str) -> None:
-    pages.write.mode("errorifexists").parquet(f"{table}/v=init")
+def current(spark: SparkSession, table: str, fetched_at: str = "fetched_at") -> DataFrame:
+    """Pages as of the last landed batch: newest base merged with the changes after it."""
+    upto = _newest_base(spark, table)
+    base = spark.read.parquet(f"{table}/base/upto={upto}")
+    fresh = [b for b in _finished(spark, f"{table}/changes", "batch=") if upto == "none" or b > upto]
+    if not fresh:
+        return base
+    changes = reduce(DataFrame.unionByName, [spark.read.parquet(f"{table}/changes/batch={b}") for b in fresh])
+    return upsert_pages(base, changes, fetched_at)
+
+
+def compact(spark: SparkSession, table: str, fetched_at: str = "fetched_at") -> None:
+    """Fold all landed changes into a new base; readers switch when it is complete."""
+    batches = _finished(spark, f"{table}/changes", "batch=")
+    if batches and max(batches) != _newest_base(spark, table):
+        current(spark, table, fetched_at).write.mode("overwrite").parquet(f"{table}/base/upto={max(batches)}")
+
+
+def _newest_base(spark: SparkSession, table: str) -> str:
+    done = [v for v in _finished(spark, f"{table}/base", "upto=") if v != "none"]
+    return max(done) if done else "none"
 
 
-def _versions(spark: SparkSession, table: str) -> list[str]:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(table)
+def _finished(spark: SparkSession, folder: str, prefix: str) -> list[str]:
+    """Names of the completely written subfolders."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    where = path_of(folder)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = []
-    for status in fs.listStatus(where):
-        name = status.getPath().getName()
-        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("v=") and fs.exists(done):
-            found.append(name[2:])
-    return found
-
-
-def current(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
-    """Newest finished version, or the newest one before a batch."""
-    numbers = [v for v in _versions(spark, table) if v != "init" and (before is None or int(v) < before)]
-    name = max(numbers) if numbers else "init"
-    return spark.read.parquet(f"{table}/v={name}")
+    if not fs.exists(where):
+        return []
+    names = [s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith(prefix)]
+    return [p.getName()[len(prefix):] for p in names if fs.exists(path_of(p, "_SUCCESS"))]

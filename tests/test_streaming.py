@@ -87,7 +87,10 @@ def test_upsert_stream(spark, tmp_path):
     query = upsert.start_upsert(stream_of(spark, rows, str(tmp_path / "in"), order="fetched_at"), table, str(tmp_path / "c"))
     query.awaitTermination(180)
     assert query.exception() is None
-    got = {tuple(r) for r in upsert.current(spark, table).collect()}
+    columns = ["url", "title", "full_text", "crawled_at", "last_updated"]
+    got = {tuple(r) for r in upsert.current(spark, table).select(columns).collect()}
+    upsert.compact(spark, table)
+    assert {tuple(r) for r in upsert.current(spark, table).select(columns).collect()} == got
     want = {tuple(r) for r in store.upsert_pages(empty, rows).select("url", "title", "full_text", "crawled_at", "last_updated").collect()}
     assert got == want
 
