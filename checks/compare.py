@@ -38,9 +38,12 @@ def rows_of(columns: list[str], rows) -> list[tuple]:
     return sorted(tuple(_cell(r[i]) for i in order) for r in rows)
 
 
-def check(spark, con, sf_dir: str, name: str) -> tuple[bool, str]:
+def check(spark, con, sf_dir: str, name: str, inspect=None) -> tuple[bool, str]:
+    """Run one query and compare it; ``inspect`` may look at the DataFrame before it runs."""
     begin = time.time()
     df = QUERIES[name](spark, sf_dir)
+    if inspect is not None:
+        inspect(df)
     got = rows_of(df.columns, df.collect())
     took = f"{time.time() - begin:.1f}s"
     if name not in ORACLES:

@@ -9,9 +9,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+# bounds the distance matrix of one batch to batch rows * 256
+_QUERY_BLOCK = 256
+
+
 def _kernel(query_ids: list, matrix: np.ndarray, k: int, max_distance: float | None, id_type: pa.DataType, probes: dict | None):
     unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
+    def closest(d, ids, held, cells, wanted):
+        """Best ``k`` of the rows held so far and one batch."""
+        ok = ~np.isnan(d)
+        if max_distance is not None:
+            ok &= d < max_distance
+        if cells is not None:
+            ok &= np.isin(cells, wanted)
+        if len(held) == k:
+            ok &= d <= held[-1][0]
+        if np.count_nonzero(ok) > k:
+            ok &= d <= np.partition(d[ok], k - 1)[k - 1]
+        return sorted(held + list(zip(d[ok].tolist(), ids[ok].tolist())))[:k]
+
     def run(batches):
         best: dict = {}
         for batch in batches:
@@ -25,23 +42,15 @@ def _kernel(query_ids: list, matrix: np.ndarray, k: int, max_distance: float | N
             rows = flat.reshape(batch.num_rows, -1)
             norms = np.linalg.norm(rows, axis=1)
             ids = np.array(batch.column("id").to_pylist(), dtype=object)
-            distance = np.round(1.0 - (rows @ unit.T) / np.where(norms == 0, np.nan, norms)[:, None], 9)
             cells = batch.column("cell").to_numpy(zero_copy_only=False) if probes is not None else None
-            for j, qid in enumerate(query_ids):
-                d = distance[:, j]
-                ok = ~np.isnan(d)
-                if max_distance is not None:
-                    ok &= d < max_distance
-                if cells is not None:
-                    ok &= np.isin(cells, probes[qid])
-                held = best.get(j)
-                if held is not None and len(held) == k:
-                    ok &= d <= held[-1][0]
-                if np.count_nonzero(ok) > k:
-                    ok &= d <= np.partition(d[ok], k - 1)[k - 1]
-                pairs = list(zip(d[ok].tolist(), ids[ok].tolist()))
-                if pairs:
-                    best[j] = sorted((held or []) + pairs)[:k]
+            length = np.where(norms == 0, np.nan, norms)[:, None]
+            for first in range(0, len(query_ids), _QUERY_BLOCK):
+                block = unit[first : first + _QUERY_BLOCK]
+                distance = np.round(1.0 - (rows @ block.T) / length, 9)
+                for j in range(first, first + len(block)):
+                    found = closest(distance[:, j - first], ids, best.get(j, []), cells, probes and probes[query_ids[j]])
+                    if found:
+                        best[j] = found
         out = [(query_ids[j], i, d) for j, held in best.items() for d, i in held]
         if out:
             yield pa.RecordBatch.from_arrays(

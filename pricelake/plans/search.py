@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pricelake.functions import urls
 from pricelake.operators import candidates as cand
 from pricelake.operators import geography, offers, pagetypes, pricing, relevance
+from pricelake.session import cut_lineage
 
 
 def best_pages(candidates: DataFrame, per_host: int = 10, top: int = 10, min_relevance: float = 0.2) -> DataFrame:
@@ -31,7 +32,8 @@ def typed_candidates(
     local = geography.validate(
         capped.join(queries.select("query_id", "query", "country", "city"), "query_id"), decisions, as_of, mode
     ).filter(F.col("geo_status") == "true")
-    typed = pagetypes.drop_errors(pagetypes.page_type(local, "country"))
+    # capped per host, so small next to the hits, and read twice below
+    typed = cut_lineage(pagetypes.drop_errors(pagetypes.page_type(local, "country")))
     terms = typed.withColumn("terms", F.split("query", r"\s+"))
     categories = terms.filter(F.col("page_type") == "CATEGORY").select("query_id", "url", "pos", "terms")
     grown = pagetypes.merge_expanded(

@@ -26,14 +26,6 @@ def test_native_plans(spark, name):
         assert banned not in plan, banned
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_row_python_and_no_cross_join(spark, name):
-    if name in ("page_batches", "crawl_reach", "offers_dedupe", "offers_ranked", "offers_ranked_base", "search_offers", "search_summaries", "semantic_cells"):
-        pytest.skip("runs jobs while it is built; its parts are covered by the others")
-    plan = plan_of(QUERIES[name](spark, SMALL))
-    assert "BatchEvalPython" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-
-
 def test_caps_cut_before_the_shuffle(spark):
     for name in ("host_cap", "result_budget", "relevance_gate", "category_expansion"):
         assert "WindowGroupLimit" in plan_of(QUERIES[name](spark, SMALL)), name
