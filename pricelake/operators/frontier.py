@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelake.functions import urls
-from pricelake.session import cut_lineage
+from pricelake.session import SMALL_SIDE_ROWS, cut_lineage
 
 
 def allowed_domains(table: DataFrame, domains: list[str], url: str = "url") -> DataFrame:
@@ -64,13 +64,16 @@ def crawl_frontier(
         if depth == max_depth or (max_pages is not None and used >= max_pages):
             break
         # order of the next level: order of the parent, then of the link on its page
+        # level sizes are known here, so the small side is never guessed
+        near = level.select(F.col("url").alias("src"), F.col("pos").alias("src_pos"))
+        known = visited.select("url")
         reach = (
-            level.select(F.col("url").alias("src"), F.col("pos").alias("src_pos"))
+            (F.broadcast(near) if size <= SMALL_SIDE_ROWS else near)
             .join(edges, "src")
             .groupBy(F.col("dst").alias("url"))
             .agg(F.min(F.struct("src_pos", "pos", "src")).alias("first"))
         )
-        fresh = admitted(reach.join(visited.select("url"), "url", "left_anti"))
+        fresh = admitted(reach.join(F.broadcast(known) if used <= SMALL_SIDE_ROWS else known, "url", "left_anti"))
         level = fresh.select(
             "url",
             F.concat("first.src_pos", F.array(F.col("first.pos").cast("bigint"))).alias("pos"),

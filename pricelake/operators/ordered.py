@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pricelake.session import cut_lineage
+from pricelake.session import cut_lineage, small_side
 
 _CHUNK = "__chunk"
 
@@ -121,7 +121,8 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str = "rank")
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     if not keys:  # one row per partition
         before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    # counted before it is broadcast: rows are keys plus partitions
+    offsets = small_side(sizes.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n"))
     return (
         pinned.join(offsets, [*keys, "__part"])
         .withColumn(name, F.col("__off") + F.col("__id") - F.col("__first") + 1)

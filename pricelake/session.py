@@ -58,7 +58,10 @@ def collect_bounded(df: DataFrame, limit: int) -> list | None:
     return rows if len(rows) <= limit else None
 
 
-def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+SMALL_SIDE_ROWS = 200_000
+
+
+def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
     """Side of a join, pinned and counted: broadcast while it has at most ``max_rows`` narrow rows.
 
     A larger side is returned as it is, and the join shuffles.
