@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +33,11 @@ def build_session(master: str = "local[8]", app: str = "pricelake", shuffle: int
     return session
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by the session.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that the driver and all executors reach: the one the session names in ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session names none (tests).
+    A folder of our own is made only in local mode, where the session names none (tests).
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get(CHECKPOINT_KEY, None)
@@ -46,9 +46,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
             shared = tempfile.mkdtemp(prefix="pricelake-ckpt-")
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Python workers need the package; executors get it as one zip, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="pricelake-"), "pricelake.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, files in os.walk(os.path.join(root, "pricelake")):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(app)
+
+
 def collect_bounded(df: DataFrame, limit: int) -> list | None:
     """Rows of ``df`` when there are at most ``limit`` of them, else ``None``.
 
