@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelake.llm import mixing, sharding
+from pricelake.llm import mixing, sharding, simhash, tokenfiles
 from pricelake.llm.common import table
 
 
@@ -17,11 +17,24 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component."""
+    near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return near.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, from the files they were written to."""
+    import public_tokenizers
+
+    return tokenfiles.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words in the mix."""
     rates = mixing.mix_rates(table(spark, sf_dir, "documents"))
     return rates.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"))
 
 
-QUERIES = {"op4_sharding": op4_sharding, "op10_mixing": op10_mixing}
+QUERIES = {"op4_sharding": op4_sharding, "op8_simhash": op8_simhash, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing}
 ORACLES = {"op10_mixing": mixing.SQL}
