@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelake.llm import mixing, sharding, simhash, tokenfiles
+from pricelake.llm import decontaminate, mixing, sharding, simhash, tokenfiles, warc
 from pricelake.llm.common import table
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from the archives."""
+    archives = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(archives, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+m AS (SELECT payload_digest, max(page_id) AS first FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT d.*, CASE WHEN m.first <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN m.first <> d.page_id THEN m.first END AS refers_to
+FROM d LEFT JOIN m USING (payload_digest)
+"""
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and slot, near equal in bytes, copies together as far as quotas allow."""
     placed = sharding.sharded(table(spark, sf_dir, "documents"), 24)
@@ -17,6 +33,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that stands in a document, with its place and distance."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component."""
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -36,5 +57,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"))
 
 
-QUERIES = {"op4_sharding": op4_sharding, "op8_simhash": op8_simhash, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing}
-ORACLES = {"op10_mixing": mixing.SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_warc, op4_sharding, op7_decontamination, op8_simhash, op9_token_files, op10_mixing)
+}
+ORACLES = {"op2_warc": OP2_SQL, "op10_mixing": mixing.SQL}
