@@ -84,8 +84,3 @@ def file_system(address: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(address if "://" in address or address.startswith("file:") else f"file://{address}")
-
-
-def fixed_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """Rows known when the plan is built, few by a parameter's bound."""
-    return spark.createDataFrame(rows, schema)

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelake.llm import decontaminate, mixing, sharding, simhash, tokenfiles, warc
+from pricelake.llm import decontaminate, licenses, mixing, quality, sharding, simhash, tokenfiles, warc
 from pricelake.llm.common import table
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's license phrases and notices."""
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, read back from the archives."""
     archives = warc.write_archives(table(spark, sf_dir, "pages"))
@@ -33,6 +38,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and verdict."""
+    return quality.verdicts(table(spark, sf_dir, "documents")).drop("d2")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that stands in a document, with its place and distance."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -59,6 +69,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_warc, op4_sharding, op7_decontamination, op8_simhash, op9_token_files, op10_mixing)
+    for f in (op1_licenses, op2_warc, op4_sharding, op5_quality, op7_decontamination, op8_simhash, op9_token_files, op10_mixing)
 }
 ORACLES = {"op2_warc": OP2_SQL, "op10_mixing": mixing.SQL}
