@@ -17,6 +17,7 @@ ids or rows: each is a document, ties in any order. Empty table: no file, no row
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
@@ -31,7 +32,8 @@ from pricelake.session import cut_lineage
 
 END_ID = 0
 SAMPLE = 512
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_000_000  # some 200 MB in a Python worker
+LEARN_WORDS = 1000
 SLICE_DOCS = 4096
 READ_IDS = 4_000_000
 TRAILER = struct.Struct("<8sQQQqBBB5x")
@@ -102,6 +104,7 @@ class WordEncoder:
         import numpy as np
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel units
         self.np, self.tokenizer = np, Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
@@ -135,9 +138,10 @@ class WordEncoder:
 
     def _learn(self, words: list[str], known: dict[str, bytes], mark: str) -> None:
         np = self.np
-        for at in range(0, len(words), 4000):
-            some = words[at : at + 4000]
-            ids = np.array(self.tokenizer.encode(mark + mark.join(some), add_special_tokens=False).ids, dtype=self.kind)
+        parts = [words[at : at + LEARN_WORDS] for at in range(0, len(words), LEARN_WORDS)]
+        lines = self.tokenizer.encode_batch_fast([mark + mark.join(some) for some in parts], add_special_tokens=False)
+        for some, line in zip(parts, lines):
+            ids = np.array(line.ids, dtype=self.kind)
             begin = np.flatnonzero(self.starts[ids]) if mark == " " else np.flatnonzero(ids == np.frombuffer(self.feed, self.kind)[0])
             if len(begin) != len(some):  # not expected; then word by word
                 known.update((w, self.encode(mark + w if mark == " " else w)) for w in some)
@@ -161,9 +165,9 @@ class WordEncoder:
         stopped = {w for w in spaced if w[-1] in ".," and len(w) > 1 and w[-2].isalpha()}
         spaced -= stopped
         spaced.update(w[:-1] for w in stopped)
-        self._learn(sorted(spaced.difference(self.spaced)), self.spaced, " ")
+        self._learn(list(spaced.difference(self.spaced)), self.spaced, " ")
         self.spaced.update((w, self.spaced[w[:-1]] + self.stops[w[-1]]) for w in stopped)
-        self._learn(sorted(bare.difference(self.bare)), self.bare, "\n")
+        self._learn(list(bare.difference(self.bare)), self.bare, "\n")
         self.spaced.update((w, self.feed + self.bare[w[1:]]) for w in lines)
         get = self.spaced.__getitem__
         return [
