@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelake.llm import decontaminate, licenses, mixing, quality, sharding, simhash, tokenfiles, warc
+from pricelake.llm import decontaminate, licenses, mixing, quality, secrets, sharding, simhash, tokencounts, tokenfiles, warc
 from pricelake.llm.common import table
 
 
@@ -30,6 +30,13 @@ FROM d LEFT JOIN m USING (payload_digest)
 """
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words and tokens."""
+    import public_tokenizers
+
+    return tokencounts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and slot, near equal in bytes, copies together as far as quotas allow."""
     placed = sharding.sharded(table(spark, sf_dir, "documents"), 24)
@@ -43,6 +50,20 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents")).drop("d2")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets."""
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"] != "novel")
+
+    def n(kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+    return secrets.secret_spans(table(spark, sf_dir, "documents")).select(
+        "doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"),
+        F.sha2(secrets.named(base), 256).alias("base_sha256"), secrets.named(spans).alias("spans"),
+    )
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that stands in a document, with its place and distance."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -69,6 +90,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_licenses, op2_warc, op4_sharding, op5_quality, op7_decontamination, op8_simhash, op9_token_files, op10_mixing)
+    for f in (op1_licenses, op2_warc, op3_token_counts, op4_sharding, op5_quality, op6_secrets, op7_decontamination, op8_simhash, op9_token_files, op10_mixing)
 }
 ORACLES = {"op2_warc": OP2_SQL, "op10_mixing": mixing.SQL}
