@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from pricelake.session import cut_lineage, shared_folder
 
+WAVES = 8  # tasks per core
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -84,3 +85,9 @@ def file_system(address: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(address if "://" in address or address.startswith("file:") else f"file://{address}")
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Short rows that stand for long work, dealt over tasks: a number of partitions is given, since by their size
+    alone Spark would merge them into one."""
+    return rows.repartition(max(1, min(rows.count(), WAVES * rows.sparkSession.sparkContext.defaultParallelism)), *keys)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelake.llm.common import file_system, run_folder, running_sum
+from pricelake.llm.common import file_system, run_folder, running_sum, spread
 from pricelake.session import cut_lineage
 
 END_ID = 0
@@ -295,8 +295,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
     slices = placed.select("path", (F.col("upto") - F.col("n_ids")).alias("before"), F.explode(firsts).alias("first"), "n_docs")
     slices = slices.select("path", "before", "first", F.least(F.col("first") + SLICE_DOCS, "n_docs").alias("last"))
 
-    spread = slices.repartition("path", "first")
-    return spread.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread(slices, "path", "first").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:

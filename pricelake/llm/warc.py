@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelake.llm.common import file_system, run_folder
+from pricelake.llm.common import file_system, run_folder, spread
 from pricelake.session import cut_lineage
 
 MAGIC = b"\x1f\x8b\x08"
@@ -204,5 +204,5 @@ def read_archives(archives: DataFrame, columns: list[str] | None = None, range_b
     schema = pa.schema([(c, arrow[kinds[c]]) for c in columns])
     firsts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))
     ranges = archives.where("n_bytes > 0").select("path", F.explode(firsts).alias("first"), "n_bytes")
-    ranges = ranges.select("path", "first", F.least(F.col("first") + range_bytes, "n_bytes").alias("last")).repartition("path", "first")
-    return ranges.mapInArrow(lambda batches: _read(batches, columns, schema), ", ".join(f"{c} {kinds[c]}" for c in columns))
+    ranges = ranges.select("path", "first", F.least(F.col("first") + range_bytes, "n_bytes").alias("last"))
+    return spread(ranges, "path", "first").mapInArrow(lambda batches: _read(batches, columns, schema), ", ".join(f"{c} {kinds[c]}" for c in columns))
