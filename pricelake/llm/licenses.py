@@ -139,3 +139,41 @@ def license_report(docs: DataFrame, slack: int = SLACK, least: float = LEAST) ->
     )
     return per.select("*", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy")).drop("copy", "copies", "text_hash")
 
+
+
+def _sql() -> str:
+    """The report in SQL, by the same steps, for tables with one row per doc_id."""
+    rows = ", ".join(
+        f"('{label}', {str(base).lower()}, {k}, '{' '.join(text.split())}')"
+        for templates, base, k in ((PHRASES, True, PHRASE_WORDS), (NOTICES, False, NOTICE_WORDS)) for label, text in templates
+    )
+    words = f"list_filter(string_split_regex(translate({{}}, '{UPPER}', '{LOWER}'), '{NOT_WORD}'), lambda w: w <> '')"
+    return f"""
+WITH t AS (SELECT label, base, k, {words.format('text')} AS w FROM (VALUES {rows}) v(label, base, k, text)),
+tg AS (
+  SELECT label, base, k, n, place, array_to_string(w[place + 1 : place + k], ' ') AS gram
+  FROM (SELECT *, len(w) - k + 1 AS n, unnest(range(0, len(w) - k + 1)) AS place FROM t)),
+d AS (SELECT doc_id, {words.format("coalesce(text, '')")} AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(0, len(w))) AS pos FROM d),
+g AS (
+  SELECT doc_id, pos, k, array_to_string(w[pos + 1 : pos + k], ' ') AS gram
+  FROM p, (VALUES ({PHRASE_WORDS}), ({NOTICE_WORDS})) ks(k) WHERE pos + k <= len(w)),
+h AS (SELECT DISTINCT doc_id, label, base, n, place, pos - place AS diagonal FROM g JOIN tg USING (k, gram)),
+v AS (SELECT DISTINCT doc_id, label, base, diagonal FROM h),
+b AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id, label, base ORDER BY diagonal) AS band
+  FROM (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, label, base ORDER BY diagonal)
+    <= CASE WHEN base THEN 0 ELSE {SLACK} END THEN 0 ELSE 1 END AS fresh FROM v)),
+m AS (
+  SELECT doc_id, label, base, band, any_value(n) AS n, count(DISTINCT place) AS covered, min(diagonal + place) AS first
+  FROM h JOIN b USING (doc_id, label, base, diagonal) GROUP BY doc_id, label, base, band),
+s AS (SELECT *, covered / n AS part FROM m WHERE CASE WHEN base THEN covered = n ELSE covered / n >= {LEAST} END)
+SELECT d.doc_id, CAST(any_value(len(d.w)) AS BIGINT) AS n_words, count(*) FILTER (base) AS n_base,
+  CAST(min(first) FILTER (base) AS BIGINT) AS first_word, CAST(max(first) FILTER (base) AS BIGINT) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(part), 0.0)::DOUBLE AS score
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+SQL = _sql()

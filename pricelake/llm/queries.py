@@ -92,4 +92,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_licenses, op2_warc, op3_token_counts, op4_sharding, op5_quality, op6_secrets, op7_decontamination, op8_simhash, op9_token_files, op10_mixing)
 }
-ORACLES = {"op2_warc": OP2_SQL, "op10_mixing": mixing.SQL}
+ORACLES = {"op1_licenses": licenses.SQL, "op2_warc": OP2_SQL, "op10_mixing": mixing.SQL}
