@@ -77,7 +77,7 @@ _GATE = """gated AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
     {_CAPPED.format(source='ok', cap=10)}, {_SCORED.format(source='capped')}, {_GATE}
     SELECT query_id, query, url, relevance_score::DOUBLE AS relevance_score, combined_score::DOUBLE AS combined_score, rank FROM gated""")
 def relevance_gate(spark, sf):
-    return best_pages(page_hits(spark, sf)).select("query_id", "query", "url", "relevance_score", "combined_score", "rank")
+    return best_pages(page_hits(spark, sf), per_host=10, top=10).select("query_id", "query", "url", "relevance_score", "combined_score", "rank")
 
 
 @query("relevance_tokens", f"SELECT doc_id, array_to_string({_tokens('text')}, ' ') AS tokens FROM documents")
@@ -136,11 +136,11 @@ _LINKS = """l AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+') AS ro
     SELECT page_id AS query_id, engine, pos, 'Titulo' AS title, clean AS url, 'Texto' AS description
     FROM h, (SELECT unnest(['duckduckgo', 'startpage', 'ecosia', 'qwant', 'google']) AS engine) WHERE pos < 20""")
 def serp_hits(spark, sf):
-    return serp.parse_result_pages(result_pages(spark, sf))
+    return serp.parse_result_pages(result_pages(spark, sf), max_hits=20)
 
 
 @query("serp_text_hits", """SELECT p_partkey AS query_id, 0 AS pos, 'Oferta de ' || p_name AS title, 'https://www.tienda' || p_partkey || '.com.uy/p/' || p_partkey AS url,
-    NULL::VARCHAR AS description FROM part UNION ALL
+    left('https://www.tienda' || p_partkey || '.com.uy/p/' || p_partkey || ' Envio a todo el pais de ' || p_name, 101) AS description FROM part UNION ALL
     SELECT -1 - p_partkey, 0, '9' || p_partkey, 'https://www.9' || p_partkey || '.uy/' || p_partkey, 'Product search result from 9' || p_partkey || '.uy' FROM part""")
 def serp_text_hits(spark, sf):
     """Plain result text: a title line above a URL, and a URL alone."""
@@ -148,7 +148,7 @@ def serp_text_hits(spark, sf):
     key = F.col("p_partkey").cast("string")
     link = F.concat(F.lit("https://www.tienda"), key, F.lit(".com.uy/p/"), key)
     titled = part.select(
-        F.col("p_partkey").alias("query_id"), F.concat(F.lit("Web results Oferta de "), F.col("p_name"), F.lit("\n"), link, F.lit("?utm_source=a \n")).alias("body")
+        F.col("p_partkey").alias("query_id"), F.concat(F.lit("Web results Oferta de "), F.col("p_name"), F.lit("\n"), link, F.lit(" Envio a todo el pais de "), F.col("p_name"), F.lit("\n")).alias("body")
     )
     alone = part.select((-1 - F.col("p_partkey")).alias("query_id"), F.concat(F.lit("https://www.9"), key, F.lit(".uy/"), key, F.lit("\n12\n")).alias("body"))
     return serp.text_hits(titled.unionByName(alone), "body")
@@ -170,7 +170,7 @@ def blocked_pages(spark, sf):
             F.struct(F.concat(F.lit("e"), "page_id").alias("id"), F.lit("").alias("html")),
         )).alias("v")
     ).select("v.*")
-    return serp.flag_blocked(docs.unionByName(pages)).select("id", "blocked", "reason")
+    return serp.flag_blocked(docs.unionByName(pages), min_chars=2000).select("id", "blocked", "reason")
 
 
 @query("blocked_texts", """SELECT conv_id, turn, regexp_matches(lower(text || role), 'captcha|verify you are|unusual traffic|robot|access denied') AS blocked FROM conversations""")
@@ -206,7 +206,7 @@ _BREAKER = f"""log AS (SELECT ({sql_list(_ENGINES)})[1 + user_id % 5] AS engine,
 
 @query("engine_breaker", f"WITH {_BREAKER} SELECT engine, event, {sql_stamp('since')} AS since, is_open FROM state")
 def engine_breaker(spark, sf):
-    state = serp.breaker_state(fetch_log(spark, sf), F.lit(_AT).cast("timestamp"), 86400)
+    state = serp.breaker_state(fetch_log(spark, sf), F.lit(_AT).cast("timestamp"), 86400, min_chars=2000)
     return state.select("engine", "event", F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"), "is_open")
 
 
@@ -217,7 +217,7 @@ def engine_breaker(spark, sf):
       WHEN 1 THEN ([x FOR x IN {sql_list(rules.PROBE_ORDER_ONE_LEFT)} IF list_contains(opened, x)])[1] END AS probe FROM c)
     SELECT query_id, engine, coalesce(is_open AND engine = probe, false) AS is_probe FROM asked JOIN p USING (query_id) WHERE NOT is_open OR engine = probe""")
 def engine_choice(spark, sf):
-    state = serp.breaker_state(fetch_log(spark, sf), F.lit(_AT).cast("timestamp"), 86400)
+    state = serp.breaker_state(fetch_log(spark, sf), F.lit(_AT).cast("timestamp"), 86400, min_chars=2000)
     asked = serp.search_urls(table(spark, sf, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit("UY").alias("country")
     )).select("query_id", "engine")
@@ -511,27 +511,28 @@ _EXPANDED = """cats AS (SELECT s_nationkey AS query_id, s_suppkey, 'shop' || s_s
 @query("category_expansion", f"WITH {_EXPANDED} SELECT query_id, url, host AS src_host, src_pos, pos FROM expanded")
 def category_expansion(spark, sf):
     categories, edges = category_tables(spark, sf)
-    return pagetypes.expand_categories(categories, edges).select("query_id", "url", "src_host", "src_pos", "pos")
+    return pagetypes.expand_categories(categories, edges, 8, 50).select("query_id", "url", "src_host", "src_pos", "pos")
 
 
 @query("category_low_yield", f"""WITH {_EXPANDED}, l AS (SELECT query_id, count(*) AS links FROM expanded GROUP BY ALL), a AS (SELECT query_id, count(*) AS categories FROM cats GROUP BY ALL)
     SELECT query_id, categories, coalesce(links, 0) AS links, coalesce(links, 0) < 5 AND categories <= 3 AS per_page_retry, coalesce(links, 0) < 3 AS needs_labels FROM a LEFT JOIN l USING (query_id)""")
 def category_low_yield(spark, sf):
     categories, edges = category_tables(spark, sf)
-    return pagetypes.low_yield(categories, pagetypes.expand_categories(categories, edges))
+    return pagetypes.low_yield(categories, pagetypes.expand_categories(categories, edges, 8, 50))
 
 
 @query("category_merge", f"""WITH {_EXPANDED}, have AS (SELECT query_id, url, pos FROM expanded WHERE pos % 2 = 0),
-    top AS (SELECT * FROM expanded QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY src_pos, pos, url) <= 10)
-    SELECT query_id, url, 'own' AS original_title FROM have UNION ALL
-    SELECT query_id, url, 'Expanded from category' FROM top t WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.query_id = t.query_id AND h.url = t.url)""")
+    top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY src_pos, pos, url) AS r FROM expanded t
+      WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.query_id = t.query_id AND h.url = t.url))
+    SELECT query_id, url, 'own' AS original_title, pos FROM have UNION ALL
+    SELECT query_id, url, 'Expanded from category', coalesce((SELECT max(pos) FROM have h WHERE h.query_id = top.query_id), -1) + r FROM top WHERE r <= 10""")
 def category_merge(spark, sf):
     categories, edges = category_tables(spark, sf)
-    expanded = pagetypes.expand_categories(categories, edges)
+    expanded = pagetypes.expand_categories(categories, edges, 8, 50)
     have = expanded.filter("pos % 2 = 0").select(
         "query_id", "url", F.lit("own").alias("original_title"), F.lit("").alias("original_snippet"), F.lit("PRODUCT").alias("page_type"), "pos"
     )
-    return pagetypes.merge_expanded(have, expanded).select("query_id", "url", "original_title")
+    return pagetypes.merge_expanded(have, expanded, 10).select("query_id", "url", "original_title", "pos")
 
 
 @query("category_fallback", f"""SELECT s_nationkey AS query_id, 'https://shop' || s_suppkey % 20 || '.example.com.uy/producto/' || replace(p_name, ' ', '-') || '/producto/' || l_partkey AS url

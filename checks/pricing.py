@@ -76,12 +76,12 @@ def price_direct(spark, sf):
     )
 
 
-@query("price_in_documents", """WITH t AS (SELECT doc_id, regexp_extract(text, '(?i)U\\$S\\s*(\\d{1,3}(?:[.,]\\d{3})*(?:[.,]\\d{1,2})?)', 1) AS a,
-      regexp_extract(text, '(?:^|[^US])\\$\\s*(\\d{1,3}(?:\\.\\d{3})*(?:,\\d{1,2})?)', 1) AS b FROM documents) SELECT doc_id, a <> '' OR b <> '' AS has_mark FROM t""")
+@query("price_in_documents", """WITH t AS (SELECT doc_id, text || ' Precio final: U$S ' || (doc_id % 900 + 50) || ',50' AS x FROM documents WHERE NOT regexp_matches(text, '[$]|USD|UYU|(?i)dolares|pesos'))
+    SELECT doc_id, (doc_id % 900 + 50.5)::DOUBLE AS price, 'USD' AS currency FROM t""")
 def price_in_documents(spark, sf):
-    usd = F.regexp_extract("text", r"(?i)U\$S\s*(\d{1,3}(?:[.,]\d{3})*(?:[.,]\d{1,2})?)", 1)
-    uyu = F.regexp_extract("text", r"(?<![US])\$\s*(\d{1,3}(?:\.\d{3})*(?:,\d{1,2})?)", 1)
-    return table(spark, sf, "documents").select("doc_id", ((usd != "") | (uyu != "")).alias("has_mark"))
+    docs = table(spark, sf, "documents").filter(~F.col("text").rlike(r"[$]|USD|UYU|(?i)dolares|pesos"))
+    body = F.concat("text", F.lit(" Precio final: U$S "), (F.col("doc_id") % 900 + 50).cast("string"), F.lit(",50"))
+    return docs.select("doc_id", prices.direct_price(body).alias("r")).select("doc_id", "r.price", "r.currency")
 
 
 @query("currency_detect", f"""WITH {_TEXTS} SELECT p_partkey, kind, CASE WHEN regexp_matches(upper(t), 'U\\$S|US\\$|USD|U\\$\\$|DOLARES|DÓLARES|DOLLARS') THEN 'USD'
@@ -147,7 +147,7 @@ def price_validate(spark, sf):
     rows = answer_rows(spark, sf).withColumn("r", prices.response_price(F.col("raw_text")))
     return rows.select(
         "o_orderkey", "kind", F.round("r.price", 2).alias("price"), "r.success", "r.currency", "r.confidence",
-        F.regexp_replace(F.coalesce("r.error", F.lit("")), r"5\.0E6", "5000000.0").alias("error"),
+        F.coalesce("r.error", F.lit("")).alias("error"),
     )
 
 
@@ -207,42 +207,53 @@ def cascade_inputs(spark, sf):
     """One candidate per part; its content decides the price source."""
     part = table(spark, sf, "part", spread=True).withColumn("url", F.concat(F.lit("https://shop.example.com.uy/p/"), F.col("p_partkey").cast("string")))
     price = F.format_string("%.2f", F.col("p_retailprice"))
-    kind = F.col("p_partkey") % 8
+    kind = F.col("p_partkey") % 16
     candidates = part.select(
         F.lit(1).alias("query_id"), "url", F.col("p_partkey").alias("pos"), F.when(kind == 7, "CATEGORY").otherwise("PRODUCT").alias("page_type"),
         F.col("p_name").alias("identified_product_name"),
     )
     long = F.concat(F.lit("Detalle del producto y condiciones de entrega en la tienda: "), F.col("p_name"))
-    content = part.filter(kind != 1).select(
+    shown = F.concat(F.lit(" $ "), F.translate(F.format_number("p_retailprice", 2), ",.", ".,"))
+    content = part.filter(~kind.isin(1, 9, 13)).select(
         "url",
-        F.when(kind == 2, "corto").when(kind == 5, F.concat(long, F.lit(" $ "), F.translate(F.format_number("p_retailprice", 2), ",.", ".,"))).otherwise(long).alias("text"),
-        F.when(kind == 4, F.create_map(F.lit("product:price:amount"), price)).alias("meta_tags"),
+        F.when(kind.isin(2, 8, 10, 11), "corto").when(kind == 12, F.concat(F.lit("corto"), shown))
+        .when(kind == 5, F.concat(long, shown)).otherwise(long).alias("text"),
+        F.when(kind.isin(4, 8), F.create_map(F.lit("product:price:amount"), price)).alias("meta_tags"),
         F.when(kind == 3, F.array(F.concat(F.lit('{"@type": "Product", "offers": {"price": '), price, F.lit("}}")))).alias("structured_data"),
     )
     cached = part.filter(kind == 0).select(
         "url", prices.result(F.col("p_retailprice"), F.lit("USD"), F.lit("x"), F.lit(0.9)).alias("price_extraction")
     )
-    answers = part.filter((kind == 6) & (F.col("p_size") > 25)).select(
-        "url", F.concat(F.lit('{"found": true, "price": '), price, F.lit(', "confidence": 0.5}')).alias("raw_text")
+    found = lambda p: F.concat(F.lit('{"found": true, "price": '), p, F.lit(', "confidence": 0.5}'))
+    # 8: meta price and another answer; 9: no page; 10: short page; 11: out of range; 13: no page, no price; 14: catalogue; 15: bad
+    raw = (
+        F.when((kind == 6) & (F.col("p_size") > 25), found(price)).when(kind == 8, found(F.lit("7"))).when(kind.isin(9, 10), found(price))
+        .when(kind == 11, found(F.lit("2"))).when(kind == 13, F.lit('{"found": false}'))
+        .when(kind == 14, F.concat(F.lit('{"products": [{"product_name": "uno", "price": '), price, F.lit('}, {"product_name": "dos", "price": 1}]}')))
+        .when(kind == 15, found(F.lit("25000000")))
     )
+    answers = part.select("url", raw.alias("raw_text")).filter("raw_text IS NOT NULL")
     return candidates, content, cached, answers
 
 
-@query("price_cascade", """SELECT 'https://shop.example.com.uy/p/' || p_partkey AS url, CASE p_partkey % 8 WHEN 0 THEN 'cached' WHEN 1 THEN 'no_content' WHEN 2 THEN 'insufficient'
-      WHEN 3 THEN 'structured' WHEN 4 THEN 'meta' WHEN 5 THEN 'text' ELSE CASE WHEN p_size > 25 THEN 'response' ELSE 'unresolved' END END AS source,
-      CASE WHEN p_partkey % 8 IN (0, 3, 4, 5) OR (p_partkey % 8 = 6 AND p_size > 25) THEN round(p_retailprice, 2) END AS price,
-      p_partkey % 8 IN (1, 2, 6) AS needs_second_source, CASE p_partkey % 8 WHEN 1 THEN 'Failed to retrieve page content from batch'
-      WHEN 2 THEN 'Insufficient page content (5 chars)' WHEN 6 THEN CASE WHEN p_size <= 25 THEN 'No price found in content' END END AS error
-    FROM part WHERE p_partkey % 8 <> 7""")
+@query("price_cascade", """SELECT 'https://shop.example.com.uy/p/' || p_partkey AS url,
+      (['cached', 'no_content', 'insufficient', 'structured', 'meta', 'text', CASE WHEN p_size > 25 THEN 'response' ELSE 'unresolved' END, NULL,
+        'meta', 'response', 'response', 'insufficient', 'text', 'no_content', 'response', 'response'])[k + 1] AS source,
+      CASE WHEN k IN (0, 3, 4, 5, 8, 9, 10, 12, 14) OR (k = 6 AND p_size > 25) THEN round(p_retailprice, 2) END AS price,
+      k IN (1, 2, 6, 9, 10, 11, 13, 15) AS needs_second_source,
+      CASE WHEN k IN (1, 13) THEN 'Failed to retrieve page content from batch' WHEN k IN (2, 11) THEN 'Insufficient page content (5 chars)'
+        WHEN k = 6 AND p_size <= 25 THEN 'No price found in content' WHEN k = 15 THEN 'Price 25000000.0 outside reasonable range' END AS error,
+      CASE WHEN k = 14 THEN 'uno' ELSE p_name END AS product_name
+    FROM (SELECT *, p_partkey % 16 AS k FROM part) WHERE k <> 7""")
 def price_cascade(spark, sf):
     candidates, content, cached, answers = cascade_inputs(spark, sf)
     priced = pricing.extract_prices(candidates, content, cached, answers)
     return priced.select(
-        "url", "source", F.round("price_extraction.price", 2).alias("price"), "needs_second_source", "price_extraction.error"
+        "url", "source", F.round("price_extraction.price", 2).alias("price"), "needs_second_source", "price_extraction.error", "product_name"
     )
 
 
-@query("product_pages", "SELECT 'https://shop.example.com.uy/p/' || p_partkey AS url FROM part WHERE p_partkey % 8 <> 7")
+@query("product_pages", "SELECT 'https://shop.example.com.uy/p/' || p_partkey AS url FROM part WHERE p_partkey % 16 <> 7")
 def product_pages(spark, sf):
     return pricing.product_pages(cascade_inputs(spark, sf)[0]).select("url")
 

@@ -153,8 +153,6 @@ _LAYOUT = {
         "text": [("span", "class", r"st|s3v9rd", False)],
     },
 }
-_MAX_BLOCKS = 20
-_MAX_LOOSE_LINKS = 50
 
 
 def _matches(node: Node, selector) -> bool:
@@ -200,7 +198,7 @@ def _block_hits(engine: str, root: Node):
         blocks = [n for n in root.walk() if _matches(n, selector)]
         if blocks:
             break
-    for block in blocks[:_MAX_BLOCKS]:
+    for block in blocks:
         if engine == "google":
             heading = _find(block, [("h3", None, None, False)])
             link = heading.ancestor("a") if heading else _link_in(block)
@@ -233,14 +231,14 @@ def _block_hits(engine: str, root: Node):
 def _loose_hits(engine: str, root: Node):
     own = _LAYOUT[engine]["own"]
     links = [n for n in root.walk() if n.tag == "a" and "href" in n.attrs]
-    for link in links[:_MAX_LOOSE_LINKS]:
+    for link in links:
         url, title = link.attrs["href"], link.text()
         if url.startswith("http") and own not in url and 5 < len(title) < 200:
             yield _hit(1, title, url)
 
 
 def _startpage_headings(root: Node):
-    for heading in [n for n in root.walk() if n.tag == "h3"][:_MAX_BLOCKS]:
+    for heading in [n for n in root.walk() if n.tag == "h3"]:
         link = _link_in(heading) or heading.ancestor("a")
         if link is not None:
             url = link.attrs.get("href")
@@ -261,12 +259,12 @@ def _duckduckgo_hits(root: Node):
     order = list(root.walk())
     place = {id(n): i for i, n in enumerate(order)}
     titles = [n for n in order if _matches(n, ("a", "class", "result__a", True))]
-    for link in titles[:_MAX_BLOCKS]:
+    for link in titles:
         after = order[place.get(id(link.parent), -1) + 1 :]
         note = next((n for n in after if _matches(n, ("a", "class", "result__snippet", True))), None)
         note = note or next((n for n in after if _matches(n, (None, "class", "result__snippet", False))), None)
         yield _hit(0, link.text(), _duckduckgo_url(link.attrs.get("href", ""), True), note.text() if note else None)
-    for heading in [n for n in order if n.tag == "h2"][:_MAX_BLOCKS]:
+    for heading in [n for n in order if n.tag == "h2"]:
         link = _link_in(heading)
         if link is not None:
             yield _hit(1, link.text(), _duckduckgo_url(link.attrs["href"], False))

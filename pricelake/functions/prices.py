@@ -91,18 +91,16 @@ def failure(error: Column) -> Column:
     ).cast(RESULT)
 
 
-def direct_price(text: Column, compat: bool = True, whole_text: bool = True) -> Column:
+def direct_price(text: Column, compat: bool = True) -> Column:
     """First price in running text: dollar marks first, then pesos, each with its floor.
 
-    Only the first match of each pattern counts. ``whole_text=False`` looks at the first 3000
-    characters only, for results equal to a prefix-bounded scan.
+    Only the first match of each pattern counts; the whole text is read.
     """
-    body = text if whole_text else F.left(text, F.lit(rules.DIRECT_PRICE_PREFIX))
     table = rules.DIRECT_PRICE_COMPAT if compat else rules.DIRECT_PRICE_PLAIN
     found = F.array(
         *[
             F.struct(
-                F.regexp_extract(body, pattern, 1).alias("raw"),
+                F.regexp_extract(text, pattern, 1).alias("raw"),
                 F.lit(currency).alias("currency"),
                 F.lit(floor).alias("floor"),
                 F.lit(confidence).alias("confidence"),
@@ -189,6 +187,34 @@ def meta_price(meta_tags: Column) -> Column:
     )
 
 
+def shown_number(value: Column) -> Column:
+    """A float as error texts print it: plain digits below 1e16, then with a signed exponent."""
+    raw = value.cast("string")
+    plain = F.regexp_replace(raw.try_cast("decimal(38,16)").cast("string"), r"^(-?\d+\.(?:\d*[1-9]|0))0*$", "$1")
+    small = F.regexp_replace(F.regexp_replace(raw, r"\.0E", "E"), r"E-(\d)$", "e-0$1")
+    short = F.regexp_replace(F.regexp_replace(small, r"E(\d)", "e+$1"), "E-", "e-")
+    return F.when((F.abs(value) >= 1e-4) & (F.abs(value) < 1e16) | (value == 0), plain).otherwise(short)
+
+
+_CATALOGUE = "array<struct<product_name: string, price: double, currency: string, original_text: string, confidence: double>>"
+
+
+def catalogue_items(answer: Column) -> Column:
+    """Products of an answer ``{"products": [...]}``, else null."""
+    return F.from_json(F.get_json_object(answer, "$.products"), _CATALOGUE)
+
+
+def catalogue_price(item: Column, compat: bool = True) -> Column:
+    """Price of one catalogue product, with defaults for what it leaves out."""
+    return reparsed(
+        result(
+            F.coalesce(item["price"], F.lit(0.0)), F.coalesce(item["currency"], F.lit("UYU")),
+            F.coalesce(item["original_text"], F.lit("")), F.coalesce(item["confidence"], F.lit(0.8)),
+        ),
+        compat,
+    )
+
+
 def response_price(answer: Column) -> Column:
     """Checked price of an outside answer given as JSON text: found flag, value, range, defaults."""
 
@@ -203,7 +229,7 @@ def response_price(answer: Column) -> Column:
             .when(value.isNull(), failure(F.lit("Invalid price value")))
             .when(
                 (value <= 0) | (value > rules.MAX_RESPONSE_PRICE),
-                failure(F.concat(F.lit("Price "), value.cast("string"), F.lit(" outside reasonable range"))),
+                failure(F.concat(F.lit("Price "), shown_number(value), F.lit(" outside reasonable range"))),
             )
             .otherwise(
                 result(

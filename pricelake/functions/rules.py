@@ -210,7 +210,6 @@ DIRECT_PRICE_PLAIN = [
     (r"(?<![US])\$\s*" + _PLAIN_DOT, "UYU", 100.0, 0.90, "$ "),
     (r"UYU\s*" + _PLAIN, "UYU", 100.0, 0.90, "$ "),
 ]
-DIRECT_PRICE_PREFIX = 3000
 USD_MARKERS = ["U$S", "US$", "USD", "U$$", "DOLARES", "DÓLARES", "DOLLARS"]
 UYU_MARKERS = ["UYU", "UY$", "PESOS"]
 CURRENCY_ALIASES = {

@@ -62,8 +62,8 @@ def positioned_tokens(text: Column) -> Column:
     return F.transform(_words(text), lambda t: F.when(t.isin(rules.ENGLISH_STOP_WORDS), "").otherwise(t))
 
 
-def blocked_html(html: Column) -> Column:
-    """struct(blocked, reason) for a fetched result page."""
+def blocked_html(html: Column, min_chars: int = 0) -> Column:
+    """struct(blocked, reason) for a fetched result page; one shorter than ``min_chars`` counts as blocked."""
     low = F.lower(html)
     marker = reduce(
         lambda chain, m: chain.when(low.contains(m), f"marker:{m}"),
@@ -71,7 +71,7 @@ def blocked_html(html: Column) -> Column:
         F.when(low.contains(rules.BLOCKED_HTML_MARKERS[0]), f"marker:{rules.BLOCKED_HTML_MARKERS[0]}"),
     )
     tiny = F.when(
-        F.length(html) < rules.BLOCKED_MIN_HTML, F.concat(F.lit("tiny_html:"), F.length(html))
+        F.length(html) < min_chars, F.concat(F.lit("tiny_html:"), F.length(html))
     )
     reason = blank_to_null(F.concat_ws(",", tiny, marker))
     empty = html.isNull() | (html == "")

@@ -92,14 +92,27 @@ def _repair(url: Column) -> Column:
     return F.regexp_replace(step, _JUNK, "$2$3")
 
 
+# a URL of this form has nothing to repair: plain characters, one scheme, no capital after a dot
+_SOUND = rf"^(?i:https?)://(?!.*https?://)(?!.*\.[A-Z])[{_LEGAL}]+(?<!\.)$"
+
+
 def sanitize(url: Column) -> Column:
     """Repair a URL scraped from result text, or null when it cannot be a web URL."""
     return let(_repair(url), lambda clean: F.when(is_web_url(clean), clean))
 
 
 def with_sanitized(df: DataFrame, url: str, name: str) -> DataFrame:
-    """``sanitize`` as two projections, so that the whole step stays in generated code."""
-    return df.withColumn(name, _repair(F.col(url))).withColumn(name, F.when(is_web_url(F.col(name)), F.col(name)))
+    """``sanitize`` as a column of its own. Sound URLs skip the repair, and the column stands behind an explode
+    of one value, so filters above it use the value and do not repeat the work below."""
+    repaired = df.withColumn("__clean", F.when(F.col(url).rlike(_SOUND), F.col(url)).otherwise(_repair(F.col(url))))
+    one = F.explode_outer(F.array(F.when(is_web_url(F.col("__clean")), F.col("__clean"))))
+    kept = [c for c in df.columns if c != name]
+    return repaired.select(*kept, one.alias(name)).select(*(df.columns if name in df.columns else [*df.columns, name]))
+
+
+def clean_rows(df: DataFrame, url: str = "url") -> DataFrame:
+    """Rows with a usable URL, repaired."""
+    return with_sanitized(df, url, url).filter(F.col(url).isNotNull())
 
 
 def is_web_url(url: Column) -> Column:
@@ -162,7 +175,7 @@ def is_product_url(url: Column, terms: Column | None = None) -> Column:
     def test(low: Column) -> Column:
         parts = F.split(low, "/", -1)
         deep = F.filter(
-            F.slice(parts, 4, 1000000), lambda s: (F.length(s) > 2) & ~s.rlike(r"(?U)^\d+$")
+            F.slice(parts, 4, F.size(parts)), lambda s: (F.length(s) > 2) & ~s.rlike(r"(?U)^\d+$")
         )
         yes = contains_any(low, rules.PRODUCT_STRONG_TOKENS) | low.rlike(r"/p/*$|(?U)/\d{6,}")
         if terms is not None:

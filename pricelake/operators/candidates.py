@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pricelake.functions import rules, urls
-from pricelake.functions.expr import let
 from pricelake.operators.urltable import keep_first
 
 
@@ -28,17 +29,13 @@ def flatten_results(results: DataFrame) -> DataFrame:
 def is_blocked_domain(url: Column, domains: list[str] | None = None) -> Column:
     """Host equals a listed domain or is a subdomain of one.
 
-    Host suffixes are compared with the list, so the test is a set lookup and not one test per entry.
+    The end of the host is looked up in one set per number of labels.
     """
-    listed = F.array(*[F.lit(d) for d in (domains or rules.BLOCKED_DOMAINS)])
-
-    def test(labels: Column) -> Column:
-        places = F.sequence(F.lit(1), F.size(labels))
-        return F.arrays_overlap(
-            F.transform(places, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")), listed
-        )
-
-    return let(F.split(F.lower(urls.netloc(url)), r"\."), test)
+    by_labels: dict[int, list[str]] = {}
+    for domain in domains or rules.BLOCKED_DOMAINS:
+        by_labels.setdefault(domain.count(".") + 1, []).append(domain)
+    host = F.lower(urls.netloc(url))
+    return reduce(lambda a, b: a | b, [F.substring_index(host, ".", -n).isin(listed) for n, listed in sorted(by_labels.items())])
 
 
 def is_excluded(url: Column) -> Column:
@@ -70,8 +67,8 @@ def pattern_filter(candidates: DataFrame, url: str = "url") -> DataFrame:
     return candidates.filter(~is_blocked_domain(F.col(url))).filter(~is_excluded(F.col(url)))
 
 
-def host_cap(candidates: DataFrame, cap: int = 10, url: str = "url", pos: str = "pos") -> DataFrame:
-    """First row per (query, normalized URL), then at most ``cap`` per (query, host) in order.
+def host_cap(candidates: DataFrame, cap: int | None = None, url: str = "url", pos: str = "pos") -> DataFrame:
+    """First row per (query, normalized URL), then at most ``cap`` per (query, host) in order; ``None`` keeps all.
 
     Both steps cut inside each task before their shuffle: the first is an aggregation, the second a
     top-n per key, so a host that holds a third of all rows sends ``tasks * cap`` rows at most.
@@ -81,11 +78,13 @@ def host_cap(candidates: DataFrame, cap: int = 10, url: str = "url", pos: str =
         "host", F.split_part("dedupe_key", F.lit("/"), F.lit(3))
     )
     first = keep_first(keyed, ["query_id", "host", "dedupe_key"], F.struct(pos, url))
+    if cap is None:
+        return first
     order = Window.partitionBy("query_id", "host").orderBy(pos, url)
     return first.withColumn("host_rank", F.row_number().over(order)).filter(F.col("host_rank") <= cap)
 
 
-def filter_funnel(candidates: DataFrame, cap: int = 10) -> DataFrame:
+def filter_funnel(candidates: DataFrame, cap: int | None = None) -> DataFrame:
     """Rows kept after each stage and total reduction in percent."""
     tagged = tag_filters(candidates)
     early = tagged.agg(

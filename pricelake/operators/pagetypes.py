@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from pricelake.functions import geo, rules, urls
 from pricelake.functions.expr import let
+from pricelake.operators.ordered import ranked
 from pricelake.operators.urltable import keep_first
 
 
@@ -49,15 +50,19 @@ def error_counts(candidates: DataFrame) -> DataFrame:
     return candidates.agg(F.count_if(~bad).alias("kept"), F.count_if(bad).alias("dropped"))
 
 
+def _country(table: DataFrame) -> list[str]:
+    return [c for c in ("country",) if c in table.columns]
+
+
 def expandable_links(categories: DataFrame, edges: DataFrame) -> DataFrame:
     """Product links of category pages before the caps.
 
-    ``categories(query_id, url, pos, terms)``, ``edges(src, dst, pos)``. Row filters come before both
+    ``categories(query_id, url, pos, terms)`` and, where it is there, ``country``; ``edges(src, dst, pos)``. Row filters come before both
     dedupes where they cannot change the result.
     """
     # everything about the category page is settled before the join
     pages = categories.select(
-        "query_id", F.col("url").alias("src"), F.col("pos").alias("src_pos"), "terms",
+        "query_id", F.col("url").alias("src"), F.col("pos").alias("src_pos"), "terms", *_country(categories),
         urls.netloc(F.col("url")).alias("src_host"), urls.is_marketplace_listing(F.col("url")).alias("listing"),
     ).withColumn("market", F.col("src_host").contains(rules.MARKETPLACE_DOMAIN))
     here = lambda n: F.when(F.col("market"), F.lower(n).isin(rules.MARKETPLACE_LINK_HOSTS)).otherwise(
@@ -74,28 +79,26 @@ def expandable_links(categories: DataFrame, edges: DataFrame) -> DataFrame:
     local = pages.join(edges, "src").filter(let(urls.netloc(F.col("dst")), here))
     # exploding none or one link filters and computes it in one go
     kept = local.select(
-        "query_id", "src_host", "src", "src_pos", "pos",
+        "query_id", "src_host", "src", "src_pos", "pos", *_country(categories),
         F.explode(let(urls.drop_repeated_segments(F.col("dst")), wanted)).alias("link"),
     )
     return keep_first(kept, ["query_id", "src", "link"], "pos")
 
 
 def expand_categories(
-    categories: DataFrame, edges: DataFrame, per_host: int = 8, per_query: int = 50
+    categories: DataFrame, edges: DataFrame, per_host: int | None = None, per_query: int | None = None
 ) -> DataFrame:
-    """At most ``per_host`` product links per category host and ``per_query`` per search, in order."""
+    """Product links of category pages; at most ``per_host`` per category host and ``per_query`` per search, in
+    order, where these are given."""
     order = ["src_pos", "pos", "link"]
     links = expandable_links(categories, edges)
     host = Window.partitionBy("query_id", "src_host").orderBy(*order)
     query = Window.partitionBy("query_id").orderBy(*order)
-    capped = (
-        links.withColumn("__h", F.row_number().over(host))
-        .filter(F.col("__h") <= per_host)
-        .withColumn("__q", F.row_number().over(query))
-        .filter(F.col("__q") <= per_query)
-    )
-    first = keep_first(capped.drop("__h", "__q"), ["query_id", "link"], F.struct(*order))
-    return first.select("query_id", F.col("link").alias("url"), "src", "src_host", "src_pos", "pos")
+    for limit, window in ((per_host, host), (per_query, query)):
+        if limit is not None:
+            links = links.withColumn("__n", F.row_number().over(window)).filter(F.col("__n") <= limit).drop("__n")
+    first = keep_first(links, ["query_id", "link"], F.struct(*order))
+    return first.select("query_id", F.col("link").alias("url"), "src", "src_host", "src_pos", "pos", *_country(categories))
 
 
 def low_yield(categories: DataFrame, expanded: DataFrame) -> DataFrame:
@@ -129,22 +132,27 @@ def fallback_links(categories: DataFrame, edges: DataFrame, low: DataFrame) -> D
     )
 
 
-def merge_expanded(candidates: DataFrame, expanded: DataFrame, cap: int | None = 10) -> DataFrame:
+def merge_expanded(candidates: DataFrame, expanded: DataFrame, cap: int | None = None) -> DataFrame:
     """Add typed PRODUCT links from expansion that are not candidates yet, after the existing ones.
 
-    ``cap`` limits the links looked at per search; ``None`` looks at all of them.
+    Known links are left out first, so they use up no places; ``cap`` then limits the new links per search. New links are
+    ranked behind the last position of their search. A ``country`` column of ``expanded`` decides what is local.
     """
-    fresh = expanded
+    order = ["src_pos", "pos", "url"]
+    fresh = expanded.join(candidates.select("query_id", "url"), ["query_id", "url"], "left_anti")
     if cap is not None:
-        order = Window.partitionBy("query_id").orderBy("src_pos", "pos", "url")
-        fresh = fresh.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= cap).drop("__r")
-    typed = page_type(fresh).filter(F.col("page_type") == "PRODUCT")
-    added = typed.join(candidates.select("query_id", "url"), ["query_id", "url"], "left_anti").select(
+        window = Window.partitionBy("query_id").orderBy(*order)
+        fresh = fresh.withColumn("__r", F.row_number().over(window)).filter(F.col("__r") <= cap).drop("__r")
+    country = _country(expanded)
+    typed = page_type(fresh, *country).filter(F.col("page_type") == "PRODUCT")
+    last = candidates.groupBy("query_id").agg(F.max("pos").alias("__last"))
+    placed = ranked(typed.select("query_id", *order), ["query_id"], order, "__rank").join(last, "query_id", "left")
+    added = placed.select(
         "query_id",
         "url",
         F.lit("Expanded from category").alias("original_title"),
         F.lit("").alias("original_snippet"),
-        "page_type",
-        (F.lit(1000000000) + F.col("src_pos") * 100000 + F.col("pos")).cast("long").alias("pos"),
+        F.lit("PRODUCT").alias("page_type"),
+        (F.coalesce("__last", F.lit(-1)) + F.col("__rank")).cast("long").alias("pos"),
     )
     return candidates.select(*added.columns).unionByName(added)

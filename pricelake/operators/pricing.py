@@ -28,12 +28,14 @@ def extract_prices(
     cached: DataFrame | None = None,
     responses: DataFrame | None = None,
     compat: bool = True,
-    whole_text: bool = True,
+    min_text: int = 50,
 ) -> DataFrame:
     """Offer per product page from the first source that answers.
 
-    Order: reused decision, JSON-LD, meta tags, text, outside response; then ``unresolved``. Failures
-    are kept with their error, and answers below 0.6 are flagged for a second source.
+    Order: reused decision, JSON-LD, meta tags, text, outside response. Only when none of them gives a price does
+    the page fail, as ``no_content``, ``insufficient`` (text shorter than ``min_text``) or ``unresolved``. An answer for
+    a page without enough text was read by machine: it must be a price, and a sane one. A catalogue answer keeps
+    its first product. Failures are kept with their error, and answers below 0.6 are flagged for a second source.
     ``content(url, text, meta_tags, structured_data)``, ``cached(url, price_extraction)``,
     ``responses(url, raw_text)``. Expressions of later sources run only where earlier ones are null.
     """
@@ -51,27 +53,31 @@ def extract_prices(
     else:
         rows = rows.withColumn("__answer", F.lit(None).cast("string"))
 
-    n = F.length(F.coalesce("__text", F.lit("")))
-    solid = F.length(F.regexp_replace(F.coalesce("__text", F.lit("")), r"(?U)^\s+|\s+$", "")) >= 50
-    answer = F.when(
-        F.col("__answer").isNotNull(), prices.reparsed(prices.response_price(F.col("__answer")), compat)
+    text = F.coalesce("__text", F.lit(""))
+    unread = F.length(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")) < min_text
+    rows = rows.withColumn("__item", F.try_element_at(prices.catalogue_items(F.col("__answer")), F.lit(1)))
+    stated = F.when(F.col("__item").isNotNull(), prices.catalogue_price(F.col("__item"), compat)).otherwise(
+        prices.reparsed(prices.response_price(F.col("__answer")), compat)
     )
+    sane = lambda p: p["success"] & prices.machine_price_reject(p["price"], p["currency"]).isNull()
+    answer = F.when(F.col("__answer").isNotNull(), let(stated, lambda p: F.when(~unread | sane(p), p)))
     steps = [
         ("cached", F.when(F.col("__cached.success"), F.col("__cached"))),
+        ("structured", prices.structured_price(F.col("structured_data"))),
+        ("meta", prices.meta_price(F.col("meta_tags"))),
+        ("text", prices.direct_price(F.col("__text"), compat)),
+        ("response", answer),
         ("no_content", F.when(F.col("__page").isNull(), prices.failure(F.lit("Failed to retrieve page content from batch")))),
         (
             "insufficient",
-            F.when(~solid, prices.failure(F.concat(F.lit("Insufficient page content ("), n, F.lit(" chars)")))),
+            F.when(unread, prices.failure(F.concat(F.lit("Insufficient page content ("), F.length(text), F.lit(" chars)")))),
         ),
-        ("structured", prices.structured_price(F.col("structured_data"))),
-        ("meta", prices.meta_price(F.col("meta_tags"))),
-        ("text", prices.direct_price(F.col("__text"), compat, whole_text)),
-        ("response", answer),
     ]
     tagged = [_from(name, value) for name, value in steps]
     last = F.struct(
         F.lit("unresolved").alias("source"), prices.failure(F.lit("No price found in content")).alias("price_extraction")
     )
+    catalogue_name = F.when(F.col("source") == "response", blank_to_null(F.col("__item.product_name")))
     return (
         rows.withColumn("__r", F.coalesce(*tagged, last))
         .withColumn("source", F.col("__r.source"))
@@ -80,8 +86,8 @@ def extract_prices(
             "needs_second_source",
             ~F.col("price_extraction.success") | (F.coalesce("price_extraction.confidence", F.lit(0.0)) < 0.6),
         )
-        .withColumn("product_name", F.coalesce(blank_to_null(F.col("identified_product_name")), F.lit("Unknown Product")))
-        .drop("__r", "__text", "__page", "__cached", "__answer", "meta_tags", "structured_data")
+        .withColumn("product_name", F.coalesce(catalogue_name, blank_to_null(F.col("identified_product_name")), F.lit("Unknown Product")))
+        .drop("__r", "__text", "__page", "__cached", "__answer", "__item", "meta_tags", "structured_data")
     )
 
 
@@ -90,20 +96,10 @@ def catalogue_offers(responses: DataFrame, single_product: str, compat: bool = T
 
     ``single_product`` names the boolean column that marks product pages.
     """
-    item = "struct<product_name: string, price: double, currency: string, original_text: string, confidence: double>"
-    products = F.from_json(
-        F.get_json_object("raw_text", "$.products"), f"array<{item}>"
-    )
     rows = responses.select(
-        *responses.columns, F.posexplode(products).alias("product_pos", "p")
+        *responses.columns, F.posexplode(prices.catalogue_items(F.col("raw_text"))).alias("product_pos", "p")
     ).filter(~F.col(single_product) | (F.col("product_pos") == 0))
-    stated = prices.result(
-        F.coalesce("p.price", F.lit(0.0)),
-        F.coalesce("p.currency", F.lit("UYU")),
-        F.coalesce("p.original_text", F.lit("")),
-        F.coalesce("p.confidence", F.lit(0.8)),
-    )
     return rows.select(
         *responses.columns, "product_pos", F.col("p.product_name").alias("product_name"),
-        prices.reparsed(stated, compat).alias("price_extraction"),
+        prices.catalogue_price(F.col("p"), compat).alias("price_extraction"),
     )

@@ -45,14 +45,19 @@ def score_candidates(candidates: DataFrame, fold_accents: bool = False) -> DataF
     )
 
 
-def relevance_gate(scored: DataFrame, min_relevance: float = 0.2, top: int = 10) -> DataFrame:
-    """Best ``top`` candidates per search at or above the bar; a search with none above keeps its best.
+def relevance_gate(scored: DataFrame, min_relevance: float = 0.2, top: int | None = None) -> DataFrame:
+    """Best ``top`` candidates per search at or above the bar; a search with none above keeps its best. Without ``top``
+    all of them, unranked.
 
     Ranks are taken per (search, passed) first, so tasks cut before the shuffle and the per-search
     check looks at ``2 * top`` rows instead of the whole search.
     """
     passed = F.coalesce(F.col("relevance_score") >= min_relevance, F.lit(False))
     order = [F.col("combined_score").desc(), F.col("pos"), F.col("url")]
+    if top is None:
+        marked = scored.withColumn("__passed", passed)
+        best = marked.groupBy("query_id").agg(F.max("__passed").alias("__any"))
+        return marked.join(best, "query_id").filter(F.col("__passed") == F.col("__any")).select(*scored.columns)
     inside = Window.partitionBy("query_id", "__passed").orderBy(*order)
     best = (
         scored.withColumn("__passed", passed)

@@ -37,11 +37,11 @@ def engine_of(domain: Column) -> Column:
     return chain.when(low != "", low).otherwise("unknown")
 
 
-def parse_result_pages(serp_pages: DataFrame) -> DataFrame:
-    """Result pages (query_id, engine, html) to hits, whatever the engine.
+def parse_result_pages(serp_pages: DataFrame, max_hits: int | None = None) -> DataFrame:
+    """Result pages (query_id, engine, html) to hits, whatever the engine; the first ``max_hits`` of each page.
 
-    One Arrow pass finds the result blocks; cleaning, stage choice and caps stay in the row as
-    Column expressions, so nothing is shuffled.
+    One Arrow pass finds the result blocks; cleaning and stage choice stay in the row as Column expressions, so
+    nothing is shuffled.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,14 +65,19 @@ def parse_result_pages(serp_pages: DataFrame) -> DataFrame:
     )
     found = parsed.withColumn("found", let(clean, _best_stage))
     hits = F.when(F.size("found") > 0, F.col("found")).when(F.col("text").isNotNull(), _text_hits(F.col("text")))
+    hits = _first(hits, max_hits)
     return _hit_rows(found, hits, ["query_id", "engine"])
 
 
 def _best_stage(hits: Column) -> Column:
-    """Hits of the first stage that yields anything, at most 20."""
+    """Hits of the first stage that yields anything."""
     first = F.array_min(F.transform(hits, lambda h: h["stage"]))
     plain = lambda h: F.struct(h["title"].alias("title"), h["url"].alias("url"), h["description"].alias("description"))
-    return F.transform(F.slice(F.filter(hits, lambda h: h["stage"] == first), 1, 20), plain)
+    return F.transform(F.filter(hits, lambda h: h["stage"] == first), plain)
+
+
+def _first(items: Column, n: int | None) -> Column:
+    return items if n is None else F.slice(items, 1, n)
 
 
 def _hit_rows(pages: DataFrame, hits: Column, carried: list[str]) -> DataFrame:
@@ -91,19 +96,34 @@ _TEXT_PATTERNS = [
     (r"(?im)([a-zA-Z][^\n]*?(?:\.com\.uy|\.uy|\.com)[^\n]*?)\s*(https?://[^\s]+)"),
 ]
 _BARE_URL = r"(https?://[^\s]+(?:\.com\.uy|\.uy|\.com|\.org)[^\s]*)"
-_SKIP_TITLES = "next|previous|page|anonymous view|visit in anonymous"
+_SKIP_TITLES = ["next", "previous", "page", "anonymous view", "visit in anonymous"]
+_BANNERS = ["Web results", "Results"]
+_TEXT_TRACKING = ["srsltid=", "utm_"]
+_LIST_MARKS = "•-*| \t\n\r\f\u00a0"
+_AROUND = 200
 
 
 def _drop_tracking(url: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(url, r"[&?]srsltid=[^&]*", ""), r"[&?]utm_[^&]*", "")
+    return F.regexp_replace(url, "[&?](?:" + "|".join(_TEXT_TRACKING) + ")[^&]*", "")
 
 
 def _clean_title(title: Column) -> Column:
-    """Drop a leading results banner and list marks."""
-    bare = F.regexp_replace(title, r"(?U)^\s+|\s+$", "")
-    bare = F.regexp_replace(bare, r"(?i)^.*?(?:Web results|Results)", "")
-    bare = F.regexp_replace(bare, r"^[•\-*|\s]+", "")
-    return F.regexp_replace(bare, r"[•\-*|\s]+$", "")
+    """Drop what stands before the end of a results banner, then list marks and blanks at both ends."""
+    return F.btrim(F.regexp_replace(title, "(?i)^.*?(?:" + "|".join(_BANNERS) + ")", ""), F.lit(_LIST_MARKS))
+
+
+def _literal(text: Column) -> Column:
+    """Text as a pattern that matches just it."""
+    return F.concat(F.lit("\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
+def _description(body: Column, title: Column, url: Column) -> Column:
+    """The words right behind the URL or title, looked for around the URL; null where there are none."""
+    at = F.instr(body, url)
+    start = F.greatest(at - _AROUND, F.lit(1))
+    around = F.substring(body, start, at - start + F.length(url) + _AROUND)
+    pattern = F.concat(F.lit("(?is)(?:"), _literal(url), F.lit("|"), _literal(title), F.lit(")\\s*([A-Za-z][^\n]{10,100})"))
+    return F.when(at > 1, text.blank_to_null(F.trim(F.call_function("regexp_extract", around, pattern, F.lit(1)))))
 
 
 def _first_per_url(hits: Column) -> Column:
@@ -112,10 +132,10 @@ def _first_per_url(hits: Column) -> Column:
     return F.filter(hits, lambda h, i: F.array_position(seen, h["url"]) == i + 1)
 
 
-def text_hits(pages: DataFrame, column: str) -> DataFrame:
-    """Title and URL pairs from plain text (at most 15), else bare URLs titled by domain (at most 10)."""
+def text_hits(pages: DataFrame, column: str, max_hits: int | None = None) -> DataFrame:
+    """Title and URL pairs from plain text, else bare URLs titled by domain; the first ``max_hits`` of each text."""
     carried = [c for c in ("query_id", "engine") if c in pages.columns]
-    return _hit_rows(pages, _text_hits(F.col(column)), carried)
+    return _hit_rows(pages, _first(_text_hits(F.col(column)), max_hits), carried)
 
 
 def _text_hits(text: Column) -> Column:
@@ -151,15 +171,14 @@ def _titled_hits(body: Column) -> Column:
     )
     kept = F.filter(
         cleaned,
-        lambda h: h["url"].isNotNull() & (F.length(h["title"]) >= 3) & ~F.lower(h["title"]).rlike(_SKIP_TITLES),
+        lambda h: h["url"].isNotNull() & (F.length(h["title"]) >= 3) & ~F.lower(h["title"]).rlike("|".join(_SKIP_TITLES)),
     )
-    none = F.lit(None).cast("string")
-    shaped = lambda h: F.struct(F.left(h["title"], F.lit(100)).alias("title"), h["url"].alias("url"), none.alias("description"))
-    return let(kept, lambda k: F.transform(F.slice(_first_per_url(k), 1, 15), shaped))
+    shaped = lambda h: F.struct(h["title"].alias("title"), h["url"].alias("url"), _description(body, h["title"], h["url"]).alias("description"))
+    return let(kept, lambda k: F.transform(_first_per_url(k), shaped))
 
 
 def _bare_hits(body: Column) -> Column:
-    found = F.slice(F.array_distinct(F.regexp_extract_all(body, F.lit(_BARE_URL), 1)), 1, 10)
+    found = F.array_distinct(F.regexp_extract_all(body, F.lit(_BARE_URL), 1))
     clean = F.filter(F.transform(found, lambda u: urls.sanitize(_drop_tracking(u))), lambda u: u.isNotNull())
     domain = lambda u: F.replace(urls.netloc(u), F.lit("www."), F.lit(""))
     return F.transform(
@@ -172,12 +191,13 @@ def _bare_hits(body: Column) -> Column:
     )
 
 
-def flag_blocked(pages: DataFrame, html: str = "html") -> DataFrame:
-    mark = text.blocked_html(F.col(html))
+def flag_blocked(pages: DataFrame, html: str = "html", min_chars: int = 0) -> DataFrame:
+    """Add ``blocked`` and ``reason``; pages shorter than ``min_chars`` count as blocked."""
+    mark = text.blocked_html(F.col(html), min_chars)
     return pages.withColumn("blocked", mark["blocked"]).withColumn("reason", mark["reason"])
 
 
-def result_budget(hits: DataFrame, budget: int = 40) -> DataFrame:
+def result_budget(hits: DataFrame, budget: int) -> DataFrame:
     """First hit per query and URL, then the first ``budget`` per query.
 
     The second step is a top-n per key: tasks cut before the shuffle, so a busy query stays small.
@@ -188,10 +208,10 @@ def result_budget(hits: DataFrame, budget: int = 40) -> DataFrame:
 
 
 # -- engine breaker --------------------------------------------------------------------------
-def breaker_event() -> Column:
-    """open / close / none for a fetch log row (outcome, html_len, hits, blocked)."""
+def breaker_event(min_chars: int = 0) -> Column:
+    """open / close / none for a fetch log row (outcome, html_len, hits, blocked); shorter pages open it."""
     empty = (F.col("outcome") != "ok") | (F.coalesce("html_len", F.lit(0)) == 0)
-    tiny = F.col("html_len") < rules.BLOCKED_MIN_HTML
+    tiny = F.col("html_len") < min_chars
     return (
         F.when(empty | tiny, "open")
         .when((F.col("hits") == 0) & F.col("blocked"), "open")
@@ -200,10 +220,10 @@ def breaker_event() -> Column:
     )
 
 
-def breaker_state(fetch_log: DataFrame, as_of: Column, ttl_seconds: int = 1800) -> DataFrame:
+def breaker_state(fetch_log: DataFrame, as_of: Column, ttl_seconds: int = 1800, min_chars: int = 0) -> DataFrame:
     """Engine state at ``as_of``: the latest deciding event, while it is younger than the TTL."""
     decided = (
-        fetch_log.withColumn("event", breaker_event())
+        fetch_log.withColumn("event", breaker_event(min_chars))
         .filter((F.col("event") != "none") & (F.col("ts") <= as_of))
         .groupBy("engine")
         .agg(F.max_by("event", F.struct("ts", "event")).alias("event"), F.max("ts").alias("since"))

@@ -11,46 +11,56 @@ from pricelake.operators import geography, offers, pagetypes, pricing, relevance
 from pricelake.session import cut_lineage
 
 
-def best_pages(candidates: DataFrame, per_host: int = 10, top: int = 10, min_relevance: float = 0.2) -> DataFrame:
-    """Most relevant distinct pages per search, at most ``per_host`` from one host.
+def best_pages(candidates: DataFrame, per_host: int | None = None, top: int | None = None, min_relevance: float = 0.2) -> DataFrame:
+    """Most relevant distinct pages per search; at most ``per_host`` from one host and ``top`` in all where given.
 
     ``candidates(query_id, query, pos, url, original_title, original_snippet)``. Clean, dedupe and cap
     first (both cut inside the tasks), score what is left, then gate.
     """
-    clean = urls.with_sanitized(candidates, "url", "url").filter(F.col("url").isNotNull())
-    capped = cand.host_cap(cand.pattern_filter(clean), per_host)
+    capped = cand.host_cap(cand.pattern_filter(urls.clean_rows(candidates)), per_host)
     return relevance.relevance_gate(relevance.score_candidates(capped), min_relevance, top)
 
 
 def typed_candidates(
-    queries: DataFrame, hits: DataFrame, edges: DataFrame, decisions: DataFrame, as_of: Column,
-    per_host: int = 10, mode: str = "label",
-) -> DataFrame:
-    """Result hits to typed product candidates, with links of category pages added."""
-    clean = urls.with_sanitized(hits, "url", "url").filter(F.col("url").isNotNull())
-    capped = cand.host_cap(cand.pattern_filter(clean), per_host)
-    local = geography.validate(
-        capped.join(queries.select("query_id", "query", "country", "city"), "query_id"), decisions, as_of, mode
-    ).filter(F.col("geo_status") == "true")
-    # capped per host, so small next to the hits, and read twice below
-    typed = cut_lineage(pagetypes.drop_errors(pagetypes.page_type(local, "country")))
-    terms = typed.withColumn("terms", F.split("query", r"\s+"))
-    categories = terms.filter(F.col("page_type") == "CATEGORY").select("query_id", "url", "pos", "terms")
+    queries: DataFrame, hits: DataFrame, edges: DataFrame, decisions: DataFrame, as_of: Column, mode: str = "label",
+    per_host: int | None = None, links_per_host: int | None = None, links_per_query: int | None = None, new_links: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Result hits to (typed product candidates with links of category pages added, what no rule decides).
+
+    The second table has the rows to label outside: ``stage`` is ``geography`` or ``page_type``. Links of category pages
+    pass the same place test as hits. All limits are off by default.
+    """
+    asked = queries.select("query_id", "query", "country", "city")
+    capped = cand.host_cap(cand.pattern_filter(urls.clean_rows(hits)), per_host)
+    placed = cut_lineage(geography.validate(capped.join(asked, "query_id"), decisions, as_of, mode))
+    # read for products, for categories and for what is open
+    typed = cut_lineage(pagetypes.drop_errors(pagetypes.page_type(placed.filter("geo_status = 'true'"), "country")))
+    categories = typed.filter(F.col("page_type") == "CATEGORY").select("query_id", "url", "pos", F.split("query", r"\s+").alias("terms"), "country")
+    links = pagetypes.expand_categories(categories, edges, links_per_host, links_per_query)
+    local = cut_lineage(geography.validate(links.join(asked.drop("country"), "query_id"), decisions, as_of, mode))
     grown = pagetypes.merge_expanded(
-        typed.filter(F.col("page_type") == "PRODUCT"), pagetypes.expand_categories(categories, edges)
+        typed.filter(F.col("page_type") == "PRODUCT"), local.filter("geo_status = 'true'").select(*links.columns), new_links
     )
-    return grown.join(queries.select("query_id", "query"), "query_id")
+    stages = [
+        (placed, "geo_status = 'unresolved'", "geography"), (local, "geo_status = 'unresolved'", "geography"),
+        (typed, "page_type = 'UNRESOLVED'", "page_type"),
+    ]
+    unresolved = [t.filter(test).select("query_id", "url", "pos", F.lit(stage).alias("stage")) for t, test, stage in stages]
+    return grown.join(asked.select("query_id", "query"), "query_id"), unresolved[0].union(unresolved[1]).union(unresolved[2])
 
 
 def search_to_offers(
     queries: DataFrame, hits: DataFrame, edges: DataFrame, content: DataFrame, decisions: DataFrame,
-    as_of: Column, responses: DataFrame | None = None, mode: str = "label",
-) -> tuple[DataFrame, DataFrame]:
-    """(ranked offers, one summary per request) for any number of searches in one job."""
-    typed = typed_candidates(queries, hits, edges, decisions, as_of, mode=mode)
-    gated = relevance.relevance_gate(relevance.score_candidates(typed))
+    as_of: Column, responses: DataFrame | None = None, mode: str = "label", top: int | None = None,
+    min_relevance: float = 0.2, **limits: int | None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ranked offers, one summary per request, unresolved candidates) for any number of searches in one job.
+
+    ``limits`` are those of ``typed_candidates``; ``top`` is the number of pages priced per search.
+    """
+    typed, unresolved = typed_candidates(queries, hits, edges, decisions, as_of, mode, **limits)
+    gated = relevance.relevance_gate(relevance.score_candidates(typed), min_relevance, top)
     named = gated.withColumn("identified_product_name", F.coalesce("original_title", "query"))
     priced = pricing.extract_prices(named, content, responses=responses)
     unique = offers.dedupe_names(offers.first_per_url(priced))
-    ranked = offers.rank_offers(unique)
-    return ranked, offers.search_summaries(queries, unique)
+    return offers.rank_offers(unique), offers.search_summaries(queries, unique), unresolved

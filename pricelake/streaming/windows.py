@@ -53,10 +53,10 @@ def suppress_seen(rows: DataFrame, url: str = "url", ts: str = "ts", delay: str
     )
 
 
-def blocked_sessions(fetch_log: DataFrame, gap: str = "30 minutes", delay: str = "30 minutes") -> DataFrame:
+def blocked_sessions(fetch_log: DataFrame, gap: str = "30 minutes", delay: str = "30 minutes", min_chars: int = 0) -> DataFrame:
     """Runs of blocked fetches per engine, closed by a pause of ``gap``."""
     return (
-        fetch_log.withColumn("event", breaker_event())
+        fetch_log.withColumn("event", breaker_event(min_chars))
         .filter(F.col("event") == "open")
         .withWatermark("ts", delay)
         .groupBy("engine", F.session_window("ts", gap))

@@ -127,7 +127,7 @@ def test_host_cap_and_gate_are_stable(spark):
 
     def outcome(parts):
         capped = candidates.host_cap(df.repartition(parts), 4)
-        gated = relevance.relevance_gate(relevance.score_candidates(capped))
+        gated = relevance.relevance_gate(relevance.score_candidates(capped), top=10)
         return sorted((r.query_id, r.pos) for r in capped.collect()), sorted((r.query_id, r.rank, r.url) for r in gated.collect())
 
     first = outcome(1)
@@ -142,7 +142,7 @@ def test_host_cap_and_gate_are_stable(spark):
 def test_gate_falls_back_when_nothing_passes(spark):
     df = spark.createDataFrame([(1, 0, "a", 0.1, 0.1), (1, 1, "b", 0.1, 0.15), (2, 0, "c", 0.5, 0.5), (2, 1, "d", 0.1, 0.9)],
                                "query_id int, pos int, url string, relevance_score double, combined_score double")
-    got = sorted((r.query_id, r.rank, r.url) for r in relevance.relevance_gate(df).collect())
+    got = sorted((r.query_id, r.rank, r.url) for r in relevance.relevance_gate(df, top=10).collect())
     assert got == [(1, 1, "b"), (1, 2, "a"), (2, 1, "c")]
 
 

@@ -39,6 +39,13 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "StringContains(url,example.org)" in contains
 
 
+def test_clean_up_stands_once(spark):
+    """Filters above the URL clean-up use its value; the repair chain is not copied into them."""
+    for name in ("relevance_gate",):
+        plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("›‹»«]*, 0)") == 1, name
+
+
 def test_first_wins_combines_before_the_shuffle(spark):
     plan = plan_of(QUERIES["urls_dedupe_first"](spark, SMALL))
     assert "partial_min_by" in plan
