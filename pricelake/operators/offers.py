@@ -207,12 +207,13 @@ def cluster_winners(members: DataFrame) -> DataFrame:
 def dedupe_names(offers: DataFrame, threshold: float = 0.85) -> DataFrame:
     """One offer per product per search; offers without a usable name are all kept.
 
-    Equal names always share a leader, so only distinct names are compared.
+    Equal names always share a leader, so only distinct names are compared. Offers are ordered by position, then URL, so
+    equal positions do no harm; ``leader`` is the position of the offer whose name leads the cluster.
     """
+    shown = offers.withColumn("name", product_name_key(F.col("product_name"))).withColumn("pos", F.col("pos").cast("bigint"))
     # offers end a long job and are read several times below, so they are written once
-    keyed = cut_lineage(
-        offers.withColumn("name", product_name_key(F.col("product_name"))).withColumn("pos", F.col("pos").cast("bigint"))
-    )
+    placed = cut_lineage(ranked(shown, ["query_id"], ["pos", "url"], "__place"))
+    keyed = placed.withColumnRenamed("pos", "__shown").withColumnRenamed("__place", "pos")
     named = keyed.filter(F.col("name") != "")
     distinct = cut_lineage(named.groupBy("query_id", "name").agg(F.min("pos").alias("pos")))
     leaders = name_leaders(distinct, threshold).join(distinct, ["query_id", "pos"]).select("query_id", "name", "leader")
@@ -228,7 +229,11 @@ def dedupe_names(offers: DataFrame, threshold: float = 0.85) -> DataFrame:
     kept = winners.select("query_id", F.col("winner").alias("pos"), "leader").unionByName(
         keyed.filter(F.col("name") == "").select("query_id", "pos", F.col("pos").alias("leader"))
     )
-    return keyed.join(kept, ["query_id", "pos"]).drop("name")
+    leading = placed.select("query_id", F.col("__place").alias("__leader"), F.col("pos").alias("leader"))
+    found = placed.drop("name").join(
+        kept.select("query_id", F.col("pos").alias("__place"), F.col("leader").alias("__leader")), ["query_id", "__place"]
+    )
+    return found.join(leading, ["query_id", "__leader"]).select(*offers.columns, "leader")
 
 
 # -- ranking ---------------------------------------------------------------------------------

@@ -143,10 +143,10 @@ class _Breaker(StatefulProcessor):
         pass
 
 
-def breaker_changes(fetch_log: DataFrame, ttl_seconds: int = 1800, delay: str = "1 minute") -> DataFrame:
+def breaker_changes(fetch_log: DataFrame, ttl_seconds: int = 1800, delay: str = "1 minute", min_chars: int = 0) -> DataFrame:
     """State changes per engine from a stream of fetch log rows."""
     return (
-        fetch_log.withColumn("event", breaker_event())
+        fetch_log.withColumn("event", breaker_event(min_chars))
         .filter(F.col("event") != "none")
         .select("engine", "ts", "event")
         .withWatermark("ts", delay)

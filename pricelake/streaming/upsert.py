@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pricelake.operators.store import upsert_pages
 
+NO_BATCH = -1
+
+
+def _commit(spark: SparkSession, table: str, kind: str, batch: int) -> None:
+    """A row in the table of finished parts; what has no row is not read."""
+    row = spark.range(1).select(F.lit(kind).alias("kind"), F.lit(batch).cast("long").alias("batch"))
+    row.coalesce(1).write.mode("append").parquet(f"{table}/commits")
+
+
+def _commits(spark: SparkSession, table: str) -> tuple[int, list[int]]:
+    """(last batch inside the newest base, batches landed after it): as many numbers as batches since the last fold."""
+    rows = spark.read.schema("kind string, batch long").parquet(f"{table}/commits")
+    upto = rows.filter("kind = 'base'").agg(F.max("batch")).first()[0]
+    fresh = rows.filter((F.col("kind") == "change") & (F.col("batch") > upto)).select("batch").distinct()
+    return upto, sorted(r["batch"] for r in fresh.collect())
+
 
 def create_table(pages: DataFrame, table: str) -> None:
-    pages.write.mode("errorifexists").parquet(f"{table}/base/upto=none")
+    pages.write.mode("errorifexists").parquet(f"{table}/base/upto={NO_BATCH}")
+    _commit(pages.sparkSession, table, "base", NO_BATCH)
 
 
 def start_upsert(stream: DataFrame, table: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -22,41 +38,26 @@ def start_upsert(stream: DataFrame, table: str, checkpoint: str, **trigger) -> S
     """
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/changes/batch={batch_id:012d}")
+        batch.write.mode("overwrite").parquet(f"{table}/changes/batch={batch_id}")
+        _commit(batch.sparkSession, table, "change", batch_id)
 
     writer = stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def current(spark: SparkSession, table: str, fetched_at: str = "fetched_at") -> DataFrame:
-    """Pages as of the last landed batch: newest base merged with the changes after it."""
-    upto = _newest_base(spark, table)
+    """Pages as of the last landed batch: newest base merged with the changes after it, read in one scan."""
+    upto, fresh = _commits(spark, table)
     base = spark.read.parquet(f"{table}/base/upto={upto}")
-    fresh = [b for b in _finished(spark, f"{table}/changes", "batch=") if upto == "none" or b > upto]
     if not fresh:
         return base
-    changes = reduce(DataFrame.unionByName, [spark.read.parquet(f"{table}/changes/batch={b}") for b in fresh])
+    changes = spark.read.parquet(f"{table}/changes").filter(F.col("batch").isin(fresh)).drop("batch")
     return upsert_pages(base, changes, fetched_at)
 
 
 def compact(spark: SparkSession, table: str, fetched_at: str = "fetched_at") -> None:
-    """Fold all landed changes into a new base; readers switch when it is complete."""
-    batches = _finished(spark, f"{table}/changes", "batch=")
-    if batches and max(batches) != _newest_base(spark, table):
-        current(spark, table, fetched_at).write.mode("overwrite").parquet(f"{table}/base/upto={max(batches)}")
-
-
-def _newest_base(spark: SparkSession, table: str) -> str:
-    done = [v for v in _finished(spark, f"{table}/base", "upto=") if v != "none"]
-    return max(done) if done else "none"
-
-
-def _finished(spark: SparkSession, folder: str, prefix: str) -> list[str]:
-    """Names of the completely written subfolders."""
-    path_of = spark._jvm.org.apache.hadoop.fs.Path
-    where = path_of(folder)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(where):
-        return []
-    names = [s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith(prefix)]
-    return [p.getName()[len(prefix):] for p in names if fs.exists(path_of(p, "_SUCCESS"))]
+    """Fold all landed changes into a new base; readers switch when its commit row is there."""
+    _, fresh = _commits(spark, table)
+    if fresh:
+        current(spark, table, fetched_at).write.mode("overwrite").parquet(f"{table}/base/upto={fresh[-1]}")
+        _commit(spark, table, "base", fresh[-1])
