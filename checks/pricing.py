@@ -294,7 +294,7 @@ def offer_names(spark, sf):
     return table(spark, sf, "part", spread=True).select("p_partkey", text.product_name_key(shown).alias("name"))
 
 
-@query("offers_dedupe", f"""WITH o AS (SELECT l_suppkey AS query_id, 'https://shop.example.com/p/' || l_partkey AS url, l_orderkey * 8 + l_linenumber AS pos, md5(p_name) AS base,
+@query("offers_dedupe", f"""WITH o AS (SELECT l_suppkey AS query_id, 'https://shop.example.com/p/' || l_partkey AS url, l_orderkey * 8 + l_linenumber AS pos, substr(md5(p_name), 1, 12) AS base,
       floor(l_extendedprice * 100 / l_quantity) / 100 AS price, CASE WHEN l_linestatus = 'O' THEN 'USD' ELSE 'UYU' END AS currency, round(1 - l_discount, 2) AS confidence
       FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag <> 'R' QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY pos) = 1),
     c AS (SELECT query_id, base, min(pos) AS leader, list_reduce(list({{'url': url, 'price': price, 'currency': currency, 'confidence': confidence}} ORDER BY pos, url),
@@ -302,8 +302,8 @@ def offer_names(spark, sf):
     SELECT query_id, w.url AS url, leader, w.price AS price FROM c""")
 def offers_dedupe(spark, sf):
     """Names are far-apart bases, one per part name, half of them with a changed letter: clusters are known."""
-    base = F.md5(F.col("product_name"))
-    spelled = F.when(F.col("pos") % 2 == 0, base).otherwise(F.concat(F.lit("x"), F.substring(base, 2, 31)))
+    base = F.left(F.md5(F.col("product_name")), F.lit(12))
+    spelled = F.when(F.col("pos") % 2 == 0, base).otherwise(F.concat(F.lit("x"), F.substring(base, 2, 11)))
     first = offer_ops.first_per_url(shop_offers(spark, sf).withColumn("product_name", spelled))
     return offer_ops.dedupe_names(first).select("query_id", "url", "leader", F.col("price_extraction.price").alias("price"))
 
