@@ -291,13 +291,38 @@ def alert_intervals(spark, sf):
     )
 
 
-@query("alert_rules", """WITH s AS (SELECT user_id, ((epoch_us(ts) // 1000000) // 30 + 1) * 30 AS e, max_by(value, (ts, event_id)) AS v FROM events WHERE event_type = 'view' GROUP BY ALL)
-    SELECT 'ApplicationDown' AS alert, 'critical' AS severity, 'pending' AS state, count(*) AS runs FROM s WHERE v < 5 HAVING count(*) > 0""")
+# each user's events are samples of all metrics; a slow and a steep counter follow the clock
+_RULES = """e AS (SELECT user_id AS u, event_id, ts, epoch_us(ts) / 1e6 AS t, value, (epoch_us(ts) // 30000000 + 1) * 30 AS st FROM events WHERE event_type = 'view'),
+    p AS (SELECT u, st, max_by(value, (ts, event_id)) AS v, max(t) AS seen FROM e GROUP BY u, st),
+    q AS (SELECT *, least(coalesce(lead(st) OVER (PARTITION BY u ORDER BY st) - 30, (SELECT max(st) FROM p)), floor((seen + 300) / 30) * 30) AS upto FROM p),
+    i AS (SELECT u, v, unnest(range(st, greatest(st, upto)::BIGINT + 1, 30)) AS st FROM q),
+    c AS (SELECT u, st, unnest([u % 3, u % 5]) AS k, unnest(['PodRestartingFrequently', 'HighErrorRate']) AS alert, unnest([3600, 300]) AS span, unnest([0.5, 0.1]) AS most,
+      floor(t * 1000) / 1000 - lag(floor(t * 1000) / 1000) OVER (PARTITION BY u ORDER BY t) AS d FROM e),
+    s AS (SELECT alert, u, span, most, st, sum(d * k) AS d FROM c WHERE d IS NOT NULL GROUP BY ALL),
+    r AS (SELECT alert, u, x AS st, sum(d) / any_value(span) AS v, any_value(most) AS most FROM (SELECT *, unnest(range(st, st + span, 30)) AS x FROM s) GROUP BY alert, u, x),
+    a AS (SELECT 'ApplicationDown' AS alert, u, st FROM i WHERE v < 5 UNION ALL SELECT 'HighMemoryUsage', u, st FROM i WHERE v < 15
+      UNION ALL SELECT alert, u, st FROM r WHERE v > most),
+    f AS (SELECT *, CASE WHEN st - lag(st) OVER (PARTITION BY alert, u ORDER BY st) = 30 THEN 0 ELSE 1 END AS fresh FROM a),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY alert, u ORDER BY st ROWS UNBOUNDED PRECEDING) AS run FROM f),
+    runs AS (SELECT alert, u, max(st) - min(st) AS held, count(*) AS n FROM g GROUP BY alert, u, run)"""
+
+
+@query("alert_rules", f"""WITH {_RULES} SELECT alert, CASE alert WHEN 'ApplicationDown' THEN 'critical' ELSE 'warning' END AS severity,
+    CASE WHEN held >= CASE alert WHEN 'HighMemoryUsage' THEN 300 WHEN 'ApplicationDown' THEN 60 ELSE 120 END THEN 'firing' ELSE 'pending' END AS state,
+    count(*) AS runs, CAST(sum(n) AS BIGINT) AS evaluations FROM runs GROUP BY ALL""")
 def alert_rules(spark, sf):
-    """Views as up samples, down when the value is small; other rules have no samples here."""
-    rows = table(spark, sf, "events").filter("event_type = 'view'").select(
-        "ts", F.lit("up").alias("metric"),
-        F.create_map(F.lit("job"), F.lit("applications"), F.lit("instance"), F.col("user_id").cast("string")).alias("labels"),
-        F.when(F.col("value") < 5, 0.0).otherwise(1.0).alias("value"),
+    """All four rules: views as irregular samples of up, memory and two counters."""
+    user = F.col("user_id")
+    clock = F.floor(F.unix_micros("ts") / 1000) / 1000
+    metrics_of = F.array(
+        F.struct(F.lit("up").alias("metric"), F.when(F.col("value") < 5, 0.0).otherwise(1.0).alias("value")),
+        F.struct(F.lit("node_memory_MemTotal_bytes").alias("metric"), F.lit(100.0).alias("value")),
+        F.struct(F.lit("node_memory_MemAvailable_bytes").alias("metric"), F.col("value")),
+        F.struct(F.lit("kube_pod_container_status_restarts_total").alias("metric"), (clock * (user % 3)).alias("value")),
+        F.struct(F.lit("promhttp_metric_handler_requests_total").alias("metric"), (clock * (user % 5)).alias("value")),
+    )
+    labels = F.create_map(F.lit("job"), F.lit("applications"), F.lit("code"), F.lit("500"), F.lit("instance"), user.cast("string"))
+    rows = table(spark, sf, "events").filter("event_type = 'view'").select("ts", labels.alias("labels"), F.explode(metrics_of).alias("m"))
+    return metrics.fire_alerts(rows.select("ts", "labels", "m.*")).groupBy("alert", "severity", "state").agg(
+        F.count(F.lit(1)).alias("runs"), F.sum("evaluations").alias("evaluations")
     )
-    return metrics.fire_alerts(rows).groupBy("alert", "severity", "state").agg(F.count(F.lit(1)).alias("runs"))

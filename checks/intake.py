@@ -535,9 +535,11 @@ def category_merge(spark, sf):
     return pagetypes.merge_expanded(have, expanded, 10).select("query_id", "url", "original_title", "pos")
 
 
-@query("category_fallback", f"""SELECT s_nationkey AS query_id, 'https://shop' || s_suppkey % 20 || '.example.com.uy/producto/' || replace(p_name, ' ', '-') || '/producto/' || l_partkey AS url
-    FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE NOT starts_with(p_name, 'old') GROUP BY ALL""")
+@query("category_fallback", f"""WITH {_EXPANDED.replace("<= 8)", "<= 1)")}, few AS (SELECT s_nationkey AS query_id FROM supplier LEFT JOIN expanded ON query_id = s_nationkey GROUP BY s_nationkey HAVING count(DISTINCT url) < 3)
+    SELECT s_nationkey AS query_id, 'https://shop' || s_suppkey % 20 || '.example.com.uy/producto/' || replace(p_name, ' ', '-') || '/producto/' || l_partkey AS url
+    FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE NOT starts_with(p_name, 'old') AND s_nationkey IN (SELECT query_id FROM few) GROUP BY ALL""")
 def category_fallback(spark, sf):
+    """With one link per host some searches find too little."""
     categories, edges = category_tables(spark, sf)
-    every = categories.select("query_id").distinct().withColumn("needs_labels", F.lit(True))
-    return pagetypes.fallback_links(categories, edges, every).select("query_id", "url")
+    low = pagetypes.low_yield(categories, pagetypes.expand_categories(categories, edges, 1, 50))
+    return pagetypes.fallback_links(categories, edges, low).select("query_id", "url")

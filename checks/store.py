@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -10,12 +11,27 @@ from checks import urlsql as U
 from checks.common import query, sql_stamp, stamp, table
 from pricelake.operators import pages as page_ops
 from pricelake.operators import store
+from pricelake.session import shared_folder
 from pricelake.sources import pages as page_source
 
 
-@query("pages_scan", "SELECT page_id, url, length(html) AS html_len FROM pages")
+@query("pages_scan", f"SELECT 'https://site.example.com/e/' || event_id AS url, event_type AS title, props AS main_content, {sql_stamp('ts')} AS crawled_at FROM events")
 def pages_scan(spark, sf):
-    return table(spark, sf, "pages").select("page_id", "url", F.length("html").alias("html_len"))
+    """Pages written by crawl date and read back."""
+    folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    page_source.write_pages(stored_pages(spark, sf), folder)
+    return page_source.read_pages(spark, folder).select("url", "title", "main_content", stamp("crawled_at"))
+
+
+@query("page_clear", "SELECT count(*) AS before, 0::BIGINT AS after, 18 AS columns FROM events")
+def page_clear(spark, sf):
+    """A cleared table keeps its columns."""
+    pages, folder = stored_pages(spark, sf), f"{shared_folder(spark)}/clear-{uuid.uuid4().hex}"
+    pages.write.parquet(folder)
+    before = spark.read.parquet(folder).count()
+    store.clear_table(pages, folder)
+    left = spark.read.parquet(folder)
+    return left.agg(F.lit(before).alias("before"), F.count(F.lit(1)).alias("after"), F.lit(len(left.columns)).alias("columns"))
 
 
 def versions(spark, sf):

@@ -209,6 +209,25 @@ def crawl_reach(spark, sf):
     return frontier.crawl_frontier(seeds, edges, max_depth=2).select("url", "depth")
 
 
+@query("crawl_bounded", """WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_partkey % 10 <> 0 AND l_partkey % 7 <> 0),
+    d0 AS (SELECT s_suppkey AS s FROM supplier WHERE s_nationkey = 3),
+    d1 AS (SELECT p, min((s, p)) AS o FROM e WHERE s IN (SELECT s FROM d0) GROUP BY p),
+    d2 AS (SELECT p, row_number() OVER (ORDER BY o) AS r FROM d1)
+    SELECT 'https://shop.example.com/s/' || s AS url, 0 AS depth FROM d0
+    UNION ALL SELECT 'https://shop.example.com/p/' || p, 1 FROM d2 WHERE r <= 60 - (SELECT count(*) FROM d0)""")
+def crawl_bounded(spark, sf):
+    """As above with a page limit, one allowed host and an exclusion: every seventh part is on another host, every tenth excluded."""
+    shop = lambda c: F.concat(F.lit("https://shop.example.com/s/"), F.col(c).cast("string"))
+    host = F.when(F.col("l_partkey") % 7 == 0, F.lit("https://far.example.com/p/")).otherwise(F.lit("https://shop.example.com/p/"))
+    edges = table(spark, sf, "lineitem").select(
+        shop("l_suppkey").alias("src"), F.concat(host, F.col("l_partkey").cast("string")).alias("dst"), F.col("l_partkey").alias("pos")
+    )
+    seeds = table(spark, sf, "supplier").filter("s_nationkey = 3").select(shop("s_suppkey").alias("url"), F.col("s_suppkey").alias("pos"))
+    return frontier.crawl_frontier(
+        seeds, edges, max_depth=1, max_pages=60, domains=["shop.example.com"], exclude=["*/p/*0"]
+    ).select("url", "depth")
+
+
 @query("crawl_robots", f"""SELECT page_id, CASE WHEN starts_with({U.netloc('url')}, 'www.') THEN true
     WHEN starts_with({U.netloc('url')}, 'blog.') THEN NOT starts_with({U.path('url')}, '/es/')
     ELSE starts_with({U.path('url')}, '/de/9') OR NOT starts_with({U.path('url')}, '/de/') END AS allowed FROM pages""")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelake.operators.ordered import with_last_mark, with_previous
+from pricelake.session import cut_lineage
 
 
 def match_labels(
@@ -139,20 +140,45 @@ ALERT_RULES = [
 MEMORY_LIMIT, RESTART_RATE_LIMIT, ERROR_RATE_LIMIT = 0.85, 0.5, 0.1
 
 
-def evaluation_points(samples: DataFrame, series: list[str], step_seconds: int = 30, tie: str | None = None) -> DataFrame:
-    """Latest value of each series in each evaluation step; steps without a sample have no row."""
+def evaluation_points(
+    samples: DataFrame, series: list[str], step_seconds: int = 30, tie: str | None = None, lookback_seconds: int = 0
+) -> DataFrame:
+    """Latest value of each series in each evaluation step.
+
+    A step without a sample sees the last one, as long as that is at most ``lookback_seconds`` old; without lookback it
+    has no row. The grid ends at the step of the newest sample of all.
+    """
     at = (F.floor(F.unix_micros("ts") / (step_seconds * 1000000)) + 1) * step_seconds
     order = F.struct("ts", *([tie] if tie else []))
-    return samples.groupBy(*series, F.timestamp_seconds(at).alias("eval_ts")).agg(F.max_by("value", order).alias("value"))
+    points = samples.groupBy(*series, at.alias("__at")).agg(F.max_by("value", order).alias("value"), F.max("ts").alias("__seen"))
+    shown = lambda rows: rows.select(*series, F.timestamp_seconds("__at").alias("eval_ts"), "value")
+    if not lookback_seconds:
+        return shown(points)
+    points = cut_lineage(points.withColumn("__ts", F.timestamp_seconds("__at")))
+    end = points.agg(F.max("__at")).first()[0]
+    last_seen = lambda seen: F.floor((F.unix_micros(seen) / 1000000 + lookback_seconds) / step_seconds) * step_seconds
+
+    def filled(rows: DataFrame, first: Column, last: Column) -> DataFrame:
+        steps = F.when(first <= last, F.sequence(first, last, F.lit(step_seconds).cast("bigint")))
+        return rows.select(*series, F.explode(steps).alias("__at"), "value")
+
+    linked = with_previous(points, series, "__ts", F.struct("value", "__seen", "__at"), "__prev").select(
+        *series, F.col("__at").alias("__here"), "__prev.*"
+    )
+    gaps = filled(linked, F.col("__at") + step_seconds, F.least(F.col("__here") - step_seconds, last_seen("__seen")))
+    tails = points.groupBy(*series).agg(F.max_by(F.struct("value", "__seen", "__at"), "__at").alias("__l")).select(*series, "__l.*")
+    ends = filled(tails, F.col("__at") + step_seconds, F.least(F.lit(end), last_seen("__seen")))
+    return shown(points.select(*series, "__at", "value").unionByName(gaps).unionByName(ends))
 
 
-def alert_conditions(samples: DataFrame, step_seconds: int = 30) -> DataFrame:
-    """The four rules over ``samples`` as (alert, series, eval_ts, active)."""
+def alert_conditions(samples: DataFrame, step_seconds: int = 30, lookback_seconds: int = 300) -> DataFrame:
+    """The four rules over ``samples`` as (alert, series, eval_ts, active). Rules over single samples see the last one
+    for ``lookback_seconds``, so a missed scrape does not end an alert."""
     key = F.to_json("labels")
     rows = samples.select("ts", "metric", "labels", "value", key.alias("series"))
 
     def points(part: DataFrame, on: list[str]) -> DataFrame:
-        return evaluation_points(part, on, step_seconds)
+        return evaluation_points(part, on, step_seconds, lookback_seconds=lookback_seconds)
 
     memory = points(
         rows.filter(F.col("metric").isin("node_memory_MemTotal_bytes", "node_memory_MemAvailable_bytes")), ["series", "metric"]
@@ -210,11 +236,11 @@ def alert_intervals(
     )
 
 
-def fire_alerts(samples: DataFrame, step_seconds: int = 30) -> DataFrame:
+def fire_alerts(samples: DataFrame, step_seconds: int = 30, lookback_seconds: int = 300) -> DataFrame:
     """All four rules to alert intervals with severity."""
     hold = F.create_map(*[F.lit(x) for n, h, _ in ALERT_RULES for x in (n, h)])
     severity = F.create_map(*[F.lit(x) for n, _, s in ALERT_RULES for x in (n, s)])
     runs = alert_intervals(
-        alert_conditions(samples, step_seconds), ["alert", "series"], step_seconds, F.element_at(hold, F.col("alert"))
+        alert_conditions(samples, step_seconds, lookback_seconds), ["alert", "series"], step_seconds, F.element_at(hold, F.col("alert"))
     )
     return runs.withColumn("severity", F.element_at(severity, F.col("alert")))
