@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelake.functions import urls
-from pricelake.session import SMALL_SIDE_ROWS, cut_lineage
+from pricelake.session import BROADCAST_BYTES, cut_lineage, measured_bytes
 
 
 def allowed_domains(table: DataFrame, domains: list[str], url: str = "url") -> DataFrame:
@@ -51,7 +51,7 @@ def crawl_frontier(
         .agg(F.array(F.min("pos").cast("bigint")).alias("pos"))
         .select("url", "pos", F.lit(None).cast("string").alias("parent"))
     )
-    visited, used, depth = None, 0, 0
+    visited, used, depth, known_bytes = None, 0, 0, 0
     while True:
         if max_pages is not None:
             level = remaining_slots(level, max_pages - used)
@@ -64,16 +64,17 @@ def crawl_frontier(
         if depth == max_depth or (max_pages is not None and used >= max_pages):
             break
         # order of the next level: order of the parent, then of the link on its page
-        # level sizes are known here, so the small side is never guessed
+        # levels are written down, so the small side is measured and never guessed
         near = level.select(F.col("url").alias("src"), F.col("pos").alias("src_pos"))
         known = visited.select("url")
+        known_bytes += measured_bytes(level.select("url"))
         reach = (
-            (F.broadcast(near) if size <= SMALL_SIDE_ROWS else near)
+            (F.broadcast(near) if measured_bytes(near) <= BROADCAST_BYTES else near)
             .join(edges, "src")
             .groupBy(F.col("dst").alias("url"))
             .agg(F.min(F.struct("src_pos", "pos", "src")).alias("first"))
         )
-        fresh = admitted(reach.join(F.broadcast(known) if used <= SMALL_SIDE_ROWS else known, "url", "left_anti"))
+        fresh = admitted(reach.join(F.broadcast(known) if known_bytes <= BROADCAST_BYTES else known, "url", "left_anti"))
         level = fresh.select(
             "url",
             F.concat("first.src_pos", F.array(F.col("first.pos").cast("bigint"))).alias("pos"),

@@ -4,16 +4,43 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricelake.functions import rules
 from pricelake.functions.text import blank_to_null
 from pricelake.operators.ordered import ranked
+from pricelake.session import cut_lineage
 
 
 # -- pages -----------------------------------------------------------------------------------
+BUCKETS = 256
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
+
+
+def write_buckets(pages: DataFrame, location: str, buckets: int = BUCKETS) -> None:
+    """Page table in folders by URL hash, for merges that touch only what they change."""
+    pages.withColumn("bucket", _bucket(buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(location)
+
+
+def merge_buckets(spark: SparkSession, location: str, delta: DataFrame, buckets: int = BUCKETS, fetched_at: str = "fetched_at") -> list[int]:
+    """Merge new page versions into a bucketed table; only the folders they fall into are read and replaced.
+
+    Returns the buckets touched, at most ``buckets`` numbers.
+    """
+    fresh = cut_lineage(delta.withColumn("bucket", _bucket(buckets)))
+    touched = sorted(r["bucket"] for r in fresh.select("bucket").distinct().collect())
+    if touched:
+        base = spark.read.parquet(location).filter(F.col("bucket").isin(touched)).drop("bucket")
+        merged = cut_lineage(upsert_pages(base, fresh.drop("bucket"), fetched_at).withColumn("bucket", _bucket(buckets)))
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(location)
+    return touched
+
+
 def upsert_pages(base: DataFrame, delta: DataFrame, fetched_at: str = "fetched_at") -> DataFrame:
     """Merge new page versions by ``url``.
 
@@ -31,7 +58,8 @@ def upsert_pages(base: DataFrame, delta: DataFrame, fetched_at: str = "fetched_a
         F.col(fetched_at).alias("__at"),
         F.lit(1).alias("__new"),
     )
-    hashable = [c for c in content if not isinstance(base.schema[c].dataType, T.MapType)]
+    # maps have no hash; as text they have one, so equal times have a fixed winner
+    hashable = [F.to_json(c) if isinstance(base.schema[c].dataType, T.MapType) else F.col(c) for c in content]
     order = F.struct("__at", "__new", F.xxhash64(*hashable))
     aggs = [
         F.max_by(F.struct(*content), order).alias("__row"),

@@ -10,22 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelake.functions.vectors import cosine_topk
-from pricelake.session import collect_bounded
+from pricelake.operators.ordered import ranked
+from pricelake.session import cut_lineage
 
 MAX_QUERY_VECTORS = 4096
 
 
-def _query_chunks(queries: DataFrame, buckets: int = 1):
-    """Query vectors in driver-sized chunks: one when they fit, else hashed into ever more parts."""
-    rows = collect_bounded(queries.select(F.col("query_id").cast("string"), "vector"), MAX_QUERY_VECTORS)
-    if rows is not None:
-        yield [(r[0], list(r[1])) for r in rows]
-        return
-    for part in range(2):
-        narrowed = queries.filter(
-            F.shiftright(F.pmod(F.xxhash64("query_id"), F.lit(1 << 30)), buckets - 1).bitwiseAND(1) == part
-        )
-        yield from _query_chunks(narrowed, buckets + 1)
+def _query_chunks(queries: DataFrame):
+    """Query rows in blocks of at most ``MAX_QUERY_VECTORS``, one block at a time; rows may share an id."""
+    rows = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector").withColumn("__order", F.xxhash64("vector"))
+    numbered = cut_lineage(ranked(rows, [], ["query_id", "__order"], "__n").withColumn("__block", F.floor((F.col("__n") - 1) / MAX_QUERY_VECTORS)))
+    last = numbered.agg(F.max("__block")).first()[0]
+    for block in range(0 if last is None else last + 1):
+        yield [(r[0], list(r[1])) for r in numbered.filter(F.col("__block") == block).select("query_id", "vector").collect()]
 
 
 def semantic_search(

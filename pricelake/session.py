@@ -84,13 +84,23 @@ def collect_bounded(df: DataFrame, limit: int) -> list | None:
     return rows if len(rows) <= limit else None
 
 
-SMALL_SIDE_ROWS = 200_000
+BROADCAST_BYTES = 8 << 20
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """Side of a join, pinned and counted: broadcast while it has at most ``max_rows`` narrow rows.
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of the rows of a table that is written down: numbers as eight, all else by its text."""
+    fixed = ("int", "bigint", "double", "float", "boolean", "timestamp", "date", "smallint", "tinyint")
+    parts = [
+        F.lit(8) if kind in fixed else F.coalesce(F.octet_length(F.col(f"`{name}`") if kind == "string" else F.to_json(F.struct(f"`{name}`"))), F.lit(0))
+        for name, kind in df.dtypes
+    ]
+    return df.agg(F.sum(sum(parts, F.lit(8)))).first()[0] or 0
+
+
+def small_side(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Side of a join, written down and measured: broadcast while its rows have at most ``max_bytes``.
 
     A larger side is returned as it is, and the join shuffles.
     """
     pinned = cut_lineage(df)
-    return F.broadcast(pinned) if pinned.count() <= max_rows else pinned
+    return F.broadcast(pinned) if measured_bytes(pinned) <= max_bytes else pinned
