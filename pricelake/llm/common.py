@@ -11,7 +11,6 @@ from pyspark.sql.window import Window
 from pricelake.session import cut_lineage, shared_folder
 
 WAVES = 8  # tasks per core
-BROADCAST_BYTES = 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -92,14 +91,3 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """Short rows that stand for long work, dealt over tasks: a number of partitions is given, since by their size
     alone Spark would merge them into one."""
     return rows.repartition(max(1, min(rows.count(), WAVES * rows.sparkSession.sparkContext.defaultParallelism)), *keys)
-
-
-def sized(side: DataFrame) -> DataFrame:
-    """Side of a join, written down first, then measured: it is broadcast up to ``BROADCAST_BYTES``, and beyond that the
-    join shuffles. The other side then needs no shuffle by a key that may be hot."""
-    pinned = cut_lineage(side)
-    width = sum(
-        (F.coalesce(F.octet_length(name), F.lit(0)) if kind == "string" else F.lit(8) for name, kind in pinned.dtypes), F.lit(8)
-    )
-    n = pinned.agg(F.sum(width)).first()[0] or 0
-    return F.broadcast(pinned) if n <= BROADCAST_BYTES else pinned

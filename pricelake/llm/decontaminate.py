@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelake.llm.common import running_sum, sized
-from pricelake.session import cut_lineage
+from pricelake.llm.common import running_sum
+from pricelake.session import cut_lineage, small_side
 
 RATE = 0.1
 MIN_CHARS = 40
@@ -187,5 +187,5 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, min_chars: int
 
 def clean(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents in which no item stands."""
-    bad = sized(leaks(docs, items, rate).select(F.col("doc_id").alias("__bad")).distinct())
+    bad = small_side(leaks(docs, items, rate).select(F.col("doc_id").alias("__bad")).distinct())
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelake.llm.common import running_sum, sized, space_words, whole_text
-from pricelake.session import cut_lineage
+from pricelake.llm.common import running_sum, space_words, whole_text
+from pricelake.session import cut_lineage, small_side
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -56,7 +56,7 @@ def mix_rates(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed: st
     """doc_id, size, source_size, target, copies for every row: floor(rate) copies and, with probability of the
     rest of the rate, one more. The rate is the source's target over its size, at most ``most``."""
     slim = cut_lineage(docs.select("doc_id", "source", F.size(space_words(whole_text())).cast("bigint").alias("size")))
-    targets = sized(source_targets(slim, weights, share, most))
+    targets = small_side(source_targets(slim, weights, share, most))
     rows = slim.join(targets, slim["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     copies = F.floor(rate) + (draw(seed) < rate - F.floor(rate)).cast("bigint")
@@ -66,7 +66,7 @@ def mix_rates(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed: st
 def mixed(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed: str = "mix") -> DataFrame:
     """The documents themselves, each as often as it is taken, with all their columns."""
     slim = docs.select("source", F.size(space_words(whole_text())).cast("bigint").alias("size"))
-    targets = sized(source_targets(cut_lineage(slim), weights, share, most).select(
+    targets = small_side(source_targets(cut_lineage(slim), weights, share, most).select(
         F.col("source").alias("__source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("__rate")
     ))
     rows = docs.join(targets, docs["source"].eqNullSafe(targets["__source"]))

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pricelake.functions.expr import let
-from pricelake.llm.common import sized, space_words, whole_text
-from pricelake.session import cut_lineage
+from pricelake.llm.common import space_words, whole_text
+from pricelake.session import cut_lineage, small_side
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -97,7 +97,7 @@ def vectors(rows: DataFrame) -> DataFrame:
     own = F.when(F.col("big"), F.struct(F.lit(2).alias("level"), "lang", "source"))
     pool = F.when(F.col("pool_big"), F.struct(F.lit(1).alias("level"), "lang", F.lit(None).cast("string").alias("source")))
     last = F.struct(F.lit(0).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"))
-    scopes = sized(by_lang.join(pooled, F.col("lang").eqNullSafe(F.col("of")), "left").select(
+    scopes = small_side(by_lang.join(pooled, F.col("lang").eqNullSafe(F.col("of")), "left").select(
         F.col("lang").alias("l"), F.col("source").alias("s"), F.xxhash64(F.to_json(F.coalesce(own, pool, last))).alias("scope")
     ))
     return rows.join(scopes, rows["lang"].eqNullSafe(scopes["l"]) & rows["source"].eqNullSafe(scopes["s"]), "left").drop("l", "s")
@@ -143,7 +143,7 @@ def first_estimates(rows: DataFrame) -> DataFrame:
     """Medians and median deviations, uncorrelated."""
     middle = _medians(rows, {k: F.col(k) for k in STATS})
     named = middle.select("scope", *[F.col(k).alias(f"m{i}") for i, k in enumerate(STATS)])
-    named = sized(named)
+    named = small_side(named)
     apart = _medians(rows.join(named, "scope"), {k: F.abs(F.col(k) - F.col(f"m{i}")) for i, k in enumerate(STATS)})
     spread = {(i, j): F.pow(1.4826 * F.col(k), F.lit(2)) + FLOORS[k] ** 2 if i == j else F.lit(0.0) for i, k in enumerate(STATS) for j in range(i + 1)}
     return with_factor(named.join(apart, "scope").select("scope", *[f"m{i}" for i in range(len(STATS))], *[v.alias(f"c{i}{j}") for (i, j), v in spread.items()]))
@@ -173,9 +173,9 @@ def verdicts(docs: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF) -> Dat
     """doc_id, counts, base_failed, d2 (null where the base rules fail) and kept for every row."""
     rows = cut_lineage(vectors(cut_lineage(counts(docs))))
     judged = rows.where("NOT base_failed")
-    factor = sized(first_estimates(judged))
+    factor = small_side(first_estimates(judged))
     for _ in range(steps):
-        factor = sized(concentrated(judged, factor))
+        factor = small_side(concentrated(judged, factor))
     apart = with_distance(rows, factor)
     d2 = F.when(~F.col("base_failed"), F.col("d2"))
     return apart.select(
@@ -186,5 +186,5 @@ def verdicts(docs: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF) -> Dat
 
 def good_documents(docs: DataFrame) -> DataFrame:
     """The documents that are kept."""
-    bad = sized(verdicts(docs).where("NOT kept").select(F.col("doc_id").alias("__bad")).distinct())
+    bad = small_side(verdicts(docs).where("NOT kept").select(F.col("doc_id").alias("__bad")).distinct())
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
