@@ -109,15 +109,26 @@ def log_kept(spark, sf):
 
 
 def requests(spark, sf):
-    """Events as access log rows: path, client, method and status."""
+    """Events as access lines; path, client, method and status are read from the line."""
     methods = F.create_map(*[F.lit(x) for p in zip(["view", "click", "signup", "purchase", "error"], ["GET", "GET", "PUT", "POST", "DELETE"]) for x in p])
     status = F.when(F.col("event_type") == "error", F.when(F.col("value") > 30, 500).otherwise(404)).when(F.col("event_type") == "click", 302).otherwise(200)
-    return table(spark, sf, "events").select(
-        "event_id", "ts", F.col("user_id").alias("client"), F.concat(F.lit("/k/"), F.get_json_object("props", "$.k")).alias("path"),
-        methods[F.col("event_type")].alias("method"), status.alias("status"), F.concat_ws(" ", "event_type", "props").alias("line"),
+    access = F.concat(
+        F.col("user_id").cast("string"), F.lit(" - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss Z"), F.lit('] "'), methods[F.col("event_type")],
+        F.lit(" /k/"), F.get_json_object("props", "$.k"), F.lit('?from=list HTTP/1.1" '), status.cast("string"), F.lit(" "), F.col("event_id").cast("string"), F.lit(' "-" "-"'),
+    )
+    rows = table(spark, sf, "events").select("event_id", "ts", "event_type", "props", access.alias("raw"))
+    return logs.access_fields(rows, "raw").select(
+        "event_id", "ts", F.col("client").cast("bigint").alias("client"), "path", "method", "status", F.concat_ws(" ", "event_type", "props").alias("line"), "size",
     )
 
 
+@query("access_fields", """SELECT event_id, user_id AS client, '/k/' || (props->>'$.k') AS path, event_id AS size FROM events UNION ALL SELECT -1 - event_id, NULL, NULL, NULL FROM events""")
+def access_fields(spark, sf):
+    """Access lines, and other lines that give nothing."""
+    other = logs.access_fields(table(spark, sf, "events").select((-1 - F.col("event_id")).alias("event_id"), F.concat(F.lit("GET "), "props").alias("line")))
+    return requests(spark, sf).select("event_id", "client", "path", "size").unionByName(other.select("event_id", F.col("client").cast("bigint").alias("client"), "path", "size"))
+
+
 _REQ = """req AS (SELECT event_id, ts, user_id AS client, '/k/' || (props->>'$.k') AS path, CASE event_type WHEN 'signup' THEN 'PUT' WHEN 'purchase' THEN 'POST' WHEN 'error' THEN 'DELETE' ELSE 'GET' END AS method,
       CASE WHEN event_type = 'error' THEN CASE WHEN value > 30 THEN 500 ELSE 404 END WHEN event_type = 'click' THEN 302 ELSE 200 END AS status, event_type || ' ' || props AS line FROM events)"""
 _WINDOW = lambda s: f"to_timestamp((epoch_us(ts) // 1000000) // {s} * {s}) AT TIME ZONE 'UTC'"

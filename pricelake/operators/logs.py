@@ -30,6 +30,19 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+# client, user, time, request, status and size of an access line
+_ACCESS = r'^(\S+) \S+ \S+ \[([^\]]*)\] "([A-Z]+) ([^\s"?]*)(?:\?[^\s"]*)?(?: [^"]*)?" (\d{3}) (\d+|-)'
+
+
+def access_fields(logs: DataFrame, line: str = "line") -> DataFrame:
+    """Add client, method, path (without its query), status and size read from access lines; null for other lines."""
+    part = lambda i: F.when(F.col(line).rlike(_ACCESS), F.regexp_extract(line, _ACCESS, i))
+    return logs.select(
+        "*", part(1).alias("client"), part(3).alias("method"), part(4).alias("path"), part(5).cast("int").alias("status"),
+        part(6).try_cast("bigint").alias("size"),
+    )
+
+
 def job_of(path: Column) -> Column:
     """Route of a log file; the first matching route names the job."""
     chain = None
