@@ -199,7 +199,7 @@ def price_structured(spark, sf):
 
 @query("price_meta", "SELECT 'https://shop.example.com.uy/producto/' || p_partkey AS url, round(p_retailprice, 2) AS price, 'USD' AS currency FROM part")
 def price_meta(spark, sf):
-    fields = page_ops.extract_fields(rich_pages(spark, sf))
+    fields = page_ops.extract_fields(rich_pages(spark, sf), fields=["meta_tags"])
     return fields.withColumn("r", prices.meta_price(F.col("meta_tags"))).select("url", F.round("r.price", 2).alias("price"), "r.currency")
 
 

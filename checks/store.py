@@ -212,25 +212,25 @@ def payload_slim(spark, sf):
 _UNESCAPE = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
 
 
-def page_fields(spark, sf):
-    return page_ops.extract_fields(table(spark, sf, "pages"))
+def page_fields(spark, sf, *wanted):
+    return page_ops.extract_fields(table(spark, sf, "pages"), fields=list(wanted))
 
 
 @query("page_titles", f"SELECT url, trim({_UNESCAPE.format('''regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)''')}) AS title FROM pages")
 def page_titles(spark, sf):
-    return page_fields(spark, sf).select("url", "title")
+    return page_fields(spark, sf, "title").select("url", "title")
 
 
 @query("page_headings", f"""SELECT url, 'h1' AS level, 0 AS pos, trim({_UNESCAPE.format('''regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)''')}) AS text FROM pages""")
 def page_headings(spark, sf):
-    return page_ops.header_rows(page_fields(spark, sf))
+    return page_ops.header_rows(page_fields(spark, sf, "headers"))
 
 
 @query("page_anchors", f"""WITH l AS (SELECT url, regexp_extract_all(html, '(?i)<a href="([^"]+)"', 1) AS refs FROM pages),
     x AS (SELECT url, unnest(refs) AS ref, unnest(range(len(refs))) AS pos FROM l)
     SELECT url AS src, regexp_extract(url, '^https?://[^/?#]+') || {_UNESCAPE.format('ref')} AS dst, pos FROM x""")
 def page_anchors(spark, sf):
-    return page_ops.anchor_edges(page_fields(spark, sf))
+    return page_ops.anchor_edges(page_fields(spark, sf, "links"))
 
 
 def rich_pages(spark, sf):
@@ -271,12 +271,12 @@ def rich_page_rows(spark, sf):
 @query("rich_page_images", """SELECT 'https://shop.example.com.uy/producto/' || p_partkey AS url, '/i/' || p_partkey || '.png' AS src, p_name AS alt, '' AS title FROM part
     UNION ALL SELECT 'https://shop.example.com.uy/producto/' || p_partkey, '', '', 'x' FROM part""")
 def rich_page_images(spark, sf):
-    return page_ops.image_rows(page_ops.extract_fields(rich_pages(spark, sf)))
+    return page_ops.image_rows(page_ops.extract_fields(rich_pages(spark, sf), fields=["images"]))
 
 
 @query("rich_page_meta", """SELECT name, count(*) AS pages FROM (SELECT unnest(['description', 'product:price:amount', 'product:price:currency']) AS name FROM part) GROUP BY name""")
 def rich_page_meta(spark, sf):
-    return page_ops.meta_stats(page_ops.extract_fields(rich_pages(spark, sf)))
+    return page_ops.meta_stats(page_ops.extract_fields(rich_pages(spark, sf), fields=["meta_tags"]))
 
 
 @query("links_harvest", """WITH l AS (SELECT url, regexp_extract_all(html, '(?i)href=["'']([^"'']+)["'']', 1) AS refs FROM pages),

@@ -80,45 +80,43 @@ def parse(html: str) -> Node:
     return builder.root
 
 
-def page_fields(url: str, html: str) -> dict:
-    """All stored fields of one page."""
+FIELDS = ("title", "full_text", "main_content", "headers", "meta_tags", "images", "json_ld", "links")
+
+
+def _absolute(url: str, href: str) -> str | None:
+    try:
+        return urljoin(url, href)
+    except ValueError:
+        return None
+
+
+def page_fields(url: str, html: str, wanted=FIELDS) -> dict:
+    """The wanted stored fields of one page; what is not wanted is not computed."""
     root = parse(html)
-    meta, headers, images, json_ld, links = {}, {"h1": [], "h2": [], "h3": []}, [], [], []
-    title = main = article = None
-    for node in root.walk():
-        tag, attrs = node.tag, node.attrs
-        if tag == "meta":
-            name = attrs.get("name", attrs.get("property", ""))
-            if name:
-                meta[name] = attrs.get("content", "")
-        elif tag in headers:
-            headers[tag].append(node.text())
-        elif tag == "img":
-            images.append({k: attrs.get(k, "") for k in ("src", "alt", "title")})
-        elif tag == "script" and attrs.get("type") == "application/ld+json":
-            json_ld.append("".join(c for c in node.children if isinstance(c, str)))
-        elif tag == "title" and title is None:
-            title = "".join(c for c in node.children if isinstance(c, str)).strip()
-        elif tag == "main" and main is None:
-            main = node
-        elif tag == "article" and article is None:
-            article = node
-        elif tag == "a" and "href" in attrs:
-            try:
-                links.append(urljoin(url, attrs["href"]))
-            except ValueError:
-                continue
-    body = main or article
-    return {
+    nodes = list(root.walk())
+    own_text = lambda node: "".join(c for c in node.children if isinstance(c, str))
+    first = lambda tag: next((n for n in nodes if n.tag == tag), None)
+    name_of = lambda n: n.attrs.get("name", n.attrs.get("property", ""))
+
+    def title():
+        node = first("title")
+        return own_text(node).strip() if node else None
+
+    def main_content():
+        body = first("main") or first("article")
+        return body.text() if body else ""
+
+    makers = {
         "title": title,
-        "full_text": root.text(),
-        "main_content": body.text() if body else "",
-        "headers": headers,
-        "meta_tags": meta,
-        "images": images,
-        "json_ld": json_ld,
-        "links": links,
+        "full_text": root.text,
+        "main_content": main_content,
+        "headers": lambda: {tag: [n.text() for n in nodes if n.tag == tag] for tag in ("h1", "h2", "h3")},
+        "meta_tags": lambda: {name_of(n): n.attrs.get("content", "") for n in nodes if n.tag == "meta" and name_of(n)},
+        "images": lambda: [{k: n.attrs.get(k, "") for k in ("src", "alt", "title")} for n in nodes if n.tag == "img"],
+        "json_ld": lambda: [own_text(n) for n in nodes if n.tag == "script" and n.attrs.get("type") == "application/ld+json"],
+        "links": lambda: [x for x in (_absolute(url, n.attrs["href"]) for n in nodes if n.tag == "a" and "href" in n.attrs) if x is not None],
     }
+    return {name: makers[name]() for name in wanted}
 
 
 # ---- fixed values: where each engine puts its results --------------------------------------

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from urllib.parse import quote, unquote
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelake.functions import urls
+from pricelake.functions.expr import let
+from pricelake.operators.ordered import ranked
 from pricelake.session import BROADCAST_BYTES, cut_lineage, measured_bytes
 
 
@@ -22,8 +20,8 @@ def drop_excluded(table: DataFrame, patterns: list[str], url: str = "url") -> Da
 
 
 def remaining_slots(level: DataFrame, remaining: int) -> DataFrame:
-    """First ``remaining`` URLs of a level in order (a top-n, so each task sends its best only)."""
-    return level.orderBy("pos", "url").limit(remaining)
+    """First ``remaining`` URLs of a level in order; ranks over range partitions, so any number of slots is spread."""
+    return ranked(level, [], ["pos", "url"], "__rank").filter(F.col("__rank") <= remaining).drop("__rank")
 
 
 def crawl_frontier(
@@ -87,49 +85,59 @@ def crawl_frontier(
 
 
 _RULE = "struct<allow: boolean, path: string>"
+_GROUP = f"struct<agents: array<string>, rules: array<{_RULE}>>"
+_STATE = f"struct<agents: array<string>, rules: array<{_RULE}>, done: array<{_GROUP}>>"
+
+
+def _rule_path(value: Column) -> Column:
+    """Path of a rule in one spelling: decoded, then percent-encoded but for slashes; a bad escape stays as it is."""
+    plain = F.coalesce(F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B"))), value)
+    coded = F.url_encode(plain)
+    for shown, meant in (("%2F", "/"), ("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        coded = F.replace(coded, F.lit(shown), F.lit(meant))
+    return F.struct(plain.alias("plain"), coded.alias("coded"))
 
 
 def robots_rules(robots: DataFrame, user_agent: str) -> DataFrame:
     """Rules of one agent per domain, in file order: (domain, rules).
 
-    A named group wins over ``*``; an empty disallow allows everything.
+    A named group wins over ``*``; an empty disallow allows everything. The lines of a file are folded inside its row.
     """
-    agent_name = user_agent.split("/")[0].lower()
-
-    def parse(body: str | None) -> list[dict]:
-        groups, agents, rules, open_rules = [], [], [], False
-        for line in (body or "").splitlines():
-            line = line.split("#", 1)[0].strip()
-            if not line:
-                if open_rules:
-                    groups.append((agents, rules))
-                if open_rules or agents:
-                    agents, rules, open_rules = [], [], False
-                continue
-            key, mark, value = (s.strip() for s in line.partition(":"))
-            if not mark:
-                continue
-            key = key.lower()
-            if key == "user-agent":
-                if open_rules:
-                    groups.append((agents, rules))
-                    agents, rules, open_rules = [], [], False
-                agents.append(value.lower())
-            elif key in ("allow", "disallow") and agents:
-                path = unquote(value)
-                rules.append({"allow": key == "allow" or path == "", "path": quote(path)})
-                open_rules = True
-        if open_rules:
-            groups.append((agents, rules))
-        named = [r for a, r in groups if "*" not in a and any(x in agent_name for x in a)]
-        common = [r for a, r in groups if "*" in a]
-        return (named or common or [[]])[0]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"domain": batch["domain"], "rules": [parse(b) for b in batch["body"]]})
-
-    return robots.select("domain", "body").mapInPandas(run, f"domain string, rules array<{_RULE}>")
+    agent = F.lit(user_agent.split("/")[0].lower())
+    bare = lambda text: F.btrim(text, F.lit(" \t\f\v\u00a0"))
+    lines = F.transform(F.split(F.coalesce("body", F.lit("")), r"\r\n|[\n\r\v\f]"), lambda l: bare(F.regexp_replace(l, "#.*$", "")))
+    parts = F.transform(lines, lambda l: F.struct(
+        F.lower(bare(F.substring_index(l, ":", 1))).alias("key"), bare(F.regexp_replace(l, "^[^:]*:", "")).alias("value"),
+        l.contains(":").alias("pair"), (l == "").alias("blank"),
+    ))
+    rows = robots.select("domain", F.filter(parts, lambda p: p["blank"] | p["pair"]).alias("lines"))
+    none = F.array().cast("array<string>"), F.array().cast(f"array<{_RULE}>"), F.array().cast(f"array<{_GROUP}>")
+    state = lambda agents, rules, done: F.struct(agents.alias("agents"), rules.alias("rules"), done.alias("done")).cast(_STATE)
+
+    def step(held: Column, line: Column) -> Column:
+        ruled = F.size(held["rules"]) > 0
+        group = F.struct(held["agents"].alias("agents"), held["rules"].alias("rules"))
+        done = F.when(ruled, F.concat(held["done"], F.array(group))).otherwise(held["done"])
+        name = F.array(F.lower(line["value"]))
+
+        def rule(path: Column) -> Column:
+            allow = (line["key"] == "allow") | (path["plain"] == "")
+            return F.concat(held["rules"], F.array(F.struct(allow.alias("allow"), path["coded"].alias("path"))))
+
+        return (
+            F.when(line["blank"], state(none[0], none[1], done))
+            .when(line["key"] == "user-agent", F.when(ruled, state(name, none[1], done)).otherwise(state(F.concat(held["agents"], name), none[1], done)))
+            .when(line["key"].isin("allow", "disallow") & (F.size(held["agents"]) > 0), let(_rule_path(line["value"]), lambda p: state(held["agents"], rule(p), held["done"])))
+            .otherwise(held)
+        )
+
+    end = F.struct(F.lit("").alias("key"), F.lit("").alias("value"), F.lit(False).alias("pair"), F.lit(True).alias("blank"))
+    folded = F.aggregate(F.concat("lines", F.array(end)), state(*none), step)["done"]
+    groups = rows.select("domain", folded.alias("groups"))
+    common = lambda g: F.array_contains(g["agents"], "*")
+    named = F.filter("groups", lambda g: ~common(g) & F.exists(g["agents"], lambda a: F.contains(agent, a)))
+    chosen = F.coalesce(F.try_element_at(named, F.lit(1)), F.try_element_at(F.filter("groups", common), F.lit(1)))
+    return groups.select("domain", F.coalesce(chosen["rules"], none[1]).alias("rules"))
 
 
 def robots_allowed(table: DataFrame, robots: DataFrame, user_agent: str, url: str = "url") -> DataFrame:

@@ -27,7 +27,8 @@ def job_counters(events: DataFrame) -> DataFrame:
 def average_durations(durations: DataFrame, keys: list[str], ts: str, value: str, tie: str, chunk: str = "hour") -> DataFrame:
     """Halving average per key and over everything (key columns null)."""
     per_key = halving_average(durations, keys, ts, value, tie, chunk)
-    total = halving_average(durations.withColumn("__all", F.lit(1)), ["__all"], ts, value, tie, chunk).drop("__all")
+    # everything together is one series: its chunks are minutes, so that no task has a busy hour of all keys
+    total = halving_average(durations.withColumn("__all", F.lit(1)), ["__all"], ts, value, tie, "minute").drop("__all")
     for k in keys:
         total = total.withColumn(k, F.lit(None).cast(durations.schema[k].dataType))
     return per_key.unionByName(total)

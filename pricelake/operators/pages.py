@@ -11,29 +11,29 @@ from pyspark.sql import functions as F
 from pricelake.functions import html as html_helper
 from pricelake.functions import urls
 
-_FIELDS = (
-    "title string, full_text string, main_content string, headers map<string, array<string>>, "
-    "meta_tags map<string, string>, images array<struct<src: string, alt: string, title: string>>, "
-    "json_ld array<string>, links array<string>"
-)
-_NAMES = ["title", "full_text", "main_content", "headers", "meta_tags", "images", "json_ld", "links"]
+_FIELDS = {
+    "title": "string", "full_text": "string", "main_content": "string", "headers": "map<string, array<string>>",
+    "meta_tags": "map<string, string>", "images": "array<struct<src: string, alt: string, title: string>>",
+    "json_ld": "array<string>", "links": "array<string>",
+}
 
 
-def extract_fields(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """One pass over ``html`` giving every page field. ``keep`` names columns carried along."""
+def extract_fields(pages: DataFrame, keep: list[str] | None = None, fields: list[str] | None = None) -> DataFrame:
+    """One pass over ``html`` giving the page fields named, all by default. ``keep`` names columns carried along."""
     carried = ["url"] + [c for c in (keep or []) if c != "url"]
-    head = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in carried)
+    wanted = list(fields or _FIELDS)
+    schema = [f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in carried] + [f"{c} {_FIELDS[c]}" for c in wanted]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fields = [html_helper.page_fields(u, h) for u, h in zip(batch["url"], batch["html"])]
-            out = pd.DataFrame(fields, columns=_NAMES)
+            found = [html_helper.page_fields(u, h, wanted) for u, h in zip(batch["url"], batch["html"])]
+            out = pd.DataFrame(found, columns=wanted)
             for c in carried:
                 out[c] = batch[c].to_numpy()
-            yield out[[*carried, *_NAMES]]
+            yield out[[*carried, *wanted]]
 
     source = pages.select(*carried, *([] if "html" in carried else ["html"]))
-    return source.mapInPandas(run, f"{head}, {_FIELDS}")
+    return source.mapInPandas(run, ", ".join(schema))
 
 
 def page_rows(raw: DataFrame) -> DataFrame:

@@ -19,12 +19,12 @@ BREAKER_CHANGES = "engine string, state string, at timestamp"
 class _Alert(StatefulProcessor):
     """inactive -> pending -> firing -> resolved for one (alert, series).
 
-    A run of true evaluations is pending; held for ``hold_seconds`` it fires. A false evaluation, or an
-    event-time pause longer than one step, ends it.
+    A run of true evaluations is pending; held for ``hold_seconds`` it fires. A false evaluation ends it, and so does an
+    event-time pause longer than one step and than the lookback, in which the last evaluation still counts.
     """
 
-    def __init__(self, step_seconds: int):
-        self.step = step_seconds
+    def __init__(self, step_seconds: int, lookback_seconds: int):
+        self.step = max(step_seconds, lookback_seconds)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -64,7 +64,7 @@ class _Alert(StatefulProcessor):
             yield pd.DataFrame(out, columns=["alert", "series", "state", "at"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """No evaluation came within one step: the run is over."""
+        """No evaluation came in time: the run is over."""
         if self.run.exists():
             _, last, firing = self.run.get()
             self.run.clear()
@@ -83,13 +83,13 @@ def _millis(at: pd.Timestamp) -> int:
     return int(stamp.timestamp() * 1000)
 
 
-def alert_changes(conditions: DataFrame, step_seconds: int = 30, delay: str = "2 minutes") -> DataFrame:
+def alert_changes(conditions: DataFrame, step_seconds: int = 30, delay: str = "2 minutes", lookback_seconds: int = 300) -> DataFrame:
     """State changes of a stream of ``(alert, series, eval_ts, active, hold_seconds)``."""
     return (
         conditions.withWatermark("eval_ts", delay)
         .groupBy("alert", "series")
         .transformWithStateInPandas(
-            statefulProcessor=_Alert(step_seconds),
+            statefulProcessor=_Alert(step_seconds, lookback_seconds),
             outputStructType=ALERT_CHANGES,
             outputMode="Append",
             timeMode="EventTime",
