@@ -8,7 +8,7 @@ budget. So a hit is verified on its piece's small neighbourhood first and on twi
 whole item: chance hits end after some twenty characters, and nothing within the budget is lost.
 
 Items and documents are compared in lower case with every run of white space as one space, so line breaks do not hide a
-passage. Items shorter than ``min_chars`` are no evidence and are not searched; documented, an argument.
+passage. ``min_chars`` may leave out items that are too short to be evidence; by default every item counts.
 
 Items come in blocks of bounded size; each block is one pass over the documents, whatever the number of items.
 
@@ -30,7 +30,7 @@ from pricelake.llm.common import running_sum
 from pricelake.session import cut_lineage, small_side
 
 RATE = 0.1
-MIN_CHARS = 40
+MIN_CHARS = 1
 BLOCK_CHARS = 2_000_000
 LEAKS = "doc_id long, item_id long, start long, stop long, distance int"
 
