@@ -211,8 +211,8 @@ def dedupe_names(offers: DataFrame, threshold: float = 0.85) -> DataFrame:
     equal positions do no harm; ``leader`` is the position of the offer whose name leads the cluster.
     """
     shown = offers.withColumn("name", product_name_key(F.col("product_name"))).withColumn("pos", F.col("pos").cast("bigint"))
-    # offers end a long job and are read several times below, so they are written once
-    placed = cut_lineage(ranked(shown, ["query_id"], ["pos", "url"], "__place"))
+    # offers end a long job and are read several times below (once to find the range borders), so they are written first
+    placed = cut_lineage(ranked(cut_lineage(shown), ["query_id"], ["pos", "url"], "__place"))
     keyed = placed.withColumnRenamed("pos", "__shown").withColumnRenamed("__place", "pos")
     named = keyed.filter(F.col("name") != "")
     distinct = cut_lineage(named.groupBy("query_id", "name").agg(F.min("pos").alias("pos")))
