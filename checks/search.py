@@ -100,8 +100,8 @@ def semantic_cells(spark, sf):
     indexed = vectorsearch.assign_cells(rows, "embedding", model)
     search = lambda n: vectorsearch.approximate_search(indexed, "vec_id", "embedding", model, centroids(spark, sf), 10, probes=n)
     exact, near = search(8), search(4).select("query_id", "vec_id", F.lit(1).alias("hit"))
-    recall = exact.join(near, ["query_id", "vec_id"], "left").agg((F.count("hit") / F.count("*") >= 0.5).alias("recall_ok"))
-    return exact.withColumn("distance", F.round("distance", 6)).withColumn("one", F.lit(1)).join(recall.withColumn("one", F.lit(1)), "one").drop("one")
+    found = exact.join(near, ["query_id", "vec_id"], "left").agg(F.count("hit") / F.count("*")).first()[0]
+    return exact.withColumn("distance", F.round("distance", 6)).withColumn("recall_ok", F.lit(found >= 0.5))
 
 
 @query("stored_text_vector", """WITH w AS (SELECT doc_id, source || ' ' || lang || ' ' || text || ' ' || CASE WHEN lang = 'en' THEN '' ELSE text END || ' ' || source AS text FROM documents)
