@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pricelake.session import cut_lineage, shared_folder
+from pricelake.session import cut_lineage, shared_folder, small_side
 
 WAVES = 8  # tasks per core
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,6 +23,19 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def row_key(df: DataFrame, *names: str) -> Column:
+    """Narrow key of a row: hash of its text and of the named columns, a null apart from every value. It stands beside
+    the id, so rows whose id is null or repeated are told apart without moving texts."""
+    values = [x for name in ("text", *names) for x in (df[name].isNull(), df[name])]
+    return F.xxhash64(*values)
+
+
+def without(docs: DataFrame, bad: DataFrame, key: Column) -> DataFrame:
+    """The rows of ``docs`` whose id and key are not a row of ``bad`` (__bad, __key)."""
+    gone = small_side(bad.distinct())
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__bad"]) & (key == gone["__key"]), "left_anti")
+
+
 def space_words(text: Column) -> Column:
     """Words between spaces and the controls tab to carriage return."""
     return F.array_remove(F.split(text, r"[ \x09-\x0d]+", -1), "")

@@ -14,7 +14,7 @@ Items come in blocks of bounded size; each block is one pass over the documents,
 
 Result cases. Null or empty text on either side: no match. Null doc_id or item_id: reported as null. Repeated items or
 documents: a row each. Very long texts are searched whole. Empty tables: no rows. Extra columns are ignored by
-``leaks`` and kept by ``clean``.
+``leaks`` and kept by ``clean``, which decides each row by its own text, whatever rows share its id.
 """
 
 from __future__ import annotations
@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelake.llm.common import running_sum
-from pricelake.session import cut_lineage, small_side
+from pricelake.llm.common import row_key, running_sum, without
+from pricelake.session import cut_lineage
 
 RATE = 0.1
 MIN_CHARS = 1
 BLOCK_CHARS = 2_000_000
 LEAKS = "doc_id long, item_id long, start long, stop long, distance int"
+KEYED = f"row_key long, {LEAKS}"
 
 
 def normal(text: str | None) -> str:
@@ -153,14 +154,14 @@ class Matcher:
 
 
 def _search(batches: Iterator[pa.RecordBatch], items: list[tuple[int | None, str]], rate: float) -> Iterator[pa.RecordBatch]:
-    matcher, schema = Matcher(items, rate), pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("distance", pa.int32())])
+    matcher, schema = Matcher(items, rate), pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("distance", pa.int32())])
     for batch in batches:
         rows = [
-            (doc_id, *hit)
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            (key, doc_id, *hit)
+            for key, doc_id, text in zip(*(batch.column(c).to_pylist() for c in range(3)))
             for hit in matcher.find(normal(text))
         ]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, schema)], schema=schema)
 
 
 def item_blocks(items: DataFrame, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str]]]:
@@ -174,18 +175,23 @@ def item_blocks(items: DataFrame, min_chars: int = MIN_CHARS, block_chars: int =
             yield block
 
 
-def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, item_id, start, stop, distance: a row for each item that stands in a document, at its best place in
-    the normalised text."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+def keyed_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``leaks`` and the row_key of the document."""
+    rows = docs.select(row_key(docs).alias("row_key"), F.col("doc_id").cast("long"), "text")
     found = None
     for block in item_blocks(items, min_chars, block_chars):
-        some = rows.mapInArrow(lambda batches, block=block: _search(batches, block, rate), LEAKS)
+        some = rows.mapInArrow(lambda batches, block=block: _search(batches, block, rate), KEYED)
         found = some if found is None else found.union(some)
-    return found if found is not None else docs.sparkSession.createDataFrame([], LEAKS)
+    return found if found is not None else docs.sparkSession.createDataFrame([], KEYED)
+
+
+def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, item_id, start, stop, distance: a row for each item that stands in a document, at its best place in
+    the normalised text."""
+    return keyed_leaks(docs, items, rate, min_chars, block_chars).drop("row_key")
 
 
 def clean(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents in which no item stands."""
-    bad = small_side(leaks(docs, items, rate).select(F.col("doc_id").alias("__bad")).distinct())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    bad = keyed_leaks(docs, items, rate).select(F.col("doc_id").alias("__bad"), F.col("row_key").alias("__key"))
+    return without(docs, bad, row_key(docs))

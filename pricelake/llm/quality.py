@@ -12,7 +12,8 @@ even then in one last group. A floor is added to each variance, since a statisti
 
 Result cases. Null text: no words, fails the base rules. Null language or source: a group like any other. Null doc_id,
 repeated rows: a result row each. Very long texts: whole. Ties: equal vectors get equal verdicts. Empty table: no rows.
-Extra columns are ignored by ``verdicts`` and kept by ``good_documents``, which drops all rows of a rejected id.
+Extra columns are ignored by ``verdicts`` and kept by ``good_documents``, where each row has its own verdict, whatever
+rows share its id.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pricelake.functions.expr import let
-from pricelake.llm.common import space_words, whole_text
+from pricelake.llm.common import row_key, space_words, whole_text, without
 from pricelake.session import cut_lineage, small_side
 
 WINDOW = 8
@@ -67,11 +68,11 @@ def repeat_words(words: Column) -> Column:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of every text."""
-    rows = docs.select("doc_id", "lang", "source", whole_text().alias("text")).withColumn("words", space_words(F.col("text")))
+    """doc_id, lang, source, row_key and the counts of every text."""
+    rows = docs.select("doc_id", "lang", "source", row_key(docs, "lang", "source").alias("row_key"), whole_text().alias("text")).withColumn("words", space_words(F.col("text")))
     lines = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     return rows.withColumn("lines", lines).select(
-        "doc_id", "lang", "source", F.size("words").cast("long").alias("n_words"),
+        "doc_id", "lang", "source", "row_key", F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.size(F.split("text", r"[#*$%&|<>]", -1)) - 1).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -169,8 +170,8 @@ def concentrated(rows: DataFrame, factor: DataFrame) -> DataFrame:
     return with_factor(means.select("scope", *[f"m{i}" for i in p], *[v.alias(f"c{i}{j}") for (i, j), v in cov.items()]))
 
 
-def verdicts(docs: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF) -> DataFrame:
-    """doc_id, counts, base_failed, d2 (null where the base rules fail) and kept for every row."""
+def keyed_verdicts(docs: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF) -> DataFrame:
+    """``verdicts`` and the row_key each was given to."""
     rows = cut_lineage(vectors(cut_lineage(counts(docs))))
     judged = rows.where("NOT base_failed")
     factor = small_side(first_estimates(judged))
@@ -180,11 +181,16 @@ def verdicts(docs: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF) -> Dat
     d2 = F.when(~F.col("base_failed"), F.col("d2"))
     return apart.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.coalesce(d2, F.lit(0.0)) <= cutoff)).alias("kept"), d2.alias("d2"),
+        (~F.col("base_failed") & (F.coalesce(d2, F.lit(0.0)) <= cutoff)).alias("kept"), d2.alias("d2"), "row_key",
     )
 
 
+def verdicts(docs: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF) -> DataFrame:
+    """doc_id, counts, base_failed, d2 (null where the base rules fail) and kept for every row."""
+    return keyed_verdicts(docs, steps, cutoff).drop("row_key")
+
+
 def good_documents(docs: DataFrame) -> DataFrame:
     """The documents that are kept."""
-    bad = small_side(verdicts(docs).where("NOT kept").select(F.col("doc_id").alias("__bad")).distinct())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    bad = keyed_verdicts(docs).where("NOT kept").select(F.col("doc_id").alias("__bad"), F.col("row_key").alias("__key"))
+    return without(docs, bad, row_key(docs, "lang", "source"))

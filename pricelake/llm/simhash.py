@@ -12,7 +12,8 @@ returns a spanning forest of its links, never all pairs.
 
 Result cases. Null or wordless text: fingerprint zero, linked like any other. Null doc_id: takes part in links, but
 names no component unless no member has an id. Repeated rows: one result row each. Empty table: no rows. Extra columns
-are ignored by ``near_duplicates`` and kept by ``one_per_group``.
+are ignored by ``near_duplicates`` and kept by ``one_per_group``, where the row with the smallest (doc_id, hash of the
+text) of each component stays, rows without id last; equal rows stay once.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelake.llm.common import components
+from pricelake.llm.common import components, row_key
 from pricelake.session import cut_lineage
 
 RADIUS = 3
@@ -61,14 +62,14 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row."""
+    """(doc_id, row_key, fp) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "row_key", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", row_key(docs).alias("row_key"), "text").mapInArrow(run, "doc_id long, row_key long, fp long")
 
 
 def pivot_keys(fps: DataFrame) -> DataFrame:
@@ -153,14 +154,19 @@ def links(fps: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, fp, component_id for every row: the smallest id among all reachable over links of three bits."""
-    rows = cut_lineage(fingerprints(docs))
-    distinct = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+def rooted_fingerprints(rows: DataFrame, first: Column, chunk: int) -> DataFrame:
+    """(fp, first, root) for every distinct fingerprint of ``rows``; ``first`` is an aggregate over its rows."""
+    distinct = cut_lineage(rows.groupBy("fp").agg(first.alias("first")))
     groups = components(links(distinct.select("fp"), chunk))
-    rooted = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select(
+    return distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
+
+
+def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, fp, component_id for every row: the smallest id among all reachable over links of three bits."""
+    rows = cut_lineage(fingerprints(docs).select("doc_id", "fp"))
+    rooted = rooted_fingerprints(rows, F.min("doc_id"), chunk)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -168,8 +174,10 @@ def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def one_per_group(docs: DataFrame) -> DataFrame:
     """The documents without all but one of each group: the one with the smallest id stays, once."""
-    stay = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["__stay"]), "left_semi")
+    key = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
+    rooted = rooted_fingerprints(fingerprints(docs), key, CHUNK)
+    stay = rooted.groupBy("root").agg(F.min("first").alias("s")).select(F.col("s.doc_id").alias("__stay"), F.col("s.row_key").alias("__key"))
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["__stay"]) & (row_key(docs) == stay["__key"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"])
 
 

@@ -13,7 +13,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pricelake.llm import quality
+from pricelake.llm import decontaminate, quality, simhash
 from tests.conftest import SMALL
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -116,3 +116,31 @@ def test_stages_keep_columns_and_take_empty_tables(spark):
         assert out.count() == 0
         if number < 4:
             assert out.columns == docs.columns
+
+
+def test_stages_decide_each_row(spark):
+    """Rows without id and rows that share one are judged one by one."""
+    words = [f"{w}{i}" for i, w in enumerate("river stone cloud maple candle window garden bridge silver market".split() * 6)]
+    texts = [" ".join(words[i:] + words[:i]) for i in (0, 7, 19)]
+    texts = [t + f" tail{i} more{i} end{i}" * 5 for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string"
+
+    def left(stage, rows, *more):
+        return sorted(((r.doc_id, r.text) for r in stage(spark.createDataFrame(rows, schema), *more).collect()), key=str)
+
+    bad = "no good"
+    rows = [(i, t, "en", "a") for i in (None, 5) for t in (texts[0], texts[1], bad)]
+    got = left(quality.good_documents, rows)
+    assert got == sorted(((i, t) for i, t, *_ in rows if t != bad), key=str)
+
+    items = spark.createDataFrame([(1, " ".join(words[:20]))], "item_id long, text string")
+    rows = [(i, t, "en", "a") for i in (None, 5) for t in ("before " + " ".join(words[:20]) + " after", texts[1][300:], None)]
+    got = left(decontaminate.clean, rows, items)
+    assert got == sorted(((i, t) for i, t, *_ in rows if not t or not t.startswith("before")), key=str)
+
+    # near copies without id, one group; a repeated id names one group and has a later row in another
+    near = [" ".join(SPACE.findall(t.upper())) for t in texts]
+    rows = [(None, texts[0], "en", "a"), (None, near[0], "en", "a"), (None, near[0], "en", "a"), (None, texts[2], "en", "a"), (3, texts[1], "en", "a"), (5, near[1], "en", "a"), (5, "one other text stands here alone", "en", "a")]
+    got = left(simhash.one_per_group, rows)
+    assert len(got) == 4 and (3, texts[1]) in got and (5, "one other text stands here alone") in got and (None, texts[2]) in got
+    assert left(simhash.one_per_group, rows[::-1]) == got
