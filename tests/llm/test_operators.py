@@ -337,3 +337,21 @@ def test_mixing(spark, messy):
         taken[r.source] += r["size"] * r.copies
         target[r.source] = r.target
     assert all(abs(taken[s] - t) < 0.1 * t for s, t in target.items())
+
+
+def test_secrets_find_random_keys():
+    """Small alphabets, long keys, keys without digits, repeated on other lines, before the word or in its block."""
+    rng = random.Random(3)
+    novel = lambda t: [s["value"] for s in secrets.find_secrets(t) if s["kind"] == "novel"]
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for alphabet in ("0123456789ABCDEF", digits, upper + "234567", lower + upper):
+        for n in (20, 48, 64, 96, 256):
+            keys = ["".join(rng.choices(alphabet, k=n)) for _ in range(20)]
+            assert sum(novel(f"the credential is {k}") == [k] for k in keys) >= 19
+    key = "".join(rng.choices(lower + upper + digits, k=40))
+    assert novel(f"curl -H 'token: {key}' a\ncurl -H 'token: {key}' b\n") == [key, key]
+    assert novel(f"{key}\nthis is the token\n") == [key]
+    assert novel(f"-----BEGIN PRIVATE KEY-----\n{key}\n") == [key]
+    assert novel(f"the token {'is far away ' * 20}{key}") == [key]
+    for name in ("internationalization", "Geschwindigkeitsbegrenzung", "getElementByIdentifier", "/usr/local/share/documentation/index"):
+        assert novel(f"token {name}") == []
