@@ -71,10 +71,11 @@ def assign_cells(table: DataFrame, vec_col: str, model: KMeansModel) -> DataFram
 
 
 def approximate_search(
-    indexed: DataFrame, id_col: str, vec_col: str, model: KMeansModel, queries: DataFrame, k: int = 10, probes: int = 3
+    indexed: DataFrame, id_col: str, vec_col: str, model: KMeansModel, queries: DataFrame, k: int = 10, probes: int | None = None
 ) -> DataFrame:
-    """Cosine top-k inside the ``probes`` nearest cells of each query."""
+    """Cosine top-k inside the ``probes`` nearest cells of each query, by default three of four cells."""
     centers = np.array(model.clusterCenters())
+    probes = -(-3 * len(centers) // 4) if probes is None else probes
     found = None
     for chunk in _query_chunks(queries):
         if not chunk:

@@ -207,3 +207,14 @@ def test_alert_rules_with_history(spark):
     assert ("HighMemoryUsage", "firing", 13) in got and ("ApplicationDown", "firing", 4) in got
     assert any(a == "HighErrorRate" and s == "firing" for a, s, _ in got)
     assert not any(a == "PodRestartingFrequently" for a, _, _ in got)
+
+
+def test_default_probes_find_nine_of_ten(spark):
+    from checks.search import cell_recall
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    model = vectorsearch.fit_cells(rows, "embedding", 8)
+    indexed = vectorsearch.assign_cells(rows, "embedding", model)
+    recall = cell_recall(rows, indexed, model)
+    print("recall", recall, "at three probes", cell_recall(rows, indexed, model, 3))
+    assert recall >= 0.9
