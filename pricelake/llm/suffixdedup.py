@@ -41,7 +41,7 @@ LENGTH = 400
 REACH = 128  # offsets from a string's start to its trigger
 WINDOW = 8
 RUN = 1 << 22  # positions hashed at once
-CROWD = 512  # rows of one parse suffix that a task orders together
+CROWD = 20_000  # rows of one parse suffix that a task orders together
 RANGES = (REACH, 16, 1)  # offsets that rows of a crowded suffix share, step by step
 
 
@@ -74,7 +74,8 @@ def text_rows(docs: DataFrame) -> DataFrame:
 
 
 def parse(texts: DataFrame, length: int, reach: int) -> DataFrame:
-    """(text_key, pos, suffix, around): every trigger, the hash of its shared bytes and that of all its surroundings."""
+    """(text_key, pos, suffix, around, places, place): every trigger, the hash of its shared bytes and that of all its
+    surroundings. Triggers of one text with equal surroundings are one row, with all ``places``; else those are null."""
     shared = length - reach + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,25 +84,36 @@ def parse(texts: DataFrame, length: int, reach: int) -> DataFrame:
 
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            keys, places, suffixes, around = [], [], [], []
+            rows, firsts, suffixes, around, places = [], [], [], [], []
             for row, data in enumerate(batch.column(1)):
                 data = data.as_py()
-                at = triggers(data, length, reach).tolist()
-                keys.append(np.full(len(at), row))
-                places += at
-                suffixes += [digest(data[t : t + shared]) for t in at]
-                around += [digest(data[max(0, t - reach + 1) : t + length], min(t, reach - 1)) for t in at]
-            rows = np.concatenate(keys) if keys else np.empty(0, np.int64)
+                at = triggers(data, length, reach)
+                hashes = [digest(data[max(0, t - reach + 1) : t + length], min(t, reach - 1)) for t in at.tolist()]
+                lists: list = [None] * len(at)
+                if len(set(hashes)) < len(hashes):
+                    hashes, first, which = np.unique(np.array(hashes, np.uint64), return_index=True, return_inverse=True)
+                    order = np.argsort(which, kind="stable")
+                    runs = np.split(at[order], np.flatnonzero(np.diff(which[order])) + 1)
+                    lists = [r.tolist() if len(r) > 1 else None for r in runs]
+                    hashes, at = hashes.tolist(), at[first]
+                rows.append(np.full(len(at), row))
+                firsts += at.tolist()
+                suffixes += [digest(data[t : t + shared]) for t in at.tolist()]
+                around += hashes
+                places += lists
+            rows = np.concatenate(rows) if rows else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows)), pa.array(places, pa.int32()), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (suffixes, around)]],
-                ["text_key", "pos", "suffix", "around"],
+                [batch.column(0).take(pa.array(rows)), pa.array(firsts, pa.int32()), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (suffixes, around)],
+                 pa.array(places, pa.list_(pa.int32()))],
+                ["text_key", "pos", "suffix", "around", "places"],
             )
 
-    return texts.mapInArrow(run, "text_key binary, pos int, suffix long, around long").withColumn("place", F.xxhash64("text_key", "pos"))
+    found = texts.mapInArrow(run, "text_key binary, pos int, suffix long, around long, places array<int>")
+    return found.withColumn("place", F.xxhash64("text_key", "pos"))
 
 
 def pieces(texts: DataFrame, length: int, reach: int) -> DataFrame:
-    """(bucket, first, text_key, pos, place, left, right) for the wanted places of each text: left reads backwards."""
+    """(bucket, first, text_key, pos, crowded, left, right) for the wanted places of each text: left reads backwards."""
     shared = length - reach + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,16 +122,16 @@ def pieces(texts: DataFrame, length: int, reach: int) -> DataFrame:
             for key, data, wanted in zip(*[batch.column(c).to_pylist() for c in range(3)]):
                 for one in wanted:
                     at = one["pos"]
-                    out.append((one["suffix"], 0, key, at, one["place"], data[max(0, at - reach + 1) : at][::-1], data[at + shared : at + length]))
+                    out.append((one["suffix"], 0, key, at, one["crowded"], data[max(0, at - reach + 1) : at][::-1], data[at + shared : at + length]))
                     if len(out) == 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
                         out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
 
-    names = ["bucket", "first", "text_key", "pos", "place", "left", "right"]
-    types = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-    return texts.mapInArrow(run, "bucket long, first int, text_key binary, pos int, place long, left binary, right binary")
+    names = ["bucket", "first", "text_key", "pos", "crowded", "left", "right"]
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+    return texts.mapInArrow(run, "bucket long, first int, text_key binary, pos int, crowded boolean, left binary, right binary")
 
 
 def sorted_pieces(buckets, parts: list[bytes], width: int):
@@ -210,7 +222,7 @@ def narrower(rows: DataFrame, width: int, reach: int) -> DataFrame:
     need = F.greatest(F.lit(reach - 1) - F.col("low") - (width - 1), F.lit(0))
     fits = lows.where((F.octet_length("left") >= F.col("low")) & (F.octet_length("right") >= need))
     bucket = F.xxhash64("bucket", "low", F.substring(F.col("left"), F.lit(1), F.col("low")), F.substring(F.col("right"), F.lit(1), need))
-    return fits.select(bucket.alias("bucket"), F.col("low").alias("first"), "text_key", "pos", "place", "left", "right")
+    return fits.select(bucket.alias("bucket"), F.col("low").alias("first"), "text_key", "pos", "left", "right")
 
 
 def crowds(rows: DataFrame) -> DataFrame:
@@ -218,16 +230,13 @@ def crowds(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def one_text_each(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(text_key, data, wanted): each wanted text once. The wanted keys are sent to the texts while they are small;
-    otherwise equal texts are combined before they are joined."""
-    def once(df: DataFrame) -> DataFrame:
-        return df.groupBy("text_key").agg(F.first("data").alias("data"))
-
-    if measured_bytes(wanted) <= BROADCAST_BYTES:
-        some = once(texts.join(F.broadcast(wanted.select("text_key")), "text_key", "left_semi"))
-        return some.join(F.broadcast(wanted), "text_key")
-    return once(texts).join(wanted, "text_key")
+def of_texts(rows: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rows whose text is wanted, the others): while the list of wanted keys is small it is sent to the rows, so that only
+    texts that matter are moved; otherwise all rows are given back to be joined."""
+    keys = cut_lineage(wanted.select("text_key"))
+    if measured_bytes(keys) > BROADCAST_BYTES:
+        return rows, None
+    return rows.join(F.broadcast(keys), "text_key", "left_semi"), rows.join(F.broadcast(keys), "text_key", "left_anti")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, reach: int = REACH, crowd: int = CROWD) -> DataFrame:
@@ -237,28 +246,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, reach: int = REACH, cr
     """
     texts = text_rows(docs)
     suffixes = parse(texts, length, reach)
-    again = suffixes.groupBy("suffix").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("suffix")
-    some = cut_lineage(suffixes.join(again, "suffix", "left_semi"))
+    several = F.max(F.col("places").isNotNull())
+    again = suffixes.groupBy("suffix").agg(F.min("place").alias("a"), F.max("place").alias("b"), several.alias("inside")).where("a <> b OR inside")
+    some = cut_lineage(suffixes.join(again.select("suffix"), "suffix", "left_semi"))
 
     # surroundings that stand twice are decided; the others need the pieces of all that share their parse suffix
     first = F.min(F.struct("text_key", "pos")).alias("at")
-    known = some.groupBy("suffix", "around").agg(F.min("place").alias("a"), F.max("place").alias("b"), first)
-    known = cut_lineage(known.select("suffix", "around", F.expr("a <> b").alias("twice"), F.col("a").alias("place"), "at.text_key", "at.pos"))
+    known = some.groupBy("suffix", "around").agg(F.min("place").alias("a"), F.max("place").alias("b"), several.alias("inside"), first)
+    known = cut_lineage(known.select("suffix", "around", F.expr("a <> b OR inside").alias("twice"), "at.text_key", "at.pos"))
     full = some.join(known.where("twice").select("suffix", "around"), ["suffix", "around"], "left_semi")
-    spans = full.select("text_key", (F.col("pos") - (reach - 1)).alias("start"), (F.col("pos") + length).alias("stop"))
+    full = full.select("text_key", F.explode(F.coalesce("places", F.array("pos"))).alias("pos"))
+    results = [full.select("text_key", (F.col("pos") - (reach - 1)).alias("start"), (F.col("pos") + length).alias("stop"))]
 
     sizes = known.groupBy("suffix").agg(F.count("*").alias("n"), F.max(~F.col("twice")).alias("open")).where("open AND n > 1")
-    asked = known.join(sizes.select("suffix", "n"), "suffix")
-    wanted = F.collect_list(F.struct("suffix", "pos", F.xxhash64("text_key", "pos").alias("place"))).alias("wanted")
-
-    def cut(part: DataFrame) -> DataFrame:
-        return pieces(one_text_each(texts, cut_lineage(part.groupBy("text_key").agg(wanted))), length, reach)
+    asked = known.join(sizes.select("suffix", (F.col("n") > crowd).alias("crowded")), "suffix")
+    wanted = cut_lineage(asked.groupBy("text_key").agg(F.collect_list(F.struct("suffix", "pos", "crowded")).alias("wanted")))
+    once = of_texts(texts, wanted)[0].groupBy("text_key").agg(F.first("data").alias("data"))  # equal texts combine before they move
+    cut = cut_lineage(pieces(once.join(wanted, "text_key"), length, reach))
 
     def found(rows: DataFrame) -> DataFrame:
         return rows.select("text_key", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") + (length - F.col("least"))).alias("stop"))
 
-    results = [spans, found(ordered(cut(asked.where(F.col("n") <= crowd)), reach, reach))]
-    rows = cut_lineage(cut(asked.where(F.col("n") > crowd)))
+    results.append(found(ordered(cut.where("NOT crowded"), reach, reach)))
+    rows = cut.where("crowded")
     for width in (w for w in RANGES if w < reach):
         if rows.isEmpty():
             break
@@ -282,10 +292,13 @@ def removal_report(docs: DataFrame, length: int = LENGTH, reach: int = REACH, ke
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row; with ``kept`` also the remaining bytes."""
     spans = repeated_spans(docs, length, reach, crowd).groupBy("text_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     spans = cut_lineage(spans)
-    spans = F.broadcast(spans) if measured_bytes(spans) <= BROADCAST_BYTES else spans
     key: Column = F.unhex(F.md5(whole_text()))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("text_key"), whole_text().cast("binary").alias("data"))
-    rows = rows.join(spans, "text_key", "left").select("doc_id", "data", "spans")
+    touched, others = of_texts(rows, spans)
+    touched = touched.join(spans, "text_key", "left")
+    if others is not None:
+        touched = touched.unionByName(others.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
+    rows = touched.select("doc_id", "data", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
