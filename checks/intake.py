@@ -24,7 +24,7 @@ def page_hits(spark, sf):
         lang.alias("query_id"), F.col("page_id").alias("pos"), "url", title.alias("original_title"), ad.alias("original_snippet")
     )
     first = hits.groupBy("query_id").agg(F.min_by("original_title", "pos").alias("t"))
-    words = F.array_join(F.slice(text.relevance_tokens(F.col("t")), 1, 3), " ")
+    words = F.array_join(text.relevance_tokens(F.col("t")), " ")
     return hits.join(first.select("query_id", words.alias("query")), "query_id")
 
 
@@ -38,7 +38,7 @@ def _tokens(c: str) -> str:
 _HITS = f"""hits0 AS (SELECT regexp_extract(url, '^https?://[^/]+/([a-z]+)', 1) AS query_id, page_id AS pos, url,
       trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS original_title,
       regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS original_snippet FROM pages),
-    qs AS (SELECT query_id, array_to_string(({_tokens('min_by(original_title, pos)')})[:3], ' ') AS query FROM hits0 GROUP BY query_id),
+    qs AS (SELECT query_id, array_to_string({_tokens('min_by(original_title, pos)')}, ' ') AS query FROM hits0 GROUP BY query_id),
     hits AS (SELECT * FROM hits0 JOIN qs USING (query_id))"""
 
 _SUFFIXES = "[array_to_string(string_split(h, '.')[i:], '.') FOR i IN range(1, len(string_split(h, '.')) + 1)]"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.common import query, table
 from checks.store import page_ops, rich_pages
-from pricelake.functions import prices, text
+from pricelake.functions import prices, rules, text
 from pricelake.operators import offers as offer_ops
 from pricelake.operators import pricing, responses
 
@@ -76,12 +76,26 @@ def price_direct(spark, sf):
     )
 
 
-@query("price_in_documents", """WITH t AS (SELECT doc_id, text || ' Precio final: U$S ' || (doc_id % 900 + 50) || ',50' AS x FROM documents WHERE NOT regexp_matches(text, '[$]|USD|UYU|(?i)dolares|pesos'))
-    SELECT doc_id, (doc_id % 900 + 50.5)::DOUBLE AS price, 'USD' AS currency FROM t""")
+def _direct_sql(source: str, key: str, column: str) -> str:
+    """First price of each text by the patterns in order; a sign before a dollar mark is read as a letter left of it."""
+    table = [(p.replace("(?<![US])", "(?:^|[^US])"), c, floor) for p, c, floor, _, _ in rules.DIRECT_PRICE_COMPAT]
+    raw = ", ".join(f"regexp_extract({column}, '{p}', 1)" for p, _, _ in table)
+    return f"""r AS (SELECT {key}, unnest(range({len(table)})) AS k, unnest([{raw}]) AS t, unnest({[c for _, c, _ in table]}) AS currency, unnest({[f for _, _, f in table]}) AS least FROM {source}),
+    p AS (SELECT {key}, k, currency, least, {_PARSED} AS price FROM r),
+    first AS (SELECT {key}, min_by(price, k) AS price, min_by(currency, k) AS currency FROM p WHERE price >= least GROUP BY {key})"""
+
+
+@query("price_in_documents", f"WITH {_direct_sql('documents', 'doc_id', 'text')} SELECT doc_id, price, currency FROM documents LEFT JOIN first USING (doc_id)")
 def price_in_documents(spark, sf):
-    docs = table(spark, sf, "documents").filter(~F.col("text").rlike(r"[$]|USD|UYU|(?i)dolares|pesos"))
-    body = F.concat("text", F.lit(" Precio final: U$S "), (F.col("doc_id") % 900 + 50).cast("string"), F.lit(",50"))
-    return docs.select("doc_id", prices.direct_price(body).alias("r")).select("doc_id", "r.price", "r.currency")
+    return table(spark, sf, "documents").select("doc_id", prices.direct_price(F.col("text")).alias("r")).select("doc_id", "r.price", "r.currency")
+
+
+@query("price_in_listed_documents", f"""WITH l AS (SELECT doc_id, text || ' Precio final: U$S ' || (doc_id % 900 + 50) || ',50 o $ ' || doc_id || '.100' AS x FROM documents),
+    {_direct_sql('l', 'doc_id', 'x')} SELECT doc_id, price, currency FROM documents LEFT JOIN first USING (doc_id)""")
+def price_in_listed_documents(spark, sf):
+    """Every document with a price line behind its whole text, whatever else the text says of money."""
+    body = F.concat("text", F.lit(" Precio final: U$S "), (F.col("doc_id") % 900 + 50).cast("string"), F.lit(",50 o $ "), F.col("doc_id").cast("string"), F.lit(".100"))
+    return table(spark, sf, "documents").select("doc_id", prices.direct_price(body).alias("r")).select("doc_id", "r.price", "r.currency")
 
 
 @query("currency_detect", f"""WITH {_TEXTS} SELECT p_partkey, kind, CASE WHEN regexp_matches(upper(t), 'U\\$S|US\\$|USD|U\\$\\$|DOLARES|DÓLARES|DOLLARS') THEN 'USD'

@@ -59,17 +59,13 @@ def page_upsert(spark, sf):
 
 
 @query("page_merge_buckets", f"""SELECT 'https://site.example.com/' || user_id AS url, max_by(event_type, ts) AS title, {sql_stamp('min(ts)')} AS crawled_at,
-    {sql_stamp('CASE WHEN count(*) > 1 AND (user_id % 8 = 0 OR count(*) FILTER (ts < TIMESTAMP $$2024-01-15$$) > 1) THEN max(ts) END')} AS last_updated
-    FROM events WHERE ts < TIMESTAMP '2024-01-15' OR user_id % 8 = 0 GROUP BY user_id""".replace("$$", "'"))
+    {sql_stamp('CASE WHEN count(*) > 1 THEN max(ts) END')} AS last_updated FROM events GROUP BY user_id""")
 def page_merge_buckets(spark, sf):
-    """A bucketed page table, and a merge of new versions of every eighth page."""
-    rows, folder = versions(spark, sf), f"{shared_folder(spark)}/buckets-{uuid.uuid4().hex}"
-    empty = rows.limit(0).select("url", "title", "full_text", F.col("fetched_at").alias("crawled_at"), F.col("fetched_at").alias("last_updated"))
-    cut = F.lit("2024-01-15").cast("timestamp")
-    store.write_buckets(store.upsert_pages(empty, rows.filter(F.col("fetched_at") < cut)), folder, 32)
-    some = F.regexp_extract("url", r"(\d+)$", 1).cast("long") % 8 == 0
-    store.merge_buckets(spark, folder, rows.filter((F.col("fetched_at") >= cut) & some), 32)
-    return spark.read.parquet(folder).select("url", "title", stamp("crawled_at"), stamp("last_updated"))
+    """A table of page versions in two parts, and the current page of each URL."""
+    rows, folder, cut = versions(spark, sf), f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}", F.lit("2024-01-15").cast("timestamp")
+    for part in (F.col("fetched_at") < cut, F.col("fetched_at") >= cut):
+        store.append_versions(rows.filter(part), folder)
+    return store.current_pages(spark, folder).select("url", "title", stamp("crawled_at"), stamp("last_updated"))
 
 
 @query("page_row_times", f"SELECT o_orderkey, {sql_stamp('o_orderdate')} AS from_http, {sql_stamp('o_orderdate')} AS from_iso, NULL::VARCHAR AS from_text FROM orders")

@@ -69,22 +69,20 @@ def stream_page_upsert(spark, sf):
     rows, cut = versions(spark, sf), F.lit("2024-01-15").cast("timestamp")
     stream, folder = arriving(rows.filter(F.col("fetched_at") >= cut), "upsert")
     empty = rows.limit(0).select("url", "title", "full_text", F.col("fetched_at").alias("crawled_at"), F.col("fetched_at").alias("last_updated"))
-    upsert.create_table(upsert.upsert_pages(empty, rows.filter(F.col("fetched_at") < cut)), f"{folder}/table")
-    upsert.start_upsert(stream, f"{folder}/table", f"{folder}/progress").awaitTermination()
-    return upsert.current(spark, f"{folder}/table").select("url", "title", "full_text", stamp("crawled_at"), stamp("last_updated"))
+    base = upsert.upsert_pages(empty, rows.filter(F.col("fetched_at") < cut))
+    upsert.land_versions(stream, f"{folder}/versions", f"{folder}/progress").awaitTermination()
+    return upsert.current(base, f"{folder}/versions").select("url", "title", "full_text", stamp("crawled_at"), stamp("last_updated"))
 
 
 _STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-# changes near the end of the stream are open until later rows come
-_SETTLED = "TIMESTAMP '2024-01-25'"
 
 
 def stateful_run(spark, stream, folder):
     before = spark.conf.get(_STATE_STORE)
     spark.conf.set(_STATE_STORE, _ROCKS)
     try:
-        return landed(stream, folder).filter(f"at < {_SETTLED}")
+        return landed(stream, folder)
     finally:
         spark.conf.set(_STATE_STORE, before)
 
@@ -93,9 +91,10 @@ def stateful_run(spark, stream, folder):
     e AS (SELECT engine, epoch_us(ts) AS t, event, lag(event) OVER w AS was, lag(epoch_us(ts)) OVER w AS before, lead(epoch_us(ts)) OVER w AS next FROM ev WHERE event <> 'none' WINDOW w AS (PARTITION BY engine ORDER BY ts)),
     c AS (SELECT engine, 'open' AS state, t FROM e WHERE event = 'open' AND NOT coalesce(was = 'open' AND t - before < 7200000000, false) UNION ALL
       SELECT engine, 'closed', t FROM e WHERE event = 'close' AND was = 'open' AND t - before < 7200000000 UNION ALL
-      SELECT engine, 'closed', t + 7200000000 FROM e WHERE event = 'open' AND coalesce(next - t >= 7200000000, true))
-    SELECT engine, state, t AS at_us FROM c WHERE t < epoch_us({_SETTLED})""")
+      SELECT engine, 'closed', t + 7200000000 FROM e WHERE event = 'open' AND (next - t >= 7200000000 OR next IS NULL AND t + 7200000000 < (SELECT max(t) FROM e) - 60000000))
+    SELECT engine, state, t AS at_us FROM c""")
 def stream_breaker_states(spark, sf):
+    """All changes; an engine open at the end closes if its time is up when the watermark stops."""
     stream, folder = arriving(fetch_log(spark, sf), "breaker")
     return stateful_run(spark, stateful.breaker_changes(stream, 7200, min_chars=2000), folder).select("engine", "state", F.unix_micros("at").alias("at_us"))
 
@@ -105,9 +104,11 @@ def stream_breaker_states(spark, sf):
     g AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY e ROWS UNBOUNDED PRECEDING) AS run FROM o),
     r AS (SELECT event_type, min(e) AS a, max(e) AS b FROM g GROUP BY event_type, run),
     c AS (SELECT event_type, 'pending' AS state, a AS t FROM r UNION ALL SELECT event_type, 'firing', a + 3600 FROM r WHERE b - a >= 3600
-      UNION ALL SELECT event_type, 'resolved', b + 3600 FROM r WHERE b - a >= 3600)
-    SELECT event_type AS series, state, t AS at_s FROM c WHERE t < epoch({_SETTLED})""")
+      UNION ALL SELECT event_type, 'resolved', b + 3600 FROM r JOIN (SELECT event_type, max(e) AS last FROM p GROUP BY event_type) USING (event_type)
+        WHERE b - a >= 3600 AND (b < last OR b + 3600 < (SELECT max(e) FROM p)))
+    SELECT event_type AS series, state, t AS at_s FROM c""")
 def stream_alert_states(spark, sf):
+    """All changes; an alert that fires at the end is resolved if the watermark passes its last step."""
     points = metrics.evaluation_points(table(spark, sf, "events"), ["event_type"], 3600, tie="event_id")
     rows = points.select(
         F.lit("Busy").alias("alert"), F.col("event_type").alias("series"), "eval_ts", (F.col("value") > 8).alias("active"), F.lit(3600).alias("hold_seconds")

@@ -1,97 +1,53 @@
-"""Cosine top-k over a vector column: one Arrow pass, a small matrix product per batch."""
+"""Cosine top-k between chunks of a vector table and blocks of queries: one small matrix product per pair."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+import pyarrow.compute as pc
 
-
-# bounds the distance matrix of one batch to batch rows * 256
+# bounds the distance matrix of a chunk to its rows * 256
 _QUERY_BLOCK = 256
 
 
-def _kernel(query_ids: list, matrix: np.ndarray, k: int, max_distance: float | None, id_type: pa.DataType, probes: dict | None):
-    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-
-    def closest(d, ids, held, cells, wanted):
-        """Best ``k`` of the rows held so far and one batch."""
-        ok = ~np.isnan(d)
-        if max_distance is not None:
-            ok &= d < max_distance
-        if cells is not None:
-            ok &= np.isin(cells, wanted)
-        if len(held) == k:
-            ok &= d <= held[-1][0]
-        if np.count_nonzero(ok) > k:
-            ok &= d <= np.partition(d[ok], k - 1)[k - 1]
-        return sorted(held + list(zip(d[ok].tolist(), ids[ok].tolist())))[:k]
-
-    def run(batches):
-        best: dict = {}
-        for batch in batches:
-            vectors = batch.column("vec")
-            keep = vectors.is_valid()
-            batch = batch.filter(keep)
-            if batch.num_rows == 0:
-                continue
-            vectors = batch.column("vec")
-            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            rows = flat.reshape(batch.num_rows, -1)
-            norms = np.linalg.norm(rows, axis=1)
-            ids = np.array(batch.column("id").to_pylist(), dtype=object)
-            cells = batch.column("cell").to_numpy(zero_copy_only=False) if probes is not None else None
-            length = np.where(norms == 0, np.nan, norms)[:, None]
-            for first in range(0, len(query_ids), _QUERY_BLOCK):
-                block = unit[first : first + _QUERY_BLOCK]
-                distance = np.round(1.0 - (rows @ block.T) / length, 9)
-                for j in range(first, first + len(block)):
-                    found = closest(distance[:, j - first], ids, best.get(j, []), cells, probes and probes[query_ids[j]])
-                    if found:
-                        best[j] = found
-        out = [(query_ids[j], i, d) for j, held in best.items() for d, i in held]
-        if out:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in out], pa.string()),
-                    pa.array([r[1] for r in out], id_type),
-                    pa.array([r[2] for r in out], pa.float64()),
-                ],
-                names=["query_id", "id", "distance"],
-            )
+def unit_rows(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, unit vectors) of the rows that have a direction: no null, empty or zero vector, nor a shorter one."""
+    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero((sizes > 0) & (sizes == sizes.max(initial=0)))
+    if not len(at):
+        return at, np.empty((0, 0))
+    rows = values.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1)
+    norms = np.linalg.norm(rows, axis=1)
+    good = norms > 0
+    return at[good], rows[good] / norms[good, None]
+
+
+def nearest(k: int, max_distance: float | None):
+    """Cogroup function: rows (id, vec) of a chunk and queries (query_id, row, vector) to each query's best ``k`` of it."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        at, rows = unit_rows(left.column("vec"))
+        asked, queries = unit_rows(right.column("vector"))
+        ids = left.column("id").combine_chunks()
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if len(at) and len(asked):
+            # ties are broken by id: rows in order of id, and a stable sort by distance
+            by_id = np.argsort(np.array(ids.take(pa.array(at)).to_pylist(), dtype=object), kind="stable")
+            at, rows = at[by_id], rows[by_id]
+            for first in range(0, len(asked), _QUERY_BLOCK):
+                distance = np.round(1.0 - queries[first : first + _QUERY_BLOCK] @ rows.T, 9)
+                for j, d in enumerate(distance):
+                    ok = d <= np.partition(d, k - 1)[k - 1] if len(d) > k else np.ones(len(d), bool)
+                    if max_distance is not None:
+                        ok &= d < max_distance
+                    best = np.flatnonzero(ok)
+                    best = best[np.argsort(d[best], kind="stable")[:k]]
+                    found.append((np.full(len(best), asked[first + j]), at[best], d[best]))
+        q, i, d = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2 + (np.empty(0),)
+        return pa.table({
+            "query_id": right.column("query_id").combine_chunks().take(pa.array(q)), "row": right.column("row").combine_chunks().take(pa.array(q)),
+            "id": ids.take(pa.array(i)), "distance": pa.array(d, pa.float64()),
+        })
 
     return run
-
-
-def cosine_topk(
-    table: DataFrame,
-    id_col: str,
-    vec_col: str,
-    query_vectors: list[tuple[str, list[float]]],
-    k: int,
-    max_distance: float | None = None,
-    cell_col: str | None = None,
-    probes: dict | None = None,
-) -> DataFrame:
-    """``k`` nearest rows per query vector as (query_id, <id_col>, distance, rank).
-
-    Each task keeps its own best ``k`` per query, so the shuffle carries ``tasks * queries * k``
-    rows whatever the table size. Ties are broken by id.
-    """
-    wanted = [F.col(id_col).alias("id"), F.col(vec_col).alias("vec")]
-    if cell_col:
-        wanted.append(F.col(cell_col).alias("cell"))
-    source = table.select(*wanted)
-    id_name = source.schema["id"].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_name]
-    matrix = np.array([v for _, v in query_vectors], dtype=np.float64)
-    kernel = _kernel([q for q, _ in query_vectors], matrix, k, max_distance, id_type, probes)
-    partial = source.mapInArrow(kernel, f"query_id string, id {id_name}, distance double")
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return (
-        partial.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select("query_id", F.col("id").alias(id_col), "distance", "rank")
-    )

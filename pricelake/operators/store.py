@@ -15,30 +15,17 @@ from pricelake.session import cut_lineage
 
 
 # -- pages -----------------------------------------------------------------------------------
-BUCKETS = 256
+def append_versions(versions: DataFrame, location: str) -> None:
+    """Add page versions to a table of versions; nothing that is there is read or written again."""
+    versions.write.mode("append").parquet(location)
 
 
-def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
-
-
-def write_buckets(pages: DataFrame, location: str, buckets: int = BUCKETS) -> None:
-    """Page table in folders by URL hash, for merges that touch only what they change."""
-    pages.withColumn("bucket", _bucket(buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(location)
-
-
-def merge_buckets(spark: SparkSession, location: str, delta: DataFrame, buckets: int = BUCKETS, fetched_at: str = "fetched_at") -> list[int]:
-    """Merge new page versions into a bucketed table; only the folders they fall into are read and replaced.
-
-    Returns the buckets touched, at most ``buckets`` numbers.
-    """
-    fresh = cut_lineage(delta.withColumn("bucket", _bucket(buckets)))
-    touched = sorted(r["bucket"] for r in fresh.select("bucket").distinct().collect())
-    if touched:
-        base = spark.read.parquet(location).filter(F.col("bucket").isin(touched)).drop("bucket")
-        merged = cut_lineage(upsert_pages(base, fresh.drop("bucket"), fetched_at).withColumn("bucket", _bucket(buckets)))
-        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(location)
-    return touched
+def current_pages(spark: SparkSession, location: str, fetched_at: str = "fetched_at") -> DataFrame:
+    """The page of each URL from a table of versions (url, content columns, ``fetched_at``): newest content, first crawl."""
+    versions = spark.read.parquet(location)
+    at = F.col(fetched_at)
+    empty = versions.limit(0).withColumns({"crawled_at": at, "last_updated": at}).drop(fetched_at)
+    return upsert_pages(empty, versions, fetched_at)
 
 
 def upsert_pages(base: DataFrame, delta: DataFrame, fetched_at: str = "fetched_at") -> DataFrame:

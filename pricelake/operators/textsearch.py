@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from pricelake.functions.expr import let
 from pricelake.functions.text import positioned_tokens
-from pricelake.session import small_side
+from pricelake.session import cut_lineage, small_side
 
 
 def page_text() -> Column:
@@ -93,47 +92,120 @@ def term_frequency_rank() -> Column:
     return F.aggregate("terms", F.lit(0), lambda total, t: total + hits(t)).cast("double")
 
 
-@F.pandas_udf(T.DoubleType())
-def _cover_rank(term_numbers: pd.Series) -> pd.Series:
-    """Sum over minimal covers of 0.1 / (1 + other words inside the cover).
+def cover_density_rank() -> Column:
+    """Sum over minimal covers of 0.1 / (1 + other words inside the cover), in one sweep over the row's hits.
 
-    Input: per document the term number at each position, -1 for other words.
+    The state keeps the number of the last hit of each term. A hit ends a minimal cover when all terms have been seen and
+    its own term was not seen since the oldest of the others; that oldest one is the cover's left end.
     """
+    places = F.sequence(F.lit(1), F.size("tokens"))
+    numbered = F.transform(F.arrays_zip(F.col("tokens").alias("w"), places.alias("p")), lambda x: F.struct(
+        F.array_position(F.col("terms"), x["w"]).cast("int").alias("t"), x["p"].alias("p")
+    ))
+    hits = F.when(F.size("tokens") > 0, F.filter(numbered, lambda h: h["t"] > 0)).otherwise(F.array().cast("array<struct<t:int,p:int>>"))
+    start = F.struct(F.array_repeat(F.lit(0), F.size("terms")).alias("last"), F.lit(0).alias("i"), F.lit(0.0).alias("total"))
 
-    def rank(numbers):
-        hits = [(i, n) for i, n in enumerate(numbers) if n >= 0]
-        need = len({n for _, n in hits})
-        total, left, count = 0.0, 0, {}
-        for right, (_, n) in enumerate(hits):
-            count[n] = count.get(n, 0) + 1
-            if len(count) < need:
-                continue
-            while count[hits[left][1]] > 1:
-                count[hits[left][1]] -= 1
-                left += 1
-            # minimal only when the right end is needed too
-            if count[n] == 1:
-                noise = (hits[right][0] - hits[left][0]) - (right - left)
-                total += 0.1 / (1 + noise)
-                del count[hits[left][1]]
-                left += 1
-        return total
-
-    return term_numbers.map(rank)
+    def sweep(hits: Column) -> Column:
+        def step(state: Column, h: Column) -> Column:
+            i = state["i"] + 1
+            last = F.transform(state["last"], lambda seen, j: F.when(j + 1 == h["t"], i).otherwise(seen))
 
+            def add(both: Column) -> Column:
+                left = both["left"]
+                minimal = (left > 0) & (F.element_at(state["last"], h["t"]) < left)
+                # a term asked once is a cover by itself
+                noise = h["p"] - F.element_at(hits, F.greatest(left, F.lit(1)))["p"] - (i - left)
+                return F.struct(both["last"].alias("last"), i.alias("i"), (state["total"] + F.when(minimal, 0.1 / (1 + noise)).otherwise(0.0)).alias("total"))
 
-def cover_density_rank() -> Column:
-    numbers = F.transform("tokens", lambda t: F.array_position(F.col("terms"), t).cast("int") - 1)
-    return _cover_rank(numbers)
+            return let(F.struct(last.alias("last"), F.array_min(last).alias("left")), add)
+
+        return F.aggregate(hits, start, step)["total"]
+
+    return let(hits, sweep)
 
 
 def search_pages(
     queries: DataFrame, vectors: DataFrame, doc_id: str, limit: int = 10, rank: str = "cover"
 ) -> DataFrame:
     """Best ``limit`` documents per query that hold all its terms."""
+    return _ranked(all_term_candidates(queries, vectors, doc_id), doc_id, limit, rank)
+
+
+def _ranked(candidates: DataFrame, doc_id: str, limit: int, rank: str) -> DataFrame:
     score = cover_density_rank() if rank == "cover" else term_frequency_rank()
-    scored = all_term_candidates(queries, vectors, doc_id).select(
-        "query_id", doc_id, F.round(score, 6).alias("score")
-    )
+    scored = candidates.select("query_id", doc_id, F.round(score, 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(doc_id))
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+
+
+# -- stored index ----------------------------------------------------------------------------
+BUCKETS = 64
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
+def position_lists(vectors: DataFrame, doc_id: str) -> DataFrame:
+    """(term, doc_id, gaps), one row per term of a document: its positions, each as the distance from the one before.
+
+    A sort inside the row brings equal terms together; no token leaves its row alone.
+    """
+    placed = F.filter(F.transform("tokens", lambda t, i: F.struct(t.alias("t"), (i + 1).alias("p"))), lambda x: x["t"] != "")
+    rows = vectors.select(doc_id, F.array_sort(placed).alias("sorted")).filter(F.size("sorted") > 0)
+    starts = F.filter(
+        F.sequence(F.lit(1), F.size("sorted")),
+        lambda i: (i == 1) | (F.element_at("sorted", i)["t"] != F.element_at("sorted", F.greatest(i - 1, F.lit(1)))["t"]),
+    )
+    rows = rows.withColumn("starts", starts).select(
+        doc_id, "sorted", F.explode(F.arrays_zip(F.col("starts").alias("a"), F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("sorted") + 1)).alias("b"))).alias("run")
+    )
+    places = F.transform(F.slice("sorted", F.col("run.a"), F.col("run.b") - F.col("run.a")), lambda x: x["p"])
+    gaps = F.transform(F.col("places"), lambda p, i: p - F.when(i > 0, F.element_at("places", F.greatest(i, F.lit(1)))).otherwise(0))
+    return rows.select(doc_id, F.element_at("sorted", F.col("run.a"))["t"].alias("term"), places.alias("places")).select("term", doc_id, gaps.alias("gaps"))
+
+
+def positions(gaps: Column) -> Column:
+    """Positions of a stored list."""
+    whole = F.aggregate(
+        gaps, F.array().cast("array<int>"), lambda done, g: F.concat(done, F.array(g + F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0))))
+    )
+    return whole
+
+
+def write_index(vectors: DataFrame, doc_id: str, location: str, buckets: int = BUCKETS, mode: str = "append") -> None:
+    """Add documents to the index at ``location``: position lists and the number of documents of each term, both in folders
+    by hash of the term. Further documents are appended; counts of the parts are summed when read."""
+    lists = cut_lineage(position_lists(vectors, doc_id).withColumn("bucket", _bucket(buckets)))
+    counts = lists.groupBy("bucket", "term").agg(F.count("*").alias("docs"))
+    # a frequent term is spread over several files of its folder
+    lists.repartition("bucket", F.pmod(F.xxhash64(doc_id), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode(mode).partitionBy("bucket").parquet(f"{location}/lists")
+    counts.repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(f"{location}/counts")
+
+
+def read_index(spark: SparkSession, location: str, kind: str, buckets: list[int] | None = None) -> DataFrame:
+    """``lists`` or ``counts`` of the index; of the folders ``buckets`` alone where given."""
+    rows = spark.read.parquet(f"{location}/{kind}")
+    return rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
+
+
+def search_index(
+    queries: DataFrame, location: str, vectors: DataFrame, doc_id: str, limit: int = 10, rank: str = "cover", buckets: int = BUCKETS
+) -> DataFrame:
+    """``search_pages`` with the stored index: counts of the asked terms choose each query's rarest one, the folders of
+    those terms give the candidates, and one pass over the documents checks and ranks them."""
+    spark = queries.sparkSession
+    asked = queries.filter(F.size("terms") > 0).select("query_id", F.array_distinct("terms").alias("terms"))
+    by_term = cut_lineage(asked.select("query_id", "terms", F.explode("terms").alias("term")).withColumn("bucket", _bucket(buckets)))
+    folders = lambda rows: sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())  # noqa: E731  at most ``buckets``
+    counts = read_index(spark, location, "counts", folders(by_term)).groupBy("bucket", "term").agg(F.sum("docs").alias("docs"))
+    rarest = small_side(
+        by_term.join(counts, ["bucket", "term"]).groupBy("query_id", "terms")
+        .agg(F.min_by(F.struct("bucket", "term"), F.struct("docs", "term")).alias("r"), F.count(F.lit(1)).alias("known"))
+        .filter(F.col("known") == F.size("terms"))
+        .select("query_id", "terms", "r.bucket", "r.term")
+    )
+    lists = read_index(spark, location, "lists", folders(rarest))
+    holders = small_side(lists.join(rarest, ["bucket", "term"]).select("query_id", "terms", doc_id))
+    found = vectors.select(doc_id, "tokens").join(holders, doc_id).filter(F.size(F.array_except("terms", "tokens")) == 0)
+    return _ranked(found.select("query_id", "terms", doc_id, "tokens"), doc_id, limit, rank)

@@ -1,63 +1,19 @@
-"""Continuous page upsert: cheap appends per micro-batch, merged on read, folded by a batch job."""
+"""Continuous page upsert: versions are appended by Spark's file sink and reduced per URL when read."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from pricelake.operators.store import upsert_pages
 
-NO_BATCH = -1
 
-
-def _commit(spark: SparkSession, table: str, kind: str, batch: int) -> None:
-    """A row in the table of finished parts; what has no row is not read."""
-    row = spark.range(1).select(F.lit(kind).alias("kind"), F.lit(batch).cast("long").alias("batch"))
-    row.coalesce(1).write.mode("append").parquet(f"{table}/commits")
-
-
-def _commits(spark: SparkSession, table: str) -> tuple[int, list[int]]:
-    """(last batch inside the newest base, batches landed after it): as many numbers as batches since the last fold."""
-    rows = spark.read.schema("kind string, batch long").parquet(f"{table}/commits")
-    upto = rows.filter("kind = 'base'").agg(F.max("batch")).first()[0]
-    fresh = rows.filter((F.col("kind") == "change") & (F.col("batch") > upto)).select("batch").distinct()
-    return upto, sorted(r["batch"] for r in fresh.collect())
-
-
-def create_table(pages: DataFrame, table: str) -> None:
-    pages.write.mode("errorifexists").parquet(f"{table}/base/upto={NO_BATCH}")
-    _commit(pages.sparkSession, table, "base", NO_BATCH)
-
-
-def start_upsert(stream: DataFrame, table: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Land every micro-batch of page versions under ``<table>/changes/batch=<id>``.
-
-    A repeated batch overwrites its own folder, so the table stays exact; the cost of a batch does not
-    depend on the size of the table.
-    """
-
-    def land(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/changes/batch={batch_id}")
-        _commit(batch.sparkSession, table, "change", batch_id)
-
-    writer = stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
+def land_versions(stream: DataFrame, location: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Append every micro-batch of page versions; the sink's own log says which files count, so a repeated batch does no harm."""
+    writer = stream.writeStream.format("parquet").option("path", location).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def current(spark: SparkSession, table: str, fetched_at: str = "fetched_at") -> DataFrame:
-    """Pages as of the last landed batch: newest base merged with the changes after it, read in one scan."""
-    upto, fresh = _commits(spark, table)
-    base = spark.read.parquet(f"{table}/base/upto={upto}")
-    if not fresh:
-        return base
-    changes = spark.read.parquet(f"{table}/changes").filter(F.col("batch").isin(fresh)).drop("batch")
-    return upsert_pages(base, changes, fetched_at)
-
-
-def compact(spark: SparkSession, table: str, fetched_at: str = "fetched_at") -> None:
-    """Fold all landed changes into a new base; readers switch when its commit row is there."""
-    _, fresh = _commits(spark, table)
-    if fresh:
-        current(spark, table, fetched_at).write.mode("overwrite").parquet(f"{table}/base/upto={fresh[-1]}")
-        _commit(spark, table, "base", fresh[-1])
+def current(base: DataFrame, location: str, fetched_at: str = "fetched_at") -> DataFrame:
+    """Pages as of the last landed batch: ``base`` (maybe empty) with the newest landed version of each URL."""
+    return upsert_pages(base, base.sparkSession.read.parquet(location), fetched_at)

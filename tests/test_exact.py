@@ -5,11 +5,12 @@ from __future__ import annotations
 import difflib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pricelake.functions import prices, urls
-from pricelake.operators import candidates, frontier, metrics, offers, ordered, relevance, store, vectorsearch
+from pricelake.operators import candidates, frontier, metrics, offers, ordered, relevance, store, textsearch, vectorsearch
 from tests.conftest import SMALL
 
 
@@ -154,12 +155,91 @@ def test_url_steps_are_idempotent(spark):
         assert once.withColumn("b", step(F.col("a"))).filter("NOT (a <=> b)").count() == 0
 
 
-def test_many_query_vectors_take_several_passes(spark, monkeypatch):
+def plain_nearest(rows, queries, k):
+    vectors = {r.vec_id: np.array(r.embedding, dtype=float) for r in rows.collect()}
+    out = set()
+    for q in queries.collect():
+        v = np.array(q.vector, dtype=float)
+        best = sorted((round(1 - float(v @ x) / (np.linalg.norm(v) * np.linalg.norm(x)), 9), i) for i, x in vectors.items())[:k]
+        out |= {(q.query_id, i, rank) for rank, (_, i) in enumerate(best, 1)}
+    return out
+
+
+def test_chunks_and_blocks_do_not_change_the_answer(spark, monkeypatch):
     rows = spark.read.parquet(f"{SMALL}/embeddings.parquet")
     queries = rows.select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vector")).limit(50)
-    one = {tuple(r) for r in vectorsearch.semantic_search(rows, "vec_id", "embedding", queries, 3).collect()}
-    monkeypatch.setattr(vectorsearch, "MAX_QUERY_VECTORS", 9)
-    assert {tuple(r) for r in vectorsearch.semantic_search(rows, "vec_id", "embedding", queries, 3).collect()} == one
+    want = plain_nearest(rows, queries, 3)
+    for chunk, block in ((vectorsearch.CHUNK_ROWS, vectorsearch.BLOCK_QUERIES), (40, 9)):
+        monkeypatch.setattr(vectorsearch, "CHUNK_ROWS", chunk)
+        monkeypatch.setattr(vectorsearch, "BLOCK_QUERIES", block)
+        assert {(r.query_id, r.vec_id, r["rank"]) for r in vectorsearch.semantic_search(rows, "vec_id", "embedding", queries, 3).collect()} == want
+
+
+def test_searches_without_queries_or_direction(spark):
+    rows = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    model = vectorsearch.fit_cells(rows, "embedding", 6)
+    indexed = vectorsearch.assign_cells(rows, "embedding", model)
+    odd = spark.createDataFrame([("zero", [0.0] * 64), ("null", None), ("empty", [])], "query_id string, vector array<double>")
+    for queries in (odd, odd.limit(0)):
+        assert vectorsearch.semantic_search(rows, "vec_id", "embedding", queries, 3).count() == 0
+        assert vectorsearch.approximate_search(indexed, "vec_id", "embedding", model, queries, 3).count() == 0
+        assert vectorsearch.cell_search(indexed, "vec_id", "embedding", model, queries, 3).count() == 0
+    few = rows.filter("vec_id < 2")
+    queries = rows.filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    assert vectorsearch.semantic_search(few, "vec_id", "embedding", queries, 5).count() == 2
+
+
+def test_exact_stop_reads_few_cells_of_clustered_vectors(spark):
+    rng = np.random.default_rng(2)
+    centers = rng.standard_normal((16, 24))
+    vectors = [(i, [float(c) for c in centers[i % 16] + 0.05 * rng.standard_normal(24)]) for i in range(800)]
+    rows = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    queries = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vector"))
+    model = vectorsearch.fit_cells(rows, "embedding", 16)
+    indexed = vectorsearch.assign_cells(rows, "embedding", model)
+    got = vectorsearch.cell_search(indexed, "vec_id", "embedding", model, queries, 10).collect()
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in got} == plain_nearest(rows, queries, 10)
+    assert sum(r.cells for r in got) / len(got) < 4
+
+
+def test_position_lists_round_trip(spark, tmp_path):
+    texts = [(1, "b a b the a  a"), (2, None), (3, ""), (4, "the"), (5, "a"), (None, "z a")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    vectors = textsearch.text_vectors(docs, "doc_id", F.col("text"))
+    for part in ("doc_id <= 3", "doc_id > 3 OR doc_id IS NULL"):
+        textsearch.write_index(vectors.filter(part), "doc_id", str(tmp_path / "index"), buckets=4)
+    lists = textsearch.read_index(spark, str(tmp_path / "index"), "lists")
+    got = {(r.doc_id, r.term, tuple(r.p)) for r in lists.select("doc_id", "term", textsearch.positions(F.col("gaps")).alias("p")).collect()}
+    assert got == {(1, "b", (1, 3)), (1, "a", (2, 5, 6)), (5, "a", (1,)), (None, "z", (1,)), (None, "a", (2,))}
+    counts = textsearch.read_index(spark, str(tmp_path / "index"), "counts").groupBy("term").agg(F.sum("docs").alias("n"))
+    assert {(r.term, r.n) for r in counts.collect()} == {("a", 3), ("b", 1), ("z", 1)}
+    some = textsearch.read_index(spark, str(tmp_path / "index"), "lists", [1, 2]).select("term")
+    assert "PartitionFilters: [bucket" in some._jdf.queryExecution().executedPlan().toString()
+
+
+def plain_cover_rank(terms, tokens):
+    """All windows that hold every term and lose one with either end."""
+    hits = [i for i, t in enumerate(tokens) if t in terms]
+    total = 0.0
+    for a, left in enumerate(hits):
+        for b in range(a, len(hits)):
+            inside = [tokens[i] for i in hits[a : b + 1]]
+            if set(inside) == set(terms):
+                if tokens[left] not in inside[1:] and inside[-1] not in inside[:-1]:
+                    total += 0.1 / (1 + (hits[b] - left) - (b - a))
+                break
+    return total
+
+
+def test_cover_rank_against_all_windows(spark):
+    rng = random.Random(6)
+    rows = [(list(dict.fromkeys(rng.choices("abcd", k=rng.randint(1, 4)))), rng.choices("abcdxy", k=rng.randint(0, 40))) for _ in range(300)]
+    rows = [(terms, tokens) for terms, tokens in rows if set(terms) <= set(tokens)]
+    df = spark.createDataFrame(rows, "terms array<string>, tokens array<string>")
+    plan = df.select(textsearch.cover_density_rank().alias("s"))
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+    for (terms, tokens), r in zip(rows, plan.collect()):
+        assert abs(r.s - plain_cover_rank(terms, tokens)) < 1e-9, (terms, tokens)
 
 
 def test_all_cells_give_the_exact_answer(spark):
