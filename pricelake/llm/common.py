@@ -30,10 +30,22 @@ def row_key(df: DataFrame, *names: str) -> Column:
     return F.xxhash64(*values)
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """All columns of ``docs`` as one, ``row``, beside ``columns`` of an operator, so that no names clash."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
+def all_columns(docs: DataFrame) -> Column:
+    """Hash of everything in a row; maps count by their text, and a null apart from every value."""
+    values = [F.to_json(F.struct(docs[name])) if "map<" in kind or kind == "variant" else docs[name] for name, kind in docs.dtypes]
+    return F.xxhash64(*[x for value in values for x in (value.isNull(), value)])
+
+
 def without(docs: DataFrame, bad: DataFrame, key: Column) -> DataFrame:
     """The rows of ``docs`` whose id and key are not a row of ``bad`` (__bad, __key)."""
-    gone = small_side(bad.distinct())
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__bad"]) & (key == gone["__key"]), "left_anti")
+    rows, gone = packed(docs, doc_id=docs["doc_id"], key=key), small_side(bad.distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("__bad")) & (F.col("key") == F.col("__key"))
+    return rows.join(gone, same, "left_anti").select("row.*")
 
 
 def space_words(text: Column) -> Column:

@@ -19,14 +19,14 @@ documents: a row each. Very long texts are searched whole. Empty tables: no rows
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelake.llm.common import row_key, running_sum, without
+from pricelake.llm.common import row_key, run_folder, running_sum, without
 from pricelake.session import cut_lineage
 
 RATE = 0.1
@@ -71,10 +71,11 @@ def letter_masks(pattern: str) -> dict[str, int]:
     return at
 
 
-def myers(pattern: str, text: str, budget: int) -> tuple[int, int] | None:
+def myers(pattern: str, text: str, budget: int, ends: Callable[[int], bool] | None = None) -> tuple[int, int] | None:
     """(distance, end) of the best place in ``text`` that ends a match of the whole pattern within the budget; the
-    first such end. One machine word of any length holds a column of the distance matrix."""
-    m = len(pattern)
+    first such end. One machine word of any length holds a column of the distance matrix. With ``ends`` the match begins
+    where ``text`` does and ends where ``ends`` allows."""
+    m, first = len(pattern), 0 if ends is None else 1
     mask, top, at = (1 << m) - 1, 1 << (m - 1), letter_masks(pattern)
     plus, minus, score, best = mask, 0, m, None
     for j, c in enumerate(text):
@@ -83,13 +84,18 @@ def myers(pattern: str, text: str, budget: int) -> tuple[int, int] | None:
         xh = (((eq & plus) + plus) ^ plus) | eq
         up, down = minus | ~(xh | plus) & mask, plus & xh
         score += 1 if up & top else -1 if down & top else 0
-        up, down = up << 1 & mask, down << 1 & mask
+        up, down = (up << 1 | first) & mask, down << 1 & mask
         plus, minus = down | ~(xv | up) & mask, up & xv
-        if score <= budget and (best is None or score < best[0]):
+        if score <= budget and (best is None or score < best[0]) and (ends is None or ends(j + 1)):
             best = (score, j + 1)
     return best
 
 
+def border(text: str, at: int) -> bool:
+    """Whether no word goes on across this place."""
+    return at <= 0 or at >= len(text) or not (text[at - 1].isalnum() and text[at].isalnum())
+
+
 class Matcher:
     """The pieces of one block of items; ``find`` gives each item's best place in a text."""
 
@@ -127,22 +133,28 @@ class Matcher:
     def _best(self, text: str, item: int, starts: dict[int, list[int]]) -> tuple[int, int, int] | None:
         _, pattern, budget, chains = self.items[item]
         for start in sorted(starts):
-            if start >= 0 and text.startswith(pattern, start):  # the commonest case needs no matrix
-                return start, start + len(pattern), 0
+            stop = start + len(pattern)
+            if start >= 0 and text.startswith(pattern, start) and border(text, start) and border(text, stop):
+                return start, stop, 0  # the commonest case needs no matrix
         best, passed = None, -1
         for start in sorted(starts):
             if start + len(pattern) + budget <= passed:
                 continue
-            for k in starts[start]:
-                if self._passes(text, pattern, start, chains[k]):
-                    low, passed = max(0, start - budget), start + len(pattern) + 2 * budget
-                    hit = myers(pattern, text[low:passed], budget)
-                    if hit and (best is None or hit[0] < best[2]):
-                        stop = low + hit[1]
-                        behind = text[max(0, stop - len(pattern) - hit[0]) : stop][::-1]
-                        back = myers(pattern[::-1], behind, hit[0])
-                        best = (stop - (back[1] if back else len(behind)), stop, hit[0])
-                    break
+            if any(self._passes(text, pattern, start, chains[k]) for k in starts[start]):
+                low, passed = max(0, start - budget), start + len(pattern) + 2 * budget
+                if myers(pattern, text[low:passed], budget):
+                    best = self._whole_words(text, pattern, budget, low, min(len(text), start + 2 * budget), best)
+        return best
+
+    @staticmethod
+    def _whole_words(text: str, pattern: str, budget: int, low: int, high: int, best: tuple[int, int, int] | None) -> tuple[int, int, int] | None:
+        """Best match that begins at a word border from ``low`` to ``high`` and ends at one."""
+        for start in range(low, high + 1):
+            if border(text, start) and (best is None or best[2]):
+                most = budget if best is None else best[2] - 1
+                hit = myers(pattern, text[start : start + len(pattern) + budget], most, lambda n: border(text, start + n))  # noqa: B023
+                if hit:
+                    best = (start, start + hit[1], hit[0])
         return best
 
     @staticmethod
@@ -165,7 +177,7 @@ def _search(batches: Iterator[pa.RecordBatch], items: list[tuple[int | None, str
 
 
 def item_blocks(items: DataFrame, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str]]]:
-    """Items in blocks of bounded size; one block at a time is on the driver and in the tasks."""
+    """Items in blocks of bounded size, each fetched when the one before is done with."""
     known = items.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL").withColumn("n", F.length("text"))
     lined = cut_lineage(running_sum(known, [], ["item_id", "text"], "n", "upto").withColumn("block", F.floor((F.col("upto") - 1) / block_chars)))
     last = lined.agg(F.max("block")).first()[0]
@@ -178,11 +190,12 @@ def item_blocks(items: DataFrame, min_chars: int = MIN_CHARS, block_chars: int =
 def keyed_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``leaks`` and the row_key of the document."""
     rows = docs.select(row_key(docs).alias("row_key"), F.col("doc_id").cast("long"), "text")
-    found = None
+    folder = run_folder(docs.sparkSession, "leaks")
+    # each block's hits are written before the next block is read: one at a time is on the driver and in a plan
+    docs.sparkSession.createDataFrame([], KEYED).write.parquet(folder)
     for block in item_blocks(items, min_chars, block_chars):
-        some = rows.mapInArrow(lambda batches, block=block: _search(batches, block, rate), KEYED)
-        found = some if found is None else found.union(some)
-    return found if found is not None else docs.sparkSession.createDataFrame([], KEYED)
+        rows.mapInArrow(lambda batches: _search(batches, block, rate), KEYED).write.mode("append").parquet(folder)  # noqa: B023
+    return docs.sparkSession.read.schema(KEYED).parquet(folder)
 
 
 def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:

@@ -1,8 +1,10 @@
 """Mixing sources to target weights: words per source, repetition rates, whole copies plus a hash-seeded one.
 
-Result cases. Null text: size 0, taken 0. Null source: a source of its own, last in order. Null doc_id: the draw
-hashes the empty string. Rows that repeat a doc_id are drawn alike. Empty table: no rows. Extra columns are ignored
-by ``mix_rates`` and kept by ``mixed``.
+Result cases. Null text: size 0, taken 0. Null source: a source of its own, last in order. Null doc_id: as an empty one in
+the draw. The draw hashes id, source, text and, of rows equal in these, the number of the row, so rows without id and rows
+that share one are drawn one by one, and reruns agree. Ties of targets: settled by level, none is preferred. Very long
+texts: hashed where they are read; only rows that repeat another are moved. Empty table: no rows. Extra columns, whatever
+their names, are ignored by ``mix_rates`` and kept by ``mixed``.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelake.llm.common import running_sum, space_words, whole_text
+from pricelake.llm.common import all_columns, packed, running_sum, space_words, whole_text
 from pricelake.session import cut_lineage, small_side
 
 WEIGHTS = (3, 1, 2)
@@ -19,12 +21,31 @@ MOST = 2.0
 DRAW_BITS = 52
 
 
-def draw(seed: str) -> Column:
-    """Uniform number in [0, 1) from the document's id and a seed; the same in every run."""
-    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))
+def identity(docs: DataFrame) -> Column:
+    """What a document's draw hashes but for the seed and its number among equal rows."""
+    return F.concat(
+        F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(docs["source"], F.lit(""))),
+        F.md5(F.coalesce(docs["text"], F.lit(""))), F.lit(":"),
+    )
+
+
+def draw(identity: Column, number: Column, seed: str) -> Column:
+    """Uniform number in [0, 1); the same in every run."""
+    key = F.concat(identity, number.cast("string"), F.lit(f":{seed}"))
     return F.conv(F.substring(F.md5(key), 1, DRAW_BITS // 4), 16, 10).cast("bigint") / F.lit(float(2**DRAW_BITS))
 
 
+def copies(rate: Column, identity: Column, number: Column, seed: str) -> Column:
+    return F.floor(rate) + (draw(identity, number, seed) < rate - F.floor(rate)).cast("bigint")
+
+
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Add ``number``, from 1, among the rows of an ``identity``. Equal rows are told apart by an arbitrary number, so
+    that many of them are spread over tasks; which of them has which number makes no difference."""
+    spread = rows.withColumns({"spread": F.monotonically_increasing_id(), "one": F.lit(1)})
+    return running_sum(spread, ["identity"], [*order, "spread"], "one", "number").drop("spread", "one")
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """(source, source_size, target) from (source, size) rows.
 
@@ -55,29 +76,36 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) ->
 def mix_rates(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed: str = "mix") -> DataFrame:
     """doc_id, size, source_size, target, copies for every row: floor(rate) copies and, with probability of the
     rest of the rate, one more. The rate is the source's target over its size, at most ``most``."""
-    slim = cut_lineage(docs.select("doc_id", "source", F.size(space_words(whole_text())).cast("bigint").alias("size")))
+    size = F.size(space_words(whole_text())).cast("bigint")
+    slim = numbered(docs.select("doc_id", "source", size.alias("size"), identity(docs).alias("identity")), [])
+    slim = cut_lineage(slim)
     targets = small_side(source_targets(slim, weights, share, most))
     rows = slim.join(targets, slim["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    copies = F.floor(rate) + (draw(seed) < rate - F.floor(rate)).cast("bigint")
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    taken = copies(rate, F.col("identity"), F.col("number"), seed)
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("copies"))
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed: str = "mix") -> DataFrame:
     """The documents themselves, each as often as it is taken, with all their columns."""
-    slim = docs.select("source", F.size(space_words(whole_text())).cast("bigint").alias("size"))
-    targets = small_side(source_targets(cut_lineage(slim), weights, share, most).select(
-        F.col("source").alias("__source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("__rate")
-    ))
-    rows = docs.join(targets, docs["source"].eqNullSafe(targets["__source"]))
-    rate = F.col("__rate")
-    copies = F.floor(rate) + (draw(seed) < rate - F.floor(rate)).cast("bigint")
-    return rows.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("__n")).drop("__n")
+    slim = cut_lineage(docs.select("source", F.size(space_words(whole_text())).cast("bigint").alias("size"), identity(docs).alias("identity")))
+    targets = source_targets(slim, weights, share, most)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rates = small_side(targets.select(F.col("source").alias("known"), rate.alias("rate")))
+    # the document travels as one column, so that its names meet none of these
+    every = packed(docs, source=docs["source"], identity=identity(docs), content=all_columns(docs))
+    several = small_side(slim.groupBy("identity").agg(F.count("*").alias("n")).where("n > 1").select("identity"))
+    single = every.join(several, "identity", "left_anti").withColumn("number", F.lit(1).cast("bigint"))
+    repeated = numbered(every.join(several, "identity", "left_semi"), ["content"]).select(*single.columns)
+    rows = single.union(repeated)
+    rows = rows.join(rates, F.col("source").eqNullSafe(F.col("known")))
+    taken = copies(F.col("rate"), F.col("identity"), F.col("number"), seed).cast("int")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), taken))).select("row.*")
 
 
 SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0
+  SELECT doc_id, source, concat(coalesce(doc_id::VARCHAR, ''), ':', md5(coalesce(source, '')), md5(coalesce(text, '')), ':') AS identity, CAST(CASE WHEN text IS NULL THEN 0
     ELSE len(list_filter(string_split_regex(text, '[ \x09-\x0d]+'), lambda w: w <> '')) END AS BIGINT) AS size FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0::DOUBLE * sum(size) AS lim,
@@ -95,7 +123,7 @@ l AS (SELECT level FROM w ORDER BY i DESC LIMIT 1),
 t AS (SELECT source, source_size, least(lim, (SELECT level FROM l) * weight) AS target FROM s),
 r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-    CAST(concat('0x', substr(md5(concat(coalesce(d.doc_id::VARCHAR, ''), ':mix')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+    CAST(concat('0x', substr(md5(concat(d.identity, row_number() OVER (PARTITION BY d.identity), ':mix')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
 """

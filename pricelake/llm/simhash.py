@@ -12,8 +12,9 @@ returns a spanning forest of its links, never all pairs.
 
 Result cases. Null or wordless text: fingerprint zero, linked like any other. Null doc_id: takes part in links, but
 names no component unless no member has an id. Repeated rows: one result row each. Empty table: no rows. Extra columns
-are ignored by ``near_duplicates`` and kept by ``one_per_group``, where the row with the smallest (doc_id, hash of the
-text) of each component stays, rows without id last; equal rows stay once.
+are ignored by ``near_duplicates`` and kept by ``one_per_group``, where the row with the smallest (doc_id, hash of all
+columns) of each component stays, rows without id last; equal rows stay once. Ties: the smallest id or hash wins.
+Very long texts: one row's fingerprint at a time.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelake.llm.common import components, row_key
-from pricelake.session import cut_lineage
+from pricelake.llm.common import all_columns, components, packed, row_key, without
+from pricelake.session import cut_lineage, small_side
 
 RADIUS = 3
 SHINGLE = 3
@@ -61,15 +62,15 @@ def fingerprint(text: str | None) -> int:
     return _signed(int.from_bytes(np.packbits(over).tobytes(), "big"))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, fp) for every row."""
+def fingerprints(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """(doc_id, row_key, fp) for every row; ``key`` takes the place of the hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "row_key", "fp"])
 
-    return docs.select("doc_id", row_key(docs).alias("row_key"), "text").mapInArrow(run, "doc_id long, row_key long, fp long")
+    return docs.select("doc_id", (row_key(docs) if key is None else key).alias("row_key"), "text").mapInArrow(run, "doc_id long, row_key long, fp long")
 
 
 def pivot_keys(fps: DataFrame) -> DataFrame:
@@ -173,12 +174,23 @@ def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """The documents without all but one of each group: the one with the smallest id stays, once."""
-    key = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
-    rooted = rooted_fingerprints(fingerprints(docs), key, CHUNK)
+    """The documents without all but one of each group: the row with the smallest id, then the smallest hash of all
+    columns, stays; of rows equal in everything one does."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
+    rows = cut_lineage(fingerprints(docs, all_columns(docs)))
+    rooted = rooted_fingerprints(rows, first, CHUNK)
     stay = rooted.groupBy("root").agg(F.min("first").alias("s")).select(F.col("s.doc_id").alias("__stay"), F.col("s.row_key").alias("__key"))
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["__stay"]) & (row_key(docs) == stay["__key"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    counted = rows.groupBy("doc_id", "row_key").agg(F.count("*").alias("n"))
+    chosen = counted["doc_id"].eqNullSafe(stay["__stay"]) & (counted["row_key"] == stay["__key"])
+    judged = counted.join(stay, chosen, "left").select("doc_id", "row_key", "n", stay["__key"].isNotNull().alias("stays"))
+    # those that go are few: they are sent to the documents, whose texts then stay where they are
+    gone = judged.where("NOT stays OR n > 1").select(F.col("doc_id").alias("__bad"), F.col("row_key").alias("__key"))
+    kept = without(docs, gone, all_columns(docs))
+    several = small_side(judged.where("stays AND n > 1").select(F.col("doc_id").alias("__one"), F.col("row_key").alias("__key")))
+    same = F.col("doc_id").eqNullSafe(F.col("__one")) & (F.col("key") == F.col("__key"))
+    equal = packed(docs, doc_id=docs["doc_id"], key=all_columns(docs)).join(several, same, "left_semi")
+    once = equal.groupBy("doc_id", "key").agg(F.first("row").alias("row")).select("row.*")
+    return kept.unionByName(once)
 
 
 def hex_digits(fp: str = "fp") -> Column:

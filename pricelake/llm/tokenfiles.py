@@ -11,7 +11,8 @@ Documents go to files by ranges of doc_id; one manifest row per file is all that
 only if its task ended well (names hold the attempt). Slices of a file are read back by separate tasks.
 
 Result cases. Null text: as empty, the end id alone. Null doc_id: first of all, the ids read back as null. Repeated
-ids or rows: each is a document, ties in any order. Empty table: no file, no rows. Extra columns are ignored.
+ids or rows: each is a document; ties stand by the hash of the text, so rows without id make many files and reruns
+agree. Very long texts: encoded one at a time. Empty table: no file, no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -229,7 +230,8 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, folder: str, end_id: in
 def write_files(docs: DataFrame, path: str, folder: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Write the documents' ids in ascending doc_id order; the manifest, one row per file."""
     folder = folder or run_folder(docs.sparkSession, "tokens")
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie"))
+    ordered = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     return cut_lineage(ordered.mapInArrow(lambda batches: _write(batches, path, folder, end_id), MANIFEST))
 
 

@@ -233,10 +233,25 @@ def test_secrets(spark, messy):
         assert digests[r.doc_id].base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()
 
 
+def whole_word_edits(pattern, text):
+    """Least edits of the pattern to any part of the text that begins and ends at word borders."""
+    places, best = [i for i in range(len(text) + 1) if decontaminate.border(text, i)], len(pattern)
+    for start in places:
+        col = list(range(len(pattern) + 1))
+        for j, c in enumerate(text[start : start + len(pattern) + 20], start + 1):
+            new = [col[0] + 1]
+            for i, p in enumerate(pattern, 1):
+                new.append(min(col[i - 1] + (p != c), col[i] + 1, new[-1] + 1))
+            col = new
+            if j in places:
+                best = min(best, col[-1])
+    return best
+
+
 def test_decontamination(spark, messy):
     rng = random.Random(5)
     letters = "abcdefgh "
-    for _ in range(150):
+    for _ in range(60):
         item = decontaminate.normal("".join(rng.choice(letters) for _ in range(rng.randint(40, 90))))
         budget, new = int(len(item) * 0.1), list(item)
         for _ in range(rng.randint(0, budget + 2)):
@@ -247,11 +262,16 @@ def test_decontamination(spark, messy):
                 del new[at]
             else:
                 new.insert(at, rng.choice(letters))
-        text = decontaminate.normal("".join(rng.choice(letters) for _ in range(rng.randint(0, 100))) + "".join(new) + "".join(rng.choice(letters) for _ in range(60)))
-        least, found = edits(item, text), decontaminate.Matcher([(1, item)], 0.1).find(text)
+        text = decontaminate.normal("".join(rng.choice(letters) for _ in range(rng.randint(0, 100))) + " " + "".join(new) + " " + "".join(rng.choice(letters) for _ in range(60)))
+        least, found = whole_word_edits(item, text), decontaminate.Matcher([(1, item)], 0.1).find(text)
         assert bool(found) == (least <= budget)
         if found:
-            assert found[0][3] == least and edits(item, text[found[0][1] : found[0][2]]) == least
+            _, start, stop, distance = found[0]
+            assert distance == least and edits(item, text[start:stop]) <= least
+            assert decontaminate.border(text, start) and decontaminate.border(text, stop)
+    eyes = decontaminate.Matcher([(1, "yes"), (2, "the answer is 42")], 0.1)
+    assert eyes.find("her eyes were open") == [] and eyes.find("yes, it is") == [(1, 0, 3, 0)] and eyes.find("she said yes") == [(1, 9, 12, 0)]
+    assert eyes.find("bathe answer is 421") == [] and [f[0] for f in eyes.find("so: the answer is 43!")] == [2]
     item = "A passage of the benchmark that stands in many of the documents."
     items = spark.createDataFrame([(1, item), (1, item), (None, item.upper()), (2, None), (3, ""), (4, "short")], "item_id long, text string")
     docs = messy.drop("doc_id", "text").crossJoin(spark.createDataFrame([(8, "x " + item.replace(" ", "\n")), (None, item), (9, "clean")], "doc_id long, text string"))

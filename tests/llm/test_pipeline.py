@@ -13,7 +13,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pricelake.llm import decontaminate, quality, simhash
+from pricelake.llm import decontaminate, mixing, quality, simhash
 from tests.conftest import SMALL
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -74,8 +74,9 @@ def plain_copies(docs):
         full |= more
     rate = {s: (2.0 if s in full else level * weight[s] / per[s]) if per[s] else 0 for s in order}
     out = {}
-    for d, (_, s) in docs.items():
-        u = int(hashlib.md5(f"{d}:mix".encode()).hexdigest()[:13], 16) / 2**52
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    for d, (t, s) in docs.items():
+        u = int(md5(f"{d}:{md5(s)}{md5(t)}:1:mix")[:13], 16) / 2**52
         out[d] = int(rate[s]) + (u < rate[s] - int(rate[s]))
     return out
 
@@ -138,9 +139,44 @@ def test_stages_decide_each_row(spark):
     got = left(decontaminate.clean, rows, items)
     assert got == sorted(((i, t) for i, t, *_ in rows if not t or not t.startswith("before")), key=str)
 
+    clashing = "row", "number", "identity", "rate", "known", "content", "__bad", "__key", "__stay", "__one", "__n", "__rate", "__source", "row_key"
+    docs = spark.createDataFrame(rows, schema).selectExpr("*", "length(text) AS n_chars", *[f"'x' AS `{c}`" for c in clashing])
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SMALL)
+        assert out.count() > 0 and (number == 4 or out.columns == docs.columns)
+
     # near copies without id, one group; a repeated id names one group and has a later row in another
     near = [" ".join(SPACE.findall(t.upper())) for t in texts]
     rows = [(None, texts[0], "en", "a"), (None, near[0], "en", "a"), (None, near[0], "en", "a"), (None, texts[2], "en", "a"), (3, texts[1], "en", "a"), (5, near[1], "en", "a"), (5, "one other text stands here alone", "en", "a")]
     got = left(simhash.one_per_group, rows)
     assert len(got) == 4 and (3, texts[1]) in got and (5, "one other text stands here alone") in got and (None, texts[2]) in got
     assert left(simhash.one_per_group, rows[::-1]) == got
+
+
+def test_mixing_draws_rows_without_id_one_by_one(spark):
+    rows = [(None, f"word {'w ' * (i % 9)}{i if i % 3 else ''}", f"s{i % 3}") for i in range(4000)]  # a third of them repeat others
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, target = Counter(), {}
+    for r in mixing.mix_rates(docs).collect():
+        taken[r.source] += r["size"] * r.copies
+        target[r.source] = r.target
+    assert all(abs(taken[s] - t) < 0.1 * t for s, t in target.items())
+    once = Counter((r.text, r.source) for r in mixing.mixed(docs).collect())
+    assert once == Counter((r.text, r.source) for r in mixing.mixed(docs.repartition(5)).collect())
+    got = Counter()
+    for (t, s), n in once.items():
+        got[s] += n * len(t.split())
+    assert got == taken
+
+
+def test_one_row_stays_whatever_the_order(spark):
+    text = "one two three four five six seven eight"
+    rows = [(1, text, "a"), (1, text, "b"), (1, text, "b"), (2, text, "a"), (None, text, "z"), (3, "another text that stands alone here", "c"), (3, "another text that stands alone here", "c")]
+    left = [sorted(tuple(r) for r in simhash.one_per_group(spark.createDataFrame(x, "doc_id long, text string, source string")).collect()) for x in (rows, rows[::-1])]
+    assert left[0] == left[1] and [r[0] for r in left[0]] == [1, 3]
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
