@@ -3,6 +3,11 @@
 Quality rules drop documents, one document of each near-duplicate group stays, documents that hold a benchmark item go,
 sources are mixed to their target weights, and what is left is written as token ids and read back. Every stage takes
 all rows its predecessor kept; all but the last return the columns of ``documents``.
+
+Result cases. Null text: no words, so the quality rules drop it. Null or repeated ids: rows are decided one by one, and a row that
+stays keeps its id. Rows equal in everything: one stays. Ties: smallest id, then smallest hash of the row. Very long
+texts: whole in every stage. Empty table: no rows. Extra columns, whatever their names, are carried to the last stage, which
+returns its own.
 """
 
 from __future__ import annotations

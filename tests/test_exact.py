@@ -203,16 +203,16 @@ def test_exact_stop_reads_few_cells_of_clustered_vectors(spark):
 
 
 def test_position_lists_round_trip(spark, tmp_path):
-    texts = [(1, "b a b the a  a"), (2, None), (3, ""), (4, "the"), (5, "a"), (None, "z a")]
+    texts = [(1, "b k b the k  k"), (2, None), (3, ""), (4, "the"), (5, "k"), (None, "z k")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     vectors = textsearch.text_vectors(docs, "doc_id", F.col("text"))
     for part in ("doc_id <= 3", "doc_id > 3 OR doc_id IS NULL"):
         textsearch.write_index(vectors.filter(part), "doc_id", str(tmp_path / "index"), buckets=4)
     lists = textsearch.read_index(spark, str(tmp_path / "index"), "lists")
     got = {(r.doc_id, r.term, tuple(r.p)) for r in lists.select("doc_id", "term", textsearch.positions(F.col("gaps")).alias("p")).collect()}
-    assert got == {(1, "b", (1, 3)), (1, "a", (2, 5, 6)), (5, "a", (1,)), (None, "z", (1,)), (None, "a", (2,))}
+    assert got == {(1, "b", (1, 3)), (1, "k", (2, 5, 6)), (5, "k", (1,)), (None, "z", (1,)), (None, "k", (2,))}
     counts = textsearch.read_index(spark, str(tmp_path / "index"), "counts").groupBy("term").agg(F.sum("docs").alias("n"))
-    assert {(r.term, r.n) for r in counts.collect()} == {("a", 3), ("b", 1), ("z", 1)}
+    assert {(r.term, r.n) for r in counts.collect()} == {("k", 3), ("b", 1), ("z", 1)}
     some = textsearch.read_index(spark, str(tmp_path / "index"), "lists", [1, 2]).select("term")
     assert "PartitionFilters: [bucket" in some._jdf.queryExecution().executedPlan().toString()
 
