@@ -248,7 +248,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, reach: int = REACH, cr
     suffixes = parse(texts, length, reach)
     several = F.max(F.col("places").isNotNull())
     again = suffixes.groupBy("suffix").agg(F.min("place").alias("a"), F.max("place").alias("b"), several.alias("inside")).where("a <> b OR inside")
-    some = cut_lineage(suffixes.join(again.select("suffix"), "suffix", "left_semi"))
+    # written first, so that both sides of the join are plain shuffles and a frequent suffix can be split
+    some = cut_lineage(suffixes.join(cut_lineage(again.select("suffix")), "suffix", "left_semi"))
 
     # surroundings that stand twice are decided; the others need the pieces of all that share their parse suffix
     first = F.min(F.struct("text_key", "pos")).alias("at")
