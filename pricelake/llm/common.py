@@ -30,9 +30,14 @@ def row_key(df: DataFrame, *names: str) -> Column:
     return F.xxhash64(*values)
 
 
-def packed(docs: DataFrame, **columns: Column) -> DataFrame:
-    """All columns of ``docs`` as one, ``row``, beside ``columns`` of an operator, so that no names clash."""
-    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in columns.items()])
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        return name if name.lower() not in taken else free(f"{name}_")
+
+    return [free(name) for name in names]
 
 
 def all_columns(docs: DataFrame) -> Column:
@@ -42,10 +47,19 @@ def all_columns(docs: DataFrame) -> Column:
 
 
 def without(docs: DataFrame, bad: DataFrame, key: Column) -> DataFrame:
-    """The rows of ``docs`` whose id and key are not a row of ``bad`` (__bad, __key)."""
-    rows, gone = packed(docs, doc_id=docs["doc_id"], key=key), small_side(bad.distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("__bad")) & (F.col("key") == F.col("__key"))
-    return rows.join(gone, same, "left_anti").select("row.*")
+    """The rows of ``docs`` whose id and key are not a row of ``bad`` (id, key)."""
+    return docs.join(*_same_row(docs, bad, key), "left_anti")
+
+
+def only(docs: DataFrame, good: DataFrame, key: Column) -> DataFrame:
+    """The rows of ``docs`` whose id and key are a row of ``good`` (id, key)."""
+    return docs.join(*_same_row(docs, good, key), "left_semi")
+
+
+def _same_row(docs: DataFrame, keys: DataFrame, key: Column) -> tuple[DataFrame, Column]:
+    theirs, own = fresh(docs, "their_id", "their_key")
+    side = small_side(keys.distinct().toDF(theirs, own))
+    return side, F.col("doc_id").eqNullSafe(F.col(theirs)) & (key == F.col(own))
 
 
 def space_words(text: Column) -> Column:

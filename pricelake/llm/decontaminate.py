@@ -206,5 +206,5 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, min_chars: int
 
 def clean(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents in which no item stands."""
-    bad = keyed_leaks(docs, items, rate).select(F.col("doc_id").alias("__bad"), F.col("row_key").alias("__key"))
+    bad = keyed_leaks(docs, items, rate).select("doc_id", "row_key")
     return without(docs, bad, row_key(docs))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelake.llm.common import all_columns, packed, running_sum, space_words, whole_text
+from pricelake.llm.common import all_columns, fresh, running_sum, space_words, whole_text
 from pricelake.session import cut_lineage, small_side
 
 WEIGHTS = (3, 1, 2)
@@ -39,11 +39,12 @@ def copies(rate: Column, identity: Column, number: Column, seed: str) -> Column:
     return F.floor(rate) + (draw(identity, number, seed) < rate - F.floor(rate)).cast("bigint")
 
 
-def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Add ``number``, from 1, among the rows of an ``identity``. Equal rows are told apart by an arbitrary number, so
-    that many of them are spread over tasks; which of them has which number makes no difference."""
-    spread = rows.withColumns({"spread": F.monotonically_increasing_id(), "one": F.lit(1)})
-    return running_sum(spread, ["identity"], [*order, "spread"], "one", "number").drop("spread", "one")
+def numbered(rows: DataFrame, identity: str, order: list[str], name: str) -> DataFrame:
+    """Add ``name``: the number, from 1, among the rows of an ``identity``. Equal rows are told apart by an arbitrary
+    number, so that many of them are spread over tasks; which of them has which number makes no difference."""
+    spread, one = fresh(rows, "spread", "one")
+    marked = rows.withColumns({spread: F.monotonically_increasing_id(), one: F.lit(1)})
+    return running_sum(marked, [identity], [*order, spread], one, name).drop(spread, one)
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
@@ -77,7 +78,7 @@ def mix_rates(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed: st
     """doc_id, size, source_size, target, copies for every row: floor(rate) copies and, with probability of the
     rest of the rate, one more. The rate is the source's target over its size, at most ``most``."""
     size = F.size(space_words(whole_text())).cast("bigint")
-    slim = numbered(docs.select("doc_id", "source", size.alias("size"), identity(docs).alias("identity")), [])
+    slim = numbered(docs.select("doc_id", "source", size.alias("size"), identity(docs).alias("identity")), "identity", [], "number")
     slim = cut_lineage(slim)
     targets = small_side(source_targets(slim, weights, share, most))
     rows = slim.join(targets, slim["source"].eqNullSafe(targets["source"])).drop(targets["source"])
@@ -91,16 +92,15 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed: str =
     slim = cut_lineage(docs.select("source", F.size(space_words(whole_text())).cast("bigint").alias("size"), identity(docs).alias("identity")))
     targets = source_targets(slim, weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rates = small_side(targets.select(F.col("source").alias("known"), rate.alias("rate")))
-    # the document travels as one column, so that its names meet none of these
-    every = packed(docs, source=docs["source"], identity=identity(docs), content=all_columns(docs))
-    several = small_side(slim.groupBy("identity").agg(F.count("*").alias("n")).where("n > 1").select("identity"))
-    single = every.join(several, "identity", "left_anti").withColumn("number", F.lit(1).cast("bigint"))
-    repeated = numbered(every.join(several, "identity", "left_semi"), ["content"]).select(*single.columns)
-    rows = single.union(repeated)
-    rows = rows.join(rates, F.col("source").eqNullSafe(F.col("known")))
-    taken = copies(F.col("rate"), F.col("identity"), F.col("number"), seed).cast("int")
-    return rows.select("row", F.explode(F.array_repeat(F.lit(0), taken))).select("row.*")
+    known, per, same, content, number, one = fresh(docs, "known", "rate", "identity", "content", "number", "copy")
+    rates = small_side(targets.select(F.col("source").alias(known), rate.alias(per)))
+    several = small_side(slim.groupBy("identity").agg(F.count("*").alias("n")).where("n > 1").select(F.col("identity").alias(same)))
+    every = docs.withColumns({same: identity(docs), content: all_columns(docs)})
+    single = every.join(several, same, "left_anti").withColumn(number, F.lit(1).cast("bigint"))
+    repeated = numbered(every.join(several, same, "left_semi"), same, [content], number)
+    rows = single.unionByName(repeated).join(rates, F.col("source").eqNullSafe(F.col(known)))
+    taken = copies(F.col(per), F.col(same), F.col(number), seed).cast("int")
+    return rows.withColumn(one, F.explode(F.array_repeat(F.lit(0), taken))).drop(known, per, same, content, number, one)
 
 
 SQL = r"""

@@ -192,5 +192,5 @@ def verdicts(docs: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF) -> Dat
 
 def good_documents(docs: DataFrame) -> DataFrame:
     """The documents that are kept."""
-    bad = keyed_verdicts(docs).where("NOT kept").select(F.col("doc_id").alias("__bad"), F.col("row_key").alias("__key"))
+    bad = keyed_verdicts(docs).where("NOT kept").select("doc_id", "row_key")
     return without(docs, bad, row_key(docs, "lang", "source"))

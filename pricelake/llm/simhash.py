@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelake.llm.common import all_columns, components, packed, row_key, without
-from pricelake.session import cut_lineage, small_side
+from pricelake.llm.common import all_columns, components, only, row_key, without
+from pricelake.session import cut_lineage
 
 RADIUS = 3
 SHINGLE = 3
@@ -184,13 +184,10 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     chosen = counted["doc_id"].eqNullSafe(stay["__stay"]) & (counted["row_key"] == stay["__key"])
     judged = counted.join(stay, chosen, "left").select("doc_id", "row_key", "n", stay["__key"].isNotNull().alias("stays"))
     # those that go are few: they are sent to the documents, whose texts then stay where they are
-    gone = judged.where("NOT stays OR n > 1").select(F.col("doc_id").alias("__bad"), F.col("row_key").alias("__key"))
+    gone = judged.where("NOT stays OR n > 1").select("doc_id", "row_key")
     kept = without(docs, gone, all_columns(docs))
-    several = small_side(judged.where("stays AND n > 1").select(F.col("doc_id").alias("__one"), F.col("row_key").alias("__key")))
-    same = F.col("doc_id").eqNullSafe(F.col("__one")) & (F.col("key") == F.col("__key"))
-    equal = packed(docs, doc_id=docs["doc_id"], key=all_columns(docs)).join(several, same, "left_semi")
-    once = equal.groupBy("doc_id", "key").agg(F.first("row").alias("row")).select("row.*")
-    return kept.unionByName(once)
+    equal = only(docs, judged.where("stays AND n > 1").select("doc_id", "row_key"), all_columns(docs))
+    return kept.unionByName(equal.dropDuplicates())
 
 
 def hex_digits(fp: str = "fp") -> Column:
