@@ -82,12 +82,12 @@ def recover_field(text: Column, name: str) -> Column:
     return F.when(found & closed, hit).when(found, F.concat(F.rtrim(hit), F.lit("... (truncated)")))
 
 
-def recover_queries(text: Column) -> Column:
-    """Quoted strings that look like search queries."""
+def recover_queries(text: Column, shortest: int = 5, longest: int = 200) -> Column:
+    """Quoted strings of ``shortest`` to ``longest`` characters that look like search queries."""
     quoted = F.regexp_extract_all(text, F.lit(r'"([^"\\]*(?:\\.[^"\\]*)*)"'), 1)
     return F.filter(
         quoted,
         lambda s: ~F.lower(s).isin(rules.RESPONSE_SKIP_KEYS)
-        & F.length(s).between(5, 200)
+        & F.length(s).between(shortest, longest)
         & s.rlike("[ áéíóúñü]"),
     )

@@ -73,7 +73,6 @@ BLOCKED_HTML_MARKERS = [
     "captcha", "verify you are", "unusual traffic", "enable javascript", "robot check", "access denied",
 ]
 BLOCKED_TEXT_MARKERS = ["captcha", "verify you are", "unusual traffic", "robot", "access denied"]
-BLOCKED_MIN_HTML = 2000
 
 # ---- fixed values: search engines ----------------------------------------------------------
 ENGINE_TEMPLATES = [

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,67 +88,62 @@ def name_leaders(keyed: DataFrame, threshold: float = 0.85) -> DataFrame:
     )
 
 
-_FOLD_CHUNK = 100000
+_RUN = 4096  # offers in a first summary
+_FAN = 16  # summaries merged at once
+_STATE = ("pos", "price", "currency", "confidence")
 
 
-def _steps(frame: pd.DataFrame) -> pd.DataFrame:
-    """Shorten a run of offers to the rows that can still change any incoming state.
+def _summary(frame: pd.DataFrame) -> pd.DataFrame:
+    """Summary of consecutive blocks: the offers that can act first on an incoming state, each with the state that the
+    blocks end in from there.
 
-    For an incoming state only the first cheaper row of its currency or the first row of another
-    currency with more confidence matters: running price minima per currency, running confidence
-    maxima over the other currencies. Every other row is never the first one to act, except for
-    states created inside the run, which are followed to the end of the run here.
+    An offer can act first only if it is cheaper than all before it in its currency, or surer than all before it that
+    an incoming state of some currency (or of none of these) sees as another one. Its end is followed through the later
+    blocks: each hands over the end of its first acting offer. A row is a block of its own at first; summaries
+    of summaries are made the same way, so any grouping of consecutive blocks gives one result.
     """
-    rows = frame.sort_values("pos").to_dict("records")
-    currencies = sorted({r["currency"] or "" for r in rows})
-    ends: dict[int, dict] = {}
+    rows = frame.sort_values(["block", "pos"]).to_dict("records")
 
-    def beats(new, held):
+    def beats(new: dict, held: dict) -> bool:
         if new["currency"] == held["currency"]:
             return new["price"] < held["price"]
         return new["confidence"] > held["confidence"]
 
-    # last state reached from each row, computed backwards over the next acting row
     needed = set()
-    for c in currencies + [None]:
+    for currency in [*sorted({r["currency"] for r in rows}), None]:
         low, top = float("inf"), float("-inf")
         for i, r in enumerate(rows):
-            if (r["currency"] or "") == c:
+            if r["currency"] == currency:
                 if r["price"] < low:
                     low = r["price"]
                     needed.add(i)
             elif r["confidence"] > top:
                 top = r["confidence"]
                 needed.add(i)
-    for i in needed:
-        held = rows[i]
+    out = []
+    for i in sorted(needed | {0}):
+        held, done = {k: rows[i][f"end_{k}"] for k in _STATE}, rows[i]["block"]
         for r in rows[i + 1 :]:
-            if beats(r, held):
-                held = r
-        ends[i] = held
-    out = [
-        {**rows[i], "end_pos": ends[i]["pos"], "end_price": ends[i]["price"],
-         "end_currency": ends[i]["currency"], "end_confidence": ends[i]["confidence"]}
-        for i in sorted(needed)
-    ]
+            if r["block"] != done and beats(r, held):
+                held, done = {k: r[f"end_{k}"] for k in _STATE}, r["block"]
+        out.append({**rows[i], **{f"end_{k}": held[k] for k in _STATE}})
     return pd.DataFrame(out)
 
 
-def _fold(frame: pd.DataFrame) -> pd.DataFrame:
-    """Winner of a cluster from its shortened runs, in order."""
-    held = None
-    for _, run in frame.sort_values("pos").groupby("chunk", sort=True):
-        rows = run.to_dict("records")
-        if held is None:
-            held = {k: rows[0][f"end_{k}"] for k in ("pos", "price", "currency", "confidence")}
-            continue
-        for r in rows:
-            same = r["currency"] == held["currency"]
-            if (same and r["price"] < held["price"]) or (not same and r["confidence"] > held["confidence"]):
-                held = {k: r[f"end_{k}"] for k in ("pos", "price", "currency", "confidence")}
-                break
-    first = frame.iloc[0]
-    return pd.DataFrame({"query_id": [first["query_id"]], "leader": [first["leader"]], "winner": [held["pos"]]})
+def _large_winners(rows: DataFrame) -> DataFrame:
+    """(query_id, leader, winner) of clusters of any size: runs by rank are summarised by many tasks, then summaries of
+    consecutive runs are merged ``_FAN`` at a time until one is left."""
+    ends = {f"end_{k}": F.col(k) for k in _STATE}
+    now = ranked(rows, ["query_id", "leader"], ["pos"], "block").withColumns({"run": F.floor((F.col("block") - 1) / _RUN), **ends})
+    columns = ["query_id", "leader", "run", "block", *_STATE, *ends]
+    now = now.select(*columns)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in now.schema)
+    while True:
+        now = cut_lineage(now.groupBy("query_id", "leader", "run").applyInPandas(_summary, schema))
+        if now.filter("run > 0").isEmpty():
+            break
+        now = now.withColumns({"block": F.col("run"), "run": F.floor(F.col("run") / _FAN)}).select(*columns)
+    return now.groupBy("query_id", "leader").agg(F.min_by("end_pos", F.struct("block", "pos")).alias("winner"))
 
 
 _SMALL_CLUSTER = 1000
@@ -173,8 +166,8 @@ def cluster_winners(members: DataFrame) -> DataFrame:
     """Winning offer per cluster: (query_id, leader, winner).
 
     In order: same currency, the cheaper one; other currency, the more confident one. A cluster in one
-    currency is a plain minimum (combines before the shuffle). A small mixed one is folded in its row;
-    a large mixed one is cut into runs of bounded length first, so no cluster is gathered whole.
+    currency is a plain minimum (combines before the shuffle). A small mixed one is folded in its row; a larger one is
+    cut into runs by rank, whose summaries are merged in a tree, so no cluster is gathered whole. All give the same result.
     """
     rows = members.withColumn("currency", F.coalesce("currency", F.lit(""))).withColumn(
         "confidence", F.coalesce("confidence", F.lit(0.0))
@@ -187,20 +180,8 @@ def cluster_winners(members: DataFrame) -> DataFrame:
     plain = kinds.filter("plain").select("query_id", "leader", "winner")
     pick = lambda test: rows.join(kinds.filter(test).select("query_id", "leader"), ["query_id", "leader"], "left_semi")
     small = pick(f"NOT plain AND n <= {_SMALL_CLUSTER}").groupBy("query_id", "leader").agg(_small_winner().alias("winner"))
-    qid = members.schema["query_id"].dataType.simpleString()
-    row = (
-        f"query_id {qid}, leader bigint, chunk bigint, pos bigint, price double, currency string, confidence double, "
-        "end_pos bigint, end_price double, end_currency string, end_confidence double"
-    )
-    runs = (
-        pick(f"NOT plain AND n > {_SMALL_CLUSTER}")
-        .select(
-            "query_id", "leader", F.floor(F.col("pos") / _FOLD_CHUNK).alias("chunk"), "pos", "price", "currency", "confidence"
-        )
-        .groupBy("query_id", "leader", "chunk")
-        .applyInPandas(_steps, row)
-    )
-    large = runs.groupBy("query_id", "leader").applyInPandas(_fold, f"query_id {qid}, leader bigint, winner bigint")
+    large = pick(f"NOT plain AND n > {_SMALL_CLUSTER}").select("query_id", "leader", *_STATE)
+    large = _large_winners(large)
     return plain.unionByName(small).unionByName(large)
 
 

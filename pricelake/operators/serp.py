@@ -100,7 +100,6 @@ _SKIP_TITLES = ["next", "previous", "page", "anonymous view", "visit in anonymou
 _BANNERS = ["Web results", "Results"]
 _TEXT_TRACKING = ["srsltid=", "utm_"]
 _LIST_MARKS = "•-*| \t\n\r\f\u00a0"
-_AROUND = 200
 
 
 def _drop_tracking(url: Column) -> Column:
@@ -117,13 +116,14 @@ def _literal(text: Column) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
-def _description(body: Column, title: Column, url: Column) -> Column:
-    """The words right behind the URL or title, looked for around the URL; null where there are none."""
+def _description(body: Column, title: Column, url: Column, around: int, longest: int) -> Column:
+    """Up to ``longest`` characters right behind the URL or title, looked for ``around`` so many characters from the URL; null
+    where there are none."""
     at = F.instr(body, url)
-    start = F.greatest(at - _AROUND, F.lit(1))
-    around = F.substring(body, start, at - start + F.length(url) + _AROUND)
-    pattern = F.concat(F.lit("(?is)(?:"), _literal(url), F.lit("|"), _literal(title), F.lit(")\\s*([A-Za-z][^\n]{10,100})"))
-    return F.when(at > 1, text.blank_to_null(F.trim(F.call_function("regexp_extract", around, pattern, F.lit(1)))))
+    start = F.greatest(at - around, F.lit(1))
+    near = F.substring(body, start, at - start + F.length(url) + around)
+    pattern = F.concat(F.lit("(?is)(?:"), _literal(url), F.lit("|"), _literal(title), F.lit(")\\s*([A-Za-z][^\n]{10,%d})" % longest))
+    return F.when(at > 1, text.blank_to_null(F.trim(F.call_function("regexp_extract", near, pattern, F.lit(1)))))
 
 
 def _first_per_url(hits: Column) -> Column:
@@ -132,13 +132,14 @@ def _first_per_url(hits: Column) -> Column:
     return F.filter(hits, lambda h, i: F.array_position(seen, h["url"]) == i + 1)
 
 
-def text_hits(pages: DataFrame, column: str, max_hits: int | None = None) -> DataFrame:
-    """Title and URL pairs from plain text, else bare URLs titled by domain; the first ``max_hits`` of each text."""
+def text_hits(pages: DataFrame, column: str, max_hits: int | None = None, around: int = 200, longest: int = 100) -> DataFrame:
+    """Title and URL pairs from plain text, else bare URLs titled by domain; the first ``max_hits`` of each text. A description
+    has up to ``longest`` characters and is looked for ``around`` so many characters from its URL."""
     carried = [c for c in ("query_id", "engine") if c in pages.columns]
-    return _hit_rows(pages, _first(_text_hits(F.col(column)), max_hits), carried)
+    return _hit_rows(pages, _first(_text_hits(F.col(column), around, longest), max_hits), carried)
 
 
-def _text_hits(text: Column) -> Column:
+def _text_hits(text: Column, around: int = 200, longest: int = 100) -> Column:
     lines = F.filter(F.split(text, "\n"), lambda l: ~l.rlike(r"(?U)^\s*$"))
     return let(let(lines, _near_urls), lambda body: let(_titled_hits(body), lambda t: F.when(F.size(t) > 0, t).otherwise(_bare_hits(body))))
 
@@ -173,7 +174,7 @@ def _titled_hits(body: Column) -> Column:
         cleaned,
         lambda h: h["url"].isNotNull() & (F.length(h["title"]) >= 3) & ~F.lower(h["title"]).rlike("|".join(_SKIP_TITLES)),
     )
-    shaped = lambda h: F.struct(h["title"].alias("title"), h["url"].alias("url"), _description(body, h["title"], h["url"]).alias("description"))
+    shaped = lambda h: F.struct(h["title"].alias("title"), h["url"].alias("url"), _description(body, h["title"], h["url"], around, longest).alias("description"))
     return let(kept, lambda k: F.transform(_first_per_url(k), shaped))
 
 

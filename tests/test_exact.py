@@ -46,11 +46,29 @@ def dedupe_by_hand(rows):
     return {(q, e[1][3]) for q, es in kept.items() for e in es}
 
 
-@pytest.mark.parametrize("small, chunk", [(1000, 100000), (0, 7)])
-def test_name_dedupe(spark, monkeypatch, small, chunk):
-    """Both the in-row fold and the run-wise fold of large mixed clusters."""
+def test_large_clusters_are_merged_in_a_tree(spark, monkeypatch):
+    """One cluster of a third of all rows at sparse positions, and small ones, against the fold in order."""
+    monkeypatch.setattr(offers, "_SMALL_CLUSTER", 0)
+    monkeypatch.setattr(offers, "_RUN", 50)
+    monkeypatch.setattr(offers, "_FAN", 3)
+    rng, rows = random.Random(8), []
+    for i in range(2400):
+        cluster = 0 if i % 3 == 0 else rng.randint(1, 30)
+        rows.append((1, cluster, i * 1_000_003 + rng.randint(0, 99), float(rng.randint(1, 3000)), rng.choice(["UYU", "USD", None]), rng.choice([None, 0.5, 0.8, 0.9, 0.95])))
+    held = {}
+    for q, cluster, pos, price, currency, confidence in sorted(rows, key=lambda r: r[2]):
+        new, was = (pos, price, currency or "", confidence or 0.0), held.get(cluster)
+        if was is None or (new[1] < was[1] if new[2] == was[2] else new[3] > was[3]):
+            held[cluster] = new
+    members = spark.createDataFrame(rows, "query_id int, leader bigint, pos bigint, price double, currency string, confidence double")
+    assert {(r.leader, r.winner) for r in offers.cluster_winners(members).collect()} == {(c, h[0]) for c, h in held.items()}
+
+
+@pytest.mark.parametrize("small, run", [(1000, 4096), (0, 7)])
+def test_name_dedupe(spark, monkeypatch, small, run):
+    """Both the in-row fold and the merged summaries of large mixed clusters."""
     monkeypatch.setattr(offers, "_SMALL_CLUSTER", small)
-    monkeypatch.setattr(offers, "_FOLD_CHUNK", chunk)
+    monkeypatch.setattr(offers, "_RUN", run)
     rows = make_offers(300, 11)
     df = spark.createDataFrame(rows, "query_id int, url string, pos int, product_name string, price double, currency string, confidence double")
     shaped = df.select(
