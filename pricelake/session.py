@@ -56,10 +56,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 _shipped: set[str] = set()
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20  # texts differ in length: a batch for a Python worker is bounded by bytes, not by rows alone
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Python workers need the package; executors get it as one zip, once per application."""
+    """Python workers need the package; executors get it as one zip, once per application. Batches for workers are bounded."""
+    if int(spark.conf.get(BATCH_KEY, str(BATCH_BYTES + 1)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
