@@ -62,7 +62,8 @@ BATCH_BYTES = 8 << 20  # texts differ in length: a batch for a Python worker is
 
 def ship_code(spark: SparkSession) -> None:
     """Python workers need the package; executors get it as one zip, once per application. Batches for workers are bounded."""
-    if int(spark.conf.get(BATCH_KEY, str(BATCH_BYTES + 1)).rstrip("b")) > BATCH_BYTES:
+    batch = spark.conf.get(BATCH_KEY).rstrip("b")
+    if batch.isdigit() and int(batch) > BATCH_BYTES:  # Spark's default; a size set in another unit is the user's
         spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
