@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import math
 
 import pandas as pd
 from pyspark.sql import Column
@@ -31,27 +30,60 @@ def may_match(a: Column, b: Column, threshold: float) -> Column:
     return close & (F.levenshtein(a, b) <= budget)
 
 
-def gram_prefix(rank: dict[str, int], threshold: float):
-    """Pandas UDF: rarest two-letter grams a name must share with every name that can match it.
+def _edits(short: Column, long: Column, threshold: float) -> Column:
+    """Most characters of two names of these lengths that may stay unmatched; what matches counts twice, so the
+    number has the parity of both lengths together."""
+    total = short + long
+    most = F.floor((1.0 - threshold) * total + 1e-9).cast("int")
+    return most - F.pmod(total - most, F.lit(2))
 
-    A match with T characters in both names and d = (1 - threshold) T unmatched ones keeps at least
-    T/2 - 1.5 d - 1 common grams, so the rarest ``grams - need + 1`` of each side must meet.
+
+def _pieces(short: Column, long: Column, threshold: float, key) -> Column:
+    """``key(i, first, end, edits)`` for each of the ``edits + 1`` pieces that a name of length ``short`` is cut into when it
+    meets one of length ``long``."""
+    edits = _edits(short, long, threshold)
+    border = lambda i: F.floor(i * short / (edits + 1)).cast("int")
+    every = F.transform(F.sequence(F.lit(0), edits), lambda i: key(i, border(i), border(i + 1), edits))
+    return F.when(edits >= long - short, every)
+
+
+def _key(short: Column, long: Column, i: Column, name: Column, first: Column, end: Column) -> Column:
+    return F.concat_ws("|", short, long, i, F.substring(name, first + 1, end - first))
+
+
+def piece_keys(name: Column, threshold: float) -> Column:
+    """Keys of a name as the shorter of a pair, for every length the other one may have.
+
+    With at most ``edits`` unmatched characters in both names, one of ``edits + 1`` pieces stands whole in the other name.
     """
+    short = F.length(name)
+    longest = F.greatest(short, F.floor(short * ((2.0 - threshold) / threshold) + 1e-9).cast("int"))
+
+    def against(long: Column) -> Column:
+        return _pieces(short, long, threshold, lambda i, first, end, edits: _key(short, long, i, name, first, end))
+
+    return F.flatten(F.filter(F.transform(F.sequence(short, longest), against), lambda k: k.isNotNull()))
+
+
+def meeting_keys(name: Column, threshold: float) -> Column:
+    """Keys of a name as the longer of a pair: its substrings where a piece of the shorter one can stand.
+
+    Some whole piece i has exactly i unmatched characters before it and at most ``edits - i`` behind it. Before it, each
+    moves the piece by one to the left or right; behind it, they must make up the rest of the difference in length.
+    """
+    long = F.length(name)
+    shortest = F.least(long, F.ceil(long * (threshold / (2.0 - threshold)) - 1e-9).cast("int"))
+
+    def against(short: Column) -> Column:
+        more = long - short
+
+        def shifted(i: Column, first: Column, end: Column, edits: Column) -> Column:
+            low, high = F.greatest(-i, more - edits + i), F.least(i, more + edits - i)
+            low = low + F.pmod(low - i, F.lit(2))
+            fits = lambda d: (first + d >= 0) & (end + d <= long)
+            shifts = F.when(low <= high, F.filter(F.sequence(low, high, F.lit(2)), fits))
+            return F.transform(F.coalesce(shifts, F.array().cast("array<int>")), lambda d: _key(short, long, i, name, first + d, end + d))
+
+        return F.flatten(_pieces(short, long, threshold, shifted))
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def prefix(names: pd.Series) -> pd.Series:
-        def one(name):
-            seen, keyed = {}, []
-            for i in range(len(name) - 1):
-                gram = name[i : i + 2]
-                seen[gram] = seen.get(gram, 0) + 1
-                keyed.append((rank.get(gram, 0), gram, seen[gram]))
-            keyed.sort()
-            total = len(name) + math.ceil(len(name) * threshold / (2.0 - threshold) - 1e-9)
-            need = math.ceil(total / 2.0 - 1.5 * (1.0 - threshold) * total - 1.0 - 1e-9)
-            kept = keyed[: len(keyed) - max(need, 1) + 1]
-            return [f"{r:05d}|{g}|{k:03d}" for r, g, k in kept]
-
-        return names.map(one)
-
-    return prefix
+    return F.array_distinct(F.flatten(F.filter(F.transform(F.sequence(shortest, long), against), lambda k: k.isNotNull())))

@@ -12,9 +12,6 @@ from pricelake.operators.ordered import ranked
 from pricelake.operators.urltable import keep_first
 from pricelake.session import cut_lineage
 
-# 37 letters of a normalized name squared: the gram table can never be larger
-_MAX_GRAMS = 37 * 37
-
 
 def first_per_url(offers: DataFrame) -> DataFrame:
     """Successful offers, the first per search and URL."""
@@ -22,32 +19,41 @@ def first_per_url(offers: DataFrame) -> DataFrame:
 
 
 # -- fuzzy name dedupe -----------------------------------------------------------------------
+def candidate_names(distinct: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """Pairs (short, long) of the distinct names that share a piece where a match can have it; loses no match.
+
+    A pair may come up at more than one key. No thresholds below two thirds: pieces would be empty, and lengths alone decide.
+    """
+    own = distinct.select(F.col("name").alias("short"), F.explode(names.piece_keys(F.col("name"), threshold)).alias("key"))
+    met = distinct.select(F.col("name").alias("long"), F.explode(names.meeting_keys(F.col("name"), threshold)).alias("key"))
+    # of two names of one length, each can be the shorter one
+    once = (F.length("short") < F.length("long")) | (F.col("short") < F.col("long"))
+    return own.join(met, "key").filter(once).select("short", "long")
+
+
 def similar_names(keyed: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Edges (query_id, later, earlier) between distinct names whose match ratio reaches the threshold.
 
-    ``keyed(query_id, name, pos)`` holds distinct names. Candidates must share one of their rarest
-    letter pairs, which is exact; the edit-distance bound then removes most of them inside the JVM,
-    and only the rest is compared in Python. A pair is emitted once, at its first shared key.
+    ``keyed(query_id, name, pos)`` holds distinct names. Names are compared once for all searches: candidates share a
+    piece (exact), the edit-distance bound removes most of them inside the JVM, and only the rest is compared in
+    Python, both ways, since the ratio depends on which name comes later. Pairs then go back to the searches that hold both.
     """
-    grams = keyed.select(
-        F.explode(
-            F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda i: F.substr("name", i, F.lit(2)))
-        ).alias("g")
-    )
-    counted = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n")).orderBy("n", "g").limit(_MAX_GRAMS).collect()
-    prefix = names.gram_prefix({r["g"]: i for i, r in enumerate(counted)}, threshold)
-    rows = keyed.withColumn("keys", prefix("name"))
-    side = rows.select("query_id", "name", "pos", "keys", F.explode("keys").alias("key"))
-    later = side.select("query_id", "key", *[F.col(c).alias(f"l_{c}") for c in ("name", "pos", "keys")])
-    earlier = side.select("query_id", "key", *[F.col(c).alias(f"e_{c}") for c in ("name", "pos", "keys")])
     pairs = (
-        later.join(earlier, ["query_id", "key"])
-        .filter(F.col("e_pos") < F.col("l_pos"))
-        .filter(F.col("key") == F.array_min(F.array_intersect("l_keys", "e_keys")))
-        .filter(names.may_match(F.col("l_name"), F.col("e_name"), threshold))
+        candidate_names(keyed.select("name").distinct(), threshold)
+        .filter(names.may_match(F.col("short"), F.col("long"), threshold))
+        .distinct()
     )
-    return pairs.filter(names.match_ratio("l_name", "e_name") >= threshold).select(
-        "query_id", F.col("l_pos").alias("later"), F.col("e_pos").alias("earlier")
+    ways = F.array(*[
+        F.struct(F.col(l).alias("l_name"), F.col(e).alias("e_name"), names.match_ratio(l, e).alias("ratio"))
+        for l, e in (("short", "long"), ("long", "short"))
+    ])
+    alike = pairs.select(F.explode(ways).alias("w")).select("w.*").filter(F.col("ratio") >= threshold)
+    later = keyed.select("query_id", F.col("name").alias("l_name"), F.col("pos").alias("later"))
+    earlier = keyed.select("query_id", F.col("name").alias("e_name"), F.col("pos").alias("earlier"))
+    return (
+        alike.join(later, "l_name").join(earlier, ["query_id", "e_name"])
+        .filter(F.col("earlier") < F.col("later"))
+        .select("query_id", "later", "earlier")
     )
 
 

@@ -91,6 +91,30 @@ def test_similar_names_misses_nothing(spark):
     assert got == want and want
 
 
+def test_similar_names_of_longer_names_and_few_candidates(spark):
+    """Names of 8 to 40 letters with up to six edits, in several searches; random names have few candidates."""
+    rnd, rows, letters = random.Random(6), [], "abcdefghij 0123456789"
+    for base in range(60):
+        first = "".join(rnd.choice(letters) for _ in range(rnd.randint(8, 40)))
+        for _ in range(4):
+            name = list(first)
+            for _ in range(rnd.randint(0, 6)):
+                at = rnd.randrange(len(name))
+                name[at : at + rnd.randint(0, 1)] = rnd.choice(["", rnd.choice(letters)])
+            rows.append("".join(name))
+    named = sorted({(q, n) for i, n in enumerate(rows) for q in (1, 2 + i % 3)})
+    rnd.shuffle(named)
+    df = spark.createDataFrame([(q, n, i) for i, (q, n) in enumerate(named)], "query_id int, name string, pos bigint")
+    for threshold in (0.85, 0.7):
+        got = {(r.later, r.earlier) for r in offers.similar_names(df, threshold).collect()}
+        assert got == {
+            (i, j) for i, (q, a) in enumerate(named) for j, (p, b) in enumerate(named[:i])
+            if p == q and difflib.SequenceMatcher(None, a, b).ratio() >= threshold
+        } and got
+    coded = spark.range(4000).select(F.substring(F.md5(F.col("id").cast("string")), 1, 12).alias("name"))
+    assert offers.candidate_names(coded).distinct().count() < 10 * 4000
+
+
 def test_ranked_splits_a_hot_key(spark):
     rows = [(1 if i % 3 else 2, (i * 37) % 101, i) for i in range(500)]
     df = spark.createDataFrame(rows, "k int, v int, i int").repartition(7)
