@@ -3,8 +3,9 @@
 Templates (phrases and notices) are word lists. Every rolling k-word window of a document is hashed and joined to the
 template windows of equal hash; the words themselves are compared as well. A hit votes for the diagonal, document
 position minus template position. Votes are summed by diagonal; diagonals at most ``slack`` apart merge, since a word
-left out or put in moves the rest of a notice by one. A merged span is verified by the part of the template's windows
-that it covers: a phrase must stand whole on one diagonal, a notice needs ``least`` of its windows.
+left out or put in moves the rest of a notice by one. A merged span is verified by the template's words that its hits cover:
+a phrase must stand whole on one diagonal, a notice needs ``least`` of its words. Any one word of a notice may be
+changed, left out or put in.
 
 The word list of a document is exploded in place and only hits leave the task, so one small shuffle by document
 is all, whatever the documents' sizes.
@@ -49,10 +50,10 @@ NOTICES = [
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
 ]
 
-PHRASE_WORDS, NOTICE_WORDS = 2, 5
+PHRASE_WORDS, NOTICE_WORDS = 2, 3
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SLACK = 3
-LEAST = 0.6
+LEAST = 0.65  # of a notice's words
 
 
 def license_words(text: Column) -> Column:
@@ -87,9 +88,9 @@ def hits(docs: DataFrame, phrases=tuple(PHRASES), notices=tuple(NOTICES)) -> Dat
         # both sides of the hint are literals in this module or arguments of the plan
         places = places.join(F.broadcast(template_windows(spark, list(templates), k, base)), f"h{k}", "left")
     none = F.array().cast("array<struct<label:string,base:boolean,n_windows:int,place:int,words:array<string>>>")
-    met = places.where("pos < 0 OR at2 IS NOT NULL OR at5 IS NOT NULL").select(
+    met = places.where("pos < 0 OR at2 IS NOT NULL OR at3 IS NOT NULL").select(
         "doc_id", "text_hash", "n_words", "words", "pos",
-        F.explode_outer(F.concat(F.coalesce("at2", none), F.coalesce("at5", none))).alias("t"),
+        F.explode_outer(F.concat(F.coalesce("at2", none), F.coalesce("at3", none))).alias("t"),
     )
     same = F.col("t").isNull() | (F.slice("words", F.col("pos") + 1, F.size("t.words")) == F.col("t.words"))
     return met.where(same).select(
@@ -114,12 +115,14 @@ def spans(found: DataFrame, slack: int = SLACK, least: float = LEAST) -> DataFra
     merged = (
         banded.select(*doc, "n_words", "label", "base", "n_windows", "band", "diagonal", "rows", place)
         .groupBy(*doc, "n_words", "label", "base", "n_windows", "band")
-        .agg(F.count_distinct("place").alias("covered"), F.min(F.col("diagonal") + F.col("place")).alias("first"),
+        .agg(F.collect_set("place").alias("places"), F.min(F.col("diagonal") + F.col("place")).alias("first"),
              F.max(F.col("diagonal") + F.col("place")).alias("last"), F.max("rows").alias("copies"))
     )
-    part = F.col("covered") / F.col("n_windows")
-    whole = F.when(F.col("base"), F.col("covered") == F.col("n_windows")).otherwise(part >= least)
     tail = F.when(F.col("base"), PHRASE_WORDS).otherwise(NOTICE_WORDS) - 1
+    # as many as a template has words, at most
+    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + tail)))))
+    part = covered / (F.col("n_windows") + tail)
+    whole = F.when(F.col("base"), F.size("places") == F.col("n_windows")).otherwise(part >= least)
     return merged.where(F.col("label").isNull() | whole).select(
         *doc, "n_words", "label", "base", "first", (F.col("last") + tail).alias("last"), part.alias("part"), "copies"
     )
@@ -158,16 +161,17 @@ p AS (SELECT doc_id, w, unnest(range(0, len(w))) AS pos FROM d),
 g AS (
   SELECT doc_id, pos, k, array_to_string(w[pos + 1 : pos + k], ' ') AS gram
   FROM p, (VALUES ({PHRASE_WORDS}), ({NOTICE_WORDS})) ks(k) WHERE pos + k <= len(w)),
-h AS (SELECT DISTINCT doc_id, label, base, n, place, pos - place AS diagonal FROM g JOIN tg USING (k, gram)),
+h AS (SELECT DISTINCT doc_id, label, base, n, k, place, pos - place AS diagonal FROM g JOIN tg USING (k, gram)),
 v AS (SELECT DISTINCT doc_id, label, base, diagonal FROM h),
 b AS (
   SELECT *, sum(fresh) OVER (PARTITION BY doc_id, label, base ORDER BY diagonal) AS band
   FROM (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, label, base ORDER BY diagonal)
     <= CASE WHEN base THEN 0 ELSE {SLACK} END THEN 0 ELSE 1 END AS fresh FROM v)),
 m AS (
-  SELECT doc_id, label, base, band, any_value(n) AS n, count(DISTINCT place) AS covered, min(diagonal + place) AS first
+  SELECT doc_id, label, base, band, any_value(n) AS n, any_value(n + k - 1) AS size, count(DISTINCT place) AS places,
+    len(list_distinct(flatten(list(range(place, place + k))))) AS covered, min(diagonal + place) AS first
   FROM h JOIN b USING (doc_id, label, base, diagonal) GROUP BY doc_id, label, base, band),
-s AS (SELECT *, covered / n AS part FROM m WHERE CASE WHEN base THEN covered = n ELSE covered / n >= {LEAST} END)
+s AS (SELECT *, covered / size AS part FROM m WHERE CASE WHEN base THEN places = n ELSE covered / size >= {LEAST} END)
 SELECT d.doc_id, CAST(any_value(len(d.w)) AS BIGINT) AS n_words, count(*) FILTER (base) AS n_base,
   CAST(min(first) FILTER (base) AS BIGINT) AS first_word, CAST(max(first) FILTER (base) AS BIGINT) AS last_word,
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,

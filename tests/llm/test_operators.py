@@ -75,6 +75,25 @@ def test_licenses(spark, messy):
     assert licenses.license_report(texts.limit(0)).count() == 0
 
 
+def test_licenses_bear_one_edit_anywhere(spark):
+    """Each notice with one word changed, left out or put in at any place; parts of a notice get no label."""
+    rows = []
+    for label, notice in licenses.NOTICES:
+        words = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", notice.lower())
+        for i in range(len(words)):
+            rows += [(label, words[:i] + x + words[i + cut :]) for cut, x in ((1, ["other"]), (1, []), (0, ["other"]))]
+        rows.append(("", words[: len(words) // 2]))
+    rows += [
+        ("cc-by", "This work is licensed under the Creative Commons Attribution 4.0 International License".split()),
+        ("gpl-3", "This work is licensed under GNU General Public License, version 3".split()),
+        ("", "This work is licensed under other terms".split()),
+    ]
+    docs = spark.createDataFrame([(i, "some words before " + " ".join(w) + " and behind") for i, (_, w) in enumerate(rows)], "doc_id long, text string")
+    base = {label for label, _ in licenses.PHRASES}
+    got = {r.doc_id: set(r.labels.split(",")) - base - {""} for r in licenses.license_report(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == [{label} - {""} for label, _ in rows]
+
+
 def test_warc_round_trip(spark):
     big = "<p>é" + "x" * 2000
     pages = [(1, "http://a", big), (2, "http://b\nc", big), (3, None, None), (None, "http://d", big), (4, "u", "short"), (5, "u", "short"), (2, "again", big)]
@@ -128,7 +147,9 @@ def test_token_counts(spark, messy):
     assert tokencounts.token_counts(messy.limit(0), path).count() == 0
 
 
-def test_sharding(spark, messy):
+@pytest.mark.parametrize("limit", [sharding.BROADCAST_BYTES, 0])
+def test_sharding(spark, messy, monkeypatch, limit):
+    """Facts about links broadcast, and dealt over pieces beyond the limit."""
     rows = sharding.sharded(messy, 3).collect()
     assert by_id(rows, "doc_id", "size", "text_crc32") == sorted(
         ((-1 if d is None else d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t, _, _ in ROWS), key=str)
@@ -136,6 +157,7 @@ def test_sharding(spark, messy):
     rng = random.Random(3)
     texts = [("t" * rng.randint(20, 60)) + str(rng.randint(0, 400)) for _ in range(900)] + ["hot one " * 5] * 500
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(sharding, "BROADCAST_BYTES", limit)
     rows = sharding.sharded(docs, 8).collect()
     load, slots, shards = Counter(), {}, {}
     for r in rows:
