@@ -1,9 +1,10 @@
 """Quality rules: fixed base rules and robust multivariate outliers, in DataFrame operations only.
 
 Each text becomes a short vector of transformed statistics. For every language and source the minimum covariance
-determinant is approached by concentration steps: from the medians and median deviations, the ``KEPT_PART`` of the
-rows with the smallest Mahalanobis distances give the next mean and covariance. A row whose final distance is above
-``CUTOFF`` is rejected.
+determinant is sought by concentration steps from several starts: medians with median deviations, and small random
+subsets drawn by hash. In a step the ``KEPT_PART`` of the rows with the smallest Mahalanobis distances give the next mean
+and covariance. A start goes on as long as its determinant falls; the smallest determinant of a group wins. Its
+covariance times ``CONSISTENCY`` is that of normal rows. A row whose distance is then above ``CUTOFF`` is rejected.
 
 A step is one aggregation of narrow rows by group and distance bin: counts, sums and cross sums are added up over the
 bins that hold the nearest rows, so no group is sorted or gathered, and only one row per group and bin is shuffled.
@@ -30,7 +31,11 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT = 30
 KEPT_PART = 0.75
-STEPS = 3
+# the part divided by the chi-squared distribution (seven degrees of freedom) at the part's quantile of that with five
+CONSISTENCY = 1.4121
+RANDOM_STARTS = 2
+SUBSET_ROWS = 24
+LEAST_FALL = 1e-3  # of a determinant's logarithm
 LEAST_ROWS = 60
 # the 0.999 quantile of the chi-squared distribution with five degrees of freedom
 CUTOFF = 20.5
@@ -114,70 +119,101 @@ def _medians(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
     return middle.groupBy("scope").agg(*[F.max(F.when(F.col("k") == k, F.col("m"))).alias(k) for k in values])
 
 
-def with_factor(estimates: DataFrame) -> DataFrame:
-    """Mean columns ``m<i>`` and covariance columns ``c<i><j>`` to means and the Cholesky factor ``l<i><j>``."""
-    for i in range(len(STATS)):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            # the floors keep every pivot positive
-            entry = F.sqrt(F.greatest(rest, F.lit(FLOORS[STATS[i]] ** 2 * 1e-3))) if i == j else rest / F.col(f"l{j}{j}")
-            estimates = estimates.withColumn(f"l{i}{j}", entry)
-    p = range(len(STATS))
-    return estimates.select("scope", *[f"m{i}" for i in p], *[f"l{i}{j}" for i in p for j in range(i + 1)])
+P = range(len(STATS))
+CELLS = [(i, j) for i in P for j in range(i + 1)]
+
+
+def _sums() -> list[Column]:
+    crossed = [F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"q{i}{j}") for i, j in CELLS]
+    return [F.count("*").alias("n"), *[F.sum(k).alias(f"s{i}") for i, k in enumerate(STATS)], *crossed]
+
+
+def with_factor(estimates: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Add the Cholesky factor ``l<i><j>`` of ``scale`` times the covariance ``c<i><j>`` with floors, and the logarithm of
+    its determinant."""
+    for i, j in CELLS:
+        rest = scale * F.col(f"c{i}{j}") + (FLOORS[STATS[i]] ** 2 if i == j else 0.0)
+        for k in range(j):
+            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        # the floors keep every pivot positive
+        entry = F.sqrt(F.greatest(rest, F.lit(FLOORS[STATS[i]] ** 2 * 1e-3))) if i == j else rest / F.col(f"l{j}{j}")
+        estimates = estimates.withColumn(f"l{i}{j}", entry)
+    return estimates.withColumn("log_det", 2 * sum((F.log(f"l{i}{i}") for i in P), F.lit(0.0)))
+
+
+def _moments(sums: DataFrame) -> DataFrame:
+    """Means ``m<i>`` and covariances ``c<i><j>`` of each (scope, start), with factor, from counts, sums and cross sums."""
+    means = sums.select("*", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in P])
+    cov = [(F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i, j in CELLS]
+    return with_factor(means.select("scope", "start", *[f"m{i}" for i in P], *cov))
 
 
 def with_distance(rows: DataFrame, factor: DataFrame) -> DataFrame:
-    """Add ``d2``, the squared Mahalanobis distance, by forward substitution; null where there is no estimate."""
-    out = rows.join(factor, "scope", "left")
+    """Add ``start`` and ``d2``, the squared Mahalanobis distance, by forward substitution: a row for each of a scope's
+    estimates, or one with nulls where there is none."""
+    used = ["scope", "start", *[f"m{i}" for i in P], *[f"l{i}{j}" for i, j in CELLS]]
+    out = rows.join(factor.select(*used), "scope", "left")
     for i, name in enumerate(STATS):
         rest = F.col(name) - F.col(f"m{i}")
         for j in range(i):
             rest = rest - F.col(f"l{i}{j}") * F.col(f"y{j}")
         out = out.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
     d2 = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, len(STATS))), F.col("y0") * F.col("y0"))
-    return out.select(*rows.columns, d2.alias("d2"))
+    return out.select(*rows.columns, "start", d2.alias("d2"))
 
 
 def first_estimates(rows: DataFrame) -> DataFrame:
-    """Medians and median deviations, uncorrelated."""
+    """Start 0: medians and median deviations, uncorrelated. Starts 1 and on: the rows with the least hashes."""
     middle = _medians(rows, {k: F.col(k) for k in STATS})
-    named = middle.select("scope", *[F.col(k).alias(f"m{i}") for i, k in enumerate(STATS)])
-    named = small_side(named)
+    named = small_side(middle.select("scope", *[F.col(k).alias(f"m{i}") for i, k in enumerate(STATS)]))
     apart = _medians(rows.join(named, "scope"), {k: F.abs(F.col(k) - F.col(f"m{i}")) for i, k in enumerate(STATS)})
-    spread = {(i, j): F.pow(1.4826 * F.col(k), F.lit(2)) + FLOORS[k] ** 2 if i == j else F.lit(0.0) for i, k in enumerate(STATS) for j in range(i + 1)}
-    return with_factor(named.join(apart, "scope").select("scope", *[f"m{i}" for i in range(len(STATS))], *[v.alias(f"c{i}{j}") for (i, j), v in spread.items()]))
-
-
-def concentrated(rows: DataFrame, factor: DataFrame) -> DataFrame:
-    """One concentration step: mean and covariance of the nearest ``KEPT_PART`` of each scope's rows."""
-    p = range(len(STATS))
-    near = with_distance(rows, factor).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * BINS_PER_E))
-    x = [F.col(k) for k in STATS]
-    sums = near.groupBy("scope", "bin").agg(
-        F.count("*").alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in p], *[F.sum(x[i] * x[j]).alias(f"q{i}{j}") for i in p for j in range(i + 1)]
-    )
-    key = Window.partitionBy("scope")
+    spread = [(F.pow(1.4826 * F.col(STATS[i]), F.lit(2)) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in CELLS]
+    medians = with_factor(named.join(apart, "scope").select("scope", F.lit(0).alias("start"), *[f"m{i}" for i in P], *spread))
+    # copies of a text have one hash each, by their id
+    drawn = rows.withColumn("start", F.explode(F.array(*[F.lit(s + 1) for s in range(RANDOM_STARTS)])))
+    order = Window.partitionBy("scope", "start").orderBy(F.xxhash64("row_key", "doc_id", "start"))
+    few = drawn.withColumn("at", F.row_number().over(order)).where(F.col("at") <= SUBSET_ROWS)
+    return medians.unionByName(_moments(few.groupBy("scope", "start").agg(*_sums())))
+
+
+def concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """One concentration step of each start: mean and covariance of the nearest ``KEPT_PART`` of its scope's rows."""
+    near = with_distance(rows, estimates).where("start IS NOT NULL").withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * BINS_PER_E))
+    sums = near.groupBy("scope", "start", "bin").agg(*_sums())
+    key = Window.partitionBy("scope", "start")
     nearest = sums.withColumn("before", F.sum("n").over(key.orderBy("bin")) - F.col("n")).withColumn("all", F.sum("n").over(key))
     nearest = nearest.where(F.col("before") < KEPT_PART * F.col("all")).drop("bin", "before", "all")
-    total = nearest.groupBy("scope").agg(*[F.sum(c).alias(c) for c in nearest.columns if c != "scope"])
-    means = total.select("*", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in p])
-    cov = {
-        (i, j): F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") + (FLOORS[STATS[i]] ** 2 if i == j else 0.0)
-        for i in p for j in range(i + 1)
-    }
-    return with_factor(means.select("scope", *[f"m{i}" for i in p], *[v.alias(f"c{i}{j}") for (i, j), v in cov.items()]))
-
-
-def keyed_verdicts(docs: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF) -> DataFrame:
+    return _moments(nearest.groupBy("scope", "start").agg(*[F.sum(c).alias(c) for c in nearest.columns if c not in ("scope", "start")]))
+
+
+def least_determinants(rows: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """The estimate of the smallest determinant for each scope, scaled to normal rows.
+
+    ``rows`` have the statistics, ``scope``, ``doc_id`` and ``row_key``. A start rests when its determinant does not fall by
+    ``LEAST_FALL`` any more; only the others go on. Determinants have a floor and never rise, so all come to rest. The
+    first step is always taken, since a start's own determinant is not that of a ``KEPT_PART``.
+    """
+    active = small_side(concentrated(rows, small_side(first_estimates(rows) if starts is None else starts)))
+    rested = None
+    while not active.isEmpty():
+        was = active.select("scope", "start", F.col("log_det").alias("was"))
+        step = cut_lineage(concentrated(rows, active).join(was, ["scope", "start"]))
+        falls = F.col("log_det") < F.col("was") - LEAST_FALL
+        still = active.join(step.where(~falls).select("scope", "start"), ["scope", "start"], "left_semi")
+        rested = still if rested is None else rested.unionByName(still)
+        active = small_side(step.where(falls).drop("was"))
+    if rested is None:
+        return active
+    values = [c for c in rested.columns if c != "scope"]
+    best = rested.groupBy("scope").agg(F.min_by(F.struct(*values), F.struct("log_det", "start")).alias("b"))
+    return with_factor(best.select("scope", "b.*"), CONSISTENCY)
+
+
+def keyed_verdicts(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """``verdicts`` and the row_key each was given to."""
     rows = cut_lineage(vectors(cut_lineage(counts(docs))))
     judged = rows.where("NOT base_failed")
-    factor = small_side(first_estimates(judged))
-    for _ in range(steps):
-        factor = small_side(concentrated(judged, factor))
-    apart = with_distance(rows, factor)
+    apart = with_distance(rows, small_side(least_determinants(judged)))
     d2 = F.when(~F.col("base_failed"), F.col("d2"))
     return apart.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -185,9 +221,9 @@ def keyed_verdicts(docs: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF)
     )
 
 
-def verdicts(docs: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF) -> DataFrame:
+def verdicts(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, counts, base_failed, d2 (null where the base rules fail) and kept for every row."""
-    return keyed_verdicts(docs, steps, cutoff).drop("row_key")
+    return keyed_verdicts(docs, cutoff).drop("row_key")
 
 
 def good_documents(docs: DataFrame) -> DataFrame:

@@ -9,8 +9,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
 from checks.compare import connect, rows_of
@@ -194,32 +196,63 @@ def test_quality_counts(spark, messy):
     assert kept.columns == messy.columns
 
 
+FLOORS = np.diag(np.array(list(quality.FLOORS.values())) ** 2)
+
+
+def plain_determinant(x, starts=20):
+    """Smallest log determinant over random starts of exact concentration steps, scaled to normal rows."""
+    rng, h, best = np.random.default_rng(1), int(np.ceil(quality.KEPT_PART * len(x))), (np.inf, None)
+    for _ in range(starts):
+        near = x[rng.choice(len(x), 12)]
+        for _ in range(30):
+            away = x - near.mean(0)
+            d = np.einsum("ij,jk,ik->i", away, np.linalg.inv(np.cov(near.T, bias=True) + FLOORS), away)
+            near = x[np.argsort(d, kind="stable")[:h]]
+        cov = np.cov(near.T, bias=True)
+        best = min(best, (np.linalg.slogdet(cov + FLOORS)[1], np.linalg.slogdet(quality.CONSISTENCY * cov + FLOORS)[1]))
+    return best[1]
+
+
+def quality_rows(spark, x):
+    rows = spark.createDataFrame(pd.DataFrame(x, columns=quality.STATS))
+    return rows.select("*", F.lit(7).alias("scope"), F.monotonically_increasing_id().alias("doc_id"), F.xxhash64(*quality.STATS).alias("row_key"))
+
+
+def test_quality_cutoff_of_normal_rows(spark):
+    """One in a thousand clean correlated rows is rejected; far rows are, though they are a fifth of all."""
+    rng = np.random.default_rng(4)
+    clean = rng.normal(size=(60_000, 5)) @ (np.eye(5) * 30 + rng.normal(size=(5, 5)) * 8) + 100
+    rows = quality_rows(spark, clean)
+    rejected = quality.with_distance(rows, quality.least_determinants(rows)).where(F.col("d2") > quality.CUTOFF).count()
+    assert 0.0005 <= rejected / 60_000 <= 0.0015
+    mixed = quality_rows(spark, np.concatenate([clean[:8000], rng.normal(size=(2000, 5)) * 5 + [900, -400, 0, 300, 100]]))
+    far = quality.with_distance(mixed, quality.least_determinants(mixed)).withColumn("far", F.col("length") > 500)
+    assert {(r.far, r.d2 > quality.CUTOFF) for r in far.where("far").collect()} == {(True, True)}
+    assert far.where(~F.col("far") & (F.col("d2") > quality.CUTOFF)).count() < 16
+
+
+def test_quality_smallest_determinant_wins(spark):
+    """Two starts that each rest in a basin of their own."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 5)) * [2, 0.01, 0.01, 0.01, 0.01]
+    x[:, 0] += np.repeat([-600.0, 0.0, 900.0], [1000, 2000, 1000])
+    wide = {f"c{i}{j}": F.lit(1e4 if i == j else 0.0) for i, j in quality.CELLS}
+    means = spark.createDataFrame([(7, 0, 300.0), (7, 1, -200.0)], "scope int, start int, m0 double")
+    starts = quality.with_factor(means.withColumns({**{f"m{i}": F.lit(0.0) for i in range(1, 5)}, **wide}))
+    for start, mean in ((0, 300), (1, -200)):
+        assert abs(quality.least_determinants(quality_rows(spark, x), starts.where(F.col("start") == start)).first().m0 - mean) < 5
+    assert abs(quality.least_determinants(quality_rows(spark, x), starts).first().m0 + 200) < 5
+
+
 def test_quality_estimates(spark):
-    """Distances against the same steps in numpy, and verdicts against the labels."""
+    """Determinants against a search with exact subsets and many starts in numpy, and verdicts against the labels."""
     docs = spark.read.parquet(SMALL.replace("0.001", "0.01") + "/documents.parquet")
     rows = quality.vectors(quality.counts(docs)).join(quality.verdicts(docs).select("doc_id", "d2", "kept"), "doc_id").toPandas()
     assert [tuple(x) for x in rows[list(COUNTS)].values[:200]] == [plain_quality(t) for t in docs.toPandas().set_index("doc_id").text[rows.doc_id[:200]]]
-    floors = np.array(list(quality.FLOORS.values()))
     judged = rows[~rows.base_failed]
-    for _, part in judged.groupby("scope"):
-        x = part[quality.STATS].values
-
-        def median(v):
-            bins = np.sort(np.sign(v) * np.floor(np.abs(v) * 64 + 0.5))
-            return bins[int(np.ceil(len(bins) / 2)) - 1] / 64
-
-        mean = np.array([median(x[:, i]) for i in range(5)])
-        cov = np.diag([(1.4826 * median(np.abs(x[:, i] - mean[i]))) ** 2 + floors[i] ** 2 for i in range(5)])
-        for _ in range(quality.STEPS):
-            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-            bins = np.floor(np.log(d + 1e-6) * quality.BINS_PER_E)
-            order = np.sort(bins)
-            most = order[min(len(order), int(np.ceil(quality.KEPT_PART * len(order)))) - 1]
-            near = x[bins <= most]
-            mean = near.mean(0)
-            cov = near.T @ near / len(near) - np.outer(mean, mean) + np.diag(floors**2)
-        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-        assert np.allclose(d, part.d2.astype(float), rtol=1e-4, atol=1e-6)
+    found = {r.scope: r for r in quality.least_determinants(quality.vectors(quality.counts(docs)).where("NOT base_failed")).collect()}
+    for scope, part in judged.groupby("scope"):
+        assert found[scope].log_det < plain_determinant(part[quality.STATS].values) + 0.15
     labels = spark.read.parquet(SMALL.replace("0.001", "0.01") + "/labels.parquet").toPandas()
     both = judged.merge(labels, on="doc_id")
     assert both[both.quality == 1].kept.mean() > 0.99 and both[both.quality == 0].kept.mean() < 0.1
