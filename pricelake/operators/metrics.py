@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelake.operators.ordered import with_last_mark, with_previous
+from pricelake.operators.ordered import running_total, with_last_mark, with_previous
 from pricelake.session import cut_lineage
 
 
@@ -171,6 +171,27 @@ def evaluation_points(
     return shown(points.select(*series, "__at", "value").unionByName(gaps).unionByName(ends))
 
 
+def sliding_rates(steps: DataFrame, keys: list[str], range_seconds: int, step_seconds: int) -> DataFrame:
+    """Rate over the range before each evaluation (keys, eval_ts, value) from increases per step (keys, at, d).
+
+    A step enters the running total at its time and leaves it when the range has passed, two rows each; the total holds
+    from one change to the next. Evaluations without a step in their range have no row.
+    """
+    change = lambda at, d, n: F.struct(at.alias("at"), d.alias("d"), F.lit(n).alias("n"))
+    span = range_seconds // step_seconds * step_seconds
+    enters, leaves = change(F.col("at"), F.col("d"), 1), change(F.col("at") + span, -F.col("d"), -1)
+    changes = steps.select(*keys, F.explode(F.array(enters, leaves)).alias("c")).select(*keys, "c.*")
+    changes = changes.groupBy(*keys, "at").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    rows = cut_lineage(changes.withColumn("__ts", F.timestamp_seconds("at")))
+    rows = running_total(rows, keys, "__ts", F.col("d"), "total")
+    rows = cut_lineage(running_total(rows, keys, "__ts", F.col("n"), "open"))
+    held = with_previous(rows, keys, "__ts", F.struct("at", "total", "open"), "prev").filter("prev.open > 0")
+    each = F.sequence(F.col("prev.at"), F.col("at") - step_seconds, F.lit(step_seconds).cast("bigint"))
+    return held.select(*keys, F.explode(each).alias("e"), (F.col("prev.total") / float(range_seconds)).alias("value")).select(
+        *keys, F.timestamp_seconds("e").alias("eval_ts"), "value"
+    )
+
+
 def alert_conditions(samples: DataFrame, step_seconds: int = 30, lookback_seconds: int = 300) -> DataFrame:
     """The four rules over ``samples`` as (alert, series, eval_ts, active). Rules over single samples see the last one
     for ``lookback_seconds``, so a missed scrape does not end an alert."""
@@ -195,13 +216,7 @@ def alert_conditions(samples: DataFrame, step_seconds: int = 30, lookback_second
             .groupBy("series", ((F.floor(F.unix_micros("ts") / (step_seconds * 1000000)) + 1) * step_seconds).alias("at"))
             .agg(F.sum("delta").alias("d"))
         )
-        # a step counts in every evaluation of the range behind it
-        spread = F.explode(F.sequence(F.col("at"), F.col("at") + (range_seconds - step_seconds), F.lit(step_seconds).cast("bigint")))
-        return (
-            per_step.withColumn("e", spread)
-            .groupBy("series", F.timestamp_seconds("e").alias("eval_ts"))
-            .agg((F.sum("d") / float(range_seconds)).alias("value"))
-        )
+        return sliding_rates(per_step, ["series"], range_seconds, step_seconds)
 
     def shaped(df: DataFrame, name: str, active: Column) -> DataFrame:
         return df.select(F.lit(name).alias("alert"), "series", "eval_ts", F.coalesce(active, F.lit(False)).alias("active"))

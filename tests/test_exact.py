@@ -340,3 +340,18 @@ def test_default_probes_find_nine_of_ten(spark):
     recall = cell_recall(rows, indexed, model)
     print("recall", recall, "at three probes", cell_recall(rows, indexed, model, 3))
     assert recall >= 0.9
+
+
+def test_sliding_rates(spark):
+    """Against sums over each range; sparse, dense and single steps, a range that is no multiple of the step."""
+    rnd = random.Random(9)
+    rows = sorted({(k, rnd.randrange(0, 400 if k == "a" else 9000) * 30) for k in "abc" for _ in range(150)} | {("d", 600)})
+    steps = [(k, at, float(rnd.randint(0, 9))) for k, at in rows]
+    df = spark.createDataFrame(steps, "k string, at bigint, d double").repartition(4)
+    for span in (300, 310, 3600):
+        want = {}
+        for k, at, d in steps:
+            for e in range(at, at + span - 29, 30):
+                want[k, e] = want.get((k, e), 0.0) + d
+        got = metrics.sliding_rates(df, ["k"], span, 30).select("k", F.unix_seconds("eval_ts"), "value").collect()
+        assert {(k, e): round(v * span, 6) for k, e, v in got} == want and len(got) == len(want)
