@@ -163,16 +163,17 @@ def with_distance(rows: DataFrame, factor: DataFrame) -> DataFrame:
 
 
 def first_estimates(rows: DataFrame) -> DataFrame:
-    """Start 0: medians and median deviations, uncorrelated. Starts 1 and on: the rows with the least hashes."""
+    """Start 0: medians and median deviations, uncorrelated. Starts 1 and on: rows drawn by hash."""
     middle = _medians(rows, {k: F.col(k) for k in STATS})
     named = small_side(middle.select("scope", *[F.col(k).alias(f"m{i}") for i, k in enumerate(STATS)]))
     apart = _medians(rows.join(named, "scope"), {k: F.abs(F.col(k) - F.col(f"m{i}")) for i, k in enumerate(STATS)})
     spread = [(F.pow(1.4826 * F.col(STATS[i]), F.lit(2)) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in CELLS]
     medians = with_factor(named.join(apart, "scope").select("scope", F.lit(0).alias("start"), *[f"m{i}" for i in P], *spread))
-    # copies of a text have one hash each, by their id
-    drawn = rows.withColumn("start", F.explode(F.array(*[F.lit(s + 1) for s in range(RANDOM_STARTS)])))
-    order = Window.partitionBy("scope", "start").orderBy(F.xxhash64("row_key", "doc_id", "start"))
-    few = drawn.withColumn("at", F.row_number().over(order)).where(F.col("at") <= SUBSET_ROWS)
+    # some SUBSET_ROWS of each scope, summed where they are; copies of a text have one hash each, by their id
+    sizes = small_side(rows.groupBy("scope").agg(F.count("*").alias("size")))
+    drawn = rows.join(sizes, "scope").withColumn("start", F.explode(F.array(*[F.lit(s + 1) for s in range(RANDOM_STARTS)])))
+    unit = F.pmod(F.xxhash64("row_key", "doc_id", "start"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    few = drawn.where(unit * F.col("size") < SUBSET_ROWS)
     return medians.unionByName(_moments(few.groupBy("scope", "start").agg(*_sums())))
 
 
