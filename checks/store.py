@@ -195,6 +195,17 @@ def retention_kept(spark, sf):
     return kept.groupBy(F.date_format("crawled_at", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("pages"))
 
 
+@query("retention_folders", """WITH k AS (SELECT count(*) FILTER (ts < TIMESTAMP '2024-01-23 12:00:00') AS deleted, count(*) FILTER (ts >= TIMESTAMP '2024-01-23 12:00:00') AS kept FROM events)
+    SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS pages, deleted, kept FROM events, k WHERE ts >= TIMESTAMP '2024-01-23 12:00:00' GROUP BY ALL""")
+def retention_folders(spark, sf):
+    """Pages written by day; whole days are dropped by folder, and the day of the cutoff is written again."""
+    folder = f"{shared_folder(spark)}/retention-{uuid.uuid4().hex}"
+    page_source.write_pages(stored_pages(spark, sf), folder)
+    deleted, kept = store.delete_old_folders(spark, folder, datetime(2024, 1, 30, 12), 7)
+    left = spark.read.parquet(folder).groupBy(F.date_format("crawled_at", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("pages"))
+    return left.withColumns({"deleted": F.lit(deleted).cast("bigint"), "kept": F.lit(kept).cast("bigint")})
+
+
 @query("payload_slim", """SELECT url, length(html) AS html_len, length(html) AS screenshot_len, substr(html, 1, 120) AS screenshot_head,
     len(l) AS total, array_to_string(l[:5], ' ') AS first_results
     FROM (SELECT *, regexp_extract_all(html, '(?i)href=["'']([^"'']+)["'']', 1) AS l FROM pages)""")

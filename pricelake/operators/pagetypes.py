@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from pricelake.functions import geo, rules, urls
 from pricelake.functions.expr import let
 from pricelake.operators.ordered import ranked
+from pricelake.operators.store import decision_key, reuse_decisions
 from pricelake.operators.urltable import keep_first
 
 
@@ -41,6 +42,19 @@ def page_type(candidates: DataFrame, country: str | None = None) -> DataFrame:
     )
 
 
+def stored_types(candidates: DataFrame, decisions: DataFrame, as_of: Column) -> DataFrame:
+    """Types that no rule is sure of, taken from live stored decisions (kind ``page_type``, key of URL and query) where there are any.
+
+    ``candidates`` have been through ``page_type`` and have a ``query``; the source of a type that is taken is ``stored``.
+    """
+    keyed = candidates.withColumn("kind", F.lit("page_type")).withColumn("key", decision_key("url", "query"))
+    taken = F.col("hit") & (F.col("type_source") != "rule")
+    settled = reuse_decisions(keyed, decisions, as_of).withColumns(
+        {"page_type": F.when(taken, F.col("value")).otherwise(F.col("page_type")), "type_source": F.when(taken, "stored").otherwise(F.col("type_source"))}
+    )
+    return settled.select(*candidates.columns)
+
+
 def drop_errors(candidates: DataFrame) -> DataFrame:
     return candidates.filter(~F.coalesce(F.col("page_type").startswith("ERROR_"), F.lit(False)))
 
@@ -136,7 +150,8 @@ def merge_expanded(candidates: DataFrame, expanded: DataFrame, cap: int | None =
     """Add typed PRODUCT links from expansion that are not candidates yet, after the existing ones.
 
     Known links are left out first, so they use up no places; ``cap`` then limits the new links per search. New links are
-    ranked behind the last position of their search. A ``country`` column of ``expanded`` decides what is local.
+    ranked behind the last position of their search. A ``country`` column of ``expanded`` decides what is local; a
+    ``stored_type`` is used where no rule is sure.
     """
     order = ["src_pos", "pos", "url"]
     fresh = expanded.join(candidates.select("query_id", "url"), ["query_id", "url"], "left_anti")
@@ -144,7 +159,11 @@ def merge_expanded(candidates: DataFrame, expanded: DataFrame, cap: int | None =
         window = Window.partitionBy("query_id").orderBy(*order)
         fresh = fresh.withColumn("__r", F.row_number().over(window)).filter(F.col("__r") <= cap).drop("__r")
     country = _country(expanded)
-    typed = page_type(fresh, *country).filter(F.col("page_type") == "PRODUCT")
+    typed = page_type(fresh, *country)
+    if "stored_type" in expanded.columns:
+        unsure = F.col("type_source") != "rule"
+        typed = typed.withColumn("page_type", F.when(unsure, F.coalesce("stored_type", "page_type")).otherwise(F.col("page_type")))
+    typed = typed.filter(F.col("page_type") == "PRODUCT")
     last = candidates.groupBy("query_id").agg(F.max("pos").alias("__last"))
     placed = ranked(typed.select("query_id", *order), ["query_id"], order, "__rank").join(last, "query_id", "left")
     added = placed.select(

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pricelake.functions import prices
 from pricelake.functions.expr import let
 from pricelake.functions.text import blank_to_null
+from pricelake.operators.store import decision_key, reuse_decisions
+from pricelake.operators.urltable import keep_first
 
 
 def product_pages(candidates: DataFrame) -> DataFrame:
@@ -36,7 +38,7 @@ def extract_prices(
     the page fail, as ``no_content``, ``insufficient`` (text shorter than ``min_text``) or ``unresolved``. An answer for
     a page without enough text was read by machine: it must be a price, and a sane one. A catalogue answer keeps
     its first product. Failures are kept with their error, and answers below 0.6 are flagged for a second source.
-    ``content(url, text, meta_tags, structured_data)``, ``cached(url, price_extraction)``,
+    ``content(url, text, meta_tags, structured_data)``, ``cached(url, price_extraction)`` and, where it is there, ``product_name``,
     ``responses(url, raw_text)``. Expressions of later sources run only where earlier ones are null.
     """
     rows = product_pages(candidates).join(
@@ -45,9 +47,10 @@ def extract_prices(
         "left",
     )
     if cached is not None:
-        rows = rows.join(cached.select("url", F.col("price_extraction").alias("__cached")), "url", "left")
+        name = F.col("product_name") if "product_name" in cached.columns else F.lit(None).cast("string")
+        rows = rows.join(cached.select("url", F.col("price_extraction").alias("__cached"), name.alias("__name")), "url", "left")
     else:
-        rows = rows.withColumn("__cached", F.lit(None).cast(prices.RESULT))
+        rows = rows.withColumn("__cached", F.lit(None).cast(prices.RESULT)).withColumn("__name", F.lit(None).cast("string"))
     if responses is not None:
         rows = rows.join(responses.select("url", F.col("raw_text").alias("__answer")), "url", "left")
     else:
@@ -77,7 +80,9 @@ def extract_prices(
     last = F.struct(
         F.lit("unresolved").alias("source"), prices.failure(F.lit("No price found in content")).alias("price_extraction")
     )
-    catalogue_name = F.when(F.col("source") == "response", blank_to_null(F.col("__item.product_name")))
+    own_name = F.when(F.col("source") == "response", blank_to_null(F.col("__item.product_name"))).when(
+        F.col("source") == "cached", blank_to_null(F.col("__name"))
+    )
     return (
         rows.withColumn("__r", F.coalesce(*tagged, last))
         .withColumn("source", F.col("__r.source"))
@@ -86,11 +91,30 @@ def extract_prices(
             "needs_second_source",
             ~F.col("price_extraction.success") | (F.coalesce("price_extraction.confidence", F.lit(0.0)) < 0.6),
         )
-        .withColumn("product_name", F.coalesce(catalogue_name, blank_to_null(F.col("identified_product_name")), F.lit("Unknown Product")))
-        .drop("__r", "__text", "__page", "__cached", "__answer", "__item", "meta_tags", "structured_data")
+        .withColumn("product_name", F.coalesce(own_name, blank_to_null(F.col("identified_product_name")), F.lit("Unknown Product")))
+        .drop("__r", "__text", "__page", "__cached", "__name", "__answer", "__item", "meta_tags", "structured_data")
     )
 
 
+def stored_prices(pages: DataFrame, decisions: DataFrame, as_of: Column) -> DataFrame:
+    """Live price decisions of the given pages, one row per URL that has one: (url, product_name, price_extraction).
+
+    A value that is no JSON or holds no price counts as none.
+    """
+    asked = pages.select("url").distinct().withColumns({"kind": F.lit("price"), "key": decision_key("url")})
+    value = F.from_json("value", f"product_name string, price_extraction {prices.RESULT}")
+    known = reuse_decisions(asked, decisions, as_of).filter("hit").select("url", value.alias("v"))
+    return known.filter("v.price_extraction.success").select("url", "v.product_name", "v.price_extraction")
+
+
+def price_decisions(priced: DataFrame, decided_at: Column) -> DataFrame:
+    """Prices that were found anew as decisions (kind, key, value, decided_at), the first per URL, for ``store.record_decisions``."""
+    fresh = priced.filter("price_extraction.success AND source <> 'cached'")
+    first = keep_first(fresh.select("url", "query_id", "pos", "product_name", "price_extraction"), ["url"], F.struct("pos", "query_id"))
+    value = F.to_json(F.struct("product_name", "price_extraction"))
+    return first.select(F.lit("price").alias("kind"), decision_key("url").alias("key"), value.alias("value"), decided_at.alias("decided_at"))
+
+
 def catalogue_offers(responses: DataFrame, single_product: str, compat: bool = True) -> DataFrame:
     """Offers of multi-product answers ``{"products": [...]}``; a product page keeps the first one only.
 

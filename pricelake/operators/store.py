@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -139,6 +140,55 @@ def retention_counts(pages: DataFrame, as_of: datetime | Column, days: int = 30,
     return pages.agg(F.count_if(gone).alias("deleted"), F.count_if(~gone).alias("kept"))
 
 
+# retention of a table written by day (``sources.pages.write_pages``)
+def _days(pages: DataFrame, as_of: datetime | Column, days: int, by: str) -> tuple[Column, Column]:
+    """Tests of the folder alone: wholly older, and the one the cutoff falls in."""
+    border = F.to_date(_cutoff(as_of, days))
+    return F.coalesce(F.col(by) < border, F.lit(False)), F.coalesce(F.col(by) == border, F.lit(False))
+
+
+def folder_retention_counts(
+    spark: SparkSession, location: str, as_of: datetime | Column, days: int = 30, ts: str = "crawled_at", by: str = "crawl_date"
+) -> DataFrame:
+    """Rows (deleted, kept) of a table written by day. Rows of whole folders are counted from file footers; times are read in the
+    border folder alone."""
+    pages = spark.read.schema(f"{ts} timestamp, {by} date").parquet(location)
+    older, border = _days(pages, as_of, days, by)
+    whole = pages.filter(~border).select(older.alias("gone")).agg(F.count_if("gone").alias("deleted"), F.count_if(~F.col("gone")).alias("kept"))
+    parts = whole.unionByName(retention_counts(pages.filter(border), as_of, days, ts))
+    return parts.agg(F.sum("deleted").alias("deleted"), F.sum("kept").alias("kept"))
+
+
+def delete_old_folders(
+    spark: SparkSession, location: str, as_of: datetime, days: int = 30, ts: str = "crawled_at", by: str = "crawl_date"
+) -> tuple[int, int]:
+    """Delete rows older than ``days`` from a table written by day; (deleted, kept) rows.
+
+    Wholly older folders go by name, unread. Only the folder the cutoff falls in is read and, where it loses rows, written again from a
+    checkpoint; all other files stay as they are. Rows without a time stay. Days are those of the session time zone,
+    as in ``write_pages``. Run again after a loss, it ends in the same table. A table without files gives (0, 0).
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(location)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = {p.getName().partition("=")[2]: p for p in (s.getPath() for s in files.listStatus(root)) if p.getName().startswith(f"{by}=")}
+    if not folders:
+        return 0, 0
+    deleted, kept = folder_retention_counts(spark, location, as_of, days, ts, by).first()
+    border = spark.range(1).select(F.to_date(_cutoff(as_of, days)).cast("string")).first()[0]
+    for day, folder in folders.items():
+        if re.fullmatch(r"\d{4}-\d\d-\d\d", day) and day < border:
+            files.delete(folder, True)
+    if border in folders:
+        edge = spark.read.option("basePath", location).parquet(folders[border].toString())
+        loses, stays = retention_counts(edge, as_of, days, ts).first()
+        if loses and stays:
+            rest = cut_lineage(retain_pages(edge, as_of, days, ts))
+            rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(location)
+        elif loses:
+            files.delete(folders[border], True)
+    return deleted, kept
+
+
 def recent_pages(pages: DataFrame, n: int, ts: str = "crawled_at", tie: str = "url") -> DataFrame:
     return pages.orderBy(F.col(ts).desc(), F.col(tie)).limit(n)
 

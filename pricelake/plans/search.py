@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelake.functions import urls
 from pricelake.operators import candidates as cand
 from pricelake.operators import geography, offers, pagetypes, pricing, relevance
+from pricelake.operators.urltable import keep_first
 from pricelake.session import cut_lineage
 
 
@@ -27,40 +31,75 @@ def typed_candidates(
 ) -> tuple[DataFrame, DataFrame]:
     """Result hits to (typed product candidates with links of category pages added, what no rule decides).
 
-    The second table has the rows to label outside: ``stage`` is ``geography`` or ``page_type``. Links of category pages
-    pass the same place test as hits. All limits are off by default.
+    Stored decisions settle places and page types that no rule is sure of. A search whose category pages give too few product links falls
+    back to all their links that match the query; those a stored decision or a rule types as products come in. The second table
+    has the rows to label outside: ``stage`` is ``geography``, ``page_type`` or, for links of the fallback, ``category_link``.
+    Links of category pages pass the same place test as hits. All limits are off by default.
     """
     asked = queries.select("query_id", "query", "country", "city")
     capped = cand.host_cap(cand.pattern_filter(urls.clean_rows(hits)), per_host)
     placed = cut_lineage(geography.validate(capped.join(asked, "query_id"), decisions, as_of, mode))
     # read for products, for categories and for what is open
-    typed = cut_lineage(pagetypes.drop_errors(pagetypes.page_type(placed.filter("geo_status = 'true'"), "country")))
+    typed = pagetypes.stored_types(pagetypes.page_type(placed.filter("geo_status = 'true'"), "country"), decisions, as_of)
+    typed = cut_lineage(pagetypes.drop_errors(typed))
     categories = typed.filter(F.col("page_type") == "CATEGORY").select("query_id", "url", "pos", F.split("query", r"\s+").alias("terms"), "country")
-    links = pagetypes.expand_categories(categories, edges, links_per_host, links_per_query)
-    local = cut_lineage(geography.validate(links.join(asked.drop("country"), "query_id"), decisions, as_of, mode))
+    links = cut_lineage(pagetypes.expand_categories(categories, edges, links_per_host, links_per_query).select(*_LINK))
+    more = fallback(categories, edges, links).select(*_LINK)
+    found = links.withColumn("late", F.lit(False)).unionByName(more.withColumn("late", F.lit(True)))
+    local = geography.validate(found.join(asked.drop("country"), "query_id"), decisions, as_of, mode)
+    local = cut_lineage(pagetypes.stored_types(pagetypes.page_type(local, "country"), decisions, as_of))
+    stored = F.when(F.col("type_source") == "stored", F.col("page_type"))
     grown = pagetypes.merge_expanded(
-        typed.filter(F.col("page_type") == "PRODUCT"), local.filter("geo_status = 'true'").select(*links.columns), new_links
+        typed.filter(F.col("page_type") == "PRODUCT"),
+        # links of the fallback that are no products use up no places
+        local.filter("geo_status = 'true' AND (NOT late OR page_type = 'PRODUCT')").withColumn("stored_type", stored).select(*_LINK, "stored_type"), new_links,
     )
     stages = [
         (placed, "geo_status = 'unresolved'", "geography"), (local, "geo_status = 'unresolved'", "geography"),
         (typed, "page_type = 'UNRESOLVED'", "page_type"),
+        (local, "late AND geo_status = 'true' AND page_type = 'UNRESOLVED'", "category_link"),
     ]
     unresolved = [t.filter(test).select("query_id", "url", "pos", F.lit(stage).alias("stage")) for t, test, stage in stages]
-    return grown.join(asked.select("query_id", "query"), "query_id"), unresolved[0].union(unresolved[1]).union(unresolved[2])
+    return grown.join(asked.select("query_id", "query"), "query_id"), reduce(DataFrame.union, unresolved)
+
+
+_LINK = ["query_id", "url", "src_pos", "pos", "country"]
+
+
+def fallback(categories: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
+    """Links that match the query on category pages of searches with too few product ``links``, without those already found."""
+    low = pagetypes.low_yield(categories, links)
+    about = categories.groupBy("query_id").agg(F.first("terms").alias("terms"), F.first("country").alias("country"))  # one value a search
+    cleaned = pagetypes.fallback_links(categories, edges, low).withColumn("url", urls.drop_repeated_segments(F.col("url")))
+    wanted = cleaned.join(about, "query_id").filter(urls.matches_query(F.col("url"), F.col("terms")))
+    return keep_first(wanted, ["query_id", "url"], F.struct("src_pos", "pos")).join(links.select("query_id", "url"), ["query_id", "url"], "left_anti")
+
+
+class SearchResult(NamedTuple):
+    """Results of the whole job; hand ``unresolved`` to labelling, and its answers and ``decisions`` to ``store.record_decisions``."""
+
+    offers: DataFrame  # ranked, one per product and search
+    summaries: DataFrame  # one row per request
+    unresolved: DataFrame  # (query_id, url, pos, stage)
+    decisions: DataFrame  # prices found anew: (kind, key, value, decided_at)
 
 
 def search_to_offers(
     queries: DataFrame, hits: DataFrame, edges: DataFrame, content: DataFrame, decisions: DataFrame,
     as_of: Column, responses: DataFrame | None = None, mode: str = "label", top: int | None = None,
     min_relevance: float = 0.2, **limits: int | None,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(ranked offers, one summary per request, unresolved candidates) for any number of searches in one job.
+) -> SearchResult:
+    """Ranked offers, summaries, open rows and new price decisions for any number of searches in one job.
 
-    ``limits`` are those of ``typed_candidates``; ``top`` is the number of pages priced per search.
+    ``limits`` are those of ``typed_candidates``; ``top`` is the number of pages priced per search. ``decisions`` settle places, page types
+    and prices. Relevance scores are computed, not looked up: they cost less than the join with stored ones and are the same.
     """
     typed, unresolved = typed_candidates(queries, hits, edges, decisions, as_of, mode, **limits)
     gated = relevance.relevance_gate(relevance.score_candidates(typed), min_relevance, top)
     named = gated.withColumn("identified_product_name", F.coalesce("original_title", "query"))
-    priced = pricing.extract_prices(named, content, responses=responses)
+    named = cut_lineage(named)
+    priced = pricing.extract_prices(named, content, pricing.stored_prices(named, decisions, as_of), responses)
     unique = offers.dedupe_names(offers.first_per_url(priced))
-    return offers.rank_offers(unique), offers.search_summaries(queries, unique), unresolved
+    return SearchResult(
+        offers.rank_offers(unique), offers.search_summaries(queries, unique), unresolved, pricing.price_decisions(priced, as_of)
+    )

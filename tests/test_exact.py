@@ -313,6 +313,77 @@ def test_clear_and_write_table(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t2")).count() == 0
 
 
+def test_retention_by_folder(spark, tmp_path):
+    """Older folders go unread, the cutoff's day is written again, all other files stay as they are."""
+    from datetime import datetime
+
+    from pricelake.sources import pages as source
+
+    folder = str(tmp_path / "pages")
+    hour = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=F.col("id").cast("int"))
+    rows = spark.range(240).select(F.concat(F.lit("u"), "id").alias("url"), hour.alias("crawled_at"))
+    undated = spark.range(2).select(F.concat(F.lit("v"), "id").alias("url"), F.lit(None).cast("timestamp").alias("crawled_at"))
+    source.write_pages(rows.unionByName(undated).repartition(3), folder)
+    files = lambda: {p.relative_to(folder) for p in (tmp_path / "pages").rglob("*.parquet")}
+    before, as_of = files(), datetime(2024, 1, 10, 12)
+    counts = store.folder_retention_counts(spark, folder, as_of, 5)
+    assert tuple(counts.first()) == (108, 134)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" in plan and "PartitionFilters: []" not in plan
+    assert store.delete_old_folders(spark, folder, as_of, 5) == (108, 134)
+    left = spark.read.parquet(folder)
+    assert left.count() == 134 and left.agg(F.min("crawled_at")).first()[0] == datetime(2024, 1, 5, 12)
+    border = "crawl_date=2024-01-05"
+    assert {p for p in files() if p.parts[0] != border} == {p for p in before if p.parts[0] > border}
+    after = files()
+    assert store.delete_old_folders(spark, folder, as_of, 5) == (0, 134) and files() == after  # run again: nothing to do
+    assert store.delete_old_folders(spark, folder, datetime(2024, 1, 11), 5) == (12, 122)  # the border day goes whole
+    assert not any(p.parts[0] == border for p in files())
+    source.write_pages(rows.limit(0), str(tmp_path / "none"))
+    assert store.delete_old_folders(spark, str(tmp_path / "none"), as_of, 5) == (0, 0)
+
+
+def test_prices_are_stored_and_reused(spark):
+    """Prices found in one job answer the next one, until they are too old."""
+    from pricelake.operators import pricing
+
+    at = lambda s: F.lit(s).cast("timestamp")
+    pages = spark.createDataFrame([(1, 0, "a", "Lamp"), (2, 1, "a", "Lamp two"), (1, 2, "b", None), (1, 3, "c", "Chair")], "query_id int, pos long, url string, identified_product_name string").withColumn("page_type", F.lit("PRODUCT"))
+    content = spark.createDataFrame([("a", "Oferta de lampara en la tienda, con entrega en el dia: U$S 1.234,50"), ("b", "x")], "url string, text string").withColumns(
+        {"meta_tags": F.lit(None).cast("map<string,string>"), "structured_data": F.lit(None).cast("array<string>")}
+    )
+    none = spark.createDataFrame([("price", store_key(spark, "b"), "no json", "2024-01-01")], "kind string, key string, value string, d string").select("kind", "key", "value", at("2024-01-01").alias("decided_at"))
+    first = pricing.extract_prices(pages, content, pricing.stored_prices(pages, none, at("2024-01-01 00:10:00")))
+    got = {(r.query_id, r.url): (r.source, r.price_extraction.price) for r in first.collect()}
+    assert got == {(1, "a"): ("text", 1234.5), (2, "a"): ("text", 1234.5), (1, "b"): ("insufficient", None), (1, "c"): ("no_content", None)}
+    kept = store.record_decisions(none, pricing.price_decisions(first, at("2024-01-01 00:10:00")))
+    assert kept.count() == 2  # one for "a", and the old one of "b"
+    for moment, source, name in (("2024-01-01 01:00:00", "cached", "Lamp"), ("2024-01-01 03:00:00", "text", "Lamp two")):
+        again = pricing.extract_prices(pages, content, pricing.stored_prices(pages, kept, at(moment)))
+        row = again.filter("query_id = 2").first()
+        assert (row.source, row.price_extraction.price, row.product_name) == (source, 1234.5, name)
+        assert pricing.price_decisions(again, at(moment)).count() == (source == "text")
+
+
+def store_key(spark, url):
+    return spark.range(1).select(store.decision_key(F.lit(url))).first()[0]
+
+
+def test_stored_types_settle_only_what_no_rule_does(spark):
+    from pricelake.operators import pagetypes
+
+    at = F.lit("2024-01-01 06:00:00").cast("timestamp")
+    sites = ["https://a.com.uy/x", "https://a.com.uy/producto/1", "https://b.example.org/x", "https://a.com.uy/y"]
+    rows = spark.createDataFrame([(u, "q") for u in sites], "url string, query string")
+    said = spark.createDataFrame(
+        [(sites[0], "q", "PRODUCT", "2024-01-01 05:00:00"), (sites[1], "q", "CATEGORY", "2024-01-01 05:00:00"), (sites[2], "q", "PRODUCT", "2024-01-01 05:00:00"), (sites[3], "q", "PRODUCT", "2023-12-31"), (sites[3], "other", "PRODUCT", "2024-01-01 05:00:00")],
+        "url string, query string, value string, d string",
+    )
+    decisions = said.select(F.lit("page_type").alias("kind"), store.decision_key("url", "query").alias("key"), "value", F.to_timestamp("d").alias("decided_at"))
+    got = {r.url: (r.page_type, r.type_source) for r in pagetypes.stored_types(pagetypes.page_type(rows), decisions, at).collect()}
+    assert got == {sites[0]: ("PRODUCT", "stored"), sites[1]: ("CATEGORY", "stored"), sites[2]: ("EXCLUDE_NON_URUGUAY", "rule"), sites[3]: ("UNRESOLVED", "none")}
+
+
 def test_alert_rules_with_history(spark):
     """Memory above the limit for six minutes fires; a restart counter and an error counter stay quiet."""
     rows = []
