@@ -35,13 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelake.llm.common import whole_text
-from pricelake.session import BROADCAST_BYTES, cut_lineage, measured_bytes
+from pricelake.session import BROADCAST_BYTES, cut_lineage, measured_bytes, small_side
 
 LENGTH = 400
 REACH = 128  # offsets from a string's start to its trigger
 WINDOW = 8
 RUN = 1 << 22  # positions hashed at once
 CROWD = 20_000  # rows of one parse suffix that a task orders together
+FREQUENT = 1_000  # places of a suffix from which on it is joined apart from the others
 RANGES = (REACH, 16, 1)  # offsets that rows of a crowded suffix share, step by step
 
 
@@ -259,8 +260,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, reach: int = REACH, cr
     full = full.select("text_key", F.explode(F.coalesce("places", F.array("pos"))).alias("pos"))
     results = [full.select("text_key", (F.col("pos") - (reach - 1)).alias("start"), (F.col("pos") + length).alias("stop"))]
 
-    sizes = known.groupBy("suffix").agg(F.count("*").alias("n"), F.max(~F.col("twice")).alias("open")).where("open AND n > 1")
-    asked = known.join(sizes.select("suffix", (F.col("n") > crowd).alias("crowded")), "suffix")
+    sizes = cut_lineage(known.groupBy("suffix").agg(F.count("*").alias("n"), F.max(~F.col("twice")).alias("open")).where("open AND n > 1"))
+    sizes = sizes.select("suffix", "n", (F.col("n") > crowd).alias("crowded"))
+    # a frequent suffix meets its row where its places lie; there is at most one such row for FREQUENT places
+    frequent = small_side(sizes.where(F.col("n") > FREQUENT))
+    rare = known.join(frequent.select("suffix"), "suffix", "left_anti").join(sizes.where(F.col("n") <= FREQUENT), "suffix")
+    asked = known.join(frequent, "suffix").unionByName(rare)
     wanted = cut_lineage(asked.groupBy("text_key").agg(F.collect_list(F.struct("suffix", "pos", "crowded")).alias("wanted")))
     once = of_texts(texts, wanted)[0].groupBy("text_key").agg(F.first("data").alias("data"))  # equal texts combine before they move
     cut = cut_lineage(pieces(once.join(wanted, "text_key"), length, reach))

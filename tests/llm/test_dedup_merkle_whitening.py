@@ -39,7 +39,8 @@ def messy_texts(seed):
 
 
 @pytest.mark.parametrize("crowd", [20_000, 3])  # with three rows a crowd, the narrower ranges do the work
-def test_suffix_dedup(spark, crowd):
+def test_suffix_dedup(spark, crowd, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "FREQUENT", min(crowd, 1_000))
     texts = messy_texts(crowd)
     ids = [None if i % 17 == 5 else i // 2 for i in range(len(texts))]
     names = ("text_key", "spans", "data", "start", "place", "suffix")
