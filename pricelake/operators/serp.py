@@ -141,7 +141,7 @@ def text_hits(pages: DataFrame, column: str, max_hits: int | None = None, around
 
 def _text_hits(text: Column, around: int = 200, longest: int = 100) -> Column:
     lines = F.filter(F.split(text, "\n"), lambda l: ~l.rlike(r"(?U)^\s*$"))
-    return let(let(lines, _near_urls), lambda body: let(_titled_hits(body), lambda t: F.when(F.size(t) > 0, t).otherwise(_bare_hits(body))))
+    return let(let(lines, _near_urls), lambda body: let(_titled_hits(body, around, longest), lambda t: F.when(F.size(t) > 0, t).otherwise(_bare_hits(body))))
 
 
 def _near_urls(lines: Column) -> Column:
@@ -152,7 +152,7 @@ def _near_urls(lines: Column) -> Column:
     return F.array_join(F.filter(lines, lambda l, i: l.contains("http") | before(i)), "\n")
 
 
-def _titled_hits(body: Column) -> Column:
+def _titled_hits(body: Column, around: int, longest: int) -> Column:
     pairs = []
     for pattern in _TEXT_PATTERNS:
         zipped = F.zip_with(

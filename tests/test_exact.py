@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricelake.functions import prices, urls
-from pricelake.operators import candidates, frontier, metrics, offers, ordered, relevance, store, textsearch, vectorsearch
+from pricelake.operators import candidates, frontier, metrics, offers, ordered, relevance, serp, store, textsearch, vectorsearch
 from tests.conftest import SMALL
 
 
@@ -426,3 +426,14 @@ def test_sliding_rates(spark):
                 want[k, e] = want.get((k, e), 0.0) + d
         got = metrics.sliding_rates(df, ["k"], span, 30).select("k", F.unix_seconds("eval_ts"), "value").collect()
         assert {(k, e): round(v * span, 6) for k, e, v in got} == want and len(got) == len(want)
+
+
+def test_bounds_of_text_hits(spark):
+    """Descriptions of text hits keep to the bounds that are asked for, and to the usual ones of result pages."""
+    link = "https://www.tienda1.com.uy/p/1"
+    body = f"Oferta de prueba\n{link}\n{' ' * 40}Envio a todo el pais sin cargo\n"
+    df = spark.createDataFrame([(1, "other", body)], "query_id long, engine string, text string")
+    described = lambda **bounds: [r["description"] for r in serp.text_hits(df, "text", 1, **bounds).collect()]
+    assert described() == [f"{link}"] and described(longest=12) == [link[:13]]
+    page = df.select("query_id", "engine", F.concat(F.lit("<html><body><p>"), F.replace("text", F.lit("\n"), F.lit("</p><p>")), F.lit("</p></body></html>")).alias("html"))
+    assert [(r["title"], r["url"]) for r in serp.parse_result_pages(page, 1).collect()] == [("Oferta de prueba", link)]
