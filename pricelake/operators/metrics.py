@@ -148,31 +148,48 @@ def evaluation_points(
     A step without a sample sees the last one, as long as that is at most ``lookback_seconds`` old; without lookback it
     has no row. The grid ends at the step of the newest sample of all.
     """
+    if lookback_seconds:
+        seen = evaluation_stretches(samples, series, step_seconds, lookback_seconds, tie)
+        each = F.explode_outer(F.sequence("first", "last", F.lit(step_seconds).cast("bigint")))
+        return seen.select(*series, each.alias("__at"), "value").select(*series, F.timestamp_seconds("__at").alias("eval_ts"), "value")
+    return _step_values(samples, series, step_seconds, tie).select(*series, F.timestamp_seconds("__at").alias("eval_ts"), "value")
+
+
+def _step_values(samples: DataFrame, series: list[str], step_seconds: int, tie: str | None) -> DataFrame:
     at = (F.floor(F.unix_micros("ts") / (step_seconds * 1000000)) + 1) * step_seconds
     order = F.struct("ts", *([tie] if tie else []))
-    points = samples.groupBy(*series, at.alias("__at")).agg(F.max_by("value", order).alias("value"), F.max("ts").alias("__seen"))
-    shown = lambda rows: rows.select(*series, F.timestamp_seconds("__at").alias("eval_ts"), "value")
-    if not lookback_seconds:
-        return shown(points)
-    points = cut_lineage(points.withColumn("__ts", F.timestamp_seconds("__at")))
-    end = points.agg(F.max("__at")).first()[0]
-    last_seen = lambda seen: F.floor((F.unix_micros(seen) / 1000000 + lookback_seconds) / step_seconds) * step_seconds
+    return samples.groupBy(*series, at.alias("__at")).agg(F.max_by("value", order).alias("value"), F.max("ts").alias("__seen"))
 
-    def filled(rows: DataFrame, first: Column, last: Column) -> DataFrame:
-        steps = F.when(first <= last, F.sequence(first, last, F.lit(step_seconds).cast("bigint")))
-        return rows.select(*series, F.explode(steps).alias("__at"), "value")
 
-    linked = with_previous(points, series, "__ts", F.struct("value", "__seen", "__at"), "__prev").select(
+def evaluation_stretches(
+    samples: DataFrame, series: list[str], step_seconds: int, lookback_seconds: int, tie: str | None = None
+) -> DataFrame:
+    """``evaluation_points`` with lookback, one row for all consecutive steps that see one sample: (series, first, last, value),
+    times in seconds, both included. Samples without a time have a row without times."""
+    points = cut_lineage(_step_values(samples, series, step_seconds, tie).withColumn("__ts", F.timestamp_seconds("__at")))
+    end = points.agg(F.max("__at")).first()[0]
+    last_seen = F.floor((F.unix_micros("__seen") / 1000000 + lookback_seconds) / step_seconds) * step_seconds
+    until = lambda most: F.greatest(F.col("__at"), F.least(most, last_seen))
+    row = F.struct("value", "__seen", "__at")
+    linked = with_previous(points.filter("__at IS NOT NULL"), series, "__ts", row, "__prev").filter("__prev IS NOT NULL").select(
         *series, F.col("__at").alias("__here"), "__prev.*"
     )
-    gaps = filled(linked, F.col("__at") + step_seconds, F.least(F.col("__here") - step_seconds, last_seen("__seen")))
-    tails = points.groupBy(*series).agg(F.max_by(F.struct("value", "__seen", "__at"), "__at").alias("__l")).select(*series, "__l.*")
-    ends = filled(tails, F.col("__at") + step_seconds, F.least(F.lit(end), last_seen("__seen")))
-    return shown(points.select(*series, "__at", "value").unionByName(gaps).unionByName(ends))
+    inner = linked.select(*series, F.col("__at").alias("first"), until(F.col("__here") - step_seconds).alias("last"), "value")
+    tails = points.groupBy(*series).agg(F.max_by(row, "__at").alias("__l")).filter("__l IS NOT NULL").select(*series, "__l.*")
+    ends = tails.select(*series, F.col("__at").alias("first"), until(F.lit(end)).alias("last"), "value")
+    undated = points.filter("__at IS NULL").select(*series, F.col("__at").alias("first"), F.col("__at").alias("last"), "value")
+    return inner.unionByName(ends).unionByName(undated)
 
 
 def sliding_rates(steps: DataFrame, keys: list[str], range_seconds: int, step_seconds: int) -> DataFrame:
-    """Rate over the range before each evaluation (keys, eval_ts, value) from increases per step (keys, at, d).
+    """Rate over the range before each evaluation (keys, eval_ts, value) from increases per step (keys, at, d)."""
+    each = F.explode(F.sequence("first", "last", F.lit(step_seconds).cast("bigint")))
+    rates = rate_stretches(steps, keys, range_seconds, step_seconds).select(*keys, each.alias("e"), "value")
+    return rates.select(*keys, F.timestamp_seconds("e").alias("eval_ts"), "value")
+
+
+def rate_stretches(steps: DataFrame, keys: list[str], range_seconds: int, step_seconds: int) -> DataFrame:
+    """``sliding_rates``, one row for all consecutive evaluations with one rate: (keys, first, last, value), times in seconds.
 
     A step enters the running total at its time and leaves it when the range has passed, two rows each; the total holds
     from one change to the next. Evaluations without a step in their range have no row.
@@ -186,27 +203,48 @@ def sliding_rates(steps: DataFrame, keys: list[str], range_seconds: int, step_se
     rows = running_total(rows, keys, "__ts", F.col("d"), "total")
     rows = cut_lineage(running_total(rows, keys, "__ts", F.col("n"), "open"))
     held = with_previous(rows, keys, "__ts", F.struct("at", "total", "open"), "prev").filter("prev.open > 0")
-    each = F.sequence(F.col("prev.at"), F.col("at") - step_seconds, F.lit(step_seconds).cast("bigint"))
-    return held.select(*keys, F.explode(each).alias("e"), (F.col("prev.total") / float(range_seconds)).alias("value")).select(
-        *keys, F.timestamp_seconds("e").alias("eval_ts"), "value"
+    return held.select(
+        *keys, F.col("prev.at").alias("first"), (F.col("at") - step_seconds).alias("last"), (F.col("prev.total") / float(range_seconds)).alias("value")
     )
 
 
+def _side_by_side_stretches(stretches: DataFrame, keys: list[str], metrics: list[str], step_seconds: int) -> DataFrame:
+    """Stretches (keys, metric, first, last, value) of two or more metrics as stretches in which all of them have a value, a column each.
+
+    A metric changes where a stretch of it begins and behind its end; between two changes all stand still.
+    """
+    change = lambda at, on: F.struct(at.alias("at"), F.lit(on).alias("on"))
+    changes = F.when(F.col("first").isNull(), F.array(change(F.col("first"), 1))).otherwise(
+        F.array(change(F.col("first"), 1), change(F.col("last") + step_seconds, 0))
+    )
+    rows = stretches.select(*keys, "metric", "value", F.explode(changes).alias("c")).select(*keys, "metric", "value", "c.*")
+    mark = lambda m: F.max(F.when(F.col("metric") == m, F.struct("on", F.when(F.col("on") == 1, F.col("value")).alias("value")))).alias(m)
+    rows = cut_lineage(rows.groupBy(*keys, "at").agg(*[mark(m) for m in metrics]).withColumn("__ts", F.timestamp_seconds("at")))
+    undated = rows.filter("at IS NULL").select(*keys, F.col("at").alias("first"), F.col("at").alias("last"), *metrics)
+    rows = rows.filter("at IS NOT NULL")
+    for m in metrics:
+        rows = cut_lineage(with_last_mark(rows.withColumnRenamed(m, "__mark"), keys, "__ts", F.col("__mark"), m).drop("__mark"))
+    held = with_previous(rows, keys, "__ts", F.struct("at", *metrics), "prev").filter("prev IS NOT NULL")
+    held = held.select(*keys, F.col("prev.at").alias("first"), (F.col("at") - step_seconds).alias("last"), *[F.col("prev")[m].alias(m) for m in metrics])
+    whole = held.unionByName(undated)
+    for m in metrics:
+        whole = whole.filter(F.col(m)["on"] == 1)
+    return whole.select(*keys, "first", "last", *[F.col(m)["value"].alias(m) for m in metrics])
+
+
 def alert_conditions(samples: DataFrame, step_seconds: int = 30, lookback_seconds: int = 300) -> DataFrame:
-    """The four rules over ``samples`` as (alert, series, eval_ts, active). Rules over single samples see the last one
-    for ``lookback_seconds``, so a missed scrape does not end an alert."""
+    """The four rules over ``samples`` as (alert, series, eval_ts, until, active), one row for all consecutive evaluations that
+    see one value. Rules over single samples see the last one for ``lookback_seconds``, so a missed scrape does not end an
+    alert."""
     key = F.to_json("labels")
     rows = samples.select("ts", "metric", "labels", "value", key.alias("series"))
 
     def points(part: DataFrame, on: list[str]) -> DataFrame:
-        return evaluation_points(part, on, step_seconds, lookback_seconds=lookback_seconds)
+        return evaluation_stretches(part, on, step_seconds, lookback_seconds)
 
-    memory = points(
-        rows.filter(F.col("metric").isin("node_memory_MemTotal_bytes", "node_memory_MemAvailable_bytes")), ["series", "metric"]
-    ).groupBy("series", "eval_ts").agg(
-        F.max(F.when(F.col("metric") == "node_memory_MemTotal_bytes", F.col("value"))).alias("total"),
-        F.max(F.when(F.col("metric") == "node_memory_MemAvailable_bytes", F.col("value"))).alias("free"),
-    )
+    both = ["node_memory_MemTotal_bytes", "node_memory_MemAvailable_bytes"]
+    memory = points(rows.filter(F.col("metric").isin(both)), ["series", "metric"])
+    memory = _side_by_side_stretches(memory, ["series"], both, step_seconds).withColumnsRenamed(dict(zip(both, ("total", "free"))))
     down = points(match_labels(rows, "up", pattern={"job": "applications|observability"}), ["series"])
 
     def counter(metric: str, pattern: dict[str, str] | None, range_seconds: int) -> DataFrame:
@@ -216,10 +254,11 @@ def alert_conditions(samples: DataFrame, step_seconds: int = 30, lookback_second
             .groupBy("series", ((F.floor(F.unix_micros("ts") / (step_seconds * 1000000)) + 1) * step_seconds).alias("at"))
             .agg(F.sum("delta").alias("d"))
         )
-        return sliding_rates(per_step, ["series"], range_seconds, step_seconds)
+        return rate_stretches(per_step, ["series"], range_seconds, step_seconds)
 
     def shaped(df: DataFrame, name: str, active: Column) -> DataFrame:
-        return df.select(F.lit(name).alias("alert"), "series", "eval_ts", F.coalesce(active, F.lit(False)).alias("active"))
+        times = [F.timestamp_seconds(c).alias(t) for c, t in (("first", "eval_ts"), ("last", "until"))]
+        return df.select(F.lit(name).alias("alert"), "series", *times, F.coalesce(active, F.lit(False)).alias("active"))
 
     return (
         shaped(memory, "HighMemoryUsage", (F.col("total") - F.col("free")) / F.col("total") > MEMORY_LIMIT)
@@ -234,17 +273,18 @@ def alert_intervals(
 ) -> DataFrame:
     """Runs of consecutive true evaluations; a run held for long enough is firing from then on.
 
-    A false or missing evaluation ends a run. Works on time chunks, so one noisy series is not one task.
+    A false or missing evaluation ends a run. A row is one evaluation or, with a column ``until``, all from ``eval_ts`` up to
+    that one. Works on time chunks, so one noisy series is not one task.
     """
-    true_rows = conditions.filter("active").select(*keys, "eval_ts")
-    linked = with_previous(true_rows, keys, "eval_ts", F.struct("eval_ts"), "prev", chunk=chunk)
-    gap = F.unix_micros("eval_ts") - F.unix_micros("prev.eval_ts")
+    until = F.col("until") if "until" in conditions.columns else F.col("eval_ts")
+    true_rows = conditions.filter("active").select(*keys, "eval_ts", until.alias("until"))
+    linked = with_previous(true_rows, keys, "eval_ts", F.struct("until"), "prev", chunk=chunk)
+    gap = F.unix_micros("eval_ts") - F.unix_micros("prev.until")
     starts = F.when(F.col("prev").isNull() | (gap > step_seconds * 1000000), F.col("eval_ts"))
     runs = with_last_mark(linked, keys, "eval_ts", starts, "pending_from", chunk=chunk)
     hold = hold_seconds if isinstance(hold_seconds, Column) else F.lit(hold_seconds)
-    grouped = runs.groupBy(*keys, "pending_from").agg(
-        F.max("eval_ts").alias("last_true"), F.count(F.lit(1)).alias("evaluations")
-    )
+    steps = F.coalesce(F.floor((F.unix_seconds("until") - F.unix_seconds("eval_ts")) / step_seconds), F.lit(0)) + 1
+    grouped = runs.groupBy(*keys, "pending_from").agg(F.max("until").alias("last_true"), F.sum(steps).alias("evaluations"))
     held = F.unix_seconds("last_true") - F.unix_seconds("pending_from") >= hold
     return grouped.withColumn("state", F.when(held, "firing").otherwise("pending")).withColumn(
         "firing_from", F.when(held, F.timestamp_seconds(F.unix_seconds("pending_from") + hold))

@@ -437,3 +437,16 @@ def test_bounds_of_text_hits(spark):
     assert described() == [f"{link}"] and described(longest=12) == [link[:13]]
     page = df.select("query_id", "engine", F.concat(F.lit("<html><body><p>"), F.replace("text", F.lit("\n"), F.lit("</p><p>")), F.lit("</p></body></html>")).alias("html"))
     assert [(r["title"], r["url"]) for r in serp.parse_result_pages(page, 1).collect()] == [("Oferta de prueba", link)]
+
+
+def test_alert_conditions_grow_with_samples_not_evaluations(spark):
+    """Two samples a series, an hour apart: a few rows hold all evaluations, and runs count each of them."""
+    rows = [(1704067200 + 3600 * i, m, {"job": "applications", "instance": str(k)}, v)
+            for k in range(5) for i in range(2) for m, v in (("up", 0.0), ("node_memory_MemTotal_bytes", 100.0), ("node_memory_MemAvailable_bytes", 1.0))]
+    rows += [(1704067200 + 600, "node_memory_MemAvailable_bytes", {"job": "applications", "instance": "0"}, 1.0)]  # total is not seen any more
+    df = spark.createDataFrame(rows, "s bigint, metric string, labels map<string,string>, value double").withColumn("ts", F.timestamp_seconds("s"))
+    assert metrics.alert_conditions(df).count() <= len(rows)
+    got = sorted((r.alert, r.state, r.evaluations) for r in metrics.fire_alerts(df).collect())
+    # ten evaluations see a sample, the newest one ends at the last step of all
+    assert got == sorted([(a, s, n) for a, firing in (("ApplicationDown", 60), ("HighMemoryUsage", 300)) for _ in range(5)
+                          for s, n in (("firing" if 270 >= firing else "pending", 10), ("pending", 1))])
