@@ -14,6 +14,8 @@ from pricelake.functions import rules
 from pricelake.functions.expr import let
 
 _SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+# scheme and authority alone; what follows matches anything, so they need not be read on
+_HEAD = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://([^/?#]*))?"
 _LEGAL = r"\p{L}\p{N}_\-._~:/?#\[\]@!$&'()*+,;=%"
 
 
@@ -22,7 +24,15 @@ def any_of(conditions: list[Column]) -> Column:
 
 
 def contains_any(col: Column, tokens: list[str]) -> Column:
-    return any_of([col.contains(t) for t in tokens])
+    """Any of the plain texts stands in ``col``. Three or more with one first character are looked for in one pass, which
+    stops at that character alone; a pattern over different ones would be slower than single tests."""
+    quoted = lambda t: "".join(c if c.isalnum() else "\\" + c for c in t)
+    groups: dict[str, list[str]] = {}
+    for t in tokens:
+        groups.setdefault(t[0], []).append(t)
+    single = [col.contains(t) for ts in groups.values() if len(ts) < 3 for t in ts]
+    joint = [col.rlike(f"{quoted(c)}(?:{'|'.join(quoted(t[1:]) for t in ts)})") for c, ts in groups.items() if len(ts) > 2]
+    return any_of(joint + single)
 
 
 # -- parts -----------------------------------------------------------------------------------
@@ -32,11 +42,11 @@ def scheme(url: Column) -> Column:
 
 def netloc(url: Column) -> Column:
     """Authority including the port."""
-    return F.regexp_extract(url, _SPLIT, 2)
+    return F.regexp_extract(url, _HEAD, 1)
 
 
 def raw_path(url: Column) -> Column:
-    return F.regexp_extract(url, _SPLIT, 3)
+    return F.regexp_extract(url, _HEAD + r"([^?#]*)", 2)
 
 
 def path(url: Column) -> Column:
@@ -141,6 +151,10 @@ def same_domain(base: Column, link: Column) -> Column:
     return let(netloc(link), lambda n: (n != "") & (n == netloc(base)))
 
 
+# a web URL without these has scheme, authority and path alone, on one line: the pieces between slashes are all there is
+_NOT_PLAIN = ["?", "#", ";", "\n", "\r", "\u0085", "\u2028", "\u2029"]
+
+
 def drop_repeated_segments(url: Column) -> Column:
     """Keep the first of every path segment; a URL without a repeat is returned as it is."""
 
@@ -161,7 +175,17 @@ def drop_repeated_segments(url: Column) -> Column:
             segments, lambda seg: F.when(F.size(F.array_distinct(seg)) < F.size(seg), rebuilt(u, seg)).otherwise(u)
         )
 
-    return let(url, fix)
+    def quick(u: Column) -> Column:
+        return let(F.split(u, "/"), lambda parts: let(
+            F.filter(F.slice(parts, 4, F.size(parts)), lambda s: s != ""),
+            lambda seg: let(F.array_distinct(seg), lambda once: F.when(
+                F.size(once) < F.size(seg),
+                F.concat(F.array_join(F.slice(parts, 1, 3), "/"), F.lit("/"), F.array_join(once, "/"), F.when(u.endswith("/"), "/").otherwise("")),
+            ).otherwise(u)),
+        ))
+
+    plain = lambda u: (u.startswith("http://") | u.startswith("https://")) & ~contains_any(u, _NOT_PLAIN)
+    return let(url, lambda u: F.when(plain(u), quick(u)).otherwise(fix(u)))
 
 
 # -- classification --------------------------------------------------------------------------

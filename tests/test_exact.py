@@ -450,3 +450,16 @@ def test_alert_conditions_grow_with_samples_not_evaluations(spark):
     # ten evaluations see a sample, the newest one ends at the last step of all
     assert got == sorted([(a, s, n) for a, firing in (("ApplicationDown", 60), ("HighMemoryUsage", 300)) for _ in range(5)
                           for s, n in (("firing" if 270 >= firing else "pending", 10), ("pending", 1))])
+
+
+def test_short_way_for_plain_urls(spark):
+    """URLs of scheme, host and path alone take a shorter way to the same result."""
+    cases = {
+        "https://h/a/b/a/c": "https://h/a/b/c", "https://h/a/a/": "https://h/a/", "https://h//a//a": "https://h/a", "http://h/b/a": "http://h/b/a",
+        "https:///a/a": "https:///a", "https://h": "https://h", "https://h/a/a?q=/a/a": "https://h/a?q=/a/a", "https://h/a/a;x": "https://h/a;x",
+        "HTTPS://h/a/a": "https://h/a", "https://h/a/a#f": "https://h/a#f",
+    }
+    df = spark.createDataFrame([(u,) for u in cases], "u string").select("u", urls.drop_repeated_segments(F.col("u")).alias("v"), urls.netloc(F.col("u")).alias("n"))
+    assert {r["u"]: r["v"] for r in df.collect()} == cases
+    found = df.select("u", urls.contains_any(F.col("u"), ["/b", "/c", "/d", "?q=", "#f"]).alias("x")).collect()
+    assert {r["u"] for r in found if r["x"]} == {u for u in cases if any(t in u for t in ("/b", "/c", "/d", "?q=", "#f"))}
