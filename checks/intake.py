@@ -11,6 +11,7 @@ from pricelake.operators import candidates as cand
 from pricelake.operators import geography, pagetypes, relevance, serp, store
 from pricelake.operators import pages as page_ops
 from pricelake.plans.search import best_pages
+from pricelake.session import cut_lineage
 
 
 # -- searches and hits derived from the stored pages -----------------------------------------
@@ -528,7 +529,7 @@ def category_low_yield(spark, sf):
     SELECT query_id, url, 'Expanded from category', coalesce((SELECT max(pos) FROM have h WHERE h.query_id = top.query_id), -1) + r FROM top WHERE r <= 10""")
 def category_merge(spark, sf):
     categories, edges = category_tables(spark, sf)
-    expanded = pagetypes.expand_categories(categories, edges, 8, 50)
+    expanded = cut_lineage(pagetypes.expand_categories(categories, edges, 8, 50))  # used by several branches
     have = expanded.filter("pos % 2 = 0").select(
         "query_id", "url", F.lit("own").alias("original_title"), F.lit("").alias("original_snippet"), F.lit("PRODUCT").alias("page_type"), "pos"
     )

@@ -463,3 +463,10 @@ def test_short_way_for_plain_urls(spark):
     assert {r["u"]: r["v"] for r in df.collect()} == cases
     found = df.select("u", urls.contains_any(F.col("u"), ["/b", "/c", "/d", "?q=", "#f"]).alias("x")).collect()
     assert {r["u"] for r in found if r["x"]} == {u for u in cases if any(t in u for t in ("/b", "/c", "/d", "?q=", "#f"))}
+
+
+def test_merged_links_are_expanded_once(spark):
+    from checks import QUERIES
+
+    plan = QUERIES["category_merge"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in plan
