@@ -128,16 +128,19 @@ def machine_price_reject(price: Column, currency: Column) -> Column:
 # -- machine-readable prices -----------------------------------------------------------------
 def _truthy(value: Column) -> Column:
     """Zero, empty text, false and null count as missing; the text "0" does not."""
-    kind = F.schema_of_variant(value)
-    return F.coalesce(
-        value.isNotNull()
-        & ~kind.isin("VOID", "NULL")
-        & F.when(kind == "STRING", F.try_variant_get(value, "$", "string") != "")
-        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
-        .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(True))
-        .otherwise(F.try_variant_get(value, "$", "double") != 0),
-        F.lit(False),
-    )
+
+    def test(kind: Column) -> Column:
+        return F.coalesce(
+            value.isNotNull()
+            & ~kind.isin("VOID", "NULL")
+            & F.when(kind == "STRING", F.try_variant_get(value, "$", "string") != "")
+            .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+            .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(True))
+            .otherwise(F.try_variant_get(value, "$", "double") != 0),
+            F.lit(False),
+        )
+
+    return let(F.schema_of_variant(value), test)
 
 
 def _product_offer(doc: Column) -> Column:
@@ -220,25 +223,32 @@ def response_price(answer: Column) -> Column:
 
     def checked(doc: Column) -> Column:
         field = lambda name, kind: F.try_variant_get(doc, f"$.{name}", kind)
-        raw = field("price", "string")
-        value = raw.try_cast("double")
-        return (
-            F.when(doc.isNull(), failure(F.lit("Invalid JSON response")))
-            .when(~_truthy(field("found", "variant")), failure(F.lit("No price found in content")))
-            .when(raw.isNull(), failure(F.lit("Price value missing from response")))
-            .when(value.isNull(), failure(F.lit("Invalid price value")))
-            .when(
-                (value <= 0) | (value > rules.MAX_RESPONSE_PRICE),
-                failure(F.concat(F.lit("Price "), shown_number(value), F.lit(" outside reasonable range"))),
-            )
-            .otherwise(
-                result(
-                    value,
-                    F.coalesce(field("currency", "string"), F.lit("UYU")),
-                    field("original_text", "string"),
-                    F.coalesce(field("confidence", "double"), F.lit(0.8)),
+
+        def priced(p: Column) -> Column:
+            raw, value = p["raw"], p["value"]
+            return (
+                F.when(raw.isNull(), failure(F.lit("Price value missing from response")))
+                .when(value.isNull(), failure(F.lit("Invalid price value")))
+                .when(
+                    (value <= 0) | (value > rules.MAX_RESPONSE_PRICE),
+                    failure(F.concat(F.lit("Price "), shown_number(value), F.lit(" outside reasonable range"))),
+                )
+                .otherwise(
+                    result(
+                        value,
+                        F.coalesce(field("currency", "string"), F.lit("UYU")),
+                        field("original_text", "string"),
+                        F.coalesce(field("confidence", "double"), F.lit(0.8)),
+                    )
                 )
             )
+
+        # a field is read once, and only where the ones before it leave the answer open
+        stated = let(field("price", "string"), lambda raw: F.struct(raw.alias("raw"), raw.try_cast("double").alias("value")))
+        return (
+            F.when(doc.isNull(), failure(F.lit("Invalid JSON response")))
+            .when(~let(field("found", "variant"), _truthy), failure(F.lit("No price found in content")))
+            .otherwise(let(stated, priced))
         )
 
     return let(F.try_parse_json(answer), checked)

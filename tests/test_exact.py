@@ -470,3 +470,14 @@ def test_merged_links_are_expanded_once(spark):
 
     plan = QUERIES["category_merge"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_suppkey" not in plan
+
+
+def test_answer_fields_are_read_once(spark):
+    """The price of an outside answer, its found flag and the type of that are each read once a row."""
+    df = spark.createDataFrame([('{"found": "0", "price": "3.5"}',), ('{"found": 0, "price": 3}',), ('{"found": true, "price": true}',)], "a string")
+    out = df.select(prices.response_price(F.col("a")).alias("p"))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("$.price") == 1 and plan.count("$.found") == 1 and plan.count("schema_of_variant") == 1
+    assert [(r.p.success, r.p.price, r.p.error) for r in out.collect()] == [
+        (True, 3.5, None), (False, None, "No price found in content"), (False, None, "Invalid price value")
+    ]
