@@ -60,9 +60,10 @@ def semantic_search(
 ) -> DataFrame:
     """``k`` nearest rows per query (query_id, vector) as (query_id, <id_col>, distance, rank); ``max_distance`` filters
     before the cut, ties are broken by id. Vectors without a direction find nothing and are not found."""
-    whole = F.lit(0).alias("cell")
-    rows = table.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), whole)
-    return _best(_join(rows, _asked(queries).withColumn("cell", whole), k, max_distance), id_col, k)
+    # one cell; as a plain constant it would drop out of the joins as their key
+    whole = lambda key: F.pmod(F.xxhash64(key), F.lit(1)).cast("int").alias("cell")
+    rows = table.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), whole(id_col))
+    return _best(_join(rows, _asked(queries).withColumn("cell", whole("row")), k, max_distance), id_col, k)
 
 
 def label_centroids(table: DataFrame, label: str, vec_col: str) -> DataFrame:
