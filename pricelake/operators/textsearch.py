@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pricelake.functions.expr import let
@@ -149,28 +154,50 @@ def _bucket(buckets: int) -> Column:
 def position_lists(vectors: DataFrame, doc_id: str) -> DataFrame:
     """(term, doc_id, gaps), one row per term of a document: its positions, each as the distance from the one before.
 
-    A sort inside the row brings equal terms together; no token leaves its row alone.
+    A batch of rows is sorted at once by row and number of the term; no token leaves its batch alone.
     """
-    placed = F.filter(F.transform("tokens", lambda t, i: F.struct(t.alias("t"), (i + 1).alias("p"))), lambda x: x["t"] != "")
-    rows = vectors.select(doc_id, F.array_sort(placed).alias("sorted")).filter(F.size("sorted") > 0)
-    starts = F.filter(
-        F.sequence(F.lit(1), F.size("sorted")),
-        lambda i: (i == 1) | (F.element_at("sorted", i)["t"] != F.element_at("sorted", F.greatest(i - 1, F.lit(1)))["t"]),
-    )
-    rows = rows.withColumn("starts", starts).select(
-        doc_id, "sorted", F.explode(F.arrays_zip(F.col("starts").alias("a"), F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("sorted") + 1)).alias("b"))).alias("run")
-    )
-    places = F.transform(F.slice("sorted", F.col("run.a"), F.col("run.b") - F.col("run.a")), lambda x: x["p"])
-    gaps = F.transform(F.col("places"), lambda p, i: p - F.when(i > 0, F.element_at("places", F.greatest(i, F.lit(1)))).otherwise(0))
-    return rows.select(doc_id, F.element_at("sorted", F.col("run.a"))["t"].alias("term"), places.alias("places")).select("term", doc_id, gaps.alias("gaps"))
 
-
-def positions(gaps: Column) -> Column:
-    """Positions of a stored list."""
-    whole = F.aggregate(
-        gaps, F.array().cast("array<int>"), lambda done, g: F.concat(done, F.array(g + F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0))))
-    )
-    return whole
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            lists = batch.column(1)
+            row = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+            words = lists.flatten().dictionary_encode()
+            sizes = np.bincount(row, minlength=batch.num_rows)
+            place = np.arange(1, len(row) + 1) - (np.cumsum(sizes) - sizes)[row]
+            used = np.flatnonzero(pc.fill_null(pc.not_equal(words.dictionary.take(words.indices), ""), False).to_numpy(zero_copy_only=False))
+            term = words.indices.take(pa.array(used)).to_numpy().astype(np.int64)
+            run_of = row[used] * (len(words.dictionary) + 1) + term
+            order = np.argsort(run_of, kind="stable")
+            place, run_of = place[used][order], run_of[order]
+            opens = np.concatenate([[True], run_of[1:] != run_of[:-1]])[: len(order)]
+            gaps = np.where(opens, place, np.diff(place, prepend=0))
+            first = np.flatnonzero(opens)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    words.dictionary.take(pa.array(term[order][first])),
+                    batch.column(0).take(pa.array(row[used][order][first])),
+                    pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(gaps, pa.int32())),
+                ],
+                ["term", doc_id, "gaps"],
+            )
+
+    shape = T.StructType([T.StructField("term", T.StringType()), vectors.schema[doc_id], T.StructField("gaps", T.ArrayType(T.IntegerType()))])
+    return vectors.select(doc_id, "tokens").mapInArrow(run, shape)
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def positions(gaps: pa.Array) -> pa.Array:
+    """Positions of a stored list: running sums of all lists of a batch at once."""
+    import numpy as np
+
+    sizes = pc.fill_null(pc.list_value_length(gaps), 0).to_numpy().astype(np.int64)
+    total = np.cumsum(gaps.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+    ends = np.cumsum(sizes)
+    before = np.concatenate([[0], total])[ends - sizes]
+    offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(total - np.repeat(before, sizes), pa.int32()), mask=gaps.is_null())
 
 
 def write_index(vectors: DataFrame, doc_id: str, location: str, buckets: int = BUCKETS, mode: str = "append") -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -259,6 +260,29 @@ def test_position_lists_round_trip(spark, tmp_path):
     assert "PartitionFilters: [bucket" in some._jdf.queryExecution().executedPlan().toString()
 
 
+def test_position_lists_of_long_and_repeated_rows(spark):
+    """Batches smaller than the table, null places and one term 30,000 times, against a plain count; rows are neither sorted nor folded in place."""
+    rng = random.Random(9)
+    rows = [(i % 7, [rng.choice(["a", "b", "", None, "ñ"]) for _ in range(rng.randint(0, 40))]) for i in range(60)]
+    rows += [(7, None), (8, []), (None, ["", "c"]), (9, ["x"] * 30_000)]
+    want = Counter()
+    for doc, tokens in rows:
+        for term in {t for t in tokens or [] if t}:
+            want[doc, term, tuple(i + 1 for i, t in enumerate(tokens) if t == term)] += 1
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        lists = textsearch.position_lists(spark.createDataFrame(rows, "doc_id long, tokens array<string>"), "doc_id")
+        read = lists.select("doc_id", "term", textsearch.positions(F.col("gaps")).alias("p"))
+        assert Counter((r.doc_id, r.term, tuple(r.p)) for r in read.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [4, 1])], "i int, gaps array<int>").select("i", textsearch.positions(F.col("gaps")).alias("p"))
+    assert [r.p for r in odd.orderBy("i").collect()] == [None, [], [4, 5]]
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "array_sort" not in plan and "aggregate(" not in plan
+
+
 def plain_cover_rank(terms, tokens):
     """All windows that hold every term and lose one with either end."""
     hits = [i for i, t in enumerate(tokens) if t in terms]
