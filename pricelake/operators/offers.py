@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pricelake.functions import names
 from pricelake.functions.text import product_name_key
-from pricelake.operators.ordered import ranked
+from pricelake.operators.ordered import placed, ranked
 from pricelake.operators.urltable import keep_first
 from pricelake.session import cut_lineage
 
@@ -58,7 +58,7 @@ def similar_names(keyed: DataFrame, threshold: float = 0.85) -> DataFrame:
 
 
 def name_leaders(keyed: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Leader of every distinct name in input order: (query_id, pos, leader).
+    """Leader of every distinct name in input order: (query_id, name, pos, leader).
 
     A name leads when no earlier leader matches it; otherwise it joins its earliest matching leader.
     Solved in rounds over the similarity edges: names whose earlier neighbours are all followers become
@@ -83,14 +83,14 @@ def name_leaders(keyed: DataFrame, threshold: float = 0.85) -> DataFrame:
             )
         )
     if followers is None:
-        return keyed.select("query_id", "pos", F.col("pos").alias("leader"))
+        return keyed.select("query_id", "name", "pos", F.col("pos").alias("leader"))
     joined = (
         edges.join(followers.withColumnRenamed("n", "earlier"), ["query_id", "earlier"], "left_anti")
         .groupBy("query_id", F.col("later").alias("pos"))
         .agg(F.min("earlier").alias("leader"))
     )
     return keyed.join(joined, ["query_id", "pos"], "left").select(
-        "query_id", "pos", F.coalesce("leader", "pos").alias("leader")
+        "query_id", "name", "pos", F.coalesce("leader", "pos").alias("leader")
     )
 
 
@@ -178,17 +178,19 @@ def cluster_winners(members: DataFrame) -> DataFrame:
     rows = members.withColumn("currency", F.coalesce("currency", F.lit(""))).withColumn(
         "confidence", F.coalesce("confidence", F.lit(0.0))
     )
-    kinds = rows.groupBy("query_id", "leader").agg(
+    # written once: three ways read it, and the usual case without a large cluster is seen from it
+    kinds = cut_lineage(rows.groupBy("query_id", "leader").agg(
         (F.min("currency") == F.max("currency")).alias("plain"),
         F.count(F.lit(1)).alias("n"),
         F.min_by("pos", F.struct("price", "pos")).alias("winner"),
-    )
+    ))
     plain = kinds.filter("plain").select("query_id", "leader", "winner")
     pick = lambda test: rows.join(kinds.filter(test).select("query_id", "leader"), ["query_id", "leader"], "left_semi")
     small = pick(f"NOT plain AND n <= {_SMALL_CLUSTER}").groupBy("query_id", "leader").agg(_small_winner().alias("winner"))
-    large = pick(f"NOT plain AND n > {_SMALL_CLUSTER}").select("query_id", "leader", *_STATE)
-    large = _large_winners(large)
-    return plain.unionByName(small).unionByName(large)
+    winners, big = plain.unionByName(small), f"NOT plain AND n > {_SMALL_CLUSTER}"
+    if kinds.filter(big).isEmpty():
+        return winners
+    return winners.unionByName(_large_winners(pick(big).select("query_id", "leader", *_STATE)))
 
 
 def dedupe_names(offers: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -199,11 +201,12 @@ def dedupe_names(offers: DataFrame, threshold: float = 0.85) -> DataFrame:
     """
     shown = offers.withColumn("name", product_name_key(F.col("product_name"))).withColumn("pos", F.col("pos").cast("bigint"))
     # offers end a long job and are read several times below (once to find the range borders), so they are written first
-    placed = cut_lineage(ranked(cut_lineage(shown), ["query_id"], ["pos", "url"], "__place"))
-    keyed = placed.withColumnRenamed("pos", "__shown").withColumnRenamed("__place", "pos")
+    ordered = cut_lineage(placed(cut_lineage(shown), ["query_id"], ["pos", "url"], "__place"))
+    keyed = ordered.withColumnsRenamed({"pos": "__shown", "__place": "pos"})
     named = keyed.filter(F.col("name") != "")
-    distinct = cut_lineage(named.groupBy("query_id", "name").agg(F.min("pos").alias("pos")))
-    leaders = name_leaders(distinct, threshold).join(distinct, ["query_id", "pos"]).select("query_id", "name", "leader")
+    first = F.min(F.struct("pos", "__shown")).alias("first")
+    distinct = cut_lineage(named.groupBy("query_id", "name").agg(first).select("query_id", "name", "first.pos", "first.__shown"))
+    leaders = name_leaders(distinct.drop("__shown"), threshold).select("query_id", "name", "leader")
     members = cut_lineage(
         named.join(leaders, ["query_id", "name"]).select(
             "query_id", "leader", "pos",
@@ -212,15 +215,13 @@ def dedupe_names(offers: DataFrame, threshold: float = 0.85) -> DataFrame:
             F.col("price_extraction.confidence").alias("confidence"),
         )
     )
-    winners = cluster_winners(members)
-    kept = winners.select("query_id", F.col("winner").alias("pos"), "leader").unionByName(
-        keyed.filter(F.col("name") == "").select("query_id", "pos", F.col("pos").alias("leader"))
-    )
-    leading = placed.select("query_id", F.col("__place").alias("__leader"), F.col("pos").alias("leader"))
-    found = placed.drop("name").join(
-        kept.select("query_id", F.col("pos").alias("__place"), F.col("leader").alias("__leader")), ["query_id", "__place"]
+    # a leader is the first offer of its name, so its position stands among the names
+    leading = distinct.select("query_id", F.col("pos").alias("leader"), "__shown")
+    winners = cluster_winners(members).join(leading, ["query_id", "leader"])
+    kept = winners.select("query_id", F.col("winner").alias("__place"), F.col("__shown").alias("leader")).unionByName(
+        keyed.filter(F.col("name") == "").select("query_id", F.col("pos").alias("__place"), F.col("__shown").alias("leader"))
     )
-    return found.join(leading, ["query_id", "__leader"]).select(*offers.columns, "leader")
+    return ordered.drop("name").join(kept, ["query_id", "__place"]).select(*offers.columns, "leader")
 
 
 # -- ranking ---------------------------------------------------------------------------------

@@ -106,17 +106,21 @@ def halving_average(df: DataFrame, keys: list[str], ts: str, value: str, tie: st
     )
 
 
+def placed(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Unique number per row that rises with ``order`` within each key, with gaps: a range shuffle and no join.
+
+    Numbers follow partitions, so write the result down before reading it more than once.
+    """
+    return df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn(name, F.monotonically_increasing_id())
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
     """1-based rank per key over any number of rows.
 
     A range shuffle on (keys, order) also splits a large key; the checkpoint pins partition borders,
     and one row per (key, partition) carries the offset.
     """
-    pinned = cut_lineage(
-        df.repartitionByRange(*keys, *order)
-        .sortWithinPartitions(*keys, *order)
-        .withColumn("__id", F.monotonically_increasing_id())
-    ).withColumn("__part", F.shiftright("__id", 33))
+    pinned = cut_lineage(placed(df, keys, order, "__id")).withColumn("__part", F.shiftright("__id", 33))
     sizes = pinned.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     if not keys:  # one row per partition

@@ -65,6 +65,24 @@ def test_large_clusters_are_merged_in_a_tree(spark, monkeypatch):
     assert {(r.leader, r.winner) for r in offers.cluster_winners(members).collect()} == {(c, h[0]) for c, h in held.items()}
 
 
+def test_name_dedupe_reads_no_large_clusters_where_there_are_none(spark, monkeypatch):
+    """Repeated rows and equal positions; the ranked tree of large clusters is not planned, and places are numbered without a join."""
+
+    def never(rows):
+        raise AssertionError("no cluster is large")
+
+    monkeypatch.setattr(offers, "_large_winners", never)
+    rows = [(1, "u2", 5, "azul mini", 3.0, "UYU", 0.5), (1, "u1", 5, "azul mini", 2.0, "USD", 0.9), (1, "u1", 5, "azul mini", 2.0, "USD", 0.9), (1, "u3", 1, "azul minis", 9.0, "UYU", 0.6), (1, "u4", 2, "x", 1.0, "UYU", 0.1), (2, "u1", 7, "azul mini", 4.0, "UYU", 0.1)]
+    df = spark.createDataFrame(rows, "query_id int, url string, pos int, product_name string, price double, currency string, confidence double")
+    shaped = df.select("query_id", "url", "pos", "product_name", prices.result(F.col("price"), F.col("currency"), F.lit(""), F.col("confidence")).alias("price_extraction"))
+    got = sorted((r.query_id, r.url, r.pos, r.leader) for r in offers.dedupe_names(shaped).collect())
+    assert got == [(1, "u1", 5, 1), (1, "u4", 2, 2), (2, "u1", 7, 7)]
+    numbered = ordered.placed(shaped, ["query_id"], ["pos", "url"], "n")
+    assert "Join" not in numbered._jdf.queryExecution().executedPlan().toString()
+    seen = [(r.query_id, r.n) for r in numbered.orderBy("query_id", "pos", "url").collect()]
+    assert seen == sorted(seen) and len({n for _, n in seen}) == len(rows)
+
+
 @pytest.mark.parametrize("small, run", [(1000, 4096), (0, 7)])
 def test_name_dedupe(spark, monkeypatch, small, run):
     """Both the in-row fold and the merged summaries of large mixed clusters."""
