@@ -19,12 +19,12 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +33,9 @@ from pricelake.session import cut_lineage
 
 END_ID = 0
 SAMPLE = 512
-CACHED_WORDS = 1_000_000  # some 200 MB in a Python worker
+CACHED_WORDS = 1_000_000  # some 30 MB in a Python worker
 LEARN_WORDS = 1000
+BATCH_ROWS = 4000
 SLICE_DOCS = 4096
 READ_IDS = 4_000_000
 TRAILER = struct.Struct("<8sQQQqBBB5x")
@@ -92,14 +93,17 @@ def ef_select(read, parts: list[tuple[int, int]], n: int, top: int, first: int,
 # ---- encoding with a cache of words
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, as bytes of ``width``-byte numbers.
+    """Ids of whole texts by the tokenizers library, as one array of ``width``-byte numbers.
 
     A byte-level tokenizer cuts a text before every single space and line feed, whatever stands around them, so ids of
     such pieces can be kept and joined. Other texts (runs of spaces, other blanks, added tokens) and other
-    tokenizers are encoded whole. The cache is bounded and only saves work.
+    tokenizers are encoded whole. The cache is bounded and only saves work. Words, ids and places are Arrow arrays, so
+    a kept word takes some thirty bytes and a batch is looked up and joined without a step of Python per word.
     """
 
-    ODD = re.compile(r"[^\S \n]")
+    BLANKS = "\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    ODD = rf"[ \n][ \n]|\A[ \n]|[ \n]\z|[{BLANKS}]"
+    STOPPED = r"\pL[.,]\z"
 
     def __init__(self, path: str):
         import numpy as np
@@ -122,58 +126,114 @@ class WordEncoder:
             for piece, number in vocab.items():
                 self.starts[number] = piece.startswith("Ġ")
             self.feed = self.encode("\n")
-            self.stops = {c: self.encode(c) for c in ".,"}
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        return self.np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-
-    def _plain(self, text: str) -> bool:
-        return not (
-            "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n"
-            or (("\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text)
-                if text.isascii() else self.ODD.search(text))
-            or any(a in text for a in self.added)
-        )
+            self._forget()
+
+    def encode(self, text: str):
+        return self.np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
+
+    def _forget(self) -> None:
+        # the first two are no pieces, which hold no space: ids of a stop behind a word
+        self.known, self.lists = pa.array([" .", " ,"]), self._lists([self.encode("."), self.encode(",")])
 
-    def _learn(self, words: list[str], known: dict[str, bytes], mark: str) -> None:
+    def _lists(self, parts: list) -> pa.ListArray:
+        """Id arrays as one list array."""
         np = self.np
+        return self._cut(np.concatenate([np.empty(0, self.kind), *parts]), np.fromiter(map(len, parts), np.int64, len(parts)))
+
+    def _cut(self, ids, lengths) -> pa.ListArray:
+        ends = self.np.concatenate([[0], self.np.cumsum(lengths)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+
+    def _plain(self, texts: pa.StringArray):
+        """Which texts can be cut into pieces."""
+        odd = pc.or_kleene(pc.match_substring_regex(texts, self.ODD), pc.equal(texts, ""))
+        for token in self.added:
+            odd = pc.or_kleene(odd, pc.match_substring(texts, token))
+        return pc.invert(odd).fill_null(False).to_numpy(zero_copy_only=False)
+
+    def _learn(self, words: list[str], mark: str) -> pa.ListArray:
+        """Ids of words that each stand behind ``mark``."""
+        np, ids, lengths = self.np, [], []
         parts = [words[at : at + LEARN_WORDS] for at in range(0, len(words), LEARN_WORDS)]
         lines = self.tokenizer.encode_batch_fast([mark + mark.join(some) for some in parts], add_special_tokens=False)
         for some, line in zip(parts, lines):
-            ids = np.array(line.ids, dtype=self.kind)
-            begin = np.flatnonzero(self.starts[ids]) if mark == " " else np.flatnonzero(ids == np.frombuffer(self.feed, self.kind)[0])
+            found = np.array(line.ids, dtype=self.kind)
+            begin = np.flatnonzero(self.starts[found] if mark == " " else found == self.feed[0])
             if len(begin) != len(some):  # not expected; then word by word
-                known.update((w, self.encode(mark + w if mark == " " else w)) for w in some)
-                continue
-            skip = 0 if mark == " " else 1
-            raw, ends = ids.tobytes(), [*(begin[1:] * self.width).tolist(), len(ids) * self.width]
-            known.update(zip(some, [raw[s:e] for s, e in zip(((begin + skip) * self.width).tolist(), ends)]))
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        if not self.by_piece:
-            return [self.encode(t) if t else b"" for t in texts]
-        if len(self.spaced) + len(self.bare) > CACHED_WORDS:
-            self.spaced.clear()
-            self.bare.clear()
-        pieces = [t.replace("\n", " \n").split(" ") if t and self._plain(t) else None for t in texts]
-        spaced, bare = set().union(*[p[1:] for p in pieces if p]), {p[0] for p in pieces if p}
-        spaced.difference_update(self.spaced)
-        lines = {w for w in spaced if w[0] == "\n"}
-        bare.update(w[1:] for w in lines)
-        spaced -= lines
-        stopped = {w for w in spaced if w[-1] in ".," and len(w) > 1 and w[-2].isalpha()}
-        spaced -= stopped
-        spaced.update(w[:-1] for w in stopped)
-        self._learn(list(spaced.difference(self.spaced)), self.spaced, " ")
-        self.spaced.update((w, self.spaced[w[:-1]] + self.stops[w[-1]]) for w in stopped)
-        self._learn(list(bare.difference(self.bare)), self.bare, "\n")
-        self.spaced.update((w, self.feed + self.bare[w[1:]]) for w in lines)
-        get = self.spaced.__getitem__
-        return [
-            self.bare[p[0]] + b"".join(map(get, p[1:])) if p else self.encode(t) if t else b"" for t, p in zip(texts, pieces)
-        ]
+                each = [self.encode(mark + w) for w in some]
+                found, begin = np.concatenate(each), np.cumsum([0, *map(len, each)])[:-1]
+            ids.append(found)
+            lengths.append(np.diff(begin, append=len(found)))
+        return self._cut(np.concatenate([np.empty(0, self.kind), *ids]), np.concatenate([np.empty(0, np.int64), *lengths]))
+
+    def _places(self, words: pa.StringArray):
+        """Places of distinct words in the cache; new ones are learnt."""
+        np = self.np
+        if len(self.known) > CACHED_WORDS:
+            self._forget()
+        at = pc.index_in(self.known, value_set=words)  # words of a batch are fewer than those kept
+        kept = at.is_valid().to_numpy(zero_copy_only=False)
+        places = np.full(len(words), -1, np.int32)
+        places[at.drop_null().to_numpy()] = np.flatnonzero(kept)
+        is_line = pc.starts_with(words, "\n").to_numpy(zero_copy_only=False)
+        for lines, mark in ((False, " "), (True, "\n")):
+            new = np.flatnonzero((places < 0) & (is_line == lines))
+            if len(new):
+                some = words.take(pa.array(new))
+                learnt = self._learn((pc.utf8_slice_codeunits(some, 1) if lines else some).to_pylist(), mark)
+                places[new] = len(self.known) + np.arange(len(new))
+                self.known, self.lists = pa.concat_arrays([self.known, some]), pa.concat_arrays([self.lists, learnt])
+        return places
+
+    def _pieces(self, pieces: pa.StringArray) -> pa.ListArray:
+        """Ids of distinct pieces; a stop behind a letter is a piece of its own."""
+        np = self.np
+        stopped = pc.match_substring_regex(pieces, self.STOPPED)
+        ends, whole = pieces.filter(stopped), pc.invert(stopped)
+        bases = pa.concat_arrays([pieces.filter(whole), pc.utf8_slice_codeunits(ends, 0, -1)]).dictionary_encode()
+        whole = whole.to_numpy(zero_copy_only=False)
+        places = self._places(bases.dictionary)[bases.indices.to_numpy()]
+        steps = np.where(whole, 1, 2)
+        first = np.cumsum(steps) - steps
+        order = np.empty(int(steps.sum()), np.int32)
+        order[first[whole]], order[first[~whole]] = np.split(places, [len(pieces) - len(ends)])
+        order[first[~whole] + 1] = pc.ends_with(ends, ",").to_numpy(zero_copy_only=False)
+        ids = self.lists.take(pa.array(order))
+        return pa.ListArray.from_arrays(ids.offsets.take(pa.array(np.append(first, len(order)))), ids.values)
+
+    def encode_all(self, texts: pa.Array, end_id: int):
+        """(ids, counts): ids of all texts one after another, ``end_id`` behind each, and how many each has. Null: empty."""
+        np = self.np
+        if not len(texts):
+            return np.empty(0, self.kind), np.empty(0, np.int64)
+        texts = texts.cast(pa.string())
+        plain = self._plain(texts) if self.by_piece else np.zeros(len(texts), bool)
+        odd = np.flatnonzero(~plain & pc.not_equal(texts, "").fill_null(False).to_numpy(zero_copy_only=False))
+        lists = self._lists([np.array([end_id], self.kind), *(self.encode(t) for t in texts.take(pa.array(odd)).to_pylist())])
+        steps = np.ones(len(texts), np.int64)
+        steps[odd] += 1
+        if plain.any():
+            # every piece begins after a space or with a line feed; the first gets one that is taken off below
+            some = texts.filter(pa.array(plain))
+            split = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(some, "\n", " \n"), ""), " ")
+            pieces = split.flatten().dictionary_encode()
+            steps[plain] += pc.list_value_length(split).to_numpy()
+            codes = pieces.indices.to_numpy() + len(lists)
+            lists = pa.concat_arrays([lists, self._pieces(pieces.dictionary)])
+        last = np.cumsum(steps) - 1
+        order = np.full(int(steps.sum()), -1, np.int32)
+        order[last], order[last[odd] - 1] = 0, 1 + np.arange(len(odd))
+        if plain.any():
+            order[order < 0] = codes
+        joined = lists.take(pa.array(order))
+        at, ids = joined.offsets.to_numpy().astype(np.int64), joined.values.to_numpy()
+        counts = at[last + 1] - at[last - steps + 1]
+        if plain.any():
+            kept = np.ones(len(ids), bool)
+            for k in range(len(self.feed)):
+                kept[at[(last - steps + 1)[plain]] + k] = False
+            ids, counts = ids[kept], counts - plain * len(self.feed)
+        return ids, counts
 
 
 _encoders: dict[str, WordEncoder] = {}  # kept while a Python worker is reused
@@ -195,27 +255,24 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, folder: str, end_id: in
     from pyspark import TaskContext
 
     task = TaskContext.get()
-    words, out, ends, docs_seen, total = encoder(path), None, [], [], 0
+    words, out, ends, docs_seen, nulls, total = encoder(path), None, [], [], 0, 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            some = batch.slice(at, 1000)
-            if not some.num_rows:
-                continue
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            some = batch.slice(at, BATCH_ROWS)
             if out is None:
                 fs, base = file_system(folder)
                 name = f"{base}/part-{task.partitionId():06d}-{task.taskAttemptId()}.tok"
                 fs.create_dir(base, recursive=True)
                 out = fs.open_output_stream(name)
-            end = np.array([end_id], dtype=words.kind).tobytes()
-            encoded = words.encode_all(some.column(1).to_pylist())
-            out.write(b"".join([e + end for e in encoded]))
-            ends.append(total + np.cumsum([len(e) // words.width + 1 for e in encoded]))
+            ids, counts = words.encode_all(some.column(1), end_id)
+            out.write(memoryview(ids).cast("B"))
+            ends.append(total + np.cumsum(counts))
             total = int(ends[-1][-1])
-            docs_seen.append(some.column(0))
+            docs_seen.append(np.array(some.column(0).drop_null()))  # a copy: a part of the batch would hold its texts
+            nulls += some.column(0).null_count
     if out is None:
         return
-    ids = pa.chunked_array(docs_seen)
-    nulls, ids = ids.null_count, ids.drop_null().to_numpy()
+    ids = np.concatenate(docs_seen)
     low = int(ids[0]) if len(ids) else 0
     numbers, n = ids - low, sum(map(len, ends))
     sizes = [*ef_encode(np.concatenate(ends), total), *ef_encode(numbers, int(numbers[-1]) if len(numbers) else 0)]
@@ -224,6 +281,7 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, folder: str, end_id: in
     out.write(struct.pack("<7Q", int(numbers[-1]) if len(numbers) else 0, *map(len, sizes)))
     out.write(TRAILER.pack(MAGIC, n, total, nulls, low, words.width, 0, 0))
     out.close()
+    pa.default_memory_pool().release_unused()  # the worker waits for other tasks
     yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "path": [f"{folder}/{name.rsplit('/', 1)[1]}"], "n_docs": [n], "n_ids": [total]})
 
 
