@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
@@ -382,6 +384,26 @@ def test_token_files(spark, messy):
     assert tokenfiles.encoded(docs.limit(0), path).count() == 0
 
 
+def test_encoder_cache_is_small_and_forgets(monkeypatch):
+    """Kept words take some thirty bytes each, no Python objects; a cache that was emptied gives the same ids."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, encoder, rng = Tokenizer.from_file(path), tokenfiles.WordEncoder(path), random.Random(7)
+    texts = [" ".join("".join(rng.choices("aeinrstüß", k=9)) + rng.choice(["", ",", "."]) for _ in range(500)) for _ in range(60)]
+    tracemalloc.start()
+    shared = pa.total_allocated_bytes()
+    ids, counts = encoder.encode_all(pa.array(texts), 0)
+    own, shared = tracemalloc.get_traced_memory()[0] - ids.nbytes - counts.nbytes, pa.total_allocated_bytes() - shared
+    tracemalloc.stop()
+    assert own + shared < 60 * 30_000
+    want = [plain.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert (ids.tolist(), counts.tolist()) == ([i for w in want for i in w], [len(w) for w in want])
+    monkeypatch.setattr(tokenfiles, "CACHED_WORDS", 700)
+    for some in (texts[:3], [*texts[2:4], None, "", "a\nb, c.", " x"], texts[:1]):
+        ids, counts = encoder.encode_all(pa.array(some, pa.string()), 0)
+        want = [plain.encode(t or "", add_special_tokens=False).ids + [0] for t in some]
+        assert (ids.tolist(), counts.tolist()) == ([i for w in want for i in w], [len(w) for w in want])
+
+
 def test_elias_fano_round_trip():
     rng = np.random.default_rng(4)
     for n, top in ((1, 0), (1, 10**12), (513, 5), (2000, 2000), (3000, 10**7), (512, 10**15)):
