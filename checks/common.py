@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricelake.session import shared_folder
 from pricelake.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = Non
     return read_table(spark, f"{sf_dir}/{name}.parquet", heavy)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Rows written once as Parquet, for tables that many steps read."""
+    folder = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def stamp(col: str | Column, name: str | None = None) -> Column:
     """Timestamps are compared as text."""
     out = F.date_format(col, "yyyy-MM-dd HH:mm:ss")

@@ -479,22 +479,36 @@ def page_type_kept(spark, sf):
     return pagetypes.drop_errors(rows).select("event_id")
 
 
+def shop_host(key):
+    return F.concat(F.lit("https://shop"), (key % 20).cast("string"), F.lit(".example.com.uy"))
+
+
+def shop_page(key):
+    return F.concat(shop_host(key), F.lit("/rubro/"), key.cast("string"))
+
+
+def shop_link(host):
+    """Link of a part (columns p_name, l_partkey) on the page of its shop."""
+    slug = F.replace("p_name", F.lit(" "), F.lit("-"))
+    at = F.when(F.col("p_name").startswith("old"), F.lit("https://other.example.com")).otherwise(host)
+    return F.concat(at, F.lit("/producto/"), slug, F.lit("/producto/"), F.col("l_partkey").cast("string"))
+
+
 def category_tables(spark, sf):
     """A category page per shop of a country (the search); its links are the shop's parts."""
     key = F.col("s_suppkey")
-    host = F.concat(F.lit("https://shop"), (key % 20).cast("string"), F.lit(".example.com.uy"))
+    host = shop_host(key)
     suppliers = table(spark, sf, "supplier").select(
-        F.col("s_nationkey").alias("query_id"), F.concat(host, F.lit("/rubro/"), key.cast("string")).alias("url"),
+        F.col("s_nationkey").alias("query_id"), shop_page(key).alias("url"),
         key.alias("pos"), F.array(F.lit("producto"), F.lit("red")).alias("terms"), "s_suppkey", host.alias("host"),
     )
     sold = (
         table(spark, sf, "lineitem", spread=True).groupBy("l_suppkey", "l_partkey").agg(F.min(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"))
         .join(table(spark, sf, "part", spread=True).select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     )
-    slug = F.replace("p_name", F.lit(" "), F.lit("-"))
     edges = sold.join(suppliers.select("s_suppkey", F.col("url").alias("src"), "host"), F.col("l_suppkey") == F.col("s_suppkey")).select(
         "src",
-        F.concat(F.when(F.col("p_name").startswith("old"), F.lit("https://other.example.com")).otherwise(F.col("host")), F.lit("/producto/"), slug, F.lit("/producto/"), F.col("l_partkey").cast("string")).alias("dst"),
+        shop_link(F.col("host")).alias("dst"),
         "pos",
     )
     return suppliers.select("query_id", "url", "pos", "terms"), edges

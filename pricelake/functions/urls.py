@@ -111,13 +111,24 @@ def sanitize(url: Column) -> Column:
     return let(_repair(url), lambda clean: F.when(is_web_url(clean), clean))
 
 
+# most URLs, seen in one pass without stepping back: sound, with the host of a web URL, and scheme, host and path alone
+_SOUND_HOST, _SOUND_PATH = r"(?:[a-z0-9\-]++\.)++[a-z]{1,10}", r"(?:/[A-Za-z0-9_\-~/%]*+)?\z"
+_SOUND_WEB = rf"^https?://{_SOUND_HOST}{_SOUND_PATH}"
+
+
+def sound_host(url: Column) -> Column:
+    """Canonical host of most web URLs that need no repair, empty for all others."""
+    return F.regexp_extract(url, rf"^https?://(?:www\.)?+({_SOUND_HOST}){_SOUND_PATH}", 1)
+
+
 def with_sanitized(df: DataFrame, url: str, name: str) -> DataFrame:
     """``sanitize`` as a column of its own. Sound URLs skip the repair, and the column stands behind an explode
     of one value, so filters above it use the value and do not repeat the work below."""
-    repaired = df.withColumn("__clean", F.when(F.col(url).rlike(_SOUND), F.col(url)).otherwise(_repair(F.col(url))))
-    one = F.explode_outer(F.array(F.when(is_web_url(F.col("__clean")), F.col("__clean"))))
+    u = F.col(url)
+    repaired = let(F.when(u.rlike(_SOUND), u).otherwise(_repair(u)), lambda clean: F.when(is_web_url(clean), clean))
+    one = F.explode_outer(F.array(F.when(u.rlike(_SOUND_WEB), u).otherwise(repaired)))
     kept = [c for c in df.columns if c != name]
-    return repaired.select(*kept, one.alias(name)).select(*(df.columns if name in df.columns else [*df.columns, name]))
+    return df.select(*kept, one.alias(name)).select(*(df.columns if name in df.columns else [*df.columns, name]))
 
 
 def clean_rows(df: DataFrame, url: str = "url") -> DataFrame:
@@ -132,6 +143,17 @@ def is_web_url(url: Column) -> Column:
 
 def normalize(url: Column, drop_query: bool = False, keep_tracking: bool = False) -> Column:
     """Key for duplicate detection: lower case, no ``www.``, no trailing slash, no fragment."""
+    # nothing to trim or cut: scheme, host and path alone
+    return F.when(url.rlike(_SOUND_WEB), let(F.lower(url), _plain_key)).otherwise(_any_key(url, drop_query, keep_tracking))
+
+
+def _plain_key(low: Column) -> Column:
+    bare = lambda head: F.concat(F.lit(head), F.substr(low, F.lit(len(head) + 5)))
+    named = F.when(low.startswith("https://www."), bare("https://")).when(low.startswith("http://www."), bare("http://")).otherwise(low)
+    return F.when(low.endswith("/"), F.rtrim(named, F.lit("/"))).otherwise(named)
+
+
+def _any_key(url: Column, drop_query: bool, keep_tracking: bool) -> Column:
     low = F.lower(F.btrim(url, F.lit(" \t\r\n\f\v\u00a0")))
     base = F.regexp_replace(low, r"(?s)[?#].*$", "")
     base = F.regexp_replace(base, r"^(?:([a-z][a-z0-9+.\-]*):)?(?://(?:www\.)?)?", "$1://")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pricelake.functions import rules, urls
+from pricelake.functions.expr import let
 from pricelake.operators.urltable import keep_first
+from pricelake.session import BROADCAST_BYTES, cut_lineage, measured_bytes
 
 
 def flatten_results(results: DataFrame) -> DataFrame:
@@ -39,14 +41,21 @@ def is_blocked_domain(url: Column, domains: list[str] | None = None) -> Column:
 
 
 def is_excluded(url: Column) -> Column:
-    pattern = "|".join(
-        [
-            "/(?:" + "|".join(rules.EXCLUDE_SEGMENTS) + ")/",
-            rules.EXCLUDE_LISTING_PATTERN,
-            r"\.(?:" + "|".join(rules.EXCLUDE_EXTENSIONS) + ")$",
-        ]
-    )
-    return F.lower(url).rlike(pattern)
+    """A listed path segment, listing page or file extension: one pattern each, which starts at its own character."""
+    patterns = [
+        "/(?:" + _by_first(rules.EXCLUDE_SEGMENTS) + ")/",
+        r"\.(?:" + _by_first(rules.EXCLUDE_EXTENSIONS) + ")$",
+        rules.EXCLUDE_LISTING_PATTERN,
+    ]
+    return let(F.lower(url), lambda low: urls.any_of([low.rlike(p) for p in patterns]))
+
+
+def _by_first(words: list[str]) -> str:
+    """Alternatives by first character, so that most are not tried."""
+    groups: dict[str, list[str]] = {}
+    for word in words:
+        groups.setdefault(word[0], []).append(word[1:])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in groups.items())
 
 
 def is_high_priority(url: Column) -> Column:
@@ -84,6 +93,39 @@ def host_cap(candidates: DataFrame, cap: int | None = None, url: str = "url", po
     return first.withColumn("host_rank", F.row_number().over(order)).filter(F.col("host_rank") <= cap)
 
 
+def within_reach(candidates: DataFrame, cap: int, url: str = "url", pos: str = "pos") -> DataFrame:
+    """Candidates without most of those that ``clean_rows``, ``pattern_filter`` and ``host_cap`` with ``cap`` drop from searches with far
+    more rows per host; the result of these steps stays the same.
+
+    A cheap pass keeps the least position per (search, authority, bucket of URLs), and only rows up to the first few buckets are cleaned and
+    filtered. Rows of two buckets of dedupe keys have two keys, so the ``cap``-th least position over the buckets of a host bounds
+    what the cap can keep. Rows behind it are dropped before their other columns are built, sorted or shuffled; but a
+    row whose host is not plain from its URL, or has no bound, stays. Where hosts are too many to broadcast, all rows stay.
+    """
+    at = F.substring_index(F.col(url), "/", 3)
+    nth = lambda n: F.try_element_at(F.array_sort(F.collect_list("__low")), F.lit(n)).alias("__bound")
+
+    def lows(rows: DataFrame, key: Column, host: Column) -> DataFrame:
+        bucket = F.pmod(F.xxhash64(key), F.lit(16 * cap)).alias("__bucket")
+        return rows.groupBy(F.col("query_id").alias("__q"), host.alias("__host"), bucket).agg(F.min(pos).alias("__low"))
+
+    ahead = cut_lineage(lows(candidates, F.col(url), at).groupBy("__q", "__host").agg(nth(4 * cap)))
+    if measured_bytes(ahead) > BROADCAST_BYTES:
+        return candidates
+    same = F.col("query_id").eqNullSafe(F.col("__q"))
+    early = F.col("__bound").isNull() | (F.col(pos) <= F.col("__bound"))
+    tried = candidates.join(F.broadcast(ahead), same & (at == F.col("__host")) & early, "left_semi").select("query_id", F.col(url).alias("url"), pos)
+    keyed = pattern_filter(urls.clean_rows(tried)).withColumn("__key", urls.normalize(F.col("url"), drop_query=True))
+    found = lows(keyed, F.col("__key"), F.split_part("__key", F.lit("/"), F.lit(3)))
+    bounds = cut_lineage(found.groupBy("__q", "__host").agg(nth(cap)).filter("__bound IS NOT NULL"))
+    if measured_bytes(bounds) > BROADCAST_BYTES:
+        return candidates
+    # as a predicate it moves below the steps that build the other columns; a join does not
+    mine = F.col("query_id").outer().eqNullSafe(F.col("__q")) & (F.col("__host") == F.col("__at").outer())
+    behind = F.broadcast(bounds).filter(mine & (F.col("__bound") < F.col(pos).outer())).exists()
+    return candidates.withColumn("__at", urls.sound_host(F.col(url))).filter(~behind).drop("__at")
+
+
 def filter_funnel(candidates: DataFrame, cap: int | None = None) -> DataFrame:
     """Rows kept after each stage and total reduction in percent."""
     tagged = tag_filters(candidates)

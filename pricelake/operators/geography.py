@@ -43,13 +43,13 @@ def drop_foreign(candidates: DataFrame) -> DataFrame:
     return candidates.filter(~geo.is_foreign(F.col("url")))
 
 
-def validate(candidates: DataFrame, decisions: DataFrame, as_of: Column, mode: str = "label") -> DataFrame:
+def validate(candidates: DataFrame, decisions: DataFrame, as_of: Column, mode: str = "label", pinned: bool = False) -> DataFrame:
     """Geo status per candidate: stored decision, then host or path rule, else ``unresolved``.
 
-    Unresolved rows are the input of outside labelling; they are kept, not guessed.
+    Unresolved rows are the input of outside labelling; they are kept, not guessed. ``pinned`` as in ``reuse_decisions``.
     """
     keyed = candidates.withColumn("kind", F.lit("geo")).withColumn("key", decision_key("country", "url"))
-    known = reuse_decisions(keyed, decisions, as_of)
+    known = reuse_decisions(keyed, decisions, as_of, pinned)
     flagged = geo_flags(known, mode)
     status = (
         F.when(F.col("hit") & (F.col("value") == "1"), "true")

@@ -42,14 +42,15 @@ def page_type(candidates: DataFrame, country: str | None = None) -> DataFrame:
     )
 
 
-def stored_types(candidates: DataFrame, decisions: DataFrame, as_of: Column) -> DataFrame:
+def stored_types(candidates: DataFrame, decisions: DataFrame, as_of: Column, pinned: bool = False) -> DataFrame:
     """Types that no rule is sure of, taken from live stored decisions (kind ``page_type``, key of URL and query) where there are any.
 
     ``candidates`` have been through ``page_type`` and have a ``query``; the source of a type that is taken is ``stored``.
+    ``pinned`` as in ``reuse_decisions``.
     """
     keyed = candidates.withColumn("kind", F.lit("page_type")).withColumn("key", decision_key("url", "query"))
     taken = F.col("hit") & (F.col("type_source") != "rule")
-    settled = reuse_decisions(keyed, decisions, as_of).withColumns(
+    settled = reuse_decisions(keyed, decisions, as_of, pinned).withColumns(
         {"page_type": F.when(taken, F.col("value")).otherwise(F.col("page_type")), "type_source": F.when(taken, "stored").otherwise(F.col("type_source"))}
     )
     return settled.select(*candidates.columns)

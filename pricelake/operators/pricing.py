@@ -96,14 +96,14 @@ def extract_prices(
     )
 
 
-def stored_prices(pages: DataFrame, decisions: DataFrame, as_of: Column) -> DataFrame:
+def stored_prices(pages: DataFrame, decisions: DataFrame, as_of: Column, pinned: bool = False) -> DataFrame:
     """Live price decisions of the given pages, one row per URL that has one: (url, product_name, price_extraction).
 
-    A value that is no JSON or holds no price counts as none.
+    A value that is no JSON or holds no price counts as none. ``pinned`` as in ``reuse_decisions``.
     """
     asked = pages.select("url").distinct().withColumns({"kind": F.lit("price"), "key": decision_key("url")})
     value = F.from_json("value", f"product_name string, price_extraction {prices.RESULT}")
-    known = reuse_decisions(asked, decisions, as_of).filter("hit").select("url", value.alias("v"))
+    known = reuse_decisions(asked, decisions, as_of, pinned).filter("hit").select("url", value.alias("v"))
     return known.filter("v.price_extraction.success").select("url", "v.product_name", "v.price_extraction")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pricelake.functions import rules
 from pricelake.functions.text import blank_to_null
 from pricelake.operators.ordered import ranked
-from pricelake.session import cut_lineage
+from pricelake.session import among, cut_lineage
 
 
 # -- pages -----------------------------------------------------------------------------------
@@ -200,7 +200,8 @@ def pages_by_domain(pages: DataFrame, domain: str) -> DataFrame:
 
 # -- decisions -------------------------------------------------------------------------------
 def decision_key(*parts: Column) -> Column:
-    return F.sha2(F.concat_ws("|", *parts), 256)
+    # never null, which Spark cannot know of a hash: it would test for null by hashing once more
+    return F.coalesce(F.sha2(F.concat_ws("|", *parts), 256), F.lit(""))
 
 
 def ttl_seconds(kind: Column) -> Column:
@@ -208,15 +209,18 @@ def ttl_seconds(kind: Column) -> Column:
     return F.try_element_at(table, kind)
 
 
-def reuse_decisions(requests: DataFrame, decisions: DataFrame, as_of: Column) -> DataFrame:
+def reuse_decisions(requests: DataFrame, decisions: DataFrame, as_of: Column, pinned: bool = False) -> DataFrame:
     """Latest live decision per (kind, key); ``hit`` false marks the miss set.
 
-    Expiry is filtered before the aggregation, so dead rows never reach the shuffle.
+    Expiry is filtered before the aggregation, so dead rows never reach the shuffle. Nor do decisions that nobody asks for where
+    the requests are ``pinned``: they are written down already, so their keys are read ahead, and broadcast while they are few.
     """
     alive = decisions.filter(
         (F.col("decided_at") <= as_of)
         & (F.unix_micros("decided_at") > F.unix_micros(as_of) - ttl_seconds(F.col("kind")).cast("long") * 1000000)
     )
+    if pinned:
+        alive = among(alive, "key", requests)
     latest = alive.groupBy("kind", "key").agg(
         F.max_by("value", F.struct("decided_at", "value")).alias("value"), F.max("decided_at").alias("decided_at")
     )

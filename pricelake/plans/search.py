@@ -12,7 +12,7 @@ from pricelake.functions import urls
 from pricelake.operators import candidates as cand
 from pricelake.operators import geography, offers, pagetypes, pricing, relevance
 from pricelake.operators.urltable import keep_first
-from pricelake.session import cut_lineage
+from pricelake.session import among, cut_lineage
 
 
 def best_pages(candidates: DataFrame, per_host: int | None = None, top: int | None = None, min_relevance: float = 0.2) -> DataFrame:
@@ -34,20 +34,23 @@ def typed_candidates(
     Stored decisions settle places and page types that no rule is sure of. A search whose category pages give too few product links falls
     back to all their links that match the query; those a stored decision or a rule types as products come in. The second table
     has the rows to label outside: ``stage`` is ``geography``, ``page_type`` or, for links of the fallback, ``category_link``.
-    Links of category pages pass the same place test as hits. All limits are off by default.
+    Links of category pages pass the same place test as hits. All limits are off by default. Of decisions and edges, which may be far more than
+    there are candidates, only those that candidates ask for are gathered.
     """
     asked = queries.select("query_id", "query", "country", "city")
-    capped = cand.host_cap(cand.pattern_filter(urls.clean_rows(hits)), per_host)
-    placed = cut_lineage(geography.validate(capped.join(asked, "query_id"), decisions, as_of, mode))
+    reached = hits if per_host is None else cand.within_reach(hits, per_host)
+    capped = cand.host_cap(cand.pattern_filter(urls.clean_rows(reached)), per_host)
+    placed = cut_lineage(geography.validate(cut_lineage(capped.join(asked, "query_id")), decisions, as_of, mode, pinned=True))
     # read for products, for categories and for what is open
-    typed = pagetypes.stored_types(pagetypes.page_type(placed.filter("geo_status = 'true'"), "country"), decisions, as_of)
+    typed = pagetypes.stored_types(pagetypes.page_type(placed.filter("geo_status = 'true'"), "country"), decisions, as_of, pinned=True)
     typed = cut_lineage(pagetypes.drop_errors(typed))
     categories = typed.filter(F.col("page_type") == "CATEGORY").select("query_id", "url", "pos", F.split("query", r"\s+").alias("terms"), "country")
-    links = cut_lineage(pagetypes.expand_categories(categories, edges, links_per_host, links_per_query).select(*_LINK))
-    more = fallback(categories, edges, links).select(*_LINK)
+    near = cut_lineage(among(edges, "src", categories.select(F.col("url").alias("src"))))
+    links = cut_lineage(pagetypes.expand_categories(categories, near, links_per_host, links_per_query).select(*_LINK))
+    more = fallback(categories, near, links).select(*_LINK)
     found = links.withColumn("late", F.lit(False)).unionByName(more.withColumn("late", F.lit(True)))
-    local = geography.validate(found.join(asked.drop("country"), "query_id"), decisions, as_of, mode)
-    local = cut_lineage(pagetypes.stored_types(pagetypes.page_type(local, "country"), decisions, as_of))
+    local = geography.validate(cut_lineage(found.join(asked.drop("country"), "query_id")), decisions, as_of, mode, pinned=True)
+    local = cut_lineage(pagetypes.stored_types(pagetypes.page_type(local, "country"), decisions, as_of, pinned=True))
     stored = F.when(F.col("type_source") == "stored", F.col("page_type"))
     grown = pagetypes.merge_expanded(
         typed.filter(F.col("page_type") == "PRODUCT"),
@@ -98,7 +101,10 @@ def search_to_offers(
     gated = relevance.relevance_gate(relevance.score_candidates(typed), min_relevance, top)
     named = gated.withColumn("identified_product_name", F.coalesce("original_title", "query"))
     named = cut_lineage(named)
-    priced = pricing.extract_prices(named, content, pricing.stored_prices(named, decisions, as_of), responses)
+    stored = pricing.stored_prices(named, decisions, as_of, pinned=True)
+    # pages are gathered per URL by their own steps, so others are left out below these
+    answers = None if responses is None else among(responses, "url", named)
+    priced = pricing.extract_prices(named, among(content, "url", named), stored, answers)
     unique = offers.dedupe_names(offers.first_per_url(priced))
     return SearchResult(
         offers.rank_offers(unique), offers.search_summaries(queries, unique), unresolved, pricing.price_decisions(priced, as_of)
