@@ -104,7 +104,7 @@ def search_to_offers(
     stored = pricing.stored_prices(named, decisions, as_of, pinned=True)
     # pages are gathered per URL by their own steps, so others are left out below these
     answers = None if responses is None else among(responses, "url", named)
-    priced = pricing.extract_prices(named, among(content, "url", named), stored, answers)
+    priced = cut_lineage(pricing.extract_prices(named, among(content, "url", named), stored, answers))
     unique = offers.dedupe_names(offers.first_per_url(priced))
     return SearchResult(
         offers.rank_offers(unique), offers.search_summaries(queries, unique), unresolved, pricing.price_decisions(priced, as_of)
